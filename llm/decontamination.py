@@ -77,7 +77,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Count and locate over a sequence of symbols 0..symbols-1; the sequence must end in a 0 that stands nowhere else before a lower suffix."""
+    """Count and locate over a sequence of symbols 0..symbols-1; the sequence ends in its only 0."""
 
     def __init__(self, text: np.ndarray, symbols: int, sample: int = 16):
         n = len(text)
@@ -135,10 +135,10 @@ def shard_hits(texts: list[list[bytes]], vocabulary: dict[bytes, int], phrases:
     """(document, first word, phrase) of every occurrence in a shard."""
     sizes = np.array([len(t) for t in texts])
     at = np.concatenate(([0], np.cumsum(sizes + 1)))
-    text = np.zeros(at[-1], np.int64)  # 0 parts documents, 1 is any word that no item has
+    text = np.ones(at[-1], np.int64)  # 1 parts documents and is any word that no item has; 0 ends the shard
     for t, a in zip(texts, at, strict=False):
         text[a : a + len(t)] = np.fromiter((vocabulary.get(w, 1) for w in t), np.int64, len(t))
-    dull = text <= 1  # a run of such symbols can't be part of an occurrence: one stands for all
+    dull = text == 1  # a run of such symbols can't be part of an occurrence: one stands for all
     keep = ~(dull & np.concatenate(([False], dull[:-1])))
     where = np.flatnonzero(keep)
     index = FMIndex(np.append(text[keep], 0), len(vocabulary) + 2)
