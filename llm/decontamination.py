@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import merge_spans, table
+from llm.common import as_bytes, merge_spans, slices, table
 
 #: A-Z to a-z; what is no part of a word to a space
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -138,9 +138,18 @@ def shard_hits(texts: list[list[bytes]], vocabulary: dict[bytes, int], phrases:
     text = np.ones(at[-1], np.int64)  # 1 parts documents and is any word that no item has; 0 ends the shard
     for t, a in zip(texts, at, strict=False):
         text[a : a + len(t)] = np.fromiter((vocabulary.get(w, 1) for w in t), np.int64, len(t))
-    dull = text == 1  # a run of such symbols can't be part of an occurrence: one stands for all
-    keep = ~(dull & np.concatenate(([False], dull[:-1])))
+    # an occurrence lies within a run of item words that is no shorter than the shortest phrase: one 1 stands for all between such runs
+    edge = np.diff(np.concatenate(([0], (text > 1).astype(np.int8), [0])))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = end - begin >= length.min()
+    mark = np.zeros(len(text) + 1, np.int8)
+    mark[begin[long]] += 1
+    mark[end[long]] -= 1
+    keep = np.cumsum(mark[:-1]) > 0
+    keep[end[long][end[long] < len(text)]] = True
     where = np.flatnonzero(keep)
+    if not len(where):
+        return where, where, where
     index = FMIndex(np.append(text[keep], 0), len(vocabulary) + 2)
     low, high = index.search(phrases, length)
     found = np.flatnonzero(low < high)
@@ -182,9 +191,9 @@ def _search(windows: list[tuple[tuple[bytes, ...], list]], chunk_windows: int, s
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
         docs, texts, n = [], [], 0
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                w = words_of(text.as_py())
+        for b in slices(batches):
+            for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
+                w = words_of(text)
                 if docs and n + len(w) > shard_words:
                     yield judged(docs, texts)
                     docs, texts, n = [], [], 0
