@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,7 @@ def shard_hits(texts: list[list[bytes]], vocabulary: dict[bytes, int], phrases:
     at = np.concatenate(([0], np.cumsum(sizes + 1)))
     text = np.ones(at[-1], np.int64)  # 1 parts documents and is any word that no item has; 0 ends the shard
     for t, a in zip(texts, at, strict=False):
-        text[a : a + len(t)] = np.fromiter((vocabulary.get(w, 1) for w in t), np.int64, len(t))
+        text[a : a + len(t)] = np.fromiter(map(vocabulary.get, t, repeat(1)), np.int64, len(t))
     # an occurrence lies within a run of item words that is no shorter than the shortest phrase: one 1 stands for all between such runs
     edge = np.diff(np.concatenate(([0], (text > 1).astype(np.int8), [0])))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

@@ -1,16 +1,21 @@
 """Queries of this package and, where SQL can express them, their DuckDB twins."""
 
-from llm import decontamination, pii, quality_rules, secrets, substring_dedup
+from llm import decontamination, lm_score, mixing, pii, quality_classifier, quality_rules, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_mixing": mixing.op2_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_secrets": secrets.op4_secrets,
+    "op6_warc": warc.op6_warc,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_pii": pii.op9_pii,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
 }
