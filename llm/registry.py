@@ -1,12 +1,13 @@
 """Queries of this package and, where SQL can express them, their DuckDB twins."""
 
-from llm import decontamination, lm_score, mixing, pii, quality_classifier, quality_rules, secrets, substring_dedup, warc
+from llm import decontamination, jaccard_join, lm_score, mixing, pii, quality_classifier, quality_rules, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_secrets": secrets.op4_secrets,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_warc": warc.op6_warc,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_decontamination": decontamination.op8_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op3_quality_rules": quality_rules.ORACLE,
+    "op5_jaccard_join": jaccard_join.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
 }
