@@ -254,10 +254,11 @@ SQL["evolve_parents"] = f"{with_sql('runlog')}, {_LOG}, t AS (SELECT epoch, fitn
 
 @query
 def running_mean(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.running_mean(table(spark, d, "events"), "event_id", "value").withColumn("mean", r("mean", 3))
+    cents = table(spark, d, "events").select("event_id", F.rint(F.col("value") * 100).cast("long").alias("cents"))  # whole numbers: sums don't depend on their order
+    return runlog.running_mean(cents, "event_id", "cents").withColumn("mean", r("mean", 6))
 
 
-SQL["running_mean"] = "SELECT event_id, round(avg(value) OVER (ORDER BY event_id), 3) AS mean FROM events"
+SQL["running_mean"] = "SELECT event_id, round(sum(round_even(value * 100, 0)::BIGINT) OVER w / count(*) OVER w, 6) AS mean FROM events WINDOW w AS (ORDER BY event_id)"
 
 
 @query
