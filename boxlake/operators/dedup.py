@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +35,33 @@ def sign_hash(values: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
-def hamming_pairs(items: DataFrame, limit: int, bits: int = 64) -> DataFrame:
-    """Pairs a < b of items(item_id, hash) whose hashes differ in limit bits at most.
+def hamming_pairs(items: DataFrame, limit: int, bits: int = 64, errors: int = 1) -> DataFrame:
+    """Pairs a < b of items(item_id, hash) whose hashes differ in limit bits at most; never all pairs.
 
-    Two such hashes agree in one of limit + 1 bands at least: bands are joined,
-    never all pairs.  A pair comes from the first band that it shares.
+    Of limit // (errors + 1) + 1 bands one at least differs in errors bits at
+    most.  One side of the join lists the values of its bands with up to errors
+    bits turned, the other its bands as they are: wider bands, fewer candidates.
+    A pair comes from the first band that finds it.
     """
-    bands, edges = limit + 1, [round(i * bits / (limit + 1)) for i in range(limit + 2)]
-    mask = lambda i: ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    cut = [F.col("hash").bitwiseAND(F.lit(signed(mask(i))).cast("long")) for i in range(bands)]
-    keyed = items.select("item_id", "hash", F.posexplode(F.array(*cut)).alias("band", "bits"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.item_id") < F.col("b.item_id")))
-    differs = F.col("a.hash").bitwiseXOR(F.col("b.hash"))
+    bands = limit // (errors + 1) + 1
+    edges = [round(i * bits / bands) for i in range(bands + 1)]
+    signed = lambda m: F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")
+    masks = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(bands)]
+    turns = [[sum(1 << b for b in c) for n in range(errors + 1) for c in combinations(range(edges[i], edges[i + 1]), n)] for i in range(bands)]
+    plain = items.select(F.col("item_id").alias("b"), F.col("hash").alias("hash_b"), F.posexplode(F.array(*(F.col("hash").bitwiseAND(signed(m)) for m in masks))).alias("band", "bits"))
+
+    def around(i: int) -> Column:
+        own = F.col("hash").bitwiseAND(signed(masks[i]))
+        return F.struct(F.lit(i).alias("band"), F.transform(F.array(*map(signed, turns[i])), lambda t: own.bitwiseXOR(t)).alias("bits"))
+
+    near = F.array(*map(around, range(bands)))
+    turned = items.select(F.col("item_id").alias("a"), F.col("hash").alias("hash_a"), F.explode(near).alias("n")).select("a", "hash_a", F.col("n.band").alias("band"), F.explode("n.bits").alias("bits"))
+    pairs = turned.join(plain, ["band", "bits"]).where("a < b")
+    differs = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
     earlier = F.lit(False)
-    for i in range(bands):
-        earlier = earlier | ((F.lit(i) < F.col("a.band")) & (differs.bitwiseAND(F.lit(signed(mask(i))).cast("long")) == 0))
-    return pairs.where(~earlier).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.bit_count(differs).cast("int").alias("hamming")).where(F.col("hamming") <= limit)
+    for i, m in enumerate(masks):
+        earlier = earlier | ((F.lit(i) < F.col("band")) & (F.bit_count(differs.bitwiseAND(signed(m))) <= errors))
+    return pairs.where(~earlier).select("a", "b", F.bit_count(differs).cast("int").alias("hamming")).where(F.col("hamming") <= limit)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -88,20 +99,26 @@ def quality(sharpness: Column, brightness: Column, over: Column, under: Column)
 
 
 def representatives(members: DataFrame, redundant: DataFrame) -> DataFrame:
-    """Of each cluster the best items that are not redundant with a better kept one.
+    """Of each cluster the best items that are not redundant with a better kept one: cluster_id, item_id, kept, represented_by.
 
-    members(cluster_id, item_id, quality), redundant(a, b) pairs; gives cluster_id,
-    item_id, kept and represented_by.  A cluster is folded in one row: clusters
-    come from near duplicates of one picture, not from a class.
+    members(cluster_id, item_id, quality), redundant(a, b) pairs; ties go to the
+    smaller id.  The greedy choice in rounds of joins, so that no cluster has to
+    fit in a task: an item goes as soon as a better one beside it is kept, and
+    stays as soon as all better ones beside it are gone.
     """
-    both = redundant.select("a", "b").unionByName(redundant.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
-    rows = members.join(both, F.col("item_id") == F.col("a"), "left").select("cluster_id", F.struct((-F.col("quality")).alias("order"), "item_id", F.coalesce("near", F.array().cast("array<bigint>")).alias("near")).alias("m"))
-    groups = rows.groupBy("cluster_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    kept = F.aggregate("ms", F.array().cast("array<bigint>"), lambda acc, m: F.when(F.arrays_overlap(acc, m["near"]), acc).otherwise(F.array_append(acc, m["item_id"])))
-    out = groups.select("cluster_id", kept.alias("reps"), F.explode("ms").alias("m"))
-    is_kept = F.array_contains("reps", F.col("m")["item_id"])
-    first = F.get(F.filter("reps", lambda r: F.array_contains(F.col("m")["near"], r)), F.lit(0))
-    return out.select("cluster_id", F.col("m")["item_id"].alias("item_id"), is_kept.alias("kept"), F.when(is_kept, F.col("m")["item_id"]).otherwise(first).alias("represented_by"))
+    both = redundant.select("a", "b").unionByName(redundant.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rank = lambda who: members.select(F.col("item_id").alias(who), F.struct((-F.col("quality")).alias("q"), F.col("item_id").alias("i")).alias(f"rank_{who}"))
+    better = written(both.join(rank("a"), "a").join(rank("b"), "b").where("rank_b < rank_a").select("a", "b", "rank_b"))
+    state = written(members.select("item_id", F.lit(None).cast("boolean").alias("kept")))
+    while True:
+        beside = better.join(state.select(F.col("item_id").alias("b"), "kept"), "b").groupBy("a").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("any_kept"), F.bool_or(F.col("kept").isNull()).alias("any_open"))
+        verdict = F.when(F.coalesce("any_kept", F.lit(False)), False).when(~F.coalesce("any_open", F.lit(False)), True)
+        state = written(state.join(beside, F.col("item_id") == F.col("a"), "left").select("item_id", F.coalesce("kept", verdict).alias("kept")))
+        if state.where("kept IS NULL").isEmpty():
+            break
+    stands_for = better.join(state.where("kept").select(F.col("item_id").alias("b")), "b").groupBy(F.col("a").alias("of")).agg(F.min_by("b", "rank_b").alias("best"))
+    out = members.select("cluster_id", "item_id").join(state, "item_id").join(stands_for, F.col("item_id") == F.col("of"), "left")
+    return out.select("cluster_id", "item_id", "kept", F.when(F.col("kept"), F.col("item_id")).otherwise(F.col("best")).alias("represented_by"))
 
 
 def cluster_summary(members: DataFrame) -> DataFrame:

@@ -241,11 +241,17 @@ SQL["cross_split_duplicates"] = f"WITH {_GROUPS} SELECT splits, count(*) AS grou
 
 
 def _hashes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), dedup.sign_hash(F.col("embedding")).alias("hash"))
+    """Sign bits of the embeddings, and of each two copies with up to eleven bits turned."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.array(*map(F.lit, range(3)))).alias("c"))
+    place = F.col("vec_id") * (7 - 2 * F.col("c"))
+    turned = lambda i: (F.col("c") > 0) & (F.pmod((i - place) * 35, F.lit(64)) < F.col("vec_id") % (13 - F.col("c") * 3))
+    bits = F.transform("embedding", lambda v, i: F.when((v >= 0) == turned(i), -1.0).otherwise(1.0))
+    return e.select((F.col("vec_id") + F.col("c") * 1_000_000).alias("item_id"), dedup.sign_hash(bits).alias("hash"))
 
 
-_HASH = "h AS (SELECT vec_id, string_agg(CASE WHEN embedding[i + 1] >= 0 THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS b FROM embeddings, range(64) g(i) GROUP BY vec_id), p AS (SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.b, y.b))::INTEGER AS hamming FROM h x JOIN h y ON x.vec_id < y.vec_id AND bit_count(xor(x.b, y.b)) <= 16)"
-LIMIT = dedup.hamming_limit(0.75)
+_HASH = """h0 AS (SELECT vec_id, c, i, (embedding[i + 1] >= 0) <> (c > 0 AND ((((i - vec_id * (7 - 2 * c)) * 35) % 64 + 64) % 64) < vec_id % (13 - c * 3)) AS bit FROM embeddings, range(64) g(i), range(3) k(c)),
+h AS (SELECT vec_id + c * 1000000 AS vec_id, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS b FROM h0 GROUP BY h0.vec_id, c), p AS (SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.b, y.b))::INTEGER AS hamming FROM h x JOIN h y ON x.vec_id < y.vec_id AND bit_count(xor(x.b, y.b)) <= 9)"""
+LIMIT = dedup.hamming_limit(0.85)
 
 
 @query
@@ -294,12 +300,12 @@ SELECT label AS cluster_id, m.id AS item_id, list_contains(reps, m.id) AS kept,
 @query
 def cluster_conflicts(spark: SparkSession, d: str) -> DataFrame:
     labels = dedup.components(dedup.hamming_pairs(_hashes(spark, d), LIMIT)).withColumnRenamed("label", "cluster_id")
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("class_id"), F.when(F.col("vec_id") % 3 == 0, "val").otherwise("train").alias("split"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.explode(F.array(*map(F.lit, range(3)))).alias("c")).select((F.col("vec_id") + F.col("c") * 1_000_000).alias("node"), F.when(F.col("c") == 2, 9 - F.col("label")).otherwise(F.col("label")).alias("class_id"), "vec_id").select("node", "class_id", F.when(F.col("node") % 3 == 0, "val").otherwise("train").alias("split"))
     return dedup.cluster_summary(labels.join(e, "node"))
 
 
-SQL["cluster_conflicts"] = f"""{_COMP} SELECT c.label AS cluster_id, count(*) AS size, count(DISTINCT e2.label) AS n_classes, count(DISTINCT e2.label) > 1 AS conflict, string_agg(DISTINCT CASE WHEN node % 3 = 0 THEN 'val' ELSE 'train' END, ',' ORDER BY CASE WHEN node % 3 = 0 THEN 'val' ELSE 'train' END) AS splits
-FROM c JOIN embeddings e2 ON e2.vec_id = node GROUP BY c.label"""
+SQL["cluster_conflicts"] = f"""{_COMP} SELECT c.label AS cluster_id, count(*) AS size, count(DISTINCT CASE WHEN node >= 2000000 THEN 9 - e2.label ELSE e2.label END) AS n_classes, count(DISTINCT CASE WHEN node >= 2000000 THEN 9 - e2.label ELSE e2.label END) > 1 AS conflict, string_agg(DISTINCT CASE WHEN node % 3 = 0 THEN 'val' ELSE 'train' END, ',' ORDER BY CASE WHEN node % 3 = 0 THEN 'val' ELSE 'train' END) AS splits
+FROM c JOIN embeddings e2 ON e2.vec_id = node % 1000000 GROUP BY c.label"""
 
 
 @query
