@@ -33,6 +33,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ from llm.common import U, as_bytes, mixed, ngrams, saved, shuffle_partitions, sl
 
 #: stands for a null doc_id; real ids are smaller
 NO_ID = 1 << 62
-POSTINGS = "shard int, node binary, n binary, count binary, key binary, doc_id binary, doc_node binary, doc_n binary"
-SHARED = "bucket int, shard int, node binary, n binary, count binary, key binary, level binary, doc_id binary, doc_node binary, doc_n binary"
+POSTINGS = "group long, shard int, key binary, at binary, doc_id binary, doc_node binary, doc_n binary"
+SHARED = "group long, shard int, key binary, at binary, level binary, doc_id binary, doc_node binary, doc_n binary"
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -57,28 +58,25 @@ def class_of(s: np.ndarray) -> int:
 
 
 def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], pa.int32() if kind == "int" else pa.binary()) for name, kind in fields], names=[x[0] for x in fields])
+    kinds, fields = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}, [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields], names=[x[0] for x in fields])
 
 
 def _postings(k: int, shards: int, group_words: int):
-    """Per group of documents and shard the entries of the inverted index, by class; and once the documents of the group."""
+    """Per group of documents and shard the entries of the inverted index, six bytes each; and once the documents of the group (key is null)."""
 
     def packed(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        nodes, n = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64), np.array([len(s) for s in sets], np.uint32)
-        rows = [{"shard": -1 - int(abs(nodes[0])) % shards, "doc_id": np.array(ids, np.int64).tobytes(), "doc_node": nodes.tobytes(), "doc_n": n.tobytes()}]
-        _, first = np.unique(nodes, return_index=True)  # copies in the group count once
-        first = first[n[first] > 0]
+        doc, node, n = np.array(ids, np.int64), np.array([class_of(s) if len(s) else 0 for s in sets], np.int64), np.array([len(s) for s in sets], np.uint32)
+        group = int(np.array(xxhash.xxh3_64_intdigest(doc.tobytes() + node.tobytes()), U).astype(np.int64))  # the same when a task runs again
+        rows = [{"group": group, "shard": group % shards, "doc_id": doc.tobytes(), "doc_node": node.tobytes(), "doc_n": n.tobytes()}]
+        _, first = np.unique(node, return_index=True)  # copies in the group count once
+        first = np.sort(first[n[first] > 0])
         if len(first):
-            h, at = np.concatenate([sets[i] for i in first]), np.repeat(np.arange(len(first)), n[first])
+            h, at = np.concatenate([sets[i] for i in first]), np.repeat(first, n[first]).astype(np.uint16)
             shard = ((h >> U(32)) * U(shards)) >> U(32)
             by = np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.int64), kind="stable")
             key, at, edge = h[by].astype(np.uint32), at[by], np.searchsorted(shard[by], np.arange(shards + 1, dtype=U))
-            for s in range(shards):
-                a, b = edge[s], edge[s + 1]
-                if a < b:
-                    who, count = np.unique(at[a:b], return_counts=True)
-                    rows.append({"shard": s, "node": nodes[first[who]].tobytes(), "n": n[first[who]].tobytes(), "count": count.astype(np.uint32).tobytes(), "key": key[a:b].tobytes()})
+            rows += [{"group": group, "shard": s, "key": key[edge[s] : edge[s + 1]].tobytes(), "at": at[edge[s] : edge[s + 1]].tobytes()} for s in range(shards) if edge[s] < edge[s + 1]]
         return _batch(POSTINGS, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +86,7 @@ def _postings(k: int, shards: int, group_words: int):
                 ids.append(doc)
                 sets.append(shingles(text, k))
                 words += len(sets[-1])
-                if words >= group_words or len(ids) >= 50_000:
+                if words >= group_words or len(ids) >= 50_000:  # a place in a group is two bytes
                     yield packed(ids, sets)
                     ids, sets, words = [], [], 0
         if ids:
@@ -97,64 +95,53 @@ def _postings(k: int, shards: int, group_words: int):
     return run
 
 
-def _read(t: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)])
+def _count(t: pa.Table) -> pa.Table:
+    """One shard of the index: entries whose list holds two classes or more, with the length of the list.
 
-
-def _count(buckets: int):
-    """One shard of the index: entries whose list holds two classes or more, with the length of the list, by class."""
-
-    def run(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        if shard < 0:
-            rows = t.select(["doc_id", "doc_node", "doc_n"]).to_pylist()
-            return pa.Table.from_batches([_batch(SHARED, [{"bucket": -1} | r for r in rows])])
-        node, n, count, key = _read(t, "node", np.int64), _read(t, "n", np.uint32), _read(t, "count", np.uint32), _read(t, "key", np.uint32)
-        _, first = np.unique(node, return_index=True)  # copies in other groups have the same entries
-        keep = np.zeros(len(node), bool)
-        keep[first] = True
-        at = np.repeat(np.arange(len(node)), count)
-        at, key = at[keep[at]], key[keep[at]]
+    A class that stands in several groups is counted in each: lengths only give an order that all classes share.
+    """
+    rows = t.to_pylist()
+    out, rows = [r for r in rows if r["key"] is None], [r for r in rows if r["key"] is not None]
+    if rows:
+        key = np.concatenate([np.frombuffer(r["key"], np.uint32) for r in rows])
         _, place, length = np.unique(key, return_inverse=True, return_counts=True)
         length = length[place]
-        at, key, length = at[length > 1], key[length > 1], length[length > 1]
-        level = np.where(length <= 200, length, 200 + np.log2(np.maximum(length, 1)).astype(np.int64)).astype(np.uint8)  # any order that all classes share is right
-        rows, bucket = [], (node.view(U) % U(buckets)).astype(np.int64)
-        by = np.argsort(bucket[at], kind="stable")
-        at, key, level = at[by], key[by], level[by]
-        edge = np.searchsorted(bucket[at], np.arange(buckets + 1))
-        for b in range(buckets):
-            i, j = edge[b], edge[b + 1]
-            if i < j:
-                who, c = np.unique(at[i:j], return_counts=True)
-                rows.append({"bucket": b, "shard": shard, "node": node[who].tobytes(), "n": n[who].tobytes(), "count": c.astype(np.uint32).tobytes(), "key": key[i:j].tobytes(), "level": level[i:j].tobytes()})
-        return pa.Table.from_batches([_batch(SHARED, rows)])
-
-    return run
+        level = np.where(length <= 200, length, 200 + np.log2(length).astype(np.int64)).astype(np.uint8)
+        edge = np.cumsum([0] + [len(r["key"]) // 4 for r in rows])
+        for r, a, b in zip(rows, edge[:-1], edge[1:], strict=True):
+            keep = length[a:b] > 1
+            if keep.any():
+                out.append({"group": r["group"], "shard": r["shard"], "key": key[a:b][keep].tobytes(), "at": np.frombuffer(r["at"], np.uint16)[keep].tobytes(), "level": level[a:b][keep].tobytes()})
+    return pa.Table.from_batches([_batch(SHARED, out)])
 
 
-SETS = "node long, n int, short int, keys array<long>"
+SETS = "group long, node long, n int, short int, keys array<long>, doc_id binary, doc_node binary, doc_n binary"
 
 
 def _sets(percent: int):
-    """The classes of a bucket that can have a partner: their index entries by length of list, and how many of the first are short lists."""
+    """The classes of a group that can have a partner: their index entries by length of list, and how many of the first are short lists; and the documents."""
 
     def run(t: pa.Table) -> pa.Table:
-        count = _read(t, "count", np.uint32)
-        node, n, shard = _read(t, "node", np.int64), _read(t, "n", np.uint32), np.repeat(t.column("shard").to_numpy(), [len(x.as_buffer()) // 8 for x in t.column("node")])
-        key = (np.repeat(shard.astype(np.int64), count) << 32) | _read(t, "key", np.uint32)
-        level = _read(t, "level", np.uint8)
-        nodes, first, of = np.unique(node, return_index=True, return_inverse=True)
-        size, at = n[first].astype(np.int64), np.repeat(of, count)
-        shared = np.bincount(at, minlength=len(nodes))
+        rows = t.to_pylist()
+        heads, rows = [r for r in rows if r["key"] is None], [r for r in rows if r["key"] is not None]
+        node, size = np.frombuffer(heads[0]["doc_node"], np.int64), np.frombuffer(heads[0]["doc_n"], np.uint32).astype(np.int64)
+        read = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(r[name], kind) for r in rows)])
+        key = (np.repeat(np.array([r["shard"] for r in rows], np.int64), [len(r["key"]) // 4 for r in rows]) << 32) | read("key", np.uint32)
+        at, level = read("at", np.uint16).astype(np.int64), read("level", np.uint8)
+        if len(heads) > 1:  # groups of the very same documents
+            _, once = np.unique(np.stack((at, key)), axis=1, return_index=True)
+            at, key, level = at[once], key[once], level[once]
+        shared = np.bincount(at, minlength=len(node))
         short = size - (size * percent + 99) // 100 + 1 - (size - shared)  # lists of one class are the shortest
         live = short[at] > 0
         at, key, level = at[live], key[live], level[live]
-        by = np.lexsort((key, level, at))
-        who = np.flatnonzero(short > 0)
+        by, who = np.lexsort((key, level, at)), np.flatnonzero((short > 0) & (shared > 0))
         offsets = np.concatenate(([0], np.cumsum(shared[who])))
-        keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[by]))
-        return pa.Table.from_arrays([pa.array(nodes[who]), pa.array(size[who].astype(np.int32)), pa.array(short[who].astype(np.int32)), keys], names=["node", "n", "short", "keys"])
+        n, h = len(who), len(heads)
+        keys = pa.ListArray.from_arrays(pa.array(np.concatenate((offsets, np.full(h, offsets[-1]))), pa.int32()), pa.array(key[by]))
+        pad = lambda x, kind: pa.array([*x.tolist(), *[None] * h], kind)
+        head = lambda c: pa.array([None] * n + [r[c] for r in heads], pa.binary())
+        return pa.Table.from_arrays([pa.array([heads[0]["group"]] * (n + h), pa.int64()), pad(node[who], pa.int64()), pad(size[who], pa.int32()), pad(short[who], pa.int32()), keys, *map(head, ("doc_id", "doc_node", "doc_n"))], names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
 
@@ -174,7 +161,9 @@ def divide_skip(n: list[int], keys: list[np.ndarray], indexed: list[bool], query
         up[i] = known[0]
     parts, links = len(n) - max(0, len(known) - 1), []
     docs = np.flatnonzero(indexed)
-    word, place = np.unique(np.concatenate([keys[i] for i in docs]) if len(docs) else np.empty(0, np.int64), return_inverse=True)
+    if not len(docs):  # a piece of a hot family can be empty
+        return links
+    word, place = np.unique(np.concatenate([keys[i] for i in docs]), return_inverse=True)
     member = np.repeat(docs, [len(keys[i]) for i in docs])
     by = np.argsort(place, kind="stable")  # members of a list are in ascending order
     entry, member = place[by] * len(n) + member[by], member[by]
@@ -184,7 +173,7 @@ def divide_skip(n: list[int], keys: list[np.ndarray], indexed: list[bool], query
             break
         need = (n[q] * percent + 99) // 100  # a partner is on as many lists of the query at least
         own = np.searchsorted(word, keys[q])
-        own = own[(own < len(word)) & (word[np.minimum(own, len(word) - 1)] == keys[q])] if len(word) else own
+        own = own[word[np.minimum(own, len(word) - 1)] == keys[q]]
         if len(own) < need:
             continue
         length = edge[own + 1] - edge[own]
@@ -221,8 +210,9 @@ def _search(percent: int):
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for ids, nodes, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_node", "doc_n")), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(np.frombuffer(nodes, np.int64)), pa.array(np.frombuffer(n, np.uint32).astype(np.int64))], names=["id", "node", "n_shingles"])
+        for group, ids, node, n in zip(*(b.column(c).to_pylist() for c in ("group", "doc_id", "doc_node", "doc_n")), strict=True):
+            ids = np.frombuffer(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.frombuffer(node, np.int64)), pa.array(np.frombuffer(n, np.uint32).astype(np.int64)), pa.array(np.full(len(ids), group))], names=["id", "node", "n_shingles", "group"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,14 +268,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sha
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
     words = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
     shards = max(shuffle_partitions(spark), words // shard_words + 1)
-    index = rows.mapInArrow(_postings(shingle, shards, group_words), POSTINGS).groupBy("shard").applyInArrow(_count(shards), SHARED)
-    index = saved(index, "index")
-    documents = index.where("bucket = -1").select("doc_id", "doc_node", "doc_n").mapInArrow(_documents, "id long, node long, n_shingles long")
-    sets = saved(index.where("bucket >= 0").select("bucket", "shard", "node", "n", "count", "key", "level").groupBy("bucket").applyInArrow(_sets(percent), SETS), "sets")
+    index = rows.mapInArrow(_postings(shingle, shards, group_words), POSTINGS).groupBy("shard").applyInArrow(_count, SHARED)
+    index = saved(index.groupBy("group").applyInArrow(_sets(percent), SETS), "index")
+    documents = index.where("doc_id IS NOT NULL").select("group", "doc_id", "doc_node", "doc_n").mapInArrow(_documents, "id long, node long, n_shingles long, group long")
+    classes = saved(documents.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("group").alias("owner")), "classes")
+    owners = classes.select(F.col("node").alias("of"), "owner")  # of a class that stands in several groups one counts
+    sets = index.where("node IS NOT NULL").select("group", "node", "n", "short", "keys")
+    sets = saved(sets.join(owners, (F.col("node") == F.col("of")) & (F.col("group") == F.col("owner")), "left_semi").drop("group"), "sets")
     links = class_links(sets, percent, family_rows)
-    least = documents.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"))
     label = components(links).withColumnRenamed("node", "member")
-    group = least.join(label, F.col("node") == F.col("member"), "left").select(F.col("node").alias("of"), F.coalesce("label", "node").alias("group"), "least")
+    group = classes.join(label, F.col("node") == F.col("member"), "left").select(F.col("node").alias("of"), F.coalesce("label", "node").alias("group"), "least")
     group = saved(group, "groups")
     lowest = group.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("lowest"))
     group = group.join(lowest, F.col("group") == F.col("g")).select("of", "lowest")
