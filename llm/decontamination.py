@@ -8,9 +8,9 @@ backwards at once; the wavelet tree's ranks narrow their suffix intervals, the
 rows of non-empty intervals walk back to a sampled position, and the located
 occurrences are merged into removal spans per document.
 
-The windows are read on the driver in chunks of ``chunk_windows``; each chunk
-is shipped to the tasks in turn, so what is broadcast is bounded however large
-the benchmark is.
+The windows are read in chunks of about ``chunk_windows``; each chunk is one
+pass over the rows, added to what the passes before have found, so what a task
+holds is bounded however large the benchmark is.  A usual benchmark is one pass.
 
 Edge cases: a null text has no words; an item without words has no window; an
 item with fewer than ``window`` words is one window; an empty benchmark hits
@@ -21,7 +21,6 @@ ignored; a text longer than a shard is a shard of its own.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
-from llm.common import as_bytes, merge_spans, slices, table
+from llm.common import as_bytes, merge_spans, table
 
 #: A-Z to a-z; what is no part of a word to a space
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -161,48 +161,67 @@ def shard_hits(texts: list[list[bytes]], vocabulary: dict[bytes, int], phrases:
     return doc, pos - at[doc], np.repeat(found, counts)
 
 
-def _search(windows: list[tuple[tuple[bytes, ...], list]], chunk_windows: int, shard_words: int):
-    def prepared(chunk):
-        vocabulary: dict[bytes, int] = {}
-        for phrase, _ in chunk:
-            for w in phrase:
-                vocabulary.setdefault(w, len(vocabulary) + 2)
-        wide = max(len(p) for p, _ in chunk)
-        phrases, length = np.zeros((len(chunk), wide), np.int64), np.array([len(p) for p, _ in chunk])
-        for i, (p, _) in enumerate(chunk):
-            phrases[i, wide - len(p) :] = [vocabulary[w] for w in p]
-        return vocabulary, phrases, length, [ids for _, ids in chunk]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = [prepared(windows[i : i + chunk_windows]) for i in range(0, len(windows), chunk_windows)]
-
-        def judged(docs: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-            spans, items = [[] for _ in texts], [set() for _ in texts]
-            for vocabulary, phrases, length, ids in chunks:
-                for d, first, p in zip(*(x.tolist() for x in shard_hits(texts, vocabulary, phrases, length)), strict=True):
-                    spans[d].append((first, first + int(length[p])))
-                    items[d].update(ids[p])
-            rows = []
-            for doc, text, s, i in zip(docs, texts, spans, items, strict=True):
-                s = merge_spans(s)
-                hit = sum(b - a for a, b in s)
-                names = sorted(str(x) for x in i if x is not None)
-                rows.append((doc, len(text), hit, len(i), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, [{"start": a, "end": b} for a, b in s]))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-
-        docs, texts, n = [], [], 0
-        for b in slices(batches):
-            for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
-                w = words_of(text)
-                if docs and n + len(w) > shard_words:
-                    yield judged(docs, texts)
-                    docs, texts, n = [], [], 0
-                docs.append(doc)
+Windows = list[tuple[tuple[bytes, ...], list]]
+FOUND = "spans array<struct<start:int,end:int>>, items array<string>"
+_SPANS, _ITEMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+
+
+def in_chunks(benchmark: DataFrame, window: int, chunk_windows: int) -> Iterator[Windows]:
+    """The windows of the benchmark, some items at a time; at least one chunk."""
+    items, n = [], 0
+    for r in benchmark.select("item_id", "text").toLocalIterator():
+        items.append((r["item_id"], r["text"]))
+        n += max(1, len(words_of(r["text"])))
+        if n >= chunk_windows:
+            yield benchmark_windows(items, window)
+            items, n = [], 0
+    yield benchmark_windows(items, window)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], windows: Windows, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], list[list], list[list]]]:
+    """Rows of a shard with their words, merged spans and item names, added to those of an earlier chunk."""
+    vocabulary: dict[bytes, int] = {}
+    for phrase, _ in windows:
+        for w in phrase:
+            vocabulary.setdefault(w, len(vocabulary) + 2)
+    wide = max((len(p) for p, _ in windows), default=0)
+    phrases, length = np.zeros((len(windows), wide), np.int64), np.array([len(p) for p, _ in windows])
+    for i, (p, _) in enumerate(windows):
+        phrases[i, wide - len(p) :] = [vocabulary[w] for w in p]
+    ids = [[None if x is None else str(x) for x in names] for _, names in windows]
+
+    def judged(b: pa.RecordBatch, texts: list[list[bytes]]) -> tuple:
+        old = "__spans" in b.schema.names
+        spans = [[(x["start"], x["end"]) for x in s] for s in b.column("__spans").to_pylist()] if old else [[] for _ in texts]
+        items = [set(x) for x in b.column("__items").to_pylist()] if old else [set() for _ in texts]
+        if windows:
+            for d, first, p in zip(*(x.tolist() for x in shard_hits(texts, vocabulary, phrases, length)), strict=True):
+                spans[d].append((first, first + int(length[p])))
+                items[d].update(ids[p])
+        return b, texts, [[{"start": a, "end": e} for a, e in merge_spans(s)] for s in spans], [sorted(x, key=lambda y: (y is None, y)) for x in items]
+
+    for b in batches:
+        texts, n, start = [], 0, 0
+        for at, part in ((i, b.column("text").slice(i, 256)) for i in range(0, b.num_rows, 256)):
+            for k, raw in enumerate(as_bytes(part)):
+                w = words_of(raw)
+                if texts and n + len(w) > shard_words:
+                    yield judged(b.slice(start, at + k - start), texts)
+                    texts, n, start = [], 0, at + k
                 texts.append(w)
                 n += len(w)
-        if docs:
-            yield judged(docs, texts)
+        if texts:
+            yield judged(b.slice(start), texts)
+
+
+def _search(windows: Windows, shard_words: int, last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts, spans, items in _shards(batches, windows, shard_words):
+            found = [pa.array(spans, _SPANS), pa.array(items, _ITEMS)]
+            if last:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), *found], names=["doc_id", "n_words", "spans", "items"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *found], names=["doc_id", "text", "__spans", "__items"])
 
     return run
 
@@ -210,10 +229,13 @@ def _search(windows: list[tuple[tuple[bytes, ...], list]], chunk_windows: int, s
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_windows: int = 200_000, shard_words: int = 250_000) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256, contaminated and removal spans (word offsets) of every row of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()]  # a test set, not the corpus
-    windows = benchmark_windows(items, window)
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
-    return rows.mapInArrow(_search(windows, chunk_windows, shard_words), schema)
+    chunks = list(in_chunks(benchmark, window, chunk_windows))
+    for i, chunk in enumerate(chunks):
+        last = i == len(chunks) - 1
+        rows = rows.mapInArrow(_search(chunk, shard_words, last), f"doc_id long, n_words long, {FOUND}" if last else "doc_id long, text string, __spans array<struct<start:int,end:int>>, __items array<string>")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    names = F.array_join(F.array_sort(F.filter("items", lambda x: x.isNotNull())), ",")
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -233,22 +255,28 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_windows: int = 200_000, shard_words: int = 250_000) -> DataFrame:
     """docs with the removal spans cut out of text and n_chars made to fit; a contaminated row with no word left goes.  Rows keep their other columns."""
-    found = _search(benchmark_windows([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()], window), chunk_windows, shard_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                at = b.schema.get_field_index("text")
-                text = b.column(at).to_pylist()
-                numbered = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), b.column(at)], names=["doc_id", "text"])
-                keep = np.ones(len(text), bool)
-                for r in (x for y in found(iter([numbered])) for x in y.select(["doc_id", "n_words", "n_hit", "spans"]).to_pylist() if x["n_hit"]):
-                    keep[r["doc_id"]] = r["n_hit"] < r["n_words"]
-                    text[r["doc_id"]] = without_words(text[r["doc_id"]], [(s["start"], s["end"]) for s in r["spans"]])
-                yield b.set_column(at, "text", pa.array(text, pa.string())).filter(pa.array(keep))
-
-    out = docs.mapInArrow(run, docs.schema)
+    extra = "__spans array<struct<start:int,end:int>>, __items array<string>"
+    marked = [*docs.schema.fields, *DataType.fromDDL(extra).fields]
+
+    def step(chunk: Windows, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, words, spans, items in _shards(batches, chunk, shard_words):
+                plain = b.select([n for n in b.schema.names if n not in ("__spans", "__items")])
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=[*plain.schema.names, "__spans", "__items"])
+                    continue
+                at = plain.schema.get_field_index("text")
+                text = plain.column(at).to_pylist()
+                keep = [not s or sum(x["end"] - x["start"] for x in s) < len(w) for s, w in zip(spans, words, strict=True)]
+                text = [without_words(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(text, spans, strict=True)]
+                yield plain.set_column(at, "text", pa.array(text, pa.string())).filter(pa.array(keep))
+
+        return run
+
+    out, chunks = docs, list(in_chunks(benchmark, window, chunk_windows))
+    for i, chunk in enumerate(chunks):
+        last = i == len(chunks) - 1
+        out = out.mapInArrow(step(chunk, last), docs.schema if last else StructType(marked))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
