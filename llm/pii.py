@@ -53,7 +53,9 @@ _NAME = "|".join(sorted(NAMES, key=len, reverse=True))
 SPELLED = re.compile(rf"(?i)\b(?:plus\b[\s,.-]{{1,3}})?(?:{_NAME})\b(?:[\s,.-]{{1,3}}(?:{_NAME})\b){{3,}}")
 ONE_NAME = re.compile(rf"(?i)\b(?:{_NAME}|plus)\b")
 BRACKET = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,2}(at|dot|@|\.)\s{0,2}[\])}>]\s{0,3}")
-WORDY = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}(at)\s{1,3}(?=[a-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-]{1,63}){1,6}\b)|(?<=[a-z0-9])\s{1,3}(dot)\s{1,3}(?=[a-z])")
+_HOST = r"[a-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-]{1,63}){1,6}\b"
+WORDY = re.compile(rf"(?i)(?<=[a-z0-9])\s{{1,3}}(at)\s{{1,3}}(?={_HOST})|(?<=[a-z0-9])\s{{1,3}}(dot)\s{{1,3}}(?=[a-z])")
+HOST, DOT = re.compile(rf"(?i){_HOST}"), re.compile(r"(?i)\sdot\s")
 #: for a quick look whether a transducer can apply at all
 BREAKS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 SPOKEN = frozenset(x.encode().translate(BREAKS) for n in NAMES for x in (n, n.upper()))
@@ -129,7 +131,9 @@ def deobfuscated(text: str) -> Rewritten | None:
         r.replace(disguises)
         at = r.text
     if b"dot" in words or (disguises and " at " in at):
-        if edits := [(m.start(), m.end(), "@" if m[1] else ".") for m in WORDY.finditer(at)]:
+        # "at" stands for @ only before a host whose dots are disguised themselves
+        disguised = lambda h: bool(DOT.search(h[0])) or (r is not None and any(r.new[h.start() : h.end()]))
+        if edits := [(m.start(), m.end(), "@" if m[1] else ".") for m in WORDY.finditer(at) if not m[1] or disguised(HOST.match(at, m.end()))]:
             r = r or Rewritten(text)
             r.replace(edits)
     return r

@@ -1,0 +1,93 @@
+"""Base spans against the patterns as the contract writes them; what the methods add."""
+
+import random
+import re
+
+import pytest
+from llm import pii, secrets
+
+
+def secret_base(text):
+    out = []
+    for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
+        if len(m[1]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(secrets.KINDS[k], s, e) for s, k, e in sorted(out)]
+
+
+def pii_base(text):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c in "0123456789" for c in m[0]) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_base_spans(seed):
+    rng = random.Random(seed)
+    bits = ["password=", "API_KEY: ", "token", "secret", "'", '"', "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "abc", " ", "\n", "=", ":", "é", "a.b@c.d", "@", ".", "x@y", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111111111111111", "+49 (30) 1234-5678", "+1", "-", "9", "12", "..", "a@b.c.d", "K", "ſecret="]
+    for _ in range(1500):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert secrets.base_spans(t) == secret_base(t), t
+        assert pii.plain_spans(t) == pii_base(t), t
+
+
+def test_long_runs_are_linear():
+    for t in ("a" * 200_000, "a." * 100_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + " " * 100_000, "@" * 100_000, "token" * 40_000, "(" * 50_000 + " at " * 20_000):
+        pii.pii_spans(t)
+        secrets.base_spans(t)
+
+
+def test_disguises_map_back():
+    for text, piece in [("mail jo.doe [at] site (dot) org now", "jo.doe [at] site (dot) org"), ("write jo at site dot org today", "jo at site dot org"), ("jo at site (dot) org", "jo at site (dot) org"), ("see jо@sitе.org.", "jо@sitе.org"), ("call plus four nine three zero one two three four five six", "plus four nine three zero one two three four five six")]:
+        base, added = pii.pii_spans(text)
+        assert piece in [text[s:e] for _, s, e in base + added], (text, base, added)
+    for clean in ("meet me at noon", "one of two things", "arrived at home.Then the dot went", ""):
+        assert pii.pii_spans(clean) == ([], [])
+
+
+def test_redaction():
+    assert pii.redact_text("x a@b.co y [1.2.3.4]") == "x <EMAIL> y [<IP>]"
+    assert pii.redact_text(None) is None and pii.redact_text("") == ""
+
+
+ROWS = [(1, "x a@b.co", 3), (1, "x a@b.co", 3), (2, None, 3), (None, "", 3), (3, "n " * 20_000 + "token: abcdefghijkl0", 3)]
+SCHEMA = "doc_id long, text string, spans int"
+
+
+def test_tables(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    got = {(str(r.doc_id), r.n_email, r.spans) for r in pii.find_pii(df).collect()}
+    assert got == {("1", 1, "email:2:8"), ("2", 0, ""), ("None", 0, ""), ("3", 0, "")} and pii.find_pii(df).count() == 5
+    out = secrets.scan_secrets(df)
+    assert {(str(r.doc_id), r.n_assign) for r in out.collect()} == {("1", 0), ("2", 0), ("None", 0), ("3", 1)} and out.count() == 5
+    none = df.where("false")
+    assert pii.find_pii(none).count() == 0 and secrets.scan_secrets(none).count() == 0 and pii.redact_pii(none).count() == 0
+    assert [r.spans for r in pii.redact_pii(df).collect()] == [3] * 5
+
+
+def test_crf_finds_unseen_secrets(spark):
+    model = secrets.train(spark.createDataFrame([(1, "plain words only")], "doc_id long, text string"))
+    rng = random.Random(99)
+    hit = total = false = 0
+    for _ in range(300):
+        words, states = secrets.generated(rng)
+        text = " ".join(words)
+        _, added = secrets.secret_spans(text, model)
+        base = secrets.base_spans(text)
+        found = bool(added or base)
+        total += any(states)
+        hit += any(states) and found
+        false += not any(states) and bool(added)
+    assert hit / total > 0.9 and false < 10
+    assert secrets.secret_spans("the quick brown fox jumps over the lazy dog", model) == ([], [])
