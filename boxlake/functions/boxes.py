@@ -189,3 +189,17 @@ def resample(points: Column, n: int) -> Column:
         return F.struct((p["x"] + (q["x"] - p["x"]) * part).alias("x"), (p["y"] + (q["y"] - p["y"]) * part).alias("y"))
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def points_to_pixels(points: Column, width, height, pad_x=0.0, pad_y=0.0) -> Column:
+    """Normalised array<struct<x, y>> in pixels."""
+    return F.transform(points, lambda p: F.struct((width * p["x"] + pad_x).alias("x"), (height * p["y"] + pad_y).alias("y")))
+
+
+def unletterbox_points(points: Column, net_w: float, net_h: float, width: Column, height: Column, normalise: bool = False) -> Column:
+    """Points on a letterboxed canvas back to the source image, clipped; as shares of its size if asked."""
+    gain = F.least(net_h / height, net_w / width)
+    pad_x, pad_y = (net_w - width * gain) / 2, (net_h - height * gain) / 2
+    x = lambda p: between((p["x"] - pad_x) / gain, 0.0, width) / (width if normalise else 1.0)
+    y = lambda p: between((p["y"] - pad_y) / gain, 0.0, height) / (height if normalise else 1.0)
+    return F.transform(points, lambda p: F.struct(x(p).alias("x"), y(p).alias("y")))

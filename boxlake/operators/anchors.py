@@ -73,3 +73,36 @@ def kmeans(boxes: DataFrame, centers: list[tuple[float, float]], rounds: int = 1
     score = [wh_iou(F.col("w"), F.col("h"), F.lit(w), F.lit(h), 1e-12) for w, h in now]
     best = F.array_position(F.array(*score), F.greatest(*score)) - 1
     return boxes.groupBy(best.cast("int").alias("center")).agg(F.count("*").alias("n"), F.median("w").alias("w"), F.median("h").alias("h"))
+
+
+def whitened_kmeans(boxes: DataFrame, k: int, seed: int = 0, rounds: int = 30) -> list[tuple[float, float]]:
+    """k centres of boxes(w, h) by Euclidean distance after scaling both sides to unit deviation, by area."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    s = boxes.agg(F.stddev_pop("w").alias("w"), F.stddev_pop("h").alias("h")).first()
+    scaled = boxes.select((F.col("w") / s["w"]).alias("w"), (F.col("h") / s["h"]).alias("h"))
+    model = KMeans(k=k, seed=seed, maxIter=rounds).fit(VectorAssembler(inputCols=["w", "h"], outputCol="features").transform(scaled))
+    return sorted(((float(c[0] * s["w"]), float(c[1] * s["h"])) for c in model.clusterCenters()), key=lambda c: c[0] * c[1])
+
+
+def fitness(boxes: DataFrame, anchors: list[tuple[float, float]], limit: float = 4.0) -> float:
+    """Mean over boxes of the best ratio, where it is within limit."""
+    best = F.greatest(*(ratio(F.col("w"), F.col("h"), F.lit(float(w)), F.lit(float(h))) for w, h in anchors)) if len(anchors) > 1 else ratio(F.col("w"), F.col("h"), F.lit(float(anchors[0][0])), F.lit(float(anchors[0][1])))
+    return boxes.agg(F.avg(F.when(best > 1 / limit, best).otherwise(0.0))).first()[0] or 0.0
+
+
+def evolved(boxes: DataFrame, anchors: list[tuple[float, float]], generations: int = 20, brood: int = 16, sigma: float = 0.1, seed: int = 0) -> list[tuple[float, float]]:
+    """Anchors mutated by random factors; a generation's brood is scored in one pass over the boxes, the best one stays."""
+    import random
+
+    rng, best = random.Random(seed), list(anchors)
+    score = fitness(boxes, best)
+    for _ in range(generations):
+        tries = [[(max(2.0, w * rng.gauss(1, sigma)), max(2.0, h * rng.gauss(1, sigma))) for w, h in best] for _ in range(brood)]
+        value = lambda a: F.greatest(F.lit(0.0), *(ratio(F.col("w"), F.col("h"), F.lit(w), F.lit(h)) for w, h in a))
+        scores = boxes.agg(*(F.avg(F.when(value(a) > 0.25, value(a)).otherwise(0.0)).alias(f"s{i}") for i, a in enumerate(tries))).first()
+        top = max(range(brood), key=lambda i: scores[i] or 0.0)
+        if (scores[top] or 0.0) > score:
+            best, score = tries[top], scores[top]
+    return sorted(best, key=lambda a: a[0] * a[1])

@@ -124,3 +124,15 @@ def representatives(members: DataFrame, redundant: DataFrame) -> DataFrame:
 def cluster_summary(members: DataFrame) -> DataFrame:
     """Per cluster: size, number of classes, whether classes conflict, splits; members hold cluster_id, class_id, split."""
     return members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.count_distinct("class_id").alias("n_classes"), (F.count_distinct("class_id") > 1).alias("conflict"), F.array_join(F.array_sort(F.collect_set("split")), ",").alias("splits"))
+
+
+def redundant_pairs(scored: DataFrame, whole: float = 0.95, region: float = 0.95, overlap: float = 0.9) -> DataFrame:
+    """Pairs a, b of scored(a, b, whole_ssim, region_ssim, iou, class_a, class_b) that show the same thing."""
+    same = (F.col("whole_ssim") >= whole) & (F.col("region_ssim") >= region) & (F.col("iou") >= overlap) & (F.col("class_a") == F.col("class_b"))
+    return scored.where(same).select("a", "b")
+
+
+def inner_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges both ends of which are members(node)."""
+    m = members.select("node")
+    return edges.join(m.withColumnRenamed("node", "a"), "a", "left_semi").join(m.withColumnRenamed("node", "b"), "b", "left_semi").select(edges.columns)

@@ -182,3 +182,17 @@ def mask_iou(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.withColumnRenamed("mask_id", "left_id").join(right.withColumnRenamed("mask_id", "right_id"), ["image_id", "pixel"]).groupBy("image_id", "left_id", "right_id").agg(F.count("*").alias("inter"))
     joined = both.join(a, ["image_id", "left_id"]).join(b, ["image_id", "right_id"])
     return joined.select("image_id", "left_id", "right_id", (F.col("inter") / (F.col("n_left") + F.col("n_right") - F.col("inter") + 1e-7)).alias("iou"))
+
+
+def class_maps(ap: DataFrame, classes: int) -> DataFrame:
+    """class_id and its AP over all thresholds; classes without labels take the mean of the others."""
+    per = ap.groupBy("class_id").agg(F.avg("ap").alias("map"))
+    mean = per.agg(F.avg("map").alias("mean"))  # one row
+    every = ap.sparkSession.range(classes).select(F.col("id").alias("class_id"))
+    return every.join(per, "class_id", "left").crossJoin(F.broadcast(mean)).select("class_id", F.coalesce("map", "mean").alias("map"))
+
+
+def class_report(ap: DataFrame, point: DataFrame, names: DataFrame) -> DataFrame:
+    """One row per class: name, labels, precision, recall, F1, tp, fp, AP at 0.5 and over all thresholds."""
+    a = ap.groupBy("class_id").agg(F.max(F.when(F.col("thr") == 0, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap"))
+    return point.join(a, "class_id").join(F.broadcast(names), "class_id", "left").select("class_id", F.coalesce("class_name", F.lit("unknown")).alias("class_name"), "n_labels", "precision", "recall", "f1", "tp", "fp", "ap50", "ap")

@@ -117,3 +117,21 @@ def even_sample(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
     rows = df.withColumn("__i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).join(F.broadcast(n), F.col(group) == F.col("__g"))
     spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (F.col("__n") - 1) / float(k - 1)).cast("long"))
     return rows.where((F.col("__n") <= k) | F.array_contains(spots, F.col("__i").cast("long"))).drop("__i", "__n", "__g")
+
+
+def with_min_items(labels: DataFrame, least: int) -> DataFrame:
+    """Labels of the images that have at least so many."""
+    enough = labels.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("image_id")
+    return labels.join(enough, "image_id", "left_semi")
+
+
+def single_class(rows: DataFrame) -> DataFrame:
+    """Every box or detection in class 0."""
+    return rows.withColumn("class_id", F.lit(0).cast("long"))
+
+
+def smallest_half(labels: DataFrame) -> DataFrame:
+    """Per image the half (half to even) of its boxes with the smallest areas."""
+    w = Window.partitionBy("image_id")
+    ranked = labels.withColumns({"__r": F.row_number().over(w.orderBy(F.col("w") * F.col("h"), "label_id")), "__n": F.count("*").over(w)})
+    return ranked.where(F.col("__r") <= F.rint(F.col("__n") / 2)).drop("__r", "__n")

@@ -60,3 +60,15 @@ def assert_empty(problems: DataFrame, what: str) -> None:
     first = problems.limit(3).collect()
     if first:
         raise ValueError(f"{what}: {[r.asDict() for r in first]}")
+
+
+def require_valid(lines: DataFrame, classes: int) -> DataFrame:
+    """Boxes of lines; raises if any line has an issue."""
+    assert_empty(label_issues(lines, classes), "label issues")
+    return kept_boxes(lines)
+
+
+def assert_references(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """rows joined with other; raises if a key of rows is missing there."""
+    assert_empty(rows.join(other, key, "left_anti").select(key), f"{key} without a match")
+    return rows.join(other, key)
