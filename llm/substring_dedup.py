@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import U, as_bytes, keyed, merge_spans, mixed, ngrams, slices, table, word_hashes
+from llm.common import U, as_bytes, keyed, merge_spans, mixed, ngrams, saved, slices, table, word_hashes
 
 #: windows handled at once within one text; positions must fit in 24 bits
 PIECE = 1 << 20
@@ -123,8 +123,11 @@ def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = 20, with_te
     """doc_id, n_words, n_removed, kept_sha256 and spans (word offsets) of every row of docs(doc_id, text); kept_text on request."""
     rows = keyed(docs)
     texts = rows.repartition("k1", "k2")  # one exchange of the texts, used by both joins below
-    blocks = rows.select("doc_id", "k2", "text").mapInArrow(_cut(window, anchor), "doc_id long, k2 long, block long, anchor long, first int, last int")
+    blocks = saved(rows.select("doc_id", "k2", "text").mapInArrow(_cut(window, anchor), "doc_id long, k2 long, block long, anchor long, first int, last int"), "blocks")
 
+    # a minimiser that only one document has can give no factor: most blocks go here
+    met = blocks.groupBy(F.col("anchor").alias("met")).agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("met")
+    blocks = saved(blocks.join(met, F.col("anchor") == F.col("met")).drop("met"), "shared-blocks")
     owner = blocks.groupBy("block").agg(F.min("doc_id").alias("owner"), F.min("anchor").alias("anchor"))
     shared = owner.groupBy("anchor").agg(F.min("block").alias("b0"), F.max("block").alias("b1")).where("b0 <> b1").select(F.col("anchor").alias("shared"))
     index = owner.join(shared, F.col("anchor") == F.col("shared"), "left").select(F.col("block").alias("of"), "owner", F.col("shared").isNotNull().alias("boundary"))
