@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import let, table
+from llm.common import let, saved, table
 
 GAP = r"[\x20\x09-\x0D]+"
 #: statistic, lower fence used, slack added beyond the fences
@@ -86,7 +86,7 @@ def thresholds(stats: DataFrame, sketch_k: int = 4096, min_rows: int = 100) -> D
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base statistics, base_failed and kept of every row of docs(doc_id, text, lang, source)."""
     n = F.col("n_words").cast("double")
-    stats = statistics(docs).select(
+    stats = saved(statistics(docs), "statistics").select(  # narrow; the texts are read once
         "*", (F.col("n_symbols") / n).alias("symbol_ratio"), (F.col("n_dup_lines") / F.col("n_lines").cast("double")).alias("dup_line_ratio"),
         (F.col("n_repeat_words") / n).alias("repeat_ratio"), (F.col("word_chars") / n).alias("word_length"),
     )
