@@ -87,8 +87,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Base statistics, base_failed and kept of every row of docs(doc_id, text, lang, source)."""
     n = F.col("n_words").cast("double")
     stats = saved(statistics(docs), "statistics").select(  # narrow; the texts are read once
-        "*", (F.col("n_symbols") / n).alias("symbol_ratio"), (F.col("n_dup_lines") / F.col("n_lines").cast("double")).alias("dup_line_ratio"),
-        (F.col("n_repeat_words") / n).alias("repeat_ratio"), (F.col("word_chars") / n).alias("word_length"),
+        "*", F.try_divide("n_symbols", n).alias("symbol_ratio"), F.try_divide("n_dup_lines", F.col("n_lines").cast("double")).alias("dup_line_ratio"),
+        F.try_divide("n_repeat_words", n).alias("repeat_ratio"), F.try_divide("word_chars", n).alias("word_length"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.lit(True)
