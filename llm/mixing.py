@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +76,9 @@ def draw(rows: DataFrame, narrow: DataFrame, budget_share: float, target_entropy
         for (source, have), w in zip(totals, weights_at(tokens, solve_exponent(tokens, target_entropy, max_repeats, budget)), strict=True):
             want = round(w * budget)
             plan.append((source, max(1, math.ceil(have / block_tokens)), want // int(have), want % int(have)))
-    plan_df = spark.createDataFrame(plan, "source_of string, n_blocks long, passes long, cut long")
+    columns = list(zip(*plan, strict=True)) or [()] * 4
+    kinds = (("source_of", pa.string()), ("n_blocks", pa.int64()), ("passes", pa.int64()), ("cut", pa.int64()))
+    plan_df = spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns, strict=True)}))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
     def blocked(df: DataFrame) -> DataFrame:
