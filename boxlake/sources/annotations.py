@@ -30,7 +30,7 @@ def listed_paths(spark: SparkSession, list_file: str) -> DataFrame:
 
 def yolo_lines(spark: SparkSession, root: str) -> DataFrame:
     """path, line_no, line of the label files below root; empty lines go.  Files are small: one row each, then exploded."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select("value", F.input_file_name().alias("path"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select("value", F.input_file_name().alias("path"))
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"))
     return lines.where(F.length(F.trim("line")) > 0).select("path", (F.col("i") + 1).cast("long").alias("line_no"), F.trim("line").alias("line"))
 
