@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, trees:
     """Learn from rows of docs(doc_id, text) that labels(doc_id, quality) names and that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("label")).where("id IS NOT NULL AND label IN (0.0, 1.0) AND crc32(CAST(CAST(id AS STRING) AS BINARY)) % 5 <> 0")
     taught = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_train_rows)
-    rows, names = with_statistics(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(taught, "id"), F.col("text"))
+    rows, names = with_statistics(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taught), "id"), F.col("text"))  # max_train_rows ids and labels at most
     rows = saved(rows.select("label", "__s"), "rules").select("label", "__s.*")  # at most max_train_rows narrow rows
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
