@@ -7,8 +7,9 @@ and Viterbi decodes each text.  Plain tokens (short, or letters only, and no
 key word) are outside by a hard constraint of the lattice, so that the chain
 falls apart into runs of other tokens that are decoded on their own.
 
-Training is on the driver from a bounded sample: ``sample_rows`` texts (the
-smallest hashes of their ids) labelled by the base patterns, and
+Training is on the driver from a bounded sample: ``sample_rows`` whole texts of
+``sample_chars`` characters at most (about; by the hash of their ids, never more
+than twice as many) labelled by the base patterns, and
 ``synthetic_rows`` generated lines with secrets of many formats and look-alikes.
 
 Edge cases: a null text is empty; an empty table still trains on generated
@@ -221,10 +222,11 @@ def fit(lines: list[tuple[list[str], list[int]]], steps: int = 150, rate: float
     return Model(w, a + forbid, b + first_forbid)
 
 
-def train(docs: DataFrame, sample_rows: int = 300, synthetic_rows: int = 1500, seed: int = 7) -> Model:
+def train(docs: DataFrame, sample_rows: int = 300, sample_chars: int = 20_000, synthetic_rows: int = 1500, seed: int = 7) -> Model:
     rng = random.Random(seed)
     lines = [generated(rng) for _ in range(synthetic_rows)]
-    sample = docs.select(F.substring(F.col("text").cast("string"), 1, 20_000).alias("text"), F.xxhash64("doc_id").alias("h")).where("text IS NOT NULL").orderBy("h", "text").limit(sample_rows)
+    step = max(1, docs.count() // sample_rows)
+    sample = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")).where((F.pmod("h", F.lit(step)) == 0) & (F.length("text") <= sample_chars)).orderBy("h", "text").limit(2 * sample_rows)
     for row in sample.collect():  # a bounded training sample
         spans, words, states = base_spans(row["text"]), [], []
         for m in TOKEN.finditer(row["text"]):
