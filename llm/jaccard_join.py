@@ -241,12 +241,13 @@ def class_links(sets: DataFrame, percent: int, family_rows: int) -> DataFrame:
     members = saved(lists.join(named, F.col("x") == F.col("k")).select("family", "node").distinct(), "families")
     size = members.groupBy(F.col("family").alias("f")).agg(F.count("*").alias("rows")).where("rows > 1")
     members = members.join(size, F.col("family") == F.col("f")).select("family", "node", "rows")
-    whole = members.join(sets.select(F.col("node").alias("id"), "n", "keys"), F.col("node") == F.col("id")).drop("id")
+    whole = saved(members.join(sets.select(F.col("node").alias("id"), "n", "keys"), F.col("node") == F.col("id")).drop("id"), "members")  # the sets move once
 
     # a hot family: against the one that names it first
-    head = members.where(f"rows > {family_rows}").select("family").distinct().join(sets.select(F.col("node").alias("id"), F.col("n").alias("n0"), F.col("keys").alias("keys0")), F.col("family") == F.col("id")).select(F.col("family").alias("f"), "n0", "keys0")
+    many = whole.where(f"rows > {family_rows}")
+    head = many.where("family = node").select(F.col("family").alias("f"), F.col("n").alias("n0"), F.col("keys").alias("keys0"))
     overlap = F.size(F.array_intersect("keys", "keys0"))
-    hot = whole.where(f"rows > {family_rows}").join(head, F.col("family") == F.col("f")).select("family", "node", (overlap * (100 + percent) >= percent * (F.col("n") + F.col("n0"))).alias("linked"))
+    hot = many.join(head, F.col("family") == F.col("f")).select("family", "node", (overlap * (100 + percent) >= percent * (F.col("n") + F.col("n0"))).alias("linked"))
     hot = saved(hot, "hot")
     strays = hot.where("NOT linked").groupBy(F.col("family").alias("f")).agg(F.count("*").alias("strays"))
     pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / family_rows)).cast("int")
@@ -256,7 +257,7 @@ def class_links(sets: DataFrame, percent: int, family_rows: int) -> DataFrame:
     as_doc = dealt.select("family", "node", "linked", every("qs").alias("q"), "d", F.lit(True).alias("indexed"), F.lit(False).alias("query"))
     as_query = dealt.where("NOT linked").select("family", "node", "linked", "q", every("ds").alias("d"), F.lit(False).alias("indexed"), F.lit(True).alias("query"))
     tasks = as_doc.unionByName(as_query).groupBy("family", "q", "d", "node").agg(F.max("linked").alias("linked"), F.max("indexed").alias("indexed"), F.max("query").alias("query"))
-    tasks = tasks.join(sets.select(F.col("node").alias("id"), "n", "keys"), F.col("node") == F.col("id")).drop("id")
+    tasks = tasks.join(many.select(F.col("family").alias("f"), F.col("node").alias("id"), "n", "keys"), (F.col("family") == F.col("f")) & (F.col("node") == F.col("id"))).drop("f", "id")
     small = whole.where(f"rows <= {family_rows}").select("family", F.lit(0).alias("q"), F.lit(0).alias("d"), "node", F.lit(False).alias("linked"), F.lit(True).alias("indexed"), F.lit(True).alias("query"), "n", "keys")
     found = small.unionByName(tasks.select(small.columns)).groupBy("family", "q", "d").applyInArrow(_search(percent), "a long, b long")
     return saved(found.unionByName(hot.where("linked AND family <> node").select(F.col("family").alias("a"), F.col("node").alias("b"))), "links")
@@ -271,10 +272,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sha
     index = rows.mapInArrow(_postings(shingle, shards, group_words), POSTINGS).groupBy("shard").applyInArrow(_count, SHARED)
     index = saved(index.groupBy("group").applyInArrow(_sets(percent), SETS), "index")
     documents = index.where("doc_id IS NOT NULL").select("group", "doc_id", "doc_node", "doc_n").mapInArrow(_documents, "id long, node long, n_shingles long, group long")
-    classes = saved(documents.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("group").alias("owner")), "classes")
-    owners = classes.select(F.col("node").alias("of"), "owner")  # of a class that stands in several groups one counts
+    classes = saved(documents.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("group").alias("owner"), F.max("group").alias("last")), "classes")
+    copies = classes.where("owner < last").select(F.col("node").alias("of"), "owner")  # of a class that stands in several groups one counts
     sets = index.where("node IS NOT NULL").select("group", "node", "n", "short", "keys")
-    sets = saved(sets.join(owners, (F.col("node") == F.col("of")) & (F.col("group") == F.col("owner")), "left_semi").drop("group"), "sets")
+    sets = saved(sets.join(copies, (F.col("node") == F.col("of")) & (F.col("group") != F.col("owner")), "left_anti").drop("group"), "sets")
     links = class_links(sets, percent, family_rows)
     label = components(links).withColumnRenamed("node", "member")
     group = classes.join(label, F.col("node") == F.col("member"), "left").select(F.col("node").alias("of"), F.coalesce("label", "node").alias("group"), "least")
