@@ -1,12 +1,16 @@
 """Stupid-backoff language-model scores over the whole corpus.
 
-Tables: unigram counts of all words (grouped by hash, kept as a table), from
-which the ``vocabulary`` most frequent words become ids - the rest are one
-unknown word - and bigram counts, partitioned by the hash of the bigram.
-Documents are exploded into bigrams that go to the partition of their hash,
-where the counts of all documents meet them; each partition sums the scores of
-its bigrams per document, and the sums go back to the document's group, which
-adds up the partitions.
+Tables: unigram counts of all words (grouped by hash, kept as a table) and
+bigram counts.  The ``vocabulary`` most frequent words are common: their counts
+are broadcast, and bigrams of two of them go to the partition of their hash.
+All other words are rare, keep their own hashes and need no broadcast: a bigram
+goes to the partition of its second word if that is rare, and to that of its
+first word if that is rare, so that one partition sees all places of a rare
+word and counts it there.  With two rare words the second one's partition
+scores the bigram if it backs off, the first one's if it doesn't.  What is
+common decides about the way only, not about scores.  Each partition sums the
+scores of its bigrams per document, and the sums go back to the document's
+group, which adds up the partitions.
 
 score(w | v) = c(vw) / c(v) if c(vw) >= ``min_count``, else backoff * c(w) / N.
 
@@ -14,8 +18,9 @@ Bigrams travel packed: one row per group of documents and partition holds the
 distinct bigrams as arrays, with counts and the documents they stand in, so the
 shuffle carries a few bytes per token.  A frequent bigram is one entry per
 group of documents, whatever its share; rows are groups times partitions, so a
-group has more words where there are more partitions.  What is broadcast is the vocabulary:
-at most ``vocabulary`` words at 16 bytes.
+group has more words where there are more partitions.  Partitions are added
+with the tokens, so that one holds about ``PER_SHARD`` of them.  What is
+broadcast is the common words: at most ``vocabulary`` at 16 bytes.
 
 Edge cases: null and empty texts have 0 tokens, log_score 0 and no mean; rows
 with equal id and text count as often as they stand and score alike; a null
@@ -24,6 +29,7 @@ doc_id is scored; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +42,8 @@ from llm.common import as_bytes, keyed, mixed, saved, shuffle_partitions, slices
 
 #: words that a group of documents has before it is handed on: so many for each partition, within bounds of memory
 PER_PART, LEAST, MOST = 4_000, 400_000, 4_000_000
+#: tokens of the corpus for each partition of bigrams, at most (about)
+PER_SHARD = 2_000_000
 #: stands for the beginning of a text among word hashes
 BEGIN = word_hashes([b""]).view(np.int64)[0]
 
@@ -70,7 +78,9 @@ def unigram_table(docs: DataFrame) -> DataFrame:
     return saved(counts.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
 
 
-PACKED = "shard int, group long, first binary, second binary, n binary, doc binary, seen binary, k1 binary, k2 binary"
+#: entries of common words have ids of 4 bytes, those of rare ones the hashes
+COMMON, RARE_SECOND, RARE_FIRST = range(3)
+PACKED = "shard int, kind int, group long, first binary, second binary, n binary, doc binary, seen binary, k1 binary, k2 binary"
 SUMS = "group long, seen binary, s binary, n binary, k1 binary, k2 binary"
 
 
@@ -80,61 +90,119 @@ def _table(schema: str, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields], names=[x[0] for x in fields])
 
 
+def _place(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Positions in the sorted hashes known, or -1."""
+    if not len(known):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return np.where(known[at] == words, at, -1)
+
+
+def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of one of each distinct pair, and for every pair which one it is."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
+
 def _bigrams(known: np.ndarray, shards: int):
-    """Per group of documents and shard: first words, second words, counts and documents; once per group its row keys (first is null)."""
-    unknown, begin, size = len(known), len(known) + 1, min(max(LEAST, shards * PER_PART), MOST)
+    """Per group of documents, shard and kind: first words, second words, counts and documents; once per group its row keys (first is null)."""
+    size = min(max(LEAST, shards * PER_PART), MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k1, k2, words in grouped(batches, size):
             group = int(np.array(xxhash.xxh3_64_intdigest(k1.tobytes() + k2.tobytes()), np.uint64).astype(np.int64))  # the same when a task runs again
-            ids, length = [], np.array([len(w) for w in words])
-            for w in words:
-                h = word_hashes(w).view(np.int64)
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                ids.append(np.where(known[at] == h, at, unknown) if len(known) else np.full(len(h), unknown))
-            second = np.concatenate(ids)
+            length = np.array([len(w) for w in words])
+            starts = np.concatenate(([0], np.cumsum(length)[:-1]))
+            second = np.concatenate([word_hashes(w) for w in words]).view(np.int64)
             first = np.empty_like(second)
             first[1:] = second[:-1]
-            first[np.concatenate(([0], np.cumsum(length)[:-1]))] = begin
-            key = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+            first[starts] = BEGIN
+            second_id = _place(second, known)
+            first_id = np.empty_like(second_id)
+            first_id[1:] = second_id[:-1]
+            first_id[starts] = np.searchsorted(known, BEGIN)
             doc = np.repeat(np.arange(len(words), dtype=np.uint16), length)
+            rows: list[dict] = [{"shard": group % shards, "kind": COMMON, "group": group, "k1": k1.tobytes(), "k2": k2.tobytes()}]
+
+            def add(s: int, kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, d: np.ndarray, group=group, rows=rows) -> None:
+                seen, place = np.unique(d, return_inverse=True)
+                rows.append({"shard": s, "kind": kind, "group": group, "first": a.tobytes(), "second": b.tobytes(), "n": n.astype(np.uint32).tobytes(), "doc": place.astype(np.uint16).tobytes(), "seen": seen.tobytes()})
+
+            here = np.flatnonzero((first_id >= 0) & (second_id >= 0))
+            key = (first_id[here].astype(np.uint64) << np.uint64(32)) | second_id[here].astype(np.uint64)
             shard = (mixed(key) % np.uint64(shards)).astype(np.int32)
             order = np.lexsort((key, shard))
-            key, doc, shard = key[order], doc[order], shard[order]
-            edge = np.searchsorted(shard, np.arange(shards + 1))
-            rows: list[dict] = [{"shard": group % shards, "group": group, "k1": k1.tobytes(), "k2": k2.tobytes()}]
+            key, d, edge = key[order], doc[here[order]], np.searchsorted(shard[order], np.arange(shards + 1))
             for s in range(shards):
                 a, b = edge[s], edge[s + 1]
                 if a < b:
                     k, n = np.unique(key[a:b], return_counts=True)
-                    seen, place = np.unique(doc[a:b], return_inverse=True)
-                    rows.append({"shard": s, "group": group, "first": (k >> np.uint64(32)).astype(np.uint32).tobytes(), "second": k.astype(np.uint32).tobytes(), "n": n.astype(np.uint32).tobytes(), "doc": place.astype(np.uint16).tobytes(), "seen": seen.tobytes()})
+                    add(s, COMMON, (k >> np.uint64(32)).astype(np.uint32), k.astype(np.uint32), n, d[a:b])
+            for kind, ids, word in ((RARE_SECOND, second_id, second), (RARE_FIRST, first_id, first)):
+                here = np.flatnonzero(ids < 0)
+                shard = (mixed(word[here].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+                order = np.lexsort((second[here], first[here], shard))
+                here, edge = here[order], np.searchsorted(shard[order], np.arange(shards + 1))
+                for s in range(shards):
+                    a, b = edge[s], edge[s + 1]
+                    if a < b:
+                        v, w = first[here[a:b]], second[here[a:b]]
+                        new = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+                        add(s, kind, v[new], w[new], np.diff(np.append(new, b - a)), doc[here[a:b]])
             yield _table(PACKED, rows)
 
     return run
 
 
-def _scores(counts: np.ndarray, total: float, min_count: int, backoff: float):
-    """Sums of one shard per group and document."""
+def _scores(known: np.ndarray, counts: np.ndarray, total: float, min_count: int, backoff: float):
+    """Sums of one shard per group and document; known are the hashes of the common words, counts theirs."""
+
+    def score(count: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.where(count >= min_count, np.log(count) - np.log(v), np.log(backoff) + np.log(w) - np.log(total))
 
     def run(t: pa.Table) -> pa.Table:
         rows = [r for r in t.to_pylist() if r["first"] is not None]
         out = [{k: r[k] for k in ("group", "k1", "k2")} for r in t.select(["group", "first", "k1", "k2"]).to_pylist() if r["first"] is None]
-        if rows:
-            read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-            first, second, n = read("first", np.uint32), read("second", np.uint32), read("n", np.uint32)
-            key, at = np.unique((first.astype(np.uint64) << np.uint64(32)) | second, return_inverse=True)
-            count = np.bincount(at, weights=n, minlength=len(key))
-            v, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            with np.errstate(divide="ignore"):
-                score = np.where(count >= min_count, np.log(count) - np.log(counts[v]), np.log(backoff) + np.log(counts[w]) - np.log(total))
-            score, begin = score[at], 0
-            for r in rows:
-                k = len(r["first"]) // 4
+        rare, rare_counts = np.empty(0, np.int64), np.empty(0)
+        for kind in (COMMON, RARE_SECOND, RARE_FIRST):  # in this order: the second words give the counts of the rare ones
+            part = [r for r in rows if r["kind"] == kind]
+            if not part:
+                continue
+            width = np.dtype(np.uint32 if kind == COMMON else np.int64)
+            read = lambda name, dtype: np.concatenate([np.frombuffer(r[name], dtype) for r in part])  # noqa: B023, E731
+            first, second, n = read("first", width), read("second", width), read("n", np.uint32)
+            if kind == COMMON:
+                key, at = np.unique((first.astype(np.uint64) << np.uint64(32)) | second, return_inverse=True)
+                count = np.bincount(at, weights=n, minlength=len(key))
+                value = score(count, counts[(key >> np.uint64(32)).astype(np.int64)], counts[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)])[at]
+                mine = np.ones(len(at), bool)
+            else:
+                one, at = _pairs(first, second)
+                count, v, w = np.bincount(at, weights=n, minlength=len(one)), first[one], second[one]
+                if kind == RARE_SECOND:
+                    rare, place = np.unique(w, return_inverse=True)
+                    rare_counts = np.bincount(place, weights=count, minlength=len(rare))
+                    v_at = _place(v, known)
+                    value = score(count, np.where(v_at >= 0, counts[v_at], 1.0), rare_counts[place])[at]
+                    mine = ((v_at >= 0) | (count < min_count))[at]
+                else:
+                    w_at = _place(w, known)
+                    value = score(count, rare_counts[_place(v, rare)], np.where(w_at >= 0, counts[w_at], 1.0))[at]
+                    mine = ((w_at >= 0) | (count >= min_count))[at]
+            value, begin = np.where(mine, value, 0.0), 0
+            for r in part:
+                k = len(r["first"]) // width.itemsize
                 times, doc, d = np.frombuffer(r["n"], np.uint32), np.frombuffer(r["doc"], np.uint16), len(r["seen"]) // 2
-                sums = np.bincount(doc, weights=np.repeat(score[begin : begin + k], times), minlength=d)
+                sums = np.bincount(doc, weights=np.repeat(value[begin : begin + k], times), minlength=d)
+                tokens = np.bincount(doc[np.repeat(mine[begin : begin + k], times)], minlength=d)
                 begin += k
-                out.append({"group": r["group"], "seen": r["seen"], "s": sums.tobytes(), "n": np.bincount(doc, minlength=d).astype(np.uint32).tobytes()})
+                out.append({"group": r["group"], "seen": r["seen"], "s": sums.tobytes(), "n": tokens.astype(np.uint32).tobytes()})
         return pa.Table.from_batches([_table(SUMS, out)])
 
     return run
@@ -155,18 +223,21 @@ def _added(t: pa.Table) -> pa.Table:
 
 
 def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
-    """doc_id, n_tokens, log_score (sum of natural logs) and mean_log_score of every row of docs(doc_id, text)."""
+    """doc_id, n_tokens, log_score (sum of natural logs) and mean_log_score of every row of docs(doc_id, text).
+
+    vocabulary is how many words' counts are broadcast; scores don't depend on it.
+    """
     spark = docs.sparkSession
     rows, unigrams = keyed(docs), unigram_table(docs)
     total = unigrams.where(F.col("word") != int(BEGIN)).agg(F.sum("n")).first()[0] or 0
     texts = unigrams.where(F.col("word") == int(BEGIN)).agg(F.sum("n")).first()[0] or 0
     top = unigrams.where(F.col("word") != int(BEGIN)).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()  # at most vocabulary rows
-    word, n = np.array(top.column("word"), np.int64), np.array(top.column("n"), np.float64)
+    word, n = np.append(np.array(top.column("word"), np.int64), BEGIN), np.append(np.array(top.column("n"), np.float64), texts)
     order = np.argsort(word)
-    counts = np.concatenate((n[order], [total - n.sum(), texts])).astype(float)
-    shards = shuffle_partitions(spark)
-    packed = rows.select("k1", "k2", "text").mapInArrow(_bigrams(word[order], shards), PACKED)
-    parts = packed.groupBy("shard").applyInArrow(_scores(counts, float(max(total, 1)), min_count, backoff), SUMS).groupBy("group").applyInArrow(_added, "k1 long, k2 long, s double, n long")
+    known, counts = word[order], n[order]
+    shards = max(shuffle_partitions(spark), math.ceil(total / PER_SHARD))
+    packed = rows.select("k1", "k2", "text").mapInArrow(_bigrams(known, shards), PACKED)
+    parts = packed.groupBy("shard").applyInArrow(_scores(known, counts, float(max(total, 1)), min_count, backoff), SUMS).groupBy("group").applyInArrow(_added, "k1 long, k2 long, s double, n long")
     sums = parts.groupBy("k1", "k2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     base = rows.select("doc_id", "k1", "k2", words.alias("n_tokens"))

@@ -1,8 +1,10 @@
 """Stupid backoff against a plain implementation."""
 
 import math
+import random
 from collections import Counter
 
+import pytest
 from llm import lm_score
 
 
@@ -34,3 +36,30 @@ def test_scores(spark):
 
 def test_empty(spark):
     assert lm_score.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def compared(spark, rows, **more):
+    got = {r.doc_id: (r.log_score, r.n_tokens) for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect()}
+    for (i, text), want in zip(rows, plain(rows, more.get("min_count", 2), 0.4), strict=True):
+        assert got[i][1] == len(text.split()) and abs(got[i][0] - want) < 1e-6 * max(1, abs(want))
+
+
+@pytest.mark.parametrize("vocabulary", [0, 3, 40])
+@pytest.mark.parametrize("min_count", [2, 3])
+def test_words_beyond_the_broadcast_keep_their_counts(spark, vocabulary, min_count):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(1, 60)))) for i in range(200)]
+    compared(spark, [*rows, (900, "u1 u2 u3 u4"), (901, "r s r s r s"), (902, "r r r")], vocabulary=vocabulary, min_count=min_count)
+
+
+def test_more_words_than_the_default_vocabulary(spark):
+    rows = [(i, " ".join(f"x{i * 500 + j}" for j in range(500)) + " rare pair" * (i % 3)) for i in range(300)]
+    compared(spark, rows)
+
+
+def test_shards_follow_the_tokens(spark, monkeypatch):
+    seen, bigrams = [], lm_score._bigrams
+    monkeypatch.setattr(lm_score, "PER_SHARD", 50)
+    monkeypatch.setattr(lm_score, "_bigrams", lambda known, shards: seen.append(shards) or bigrams(known, shards))
+    compared(spark, [(i, f"a b c d{i}") for i in range(500)])
+    assert seen == [40]
