@@ -282,8 +282,7 @@ SELECT x.image_id, l AS left_id, r AS right_id, round(i / (ln.n + dn.n - i + 1e-
 @query
 def iou_family(spark: SparkSession, d: str) -> DataFrame:
     """All IoU relatives of labels and detections of one image and class."""
-    gt = fixture(spark, d, "gt").where("image_id % 10 = 0")
-    det = fixture(spark, d, "det").where("image_id % 10 = 0")
+    gt, det = fixture(spark, d, "gt"), fixture(spark, d, "det")
     c = B.to_centre(B.box("x1", "y1", "x2", "y2"))
     other = det.select("image_id", "class_id", "det_id", *c.named("px", "py", "pw", "ph"), "x1", "y1", "x2", "y2")
     j = gt.join(other, ["image_id", "class_id"])
