@@ -343,8 +343,12 @@ def cluster_split_plan(spark: SparkSession, d: str) -> DataFrame:
     return split.balance_clusters(c, fixed, {"train": 0.7, "val": 0.15, "test": 0.15})
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.concat(F.lit("train/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), "doc_id")
+
+
 def _manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select(F.concat(F.lit("train/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), "doc_id")
+    docs = _files(spark, d)
     old = version.manifest(docs.where("doc_id % 11 <> 0"))
     changed = docs.where("doc_id % 13 <> 0").withColumn("content", F.when(F.col("doc_id") % 17 == 0, F.concat("content", F.lit(b"!"))).when(F.col("doc_id") % 19 == 0, F.reverse(F.col("content").cast("string")).cast("binary")).otherwise(F.col("content")))
     return old, version.manifest(changed)
@@ -362,7 +366,7 @@ FROM o FULL JOIN n ON o.path = n.path WHERE n.path IS NULL OR o.path IS NULL OR
 
 @query
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return version.fingerprint(_manifests(spark, d)[0], per_leaf=100)
+    return version.fingerprint(version.manifest(_files(spark, d)), per_leaf=100)
 
 
 SQL["fingerprint"] = """WITH f AS (SELECT 'train/' || doc_id || '.txt' AS path, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 11 <> 0),

@@ -10,6 +10,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: conditions of the twins that leave rows out
 CUTS = {
     "iou_family": " WHERE gt.image_id % 10 = 0",
+    "resampled_polygons": " WHERE image_id % 50 = 0",
+    "fingerprint": " WHERE doc_id % 11 <> 0",
 }
 
 
