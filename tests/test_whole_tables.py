@@ -12,6 +12,7 @@ CUTS = {
     "iou_family": " WHERE gt.image_id % 10 = 0",
     "resampled_polygons": " WHERE image_id % 50 = 0",
     "fingerprint": " WHERE doc_id % 11 <> 0",
+    "pr_curve": " AND n % 100 = 0",
 }
 
 
