@@ -3,9 +3,11 @@
 Fixed patterns give the base spans.  A CRF with the states outside, begin and
 inside adds spans: emission scores come from the shape of a token, its
 neighbours and features of the file, transitions from a learnt 3 x 3 matrix,
-and Viterbi decodes each text.  Plain tokens (short, or letters only, and no
-key word) are outside by a hard constraint of the lattice, so that the chain
-falls apart into runs of other tokens that are decoded on their own.
+and Viterbi decodes each text.  Plain tokens (short, or letters only) that
+aren't beside a key word are outside by a hard constraint of the lattice, so
+that the chain falls apart into runs of other tokens that are decoded on their
+own.  A decoded run is a span from end to end, without quotes, brackets and the
+name it is assigned to; where base spans cover parts of it, the rest is kept.
 
 Training is on the driver from a bounded sample: ``sample_rows`` whole texts of
 ``sample_chars`` characters at most (about; by the hash of their ids, never more
@@ -41,7 +43,10 @@ KEYWORD = re.compile(r"(?i:passw|secret|token|api_?-?key|bearer|credential|priva
 KNOWN = re.compile(r"AKIA|ASIA|ghp_|gho_|sk-|sk_|pk_|xox[abp]-|eyJ|AIza|ya29|glpat-|-----BEGIN|npm_")
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>#*$%&|=`"
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-VALUE = re.compile(r"""[A-Za-z0-9][A-Za-z0-9+/_.=~-]*""")
+LEFT, RIGHT = " \t\n\r\x0b\x0c\"'`([{<,;", " \t\n\r\x0b\x0c\"'`)]}>.,;"
+NAME = re.compile(r"""["'`(\[{<]*+([^\s:=]++)[:=](?!//)""")  # what a value may be assigned to
+LETTERS = re.compile(r"""[A-Za-z_.-]+["']*""")
+ALNUM = re.compile(r"[^\W_]")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -56,7 +61,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def plain(word: str) -> bool:
-    """Whether the lattice holds the token outside any secret."""
+    """Whether the lattice holds the token outside any secret, unless it is beside a key word."""
     if len(word) < 8 or word.isalpha():
         return True
     core = word.strip(EDGE)
@@ -87,20 +92,36 @@ def beside(word: str | None) -> list[float]:
     return [bool(KEYWORD.search(word)), word[-1] in "=:", plain(word), word.strip(EDGE) in ("", "=", ":", "->")]
 
 
+def assigned(words: list[str], i: int) -> bool:
+    """Whether a key word and a sign of assignment stand before the token."""
+    if i > 0 and words[i - 1][-1] in "=:" and KEYWORD.search(words[i - 1]):
+        return True
+    return i > 1 and words[i - 1] in ("=", ":", ":=", "=>", "->") and bool(KEYWORD.search(words[i - 2]))
+
+
 def file_features(words: list[str], odd: int) -> list[float]:
     return [odd > 0.2 * len(words), len(words) < 40]
 
 
-N_FEATURES = len(shape("abcdefgh1")) + 2 * 4 + 4 + 2
+N_FEATURES = len(shape("abcdefgh1")) + 2 * 4 + 4 + 2 + 4
 
 
 def lattice(words: list[str]) -> tuple[list[int], list[list[float]]]:
-    """Positions of the tokens that aren't plain, and their features."""
+    """Positions of the tokens that aren't plain or are beside a key word, and their features."""
     at = [i for i, w in enumerate(words) if len(w) >= 8 and not w.isalpha() and not plain(w)]
+    odd = len(at)
+    if KEYWORD.search(" ".join(words)):
+        keys = [i for i, w in enumerate(words) if len(w) >= 4 and KEYWORD.search(w)]
+        near = {i for k in keys for i in (k - 1, k + 1) if 0 <= i < len(words)} | {k + 2 for k in keys if k + 2 < len(words) and words[k + 1].strip(EDGE) in ("", "=", ":", "->", "is")}
+        at = sorted(set(at) | {i for i in near if ALNUM.search(words[i])})
     if not at:
         return [], []
-    whole, near = file_features(words, len(at)), lambda i: beside(words[i] if 0 <= i < len(words) else None)
-    return at, [[*map(float, [*shape(words[i]), *near(i - 1), *near(i + 1), *near(i - 2), *whole])] for i in at]
+    whole, near = file_features(words, odd), lambda i: beside(words[i] if 0 <= i < len(words) else None)
+    out = []
+    for i in at:
+        easy, after, own = plain(words[i]), assigned(words, i), bool(KEYWORD.search(words[i]))
+        out.append([*map(float, [*shape(words[i]), *near(i - 1), *near(i + 1), *near(i - 2), *whole, easy, after, easy and after, easy and own])])
+    return at, out
 
 
 def viterbi(emit: np.ndarray, trans: np.ndarray, begin: np.ndarray) -> list[int]:
@@ -136,6 +157,15 @@ def generated(rng: random.Random) -> tuple[list[str], list[int]]:
     ))
     key = rng.choice(("password", "secret", "token", "api_key", "apikey", "SECRET_KEY", "auth_token", "Authorization:", "credentials"))
     left, right = [word() for _ in range(rng.randint(2, 6))], [word() for _ in range(rng.randint(2, 6))]
+    if (kind := rng.random()) < 0.24:  # values of letters only, short ones and ones with symbols beside a key word; key words in prose
+        name = key.rstrip(":")
+        value = rng.choice((lambda: _spend(rng, low, 4, 16), lambda: _spend(rng, low + up, 6, 20), lambda: _spend(rng, b64, 4, 7), lambda: _spend(rng, b64 + "$!#&%@^*", 8, 18) + rng.choice(digit)))()
+        if kind < 0.14:
+            middle, states = rng.choice((([f"{name}:", value], [0, 1]), ([f"{name}=", value], [0, 1]), ([name, rng.choice("=:"), value], [0, 0, 1]), ([f"{name}={value}"], [1])))
+        else:
+            middle = [word(), rng.choice(("secret", "private", "author", "authority", "token", "password", "secretary")), *rng.choice(([], ["is"])), word()]
+            states = [0] * len(middle)
+        return left + middle + right, [0] * len(left) + states + [0] * len(right)
     kind = rng.random()
     if kind < 0.45:
         middle, states = [harmless()], [0]
@@ -231,11 +261,39 @@ def train(docs: DataFrame, sample_rows: int = 300, sample_chars: int = 20_000, s
         spans, words, states = base_spans(row["text"]), [], []
         for m in TOKEN.finditer(row["text"]):
             words.append(m[0])
-            states.append(int(any(s < m.end() and m.start() < e and not row["text"][s:e].isdigit() for _, s, e in spans) and not plain(m[0])))
+            states.append(int(any(s < m.end() and m.start() < e and not row["text"][s:e].isdigit() for _, s, e in spans) and (not plain(m[0]) or assigned(words, len(words) - 1))))
         lines.append((words, states))
     return fit(lines)
 
 
+def value_of(text: str, start: int, end: int) -> int:
+    """Where the value begins in a decoded run, behind the name it is assigned to."""
+    piece = text[start:end]
+    if "://" in piece:
+        lead = piece.find("=") + 1 if "=" in piece.rstrip("=\"'.,;") else 0
+    else:
+        lead = 0
+        while (m := NAME.match(piece, lead)) and (KEYWORD.search(m[1]) or (lead == 0 and LETTERS.fullmatch(m[1]))) and ALNUM.search(piece, m.end()):
+            lead = m.end()
+    return start + lead
+
+
+def rest_of(text: str, start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The parts of [start, end) outside base spans, without quotes and brackets around them."""
+    parts = []
+    for _, x, y in [*base, ("", end, end)]:  # by start
+        if (stop := min(x, end)) > start:
+            s, e = start, stop
+            while s < e and text[s] in LEFT:
+                s += 1
+            while e > s and text[e - 1] in RIGHT:
+                e -= 1
+            if ALNUM.search(text, s, e):
+                parts.append((s, e))
+        start = max(start, y)
+    return parts
+
+
 def secret_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and the spans that the CRF adds, by start, then kind."""
     base, added = base_spans(text), []
@@ -243,13 +301,7 @@ def secret_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], l
         place = [m.span() for m in TOKEN.finditer(text)]
         for first, last in runs:
             start, end = place[first][0], place[last][1]
-            piece = text[start:end]
-            lead = max(piece.find("=") if "=" in piece.rstrip("=\"'.,;") else -1, piece.find(":") if "://" not in piece else -1) + 1
-            if m := VALUE.search(piece, lead):
-                s = start + m.start()
-                e = start + m.end() if first == last else end - (len(piece) - len(piece.rstrip("\"'.,;)]}")))
-                if e - s >= 8 and not any(x < e and s < y for _, x, y in base):
-                    added.append(("crf", s, e))
+            added += [("crf", s, e) for s, e in rest_of(text, value_of(text, start, end), end, base)]
     return base, added
 
 
