@@ -10,21 +10,28 @@ added where they don't overlap a plain span.
 
 Edge cases: a null text is empty and has no spans; ties between kinds are
 listed in the order of KINDS; repeated rows are scanned each; empty tables give
-no rows; other columns of the input are ignored.  All patterns are linear in
-the text, however long its runs of letters or digits are.
+no rows; other columns of the input are ignored.  Patterns, edits and the
+comparison of spans are linear in the text (a sort of the spans aside), however
+long its runs of letters, digits or spelled digits are.
+
+A spoken "at" is an @ before a host whose dots are disguised, or before a plain
+host if the word on its left looks like a mailbox (a dot, digit or underscore
+in it) or a contact word stands shortly before and that word is no pronoun.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import slices, table
+from llm.common import merge_spans, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -50,12 +57,18 @@ NAMES = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _NAME = "|".join(sorted(NAMES, key=len, reverse=True))
-SPELLED = re.compile(rf"(?i)\b(?:plus\b[\s,.-]{{1,3}})?(?:{_NAME})\b(?:[\s,.-]{{1,3}}(?:{_NAME})\b){{3,}}")
+_POINT = r"\s{1,3}(?:dot|point|punkt|punto)\s{1,3}"
+SPELLED = re.compile(rf"(?i)\b(?:plus\b[\s,.-]{{1,3}})?(?:{_NAME})\b(?:(?:[\s,.-]{{1,3}}|{_POINT})(?:{_NAME})\b){{3,}}")
+POINT = re.compile(rf"(?i){_POINT}")
 ONE_NAME = re.compile(rf"(?i)\b(?:{_NAME}|plus)\b")
 BRACKET = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,2}(at|dot|@|\.)\s{0,2}[\])}>]\s{0,3}")
 _HOST = r"[a-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-]{1,63}){1,6}\b"
 WORDY = re.compile(rf"(?i)(?<=[a-z0-9])\s{{1,3}}(at)\s{{1,3}}(?={_HOST})|(?<=[a-z0-9])\s{{1,3}}(dot)\s{{1,3}}(?=[a-z])")
 HOST, DOT = re.compile(rf"(?i){_HOST}"), re.compile(r"(?i)\sdot\s")
+MAILBOX, LEFT_WORD = re.compile(r"[0-9._]"), re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
+# fixed values: words that announce an address, and words that are no mailbox behind them
+CONTACT = re.compile(r"(?i)\b(?:e-?mail|mail|contact|reach|write|kontakt|schreiben|correo|contacto|courriel|adresse|address)\b")
+PRONOUNS = frozenset(("us", "me", "him", "her", "them", "it", "you", "uns", "mich", "ihn", "sie", "nous", "moi", "nos", "out", "in", "him", "page", "site", "here"))
 #: for a quick look whether a transducer can apply at all
 BREAKS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 SPOKEN = frozenset(x.encode().translate(BREAKS) for n in NAMES for x in (n, n.upper()))
@@ -93,15 +106,15 @@ class Rewritten:
     """A text with, for each character, the source interval [start, end) and whether a transducer wrote it."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end, self.new = text, list(range(len(text))), list(range(1, len(text) + 1)), bytearray(len(text))
+        self.text, self.start, self.end, self.new = text, array("i", range(len(text))), array("i", range(1, len(text) + 1)), bytearray(len(text))
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Edits are disjoint, ordered (start, end, replacement); each written character stands for the whole interval."""
-        text, start, end, new, at = [], [], [], bytearray(), 0
+        text, start, end, new, at = [], array("i"), array("i"), bytearray(), 0
         for s, e, put in edits:
             text += [self.text[at:s], put]
-            start += self.start[at:s] + [self.start[s]] * len(put)
-            end += self.end[at:s] + [self.end[e - 1]] * len(put)
+            start += self.start[at:s] + self.start[s : s + 1] * len(put)
+            end += self.end[at:s] + self.end[e - 1 : e] * len(put)
             new += self.new[at:s] + b"\x01" * len(put)
             at = e
         self.text, self.start, self.end, self.new = "".join([*text, self.text[at:]]), start + self.start[at:], end + self.end[at:], new + self.new[at:]
@@ -119,10 +132,12 @@ def deobfuscated(text: str) -> Rewritten | None:
         r = r or Rewritten(text)
         edits = []
         for m in hits:
-            for x in ONE_NAME.finditer(m[0]):
-                edits.append((m.start() + x.start(), m.start() + x.end(), NAMES.get(x[0].lower(), "+")))
-            gaps = [(a[1], b[0], "") for a, b in zip(edits, edits[1:]) if a[1] >= m.start() and a[1] < b[0]]  # noqa: B905
-            edits = sorted({*edits, *gaps})
+            gap = None  # where the gap behind the name before begins
+            for x in ONE_NAME.finditer(at, m.start(), m.end()):
+                if gap is not None and gap < x.start():
+                    edits.append((gap, x.start(), "." if POINT.fullmatch(at, gap, x.start()) else ""))
+                edits.append((x.start(), x.end(), NAMES.get(x[0].lower(), "+")))
+                gap = x.end()
         r.replace(edits)
     at = r.text if r else text
     disguises = [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in BRACKET.finditer(at)] if any(c in at for c in "[({<") else []
@@ -130,27 +145,42 @@ def deobfuscated(text: str) -> Rewritten | None:
         r = r or Rewritten(text)
         r.replace(disguises)
         at = r.text
-    if b"dot" in words or (disguises and " at " in at):
-        # "at" stands for @ only before a host whose dots are disguised themselves
-        disguised = lambda h: bool(DOT.search(h[0])) or (r is not None and any(r.new[h.start() : h.end()]))
-        if edits := [(m.start(), m.end(), "@" if m[1] else ".") for m in WORDY.finditer(at) if not m[1] or disguised(HOST.match(at, m.end()))]:
+    if b"dot" in words or (b"at" in words and "." in at):
+
+        def means_at(m: re.Match) -> bool:
+            host = HOST.match(at, m.end())
+            if DOT.search(host[0]) or (r is not None and any(r.new[host.start() : host.end()])):
+                return True
+            left = LEFT_WORD.search(at, max(0, m.start() - 64), m.start())
+            if left is None or "." not in host[0]:
+                return False
+            return bool(MAILBOX.search(left[0].strip("._"))) or (left[0].lower() not in PRONOUNS and bool(CONTACT.search(at, max(0, left.start() - 40), left.start())))
+
+        if edits := [(m.start(), m.end(), "@" if m[1] else ".") for m in WORDY.finditer(at) if not m[1] or means_at(m)]:
             r = r or Rewritten(text)
             r.replace(edits)
     return r
 
 
 def pii_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Plain spans and added ones, in code points of the source."""
+    """Plain spans and added ones, in code points of the source; of an added span the parts outside plain ones."""
     base = plain_spans(text)
     r, added = deobfuscated(text), []
     if r is not None:
-        taken = sorted((s, e) for _, s, e in base)
-        for kind, s, e in plain_spans(r.text):
-            if any(r.new[s:e]):
-                a, b = r.start[s], max(r.end[s:e])
-                if not any(x < b and a < y for x, y in taken):
-                    added.append((kind, a, b))
-                    taken.append((a, b))
+        taken = merge_spans([(s, e) for _, s, e in base])
+        starts, free = [s for s, _ in taken], 0
+        found = [(r.start[s], max(r.end[s:e]), kind) for kind, s, e in plain_spans(r.text) if any(r.new[s:e])]
+        for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
+            at = max(a, free)
+            free = max(free, b)
+            k = max(0, bisect_right(starts, at) - 1)
+            while at < b:
+                while k < len(taken) and taken[k][1] <= at:
+                    k += 1
+                stop = min(b, taken[k][0]) if k < len(taken) else b
+                if any(c.isalnum() for c in text[at:stop]):
+                    added.append((kind, at, stop))
+                at = max(stop, min(b, taken[k][1]) if k < len(taken) else b)
     return base, added
 
 

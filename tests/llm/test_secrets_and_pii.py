@@ -1,6 +1,7 @@
 """Base spans against the patterns as the contract writes them; what the methods add."""
 
 import random
+import time
 import re
 
 import pytest
@@ -127,3 +128,40 @@ def test_secrets_of_letters_or_few_characters_beside_a_key_word(spark):
 def test_long_decoded_runs_are_linear():
     for t in ("token" * 40_000, "token=" * 30_000 + "a", "(" * 200_000, "a" * 200_000 + "="):
         secrets.rest_of(t, secrets.value_of(t, 0, len(t)), len(t), [])
+
+
+@pytest.mark.parametrize("unit", ["one two three four X. ", "one two three four five ", "a1 at b dot com ", "jo@site.co (dot) uk "])
+def test_disguises_in_long_texts_take_linear_time(unit):
+    text = unit * (200_000 // len(unit.split()))
+    began = time.process_time()
+    pii.pii_spans(text)
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("call one nine two dot one six eight dot zero dot one now", ["ip:5:52"]),
+        ("jane.doe at example.com", ["email:0:23"]),
+        ("write to jane at example.com", ["email:9:28"]),
+        ("contact us at example.com", []),
+        ("we met at example.com", []),
+        ("jo@site.co (dot) uk", ["email:0:10", "email:10:19"]),
+        ("one two three dot", []),
+    ],
+)
+def test_spoken_addresses(text, spans):
+    base, added = pii.pii_spans(text)
+    assert [f"{k}:{s}:{e}" for k, s, e in base + added] == spans
+
+
+def test_spans_are_disjoint_and_map_back():
+    rng = random.Random(4)
+    bits = ["one ", "two ", "dot ", "at ", "a@b.co ", "1.2.3.4 ", "(at)", "[dot]", "４", "+1 415 555 0100 ", "x ", "4111 1111 1111 1111 ", "plus "]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        base, added = pii.pii_spans(text)
+        assert all(0 <= s < e <= len(text) for _, s, e in base + added)
+        assert not any(s < y and x < e for _, s, e in added for _, x, y in base)
+        places = sorted((s, e) for _, s, e in added)
+        assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
