@@ -10,34 +10,89 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 
 
-def test_exponent():
-    t = [1e6, 1e4, 1e3]
-    a = mixing.solve_exponent(t, 0.9, 1e9, sum(t))
-    assert mixing.entropy(mixing.weights_at(t, a)) == pytest.approx(0.9 * math.log(3), abs=1e-5)
-    b = mixing.solve_exponent(t, 1.0, 4.0, sum(t))
-    assert max(w * sum(t) / x for w, x in zip(mixing.weights_at(t, b), t, strict=True)) == pytest.approx(4.0, rel=1e-4)
-    assert mixing.weights_at(t, 0.0) == pytest.approx([1 / 3] * 3) and mixing.solve_exponent([5.0], 0.5, 4.0, 5.0) == 0.0
-
-
-def test_draws_meet_budgets(spark):
-    rows = [(i, "w " * (5 + i % 50), "big", 1) for i in range(900)] + [(2000 + i, "w " * 20, "small", 1) for i in range(60)] + [(3000 + i, "w " * 20, None, 1) for i in range(40)] + [(4000, None, "big", 1), (4001, "", "new", 1), (5, "w " * 10, "big", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, block int").drop("block")
-    out = mixing.mix_documents(df, block_tokens=500).collect()
-    have, got = {}, {}
-    for i, t, s, _ in rows:
-        have[s] = have.get(s, 0) + len((t or "").split())
-    have = {s: n for s, n in have.items() if n}
-    for r in out:
-        got[r.source] = got.get(r.source, 0) + r.n_tokens
-    names = sorted(have, key=lambda s: (s is not None, str(s)))
+def weights_at(tokens, a):
+    raw = [math.exp(a * (math.log(t) - math.log(max(tokens)))) for t in tokens]
+    return [x / sum(raw) for x in raw]
+
+
+def solved(tokens, target_entropy, max_repeats, share=1.0):
+    """The exponent by plain bisection over all weights."""
+    total, low, high = sum(tokens), 0.0, 1.0
+
+    def good(a):
+        w = weights_at(tokens, a)
+        flat = -sum(x * math.log(x) for x in w) <= target_entropy * math.log(len(tokens)) + 1e-12
+        return flat and all(x * share * total <= max_repeats * t for x, t in zip(w, tokens, strict=True))
+
+    if good(0.0):
+        return 0.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if good(mid) else (mid, high)
+    return high
+
+
+def moments_of(tokens):
+    p = [t / sum(tokens) for t in tokens]
+    return lambda exponents: [(sum(x**a for x in p), sum(x**a * math.log(x) for x in p)) for a in exponents]
+
+
+@pytest.mark.parametrize("tokens", [[1e6, 1e4, 1e3], [5.0], [7.0, 7.0], [1e9, 3.0], [float(3**i) for i in range(20)]])
+@pytest.mark.parametrize(("target", "repeats"), [(0.9, 1e9), (1.0, 4.0), (0.98, 4.0), (0.2, 1e9), (1.0, 1e9)])
+def test_exponent(tokens, target, repeats):
+    got = mixing.solve_exponent(moments_of(tokens), len(tokens), min(tokens) / sum(tokens), target, repeats, 1.0)
+    assert got == pytest.approx(solved(tokens, target, repeats), abs=3e-9)
+
+
+def plain_draw(rows, block_tokens, seed_of, share=1.0):
+    """Copies of each (doc_id, source, text): whole passes, then a prefix of the order of blocks and of the documents in the last one.
+
+    rows are (key, source, n_tokens, h, t); seed_of(source, block) is the place of a block.
+    """
+    have = {}
+    for _, s, n, _, _ in rows:
+        have[s] = have.get(s, 0) + n
+    names = list(have)
     tokens = [float(have[s]) for s in names]
-    want = mixing.weights_at(tokens, mixing.solve_exponent(tokens, 0.98, 4.0, sum(tokens)))
-    for s, w in zip(names, want, strict=True):
-        assert abs(got[s] - w * sum(tokens)) <= 60  # less than one document
-    seen = [(r.doc_id, r.text, r.epoch) for r in out]
-    assert max(e for _, _, e in seen) <= 4 and not any(d in (4000, 4001) for d, _, _ in seen)
-    again = mixing.mix_documents(df.repartition(5), block_tokens=500).collect()
-    assert sorted((r.doc_id, r.epoch, r.mix_order) for r in again) == sorted((r.doc_id, r.epoch, r.mix_order) for r in out)
+    weights = dict(zip(names, weights_at(tokens, math.ceil(solved(tokens, 0.98, 4.0, share) * 1e9) / 1e9), strict=True))
+    out = {}
+    for s in names:
+        want = round(weights[s] * share * sum(tokens))
+        blocks = max(1, math.ceil(have[s] / block_tokens))
+        passes, room = divmod(want, have[s])
+        order = sorted(((seed_of(s, h % blocks), h % blocks, h, t, n, key) for key, x, n, h, t in rows if x == s), key=lambda x: x[:4])
+        going = True
+        for _, _, _, _, n, key in order:  # blocks are whole or cut at a document: a prefix either way
+            going = going and n <= room
+            room -= n if going else 0
+            out[key] = passes + going
+    return {k: v for k, v in out.items() if v}
+
+
+def test_draws_are_those_of_a_plain_loop(spark):
+    rows = [(i, "w " * (1 + i * 7 % 50), ["big", "big", "mid", None, "small"][i % 5 if i % 11 else 0], "x", 7) for i in range(1500)]
+    rows += [(9000, None, "big", "x", 7), (9001, " ", "new", "x", 7), (None, "a b c", "big", "x", 7), (None, "d e", "mid", "x", 7), (9002, "long " * 30_000, "mid", "x", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, room string, cut int")
+    keyed = [(r["row"]["doc_id"], r["row"]["text"], r["source"], r["n_tokens"], r["h"], r["t"]) for r in mixing.counted(df, 17).collect()]
+    places = {(r["source"], r["block"]): r["o"] for r in spark.createDataFrame([(s, b) for s in ("big", "mid", None, "small") for b in range(200)], "source string, block long").withColumn("o", F.xxhash64(F.lit(17), "source", "block")).collect()}
+    want = plain_draw([((d, x), s, n, h, t) for d, x, s, n, h, t in keyed], 500, lambda s, b: places[s, b])
+    got = {}
+    for r in mixing.mix_documents(df, block_tokens=500).collect():
+        got[r.doc_id, r.text] = got.get((r.doc_id, r.text), 0) + 1
+        assert (r.room, r.cut) == ("x", 7) and 0 <= r.epoch < 6
+    assert got == want
+    again = mixing.mix_ids(df.repartition(5), block_tokens=500).collect()
+    assert len(again) == sum(want.values())
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    names = ["row", "h", "t", "o", "cut", "room", "passes", "n_blocks", "b_tokens", "copies", "block", "epoch", "n_tokens", "mix_order", "source_of", "upto", "have", "want", "s2", "k2", "part"]
+    rows = [(i % 40, "w " * 5, ["a", None][i % 2], *([i % 40] * len(names))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.mix_documents(df)
+    assert set(out.columns) == set(df.columns) and len(out.columns) == len(df.columns)
+    out = out.collect()
+    assert sorted(r.doc_id for r in out) == sorted(list(range(40)) * 2) and all(r.room == r.doc_id == r.row for r in out)
 
 
 def test_mixing_edges(spark):
