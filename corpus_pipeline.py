@@ -16,7 +16,7 @@ from llm.common import saved, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on the labelled rows among them, accepts."""
     model = quality_classifier.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality_classifier.classify(docs, model).where("predicted = 1").select(docs.columns)
+    return quality_classifier.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ doc_id are no inputs.  ``max_train_rows`` bounds the sample (smallest hashes of
 doc_id first).  Edge cases: a null or empty text has the statistics of an empty
 one; without labels of both kinds the score is the share of label 1 (0.5 with no
 label); null labels or ids don't teach; a null doc_id is scored and not held
-out; repeated rows are scored each; extra columns are ignored.
+out; repeated rows are scored each, equal ids with unlike labels teach each; a
+text of any length is scored whole; ties between scores do not matter.  Extra
+columns are kept; score and predicted replace columns of these names in classify.
 """
 
 from __future__ import annotations
@@ -38,9 +40,9 @@ def statistics(text: Column) -> dict[str, Column]:
     return {"w": w, "l": lines, "symbols": count(r"[#*$%&|<>]"), "upper": count(r"[A-Z]"), "digits": count(r"[0-9]"), "marks": count(r"[!?]"), "stops": count(r"[.,;:]")}
 
 
-def with_statistics(docs: DataFrame, text: Column) -> tuple[DataFrame, list[str]]:
-    """docs with one struct column of statistics, and the names of its fields."""
-    raw = docs.withColumn("__raw", F.struct(*(c.alias(k) for k, c in statistics(text).items())))
+def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs(text, ...) with one struct column __s of statistics, and the names of its fields."""
+    raw = docs.withColumn("__raw", F.struct(*(c.alias(k) for k, c in statistics(F.col("text")).items())))
     r = F.col("__raw")
     n, chars, lines = F.greatest(r["w"]["n"], F.lit(1.0)), F.greatest(r["w"]["c"], F.lit(1.0)), F.greatest(r["l"]["n"], F.lit(1.0))
     stats = {
@@ -96,13 +98,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, trees:
     """Learn from rows of docs(doc_id, text) that labels(doc_id, quality) names and that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("label")).where("id IS NOT NULL AND label IN (0.0, 1.0) AND crc32(CAST(CAST(id AS STRING) AS BINARY)) % 5 <> 0")
     taught = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_train_rows)
-    rows, names = with_statistics(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taught), "id"), F.col("text"))  # max_train_rows ids and labels at most
+    rows, names = with_statistics(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(taught), "id"))  # max_train_rows ids and labels at most
     rows = saved(rows.select("label", "__s"), "rules").select("label", "__s.*")  # at most max_train_rows narrow rows
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         share = next(iter(counts), 0.5)
         return RuleEnsemble({0.0: -20.0, 1.0: 20.0, 0.5: 0.0}[share], [])
-    rows = rows.coalesce(4).sortWithinPartitions(*names, "label")
+    rows = rows.coalesce(1).sortWithinPartitions(*names, "label")  # one order, whatever the layout of the files
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("label", "features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, subsamplingRate=1.0).fit(vectors)
     found = [simplified(x) for t in forest.trees for x in tree_rules(t._call_java("rootNode"), names)]
@@ -114,11 +116,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, trees:
     return RuleEnsemble(model.intercept, [(r, w) for r, w in zip(rules, model.coefficients.toArray().tolist(), strict=True) if abs(w) > 1e-6])
 
 
+def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """row (a struct of all columns of docs) and its score: names of docs can't clash with those used inside."""
+    rows, _ = with_statistics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text")))
+    return rows.select("row", model.score().alias("score"))
+
+
 def classify(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
-    """docs with score and predicted (1 if score >= threshold)."""
-    rows, _ = with_statistics(docs, F.col("text"))
-    scored = rows.withColumn("score", model.score()).drop("__s")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """docs with score and predicted (1 if score >= threshold), which replace columns of these names."""
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("score", "predicted")]
+    return scored(docs, model).select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score threshold or more, with all their columns."""
+    return scored(docs, model).where(F.col("score") >= threshold).select("row.*")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality statistics against Python, the classifier on held-out labels."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -60,3 +61,21 @@ def test_edges(spark):
         out = qc.classify(docs.drop("score"), qc.fit(docs, labels)).collect()
         assert len(out) == 5 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in out)
     assert qc.classify(docs.drop("score").where("false"), qc.fit(docs, one)).count() == 0
+
+
+def test_compiled_rules_against_a_plain_evaluation(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.limit(400).select("doc_id", "text")
+    model = qc.fit(docs, labels)
+    stats = {r["doc_id"]: r["__s"].asDict() for r in qc.with_statistics(docs)[0].collect()}
+    for r in qc.classify(docs, model).collect():
+        z = model.intercept + sum(w for rule, w in model.rules if all((stats[r.doc_id][n] > cut) == greater for n, greater, cut in rule))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * i, -5.0, "s", "r", 7) for i in range(20)], "doc_id long, text string, score double, __s string, row string, __raw int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = qc.fit(docs, labels)
+    assert all(tuple(r)[2:] == (-5.0, "s", "r", 7) for r in qc.accepted(docs, model, -1.0).collect()) and qc.accepted(docs, model, -1.0).columns == docs.columns
+    assert {r["__raw"] for r in qc.classify(docs, model).collect()} == {7} and all(0 <= r.score <= 1 for r in qc.classify(docs, model).collect())
