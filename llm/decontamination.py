@@ -8,15 +8,17 @@ backwards at once; the wavelet tree's ranks narrow their suffix intervals, the
 rows of non-empty intervals walk back to a sampled position, and the located
 occurrences are merged into removal spans per document.
 
-The windows are read in chunks of about ``chunk_windows``; each chunk is one
-pass over the rows, added to what the passes before have found, so what a task
-holds is bounded however large the benchmark is.  A usual benchmark is one pass.
+The benchmark streams through the driver in chunks of ``chunk_windows`` distinct
+windows; each chunk is one pass over the rows, added to what the passes before
+have found and written to the shared folder before the next chunk is read.  So
+driver and tasks hold one chunk at a time.  A usual benchmark is one pass.
 
 Edge cases: a null text has no words; an item without words has no window; an
 item with fewer than ``window`` words is one window; an empty benchmark hits
 nothing; equal items count each under its id; a null item_id counts but has no
-name in the digest; repeated documents are searched each; other columns are
-ignored; a text longer than a shard is a shard of its own.
+name in the digest; repeated documents are searched each; other columns, whatever
+their names, are ignored or kept as they are; a text longer than a shard is a
+shard of its own; occurrences that touch or overlap are one span.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from llm.common import as_bytes, merge_spans, table
+from llm.common import as_bytes, merge_spans, saved, table
 
 #: A-Z to a-z; what is no part of a word to a space
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -167,15 +169,16 @@ _SPANS, _ITEMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]
 
 
 def in_chunks(benchmark: DataFrame, window: int, chunk_windows: int) -> Iterator[Windows]:
-    """The windows of the benchmark, some items at a time; at least one chunk."""
-    items, n = [], 0
+    """The distinct windows of the benchmark, some at a time; at least one chunk.  An item may begin in one and end in another."""
+    out: dict[tuple[bytes, ...], dict] = {}
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        items.append((r["item_id"], r["text"]))
-        n += max(1, len(words_of(r["text"])))
-        if n >= chunk_windows:
-            yield benchmark_windows(items, window)
-            items, n = [], 0
-    yield benchmark_windows(items, window)
+        w = words_of(r["text"])
+        for i in range(max(0, len(w) - window) + 1 if w else 0):
+            out.setdefault(tuple(w[i : i + window]), {})[r["item_id"]] = None
+            if len(out) >= chunk_windows:
+                yield [(k, list(v)) for k, v in out.items()]
+                out = {}
+    yield [(k, list(v)) for k, v in out.items()]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], windows: Windows, shard_words: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], list[list], list[list]]]:
@@ -191,9 +194,9 @@ def _shards(batches: Iterator[pa.RecordBatch], windows: Windows, shard_words: in
     ids = [[None if x is None else str(x) for x in names] for _, names in windows]
 
     def judged(b: pa.RecordBatch, texts: list[list[bytes]]) -> tuple:
-        old = "__spans" in b.schema.names
-        spans = [[(x["start"], x["end"]) for x in s] for s in b.column("__spans").to_pylist()] if old else [[] for _ in texts]
-        items = [set(x) for x in b.column("__items").to_pylist()] if old else [set() for _ in texts]
+        old = "spans" in b.schema.names
+        spans = [[(x["start"], x["end"]) for x in s] for s in b.column("spans").to_pylist()] if old else [[] for _ in texts]
+        items = [set(x) for x in b.column("items").to_pylist()] if old else [set() for _ in texts]
         if windows:
             for d, first, p in zip(*(x.tolist() for x in shard_hits(texts, vocabulary, phrases, length)), strict=True):
                 spans[d].append((first, first + int(length[p])))
@@ -214,28 +217,47 @@ def _shards(batches: Iterator[pa.RecordBatch], windows: Windows, shard_words: in
             yield judged(b.slice(start), texts)
 
 
-def _search(windows: Windows, shard_words: int, last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts, spans, items in _shards(batches, windows, shard_words):
-            found = [pa.array(spans, _SPANS), pa.array(items, _ITEMS)]
-            if last:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), *found], names=["doc_id", "n_words", "spans", "items"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *found], names=["doc_id", "text", "__spans", "__items"])
+def _more(b: pa.RecordBatch, words: list[list[bytes]], spans: list[list], items: list[list]) -> pa.RecordBatch:
+    """What the next pass needs."""
+    return pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=["row", "text", "spans", "items"])
+
+
+def _judged(b: pa.RecordBatch, words: list[list[bytes]], spans: list[list], items: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column("row"), pa.array(map(len, words), pa.int64()), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=["row", "n_words", "spans", "items"])
+
 
-    return run
+def _cut(b: pa.RecordBatch, words: list[list[bytes]], spans: list[list], items: list[list]) -> pa.RecordBatch:
+    text = [without_words(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(b.column("text").to_pylist(), spans, strict=True)]
+    left = [not s or sum(x["end"] - x["start"] for x in s) < len(w) for s, w in zip(spans, words, strict=True)]
+    return pa.RecordBatch.from_arrays([b.column("row"), pa.array(text, pa.string()), pa.array(left)], names=["row", "text", "left"])
+
+
+def passes(rows: DataFrame, benchmark: DataFrame, window: int, chunk_windows: int, shard_words: int, finish, result: str) -> DataFrame:
+    """finish over all shards of rows(row, text) once all chunks of the benchmark are searched: row and the columns of result."""
+
+    def step(chunk: Windows, end):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard in _shards(batches, chunk, shard_words):
+                yield end(*shard)
+
+        return run
+
+    schema = lambda ddl: StructType([rows.schema["row"], *DataType.fromDDL(ddl).fields])
+    chunk: Windows | None = None
+    for following in in_chunks(benchmark, window, chunk_windows):
+        if chunk is not None:
+            rows = saved(rows.mapInArrow(step(chunk, _more), schema(f"text string, {FOUND}")), "searched")
+        chunk = following
+    return rows.mapInArrow(step(chunk, finish), schema(result))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_windows: int = 200_000, shard_words: int = 250_000) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256, contaminated and removal spans (word offsets) of every row of docs(doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chunks = list(in_chunks(benchmark, window, chunk_windows))
-    for i, chunk in enumerate(chunks):
-        last = i == len(chunks) - 1
-        rows = rows.mapInArrow(_search(chunk, shard_words, last), f"doc_id long, n_words long, {FOUND}" if last else "doc_id long, text string, __spans array<struct<start:int,end:int>>, __items array<string>")
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), F.col("text").cast("string").alias("text"))
+    found = passes(rows, benchmark, window, chunk_windows, shard_words, _judged, f"n_words long, {FOUND}")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     names = F.array_join(F.array_sort(F.filter("items", lambda x: x.isNotNull())), ",")
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
+    return found.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -255,29 +277,10 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_windows: int = 200_000, shard_words: int = 250_000) -> DataFrame:
     """docs with the removal spans cut out of text and n_chars made to fit; a contaminated row with no word left goes.  Rows keep their other columns."""
-    extra = "__spans array<struct<start:int,end:int>>, __items array<string>"
-    marked = [*docs.schema.fields, *DataType.fromDDL(extra).fields]
-
-    def step(chunk: Windows, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, words, spans, items in _shards(batches, chunk, shard_words):
-                plain = b.select([n for n in b.schema.names if n not in ("__spans", "__items")])
-                if not last:
-                    yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=[*plain.schema.names, "__spans", "__items"])
-                    continue
-                at = plain.schema.get_field_index("text")
-                text = plain.column(at).to_pylist()
-                keep = [not s or sum(x["end"] - x["start"] for x in s) < len(w) for s, w in zip(spans, words, strict=True)]
-                text = [without_words(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(text, spans, strict=True)]
-                yield plain.set_column(at, "text", pa.array(text, pa.string())).filter(pa.array(keep))
-
-        return run
-
-    out, chunks = docs, list(in_chunks(benchmark, window, chunk_windows))
-    for i, chunk in enumerate(chunks):
-        last = i == len(chunks) - 1
-        out = out.mapInArrow(step(chunk, last), docs.schema if last else StructType(marked))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("text").cast("string").alias("text"))
+    out = passes(rows, benchmark, window, chunk_windows, shard_words, _cut, "text string, left boolean").where("left")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,21 @@ def test_suffix_array_and_locate():
     low, high = index.search(np.array([[1, 2]]), np.array([2]))
     want = [i for i in range(299) if t[i] == 1 and t[i + 1] == 2]
     assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
+
+
+def test_any_other_columns_and_long_texts(spark):
+    docs, bench = world(5)
+    names = ["row", "left", "items", "spans", "__spans", "__items", "n_words", "chunk", "x.y"]
+    docs.append((500, " ".join(["w1 w2 w3"] * 20_000)))
+    d = spark.createDataFrame([(a, t, *range(len(names))) for a, t in docs], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    for chunk in (200_000, 40):
+        got = dec.contamination(d, b, chunk_windows=chunk, shard_words=1000).drop("spans").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(plain(docs, bench), key=str)
+        out = dec.remove_contamination(d, b, chunk_windows=chunk)
+        assert out.columns == d.columns and all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+
+
+def test_a_chunk_never_holds_more_windows(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(500))), (2, "a1 a2 a3")], "item_id long, text string")
+    assert max(map(len, dec.in_chunks(bench, 10, 37))) == 37
