@@ -1,19 +1,26 @@
 """WARC archives with a chunked record table.
 
-Writing: one record per row, its payload cut into segments of ``chunk_bytes``;
-each segment is a WARC record of its own (first segment, then ``continuation``
-records with segment numbers), i.e. a row (record id, chunk number).  Spark's
-text sink writes the rows, so archives land in any store Spark can write to.
-Of equal payloads of at least ``min_revisit`` bytes the largest id is a
-response, the others are revisit records without payload.
-
-Reading: lines end in CRLF and stream through the task in file order (gzip
-files are not split); a parser takes payload bytes by Content-Length and feeds
-an incremental SHA-1, so neither a file nor a record is ever held whole.
+Writing: a task walks through each payload in slices of ``chunk_bytes`` without
+copying it, feeds incremental digests and hands out the chunk table: one row for
+each record and chunk number, with the digest up to and including the chunk.
+Each row becomes a WARC record of its own (first segment, then ``continuation``
+records with segment numbers).  Spark's text sink writes the rows, so archives
+land in any store Spark can write to; an archive holds the records of one input
+partition and is one gzip stream.  Of equal payloads of at least ``min_revisit``
+bytes the largest id is a response, the others are revisit records without payload.
+
+Reading: lines end in CRLF and stream through the task in file order; a parser
+takes payload bytes by Content-Length and feeds an incremental SHA-1, so neither
+a file nor a record is ever held whole.  Records of any type and origin are read;
+a digest or length that a foreign record does not declare is null or that of its
+block.  Gzip files are not split; a plain archive that Spark splits into several
+partitions (spark.sql.files.maxPartitionBytes), and one that ends inside a record,
+raise an error instead of losing records.
 
 Edge cases: a null payload is empty; a null id is written as a response that
-nothing refers to; rows with equal id and payload are each a response; control
-characters and spaces in a URL are percent-encoded, a null URL is left out; an
+nothing refers to; rows with equal id and payload are each a response; of equal
+payloads the largest id wins ties; control characters and spaces in a URL are
+percent-encoded, a null URL is left out; payloads of any length are chunked; an
 empty table gives an empty archive and no rows; other columns are ignored.
 """
 
@@ -34,23 +41,69 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def with_revisits(rows: DataFrame, min_revisit: int) -> DataFrame:
-    """rows(id, payload, ...) with digest, size and refers_to (null for a response)."""
-    rows = rows.withColumns({"size": F.length("payload").cast("long"), "digest": F.sha1("payload")})
-    long = rows.where((F.col("size") >= min_revisit) & F.col("id").isNotNull()).select("id", "digest", F.sha2("payload", 256).alias("key"))
+CHUNKS = "id long, url string, number int, last int, size long, body binary, running_digest string, digest string, key string, refers_to long"
+
+
+def _chunked(chunk_bytes: int, bodies: bool):
+    """The chunk table of rows(id, url, payload[, again]); without bodies only the first chunk of each record, for its digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), *[pa.string()] * 3, pa.int64()]
+        out: list[tuple] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
+
+        for b in batches:
+            known = b.column("again").to_pylist() if "again" in b.schema.names else [None] * b.num_rows
+            for id_, url, payload, again in zip(b.column("id").to_pylist(), b.column("url").to_pylist(), b.column("payload"), known, strict=True):
+                view = memoryview(payload.as_buffer())  # no copy
+                sha, key, running = hashlib.sha1(), hashlib.sha256(), []
+                for at in range(0, max(1, len(view)), chunk_bytes):
+                    piece = view[at : at + chunk_bytes]
+                    sha.update(piece)
+                    key.update(piece)
+                    running.append(sha.hexdigest())
+                target = next((x["refers_to"] for x in again or () if x["digest"] == running[-1]), None)
+                last = len(running) - 1 if target is None else 0
+                for n in range(last + 1 if bodies else 1):
+                    body = (bytes(view[n * chunk_bytes : (n + 1) * chunk_bytes]) if target is None else b"") if bodies else None
+                    out.append((id_, url, n, last, len(view), body, running[n], running[-1], key.hexdigest(), target))
+                    held += len(body or b"")
+                    if held > 1 << 23 or len(out) >= 4000:
+                        yield packed()
+                        out, held = [], 0
+        if out:
+            yield packed()
+
+    return run
+
+
+def _payloads(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
+
+
+def chunk_table(rows: DataFrame, chunk_bytes: int = 1 << 16, bodies: bool = True) -> DataFrame:
+    """id, url, number, last, size, body, running_digest, digest and key: a row for each chunk of rows(id, url, payload)."""
+    return _payloads(rows).mapInArrow(_chunked(chunk_bytes, bodies), CHUNKS).drop("refers_to")
+
+
+def revisits(heads: DataFrame, min_revisit: int) -> DataFrame:
+    """revisit_id and again, the digests under which it repeats another record with that record's id, of heads(id, size, digest, key)."""
+    long = heads.where((F.col("size") >= min_revisit) & F.col("id").isNotNull()).select("id", "digest", "key")
     keep = long.groupBy("key").agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).where("least < refers_to").select(F.col("key").alias("of"), "refers_to")
-    revisits = long.join(keep, F.col("key") == F.col("of")).where("id < refers_to").select(F.col("id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to").distinct()
-    revisits = saved(revisits, "revisits")  # narrow; its size is known to the planner from here on
-    return rows.join(revisits, (F.col("id") == F.col("revisit_id")) & (F.col("digest") == F.col("revisit_digest")), "left").drop("revisit_id", "revisit_digest")
+    found = long.join(keep, F.col("key") == F.col("of")).where("id < refers_to").groupBy(F.col("id").alias("revisit_id")).agg(F.collect_set(F.struct("digest", "refers_to")).alias("again"))
+    return saved(found, "revisits")  # narrow; its size is known to the planner from here on
 
 
 def write_warc(rows: DataFrame, path: str, chunk_bytes: int = 1 << 16, min_revisit: int = 1000) -> None:
     """Write rows(id long, url string, payload binary) as gzipped WARC files under path."""
-    rows = with_revisits(rows.select(F.col("id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload")), min_revisit)
-    last = F.when(F.col("refers_to").isNull(), F.floor((F.greatest(F.col("size"), F.lit(1)) - 1) / chunk_bytes)).otherwise(0).cast("int")
-    parts = rows.withColumn("last", last).withColumn("number", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    heads = saved(chunk_table(rows, chunk_bytes, bodies=False).select("id", "size", "digest", "key"), "heads")
+    again = revisits(heads, min_revisit)
+    known = _payloads(rows).join(again, F.col("id") == F.col("revisit_id"), "left").select("id", "url", "payload", "again")
+    parts = known.mapInArrow(_chunked(chunk_bytes, True), CHUNKS)  # the chunks of a record stay together
     name = F.coalesce(F.concat(F.lit("urn:record:"), F.col("id")), F.lit("urn:record:null"))
-    body = F.when(F.col("refers_to").isNotNull(), F.lit(b"")).when(F.col("last") == 0, F.col("payload")).otherwise(F.substring("payload", F.col("number") * chunk_bytes + 1, F.lit(chunk_bytes)))
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
 
     def line(key: str, value, when=None):
@@ -75,7 +128,7 @@ def write_warc(rows: DataFrame, path: str, chunk_bytes: int = 1 << 16, min_revis
         line("Content-Length", F.length("body").cast("string")),
     )
     record = F.concat(head, F.lit(CRLF), F.col("body").cast("string"), F.lit(CRLF))  # the sink adds the second CRLF
-    parts.withColumn("body", body).select(record.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+    parts.select(record.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 class Parser:
@@ -108,9 +161,13 @@ class Parser:
             key, _, value = line.partition(b":")
             self.header[key.strip().lower()] = value.strip()
         else:
-            self.left = int(self.header[b"content-length"])
+            self.left = int(self.header.get(b"content-length", b"0"))
         return None
 
+    def close(self) -> None:
+        if self.header is not None:
+            raise ValueError("the archive ends inside a record")
+
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
     for b in batches:
@@ -118,8 +175,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
             yield from b.column(0).slice(i, 512).cast(pa.binary()).to_pylist()
 
 
+def _text(value: bytes | None) -> str | None:
+    return value.decode("utf-8", "replace") if value is not None else None
+
+
 def _urn(value: bytes | None) -> str | None:
-    return value.decode().strip("<>") if value is not None else None
+    return _text(value).strip("<>") if value is not None else None
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,26 +196,29 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (got := parser.feed(line)) is None:
             continue
         header, piece, ends = got
-        if header[b"warc-type"] != b"continuation" and (head is not header):
+        if header.get(b"warc-type") != b"continuation" and (head is not header):
             sha, size, head = hashlib.sha1(), 0, header
         sha.update(piece)  # the digest runs on over the chunks of a record
         size += len(piece)
         whole = b"warc-segment-number" not in header or b"warc-segment-total-length" in header
         if ends and whole:
-            declared = head[b"warc-payload-digest"].decode().removeprefix("sha1:")
-            revisit = head[b"warc-type"] == b"revisit"
-            uri = head.get(b"warc-target-uri")
-            rows.append((_urn(head[b"warc-record-id"]), head[b"warc-type"].decode(), uri.decode() if uri is not None else None, _urn(head.get(b"warc-refers-to")), int(head[b"x-payload-length"]) if revisit else size, declared if revisit else sha.hexdigest(), declared))
+            declared = _text(head.get(b"warc-payload-digest"))
+            declared = declared.removeprefix("sha1:") if declared is not None else None
+            revisit = head.get(b"warc-type") == b"revisit"
+            length = head.get(b"x-payload-length")  # only known of revisits that this module wrote
+            bytes_of = (int(length) if length is not None else None) if revisit else size
+            rows.append((_urn(head.get(b"warc-record-id")), _text(head.get(b"warc-type")), _text(head.get(b"warc-target-uri")), _urn(head.get(b"warc-refers-to")), bytes_of, declared if revisit else sha.hexdigest(), declared))
             if len(rows) >= 2000:
                 yield packed()
                 rows = []
+    parser.close()
     if rows:
         yield packed()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    parser, sha, head, buffer, number = Parser(), hashlib.sha1(), {}, [], 0
+    parser, sha, head, buffer, number, held = Parser(), hashlib.sha1(), {}, [], 0, 0
 
     def packed() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["record_id", "chunk_no", "chunk", "running_digest"])
@@ -163,17 +227,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (got := parser.feed(line)) is None:
             continue
         header, piece, ends = got
-        if header[b"warc-type"] != b"continuation" and head is not header:
+        if header.get(b"warc-type") != b"continuation" and head is not header:
             sha, head, number = hashlib.sha1(), header, 0
         buffer.append(piece)
-        if ends:
+        held += len(piece)
+        if ends or held >= chunk_bytes:  # a foreign record of any length is cut, too
             body = b"".join(buffer)
-            sha.update(body)
-            rows.append((_urn(head[b"warc-record-id"]), number, body, sha.hexdigest()))
-            buffer, number = [], number + 1
-            if sum(len(r[2]) for r in rows) > 1 << 22:
+            at = 0
+            while at < len(body) or (ends and at == 0):
+                if len(body) - at < chunk_bytes and not ends:
+                    break
+                sha.update(body[at : at + chunk_bytes])
+                rows.append((_urn(head.get(b"warc-record-id")), number, body[at : at + chunk_bytes], sha.hexdigest()))
+                number, at = number + 1, at + chunk_bytes
+            buffer = [body[at:]] if at < len(body) else []
+            held = len(body) - at if at < len(body) else 0
+            if sum(len(r[2]) for r in rows) > 1 << 22 or len(rows) >= 2000:
                 yield packed()
                 rows = []
+    parser.close()
     if rows:
         yield packed()
 
@@ -187,9 +259,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return _archive(spark, path).mapInArrow(_records, "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, declared_digest string")
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = 1 << 16) -> DataFrame:
     """The chunk table: record_id, chunk_no, chunk and the SHA-1 of the payload up to and including it."""
-    return _archive(spark, path).mapInArrow(_chunks, "record_id string, chunk_no int, chunk binary, running_digest string")
+    return _archive(spark, path).mapInArrow(lambda batches: _read_chunks(batches, chunk_bytes), "record_id string, chunk_no int, chunk binary, running_digest string")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,49 @@ def test_round_trip(spark, tmp_path, chunk):
 def test_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "id long, url string, payload binary"), str(tmp_path / "w"))
     assert warc.read_records(spark, str(tmp_path / "w")).count() == 0
+
+
+def foreign(tmp_path, *records, name="f.warc"):
+    folder = tmp_path / "foreign"
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_bytes(b"".join(b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + f"Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n" for head, body in records))
+    return str(folder)
+
+
+def test_foreign_archives(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + b"x\r\n" * 500
+    path = foreign(
+        tmp_path,
+        ([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:a>")], b"software: x\r\n"),
+        ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:b>"), ("WARC-Target-URI", "http://x")], http),
+        ([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:c>"), ("WARC-Refers-To", "<urn:b>")], b""),
+        ([("WARC-Record-ID", "<urn:d>"), ("WARC-Payload-Digest", "sha1:ABC")], b""),
+    )
+    got = {r.record_id: r for r in warc.read_records(spark, path).collect()}
+    assert set(got) == {"urn:a", "urn:b", "urn:c", "urn:d"}
+    assert (got["urn:b"].payload_digest, got["urn:b"].payload_bytes, got["urn:b"].declared_digest) == (hashlib.sha1(http).hexdigest(), len(http), None)
+    assert (got["urn:c"].payload_bytes, got["urn:c"].payload_digest, got["urn:c"].refers_to) == (None, None, "urn:b")
+    assert (got["urn:d"].record_type, got["urn:d"].declared_digest) == (None, "ABC")
+    chunks = sorted((r for r in warc.read_chunks(spark, path, chunk_bytes=64).collect() if r.record_id == "urn:b"), key=lambda r: r.chunk_no)
+    assert b"".join(bytes(r.chunk) for r in chunks) == http and all(len(r.chunk) <= 64 for r in chunks) and [r.chunk_no for r in chunks] == list(range(len(chunks)))
+    assert chunks[-1].running_digest == hashlib.sha1(http).hexdigest()
+
+
+def test_a_cut_archive_is_an_error(spark, tmp_path):
+    path = foreign(tmp_path, ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:b>")], b"abc" * 100))
+    file = tmp_path / "foreign" / "f.warc"
+    file.write_bytes(file.read_bytes()[:-150])
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.read_records(spark, path).collect()
+
+
+def test_chunk_table(spark):
+    rows = rows_of(2)
+    got = warc.chunk_table(spark.createDataFrame(rows, "id long, url string, payload binary").repartition(3), 100).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: (str(r.id), r.digest, r.number)):
+        if r.id == 30:  # two equal rows
+            continue
+        whole[r.id] = whole.get(r.id, b"") + bytes(r.body)
+        assert len(r.body) <= 100 and hashlib.sha1(whole[r.id]).hexdigest() == r.running_digest
+    assert all(whole[i] == (p or b"") for i, _, p in rows if i != 30)
