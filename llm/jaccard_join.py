@@ -293,13 +293,14 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     Repeated rows (equal doc_id and text) become one; rows without a doc_id fall to nothing else.
     """
     found = jaccard_components(docs, **settings)
-    gone = saved(found.where("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    twice = saved(docs.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id"), "repeated")
+    gone = saved(found.where("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.id"))
+    kept = docs.alias("d").join(gone.alias("g"), same, "left_anti")
+    twice = saved(docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
     if twice.isEmpty():
         return kept
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once, more = (kept.alias("d").join(twice.alias("g"), same, how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
