@@ -1,248 +1,277 @@
 """Stupid-backoff language-model scores over the whole corpus.
 
-Tables: unigram counts of all words (grouped by hash, kept as a table) and
-bigram counts.  The ``vocabulary`` most frequent words are common: their counts
-are broadcast, and bigrams of two of them go to the partition of their hash.
-All other words are rare, keep their own hashes and need no broadcast: a bigram
-goes to the partition of its second word if that is rare, and to that of its
-first word if that is rare, so that one partition sees all places of a rare
-word and counts it there.  With two rare words the second one's partition
-scores the bigram if it backs off, the first one's if it doesn't.  What is
-common decides about the way only, not about scores.  Each partition sums the
-scores of its bigrams per document, and the sums go back to the document's
-group, which adds up the partitions.
-
-score(w | v) = c(vw) / c(v) if c(vw) >= ``min_count``, else backoff * c(w) / N.
-
-Bigrams travel packed: one row per group of documents and partition holds the
-distinct bigrams as arrays, with counts and the documents they stand in, so the
-shuffle carries a few bytes per token.  A frequent bigram is one entry per
-group of documents, whatever its share; rows are groups times partitions, so a
-group has more words where there are more partitions.  Partitions are added
-with the tokens, so that one holds about ``PER_SHARD`` of them.  What is
-broadcast is the common words: at most ``vocabulary`` at 16 bytes.
-
-Edge cases: null and empty texts have 0 tokens, log_score 0 and no mean; rows
-with equal id and text count as often as they stand and score alike; a null
-doc_id is scored; an empty table gives no rows; extra columns are ignored.
+Every token of every text is scored by the longest n-gram that ends in it and is
+frequent enough, of ``order`` words at most:
+
+    score(w | u v) = c(u v w) / c(u v)        if c(u v w) >= min_count
+                   = backoff * score(w | v)   otherwise;  score(w) = c(w) / N
+
+Three relations, all packed, since a row for each token and order would be many
+times the text:
+
+* exploded n-grams: each group of documents has the distinct hashes of its
+  n-grams of all orders, sorted, with their counts; contexts at the beginning of
+  a text and the empty n-gram (whose count is N) are n-grams like others.  A row
+  is a group's part of one hash range (``shard``).
+* n-gram count tables, partitioned by hash: a shard holds all n-grams of its
+  range.  It counts them and is joined there to the exploded n-grams that it was
+  counted from, so each group gets the corpus counts of its own n-grams, in order.
+* groups of documents with their texts, compressed: joined to the counts by
+  group, where each document's tokens are scored and summed.
+
+``ngram_counts`` gives the count tables as plain rows.  A frequent n-gram is one
+entry for each group, whatever its share.  Shards are added with the size of the
+texts, so that one counts about ``PER_SHARD`` tokens; a group has ``MOST`` words
+at most (or one document).  Nothing is broadcast or sent to the driver but the
+length of all texts.  A hash is cut to 48 bits inside its shard: 53 bits and more
+in all, and more with more shards.
+
+The texts are read twice, for n-grams and for groups, and must come in the same
+order both times, as those of files do; otherwise a group misses its counts and
+the job fails.  Write docs first where that is in doubt.
+
+Edge cases: null and empty texts have 0 tokens, log_score 0 and no mean; repeated
+rows are counted and scored each; a null doc_id is scored; a very long text is a
+group of its own; ties can't arise; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import as_bytes, keyed, mixed, saved, shuffle_partitions, slices, table, word_hashes
+from llm.common import U, as_bytes, mixed, shuffle_partitions, slices, table, word_hashes
 
-#: words that a group of documents has before it is handed on: so many for each partition, within bounds of memory
-PER_PART, LEAST, MOST = 4_000, 400_000, 4_000_000
-#: tokens of the corpus for each partition of bigrams, at most (about)
-PER_SHARD = 2_000_000
-#: stands for the beginning of a text among word hashes
-BEGIN = word_hashes([b""]).view(np.int64)[0]
+#: words of a group of documents: so many for each shard, within bounds of memory
+PER_PART, LEAST, MOST = 20_000, 500_000, 2_000_000
+#: tokens of the corpus for each shard, about
+PER_SHARD = 1_000_000
+KEY_BITS = 48
+PACKED = "shard int, group long, top binary, low binary, n binary, many binary"
+COUNTS = "shard int, group long, n binary, many binary, ids binary, known binary, length binary, words binary"
+SCORES = "doc_id long, n_tokens long, log_score double, mean_log_score double"
 
 
-def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
-    """(k1, k2, words) of groups of documents of about size words; documents without words are left out."""
-    k1, k2, words, n = [], [], [], 0
-    for b in slices(batches):
-        for a, c, text in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), as_bytes(b.column("text")), strict=True):
-            if w := text.split():
-                k1.append(a)
-                k2.append(c)
-                words.append(w)
-                n += len(w)
-                if n >= size or len(words) >= 60_000:
-                    yield np.array(k1), np.array(k2), words
-                    k1, k2, words, n = [], [], [], 0
-    if words:
-        yield np.array(k1), np.array(k2), words
+def _table(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields], names=[x[0] for x in fields])
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, words in grouped(batches, LEAST):
-        h = np.concatenate([word_hashes(w) for w in words]).view(np.int64)
-        w, n = np.unique(np.concatenate((h, np.full(len(words), BEGIN))), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n.astype(np.int64))], names=["word", "n"])
+def pack_counts(n: np.ndarray) -> dict[str, bytes]:
+    """A byte for each count; those of 255 and more besides, in order."""
+    return {"n": np.minimum(n, 255).astype(np.uint8).tobytes(), "many": n[n >= 255].astype(np.int64).tobytes()}
 
 
-def unigram_table(docs: DataFrame) -> DataFrame:
-    """word (hash) and its count n over all documents; the word BEGIN has the number of texts with words."""
-    counts = keyed(docs).select("k1", "k2", "text").mapInArrow(_unigrams, "word long, n long")
-    return saved(counts.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
+def unpack_counts(row: dict) -> np.ndarray:
+    n = np.frombuffer(row["n"], np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(row["many"], np.int64)
+    return n
 
 
-#: entries of common words have ids of 4 bytes, those of rare ones the hashes
-COMMON, RARE_SECOND, RARE_FIRST = range(3)
-PACKED = "shard int, kind int, group long, first binary, second binary, n binary, doc binary, seen binary, k1 binary, k2 binary"
-SUMS = "group long, seen binary, s binary, n binary, k1 binary, k2 binary"
+def pack_keys(key: np.ndarray) -> dict[str, bytes]:
+    """Sorted keys of 48 bits: how many there are of each first byte (if there are many keys), and the other bytes."""
+    raw = key.astype("<u8").view(np.uint8).reshape(-1, 8)
+    if len(key) < 512:
+        return {"top": b"", "low": raw[:, :6].tobytes()}
+    return {"top": np.bincount(raw[:, 5], minlength=256).astype(np.uint32).tobytes(), "low": raw[:, :5].tobytes()}
 
 
-def _table(schema: str, rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields], names=[x[0] for x in fields])
+def unpack_keys(row: dict) -> np.ndarray:
+    top, width = np.frombuffer(row["top"], np.uint32), 5 if row["top"] else 6
+    low = np.frombuffer(row["low"], np.uint8).reshape(-1, width)
+    raw = np.zeros((len(low), 8), np.uint8)
+    raw[:, :width] = low
+    if len(top):
+        raw[:, 5] = np.repeat(np.arange(256, dtype=np.uint8), top)
+    return raw.view("<u8").reshape(-1).astype(U)
 
 
-def _place(words: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Positions in the sorted hashes known, or -1."""
-    if not len(known):
-        return np.full(len(words), -1)
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    return np.where(known[at] == words, at, -1)
+def longer(prefix: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams that continue prefixes of n - 1 words by a word."""
+    return mixed(prefix * U(0x9E3779B97F4A7C15) + word + U(n))
 
 
-def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of one of each distinct pair, and for every pair which one it is."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.empty(len(order), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return order[new], at
+#: the empty n-gram, and beginnings of a text as contexts of 1, 2, ... words
+EMPTY = word_hashes([b"\x01"])[0]
 
 
-def _bigrams(known: np.ndarray, shards: int):
-    """Per group of documents, shard and kind: first words, second words, counts and documents; once per group its row keys (first is null)."""
-    size = min(max(LEAST, shards * PER_PART), MOST)
+def begins(order: int) -> np.ndarray:
+    return word_hashes([b"\x02 %d" % n for n in range(1, order)])
+
+
+def grams_of(words: list[bytes], length: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the hash of the n-gram that ends in each token, and the places of first tokens."""
+    h = word_hashes(words)
+    first = (np.cumsum(length) - length)[length > 0]
+    out, begin = [h], begins(order)
+    for n in range(2, order + 1):
+        prefix = np.empty_like(h)
+        prefix[1:] = out[-1][:-1]
+        prefix[first] = begin[n - 2]
+        out.append(longer(prefix, h, n))
+    return out, first
+
+
+def distinct(grams: list[np.ndarray], texts: int, order: int, inverse: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """All hashes of a group, sorted, their counts, for each order which one a token has (before sorting), and the order of sorting."""
+    hashes, counts, places, at = [], [], [], 0
+    for g in grams:
+        u, *more = np.unique(g, return_inverse=inverse, return_counts=True)
+        hashes.append(u)
+        counts.append(more[-1])
+        if inverse:
+            places.append((more[0] + at).astype(np.int32))
+        at += len(u)
+    hashes += [begins(order), np.array([EMPTY])]
+    counts += [np.full(order - 1, texts), np.array([len(grams[0])])]
+    every = np.concatenate(hashes)
+    by = np.argsort(every, kind="stable")
+    return every[by], np.concatenate(counts)[by], places, by
+
+
+def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[bytes], np.ndarray, int]]:
+    """(doc_ids, words, words of each document, group) of groups of documents of about size words."""
+    ids, words, length = [], [], []
+
+    def group() -> tuple:
+        n = np.array(length, np.int64)
+        mark = xxhash.xxh3_64()
+        for x in (repr(ids).encode(), n.tobytes(), b" ".join(words[:: max(1, len(words) // 1000)])):
+            mark.update(x)
+        return ids, words, n, int(np.array(mark.intdigest(), U).astype(np.int64))  # the same when a task runs again
+
+    for b in slices(batches):
+        for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
+            w = text.split()
+            if ids and len(words) + len(w) > size:
+                yield group()
+                ids, words, length = [], [], []
+            ids.append(doc)
+            words += w
+            length.append(len(w))
+    if ids:
+        yield group()
+
+
+def _exploded(order: int, shards: int, size: int):
+    width = -(-(1 << 64) // shards)  # hashes of one shard
+    shift = U(max(0, (width - 1).bit_length() - KEY_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k1, k2, words in grouped(batches, size):
-            group = int(np.array(xxhash.xxh3_64_intdigest(k1.tobytes() + k2.tobytes()), np.uint64).astype(np.int64))  # the same when a task runs again
-            length = np.array([len(w) for w in words])
-            starts = np.concatenate(([0], np.cumsum(length)[:-1]))
-            second = np.concatenate([word_hashes(w) for w in words]).view(np.int64)
-            first = np.empty_like(second)
-            first[1:] = second[:-1]
-            first[starts] = BEGIN
-            second_id = _place(second, known)
-            first_id = np.empty_like(second_id)
-            first_id[1:] = second_id[:-1]
-            first_id[starts] = np.searchsorted(known, BEGIN)
-            doc = np.repeat(np.arange(len(words), dtype=np.uint16), length)
-            rows: list[dict] = [{"shard": group % shards, "kind": COMMON, "group": group, "k1": k1.tobytes(), "k2": k2.tobytes()}]
-
-            def add(s: int, kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, d: np.ndarray, group=group, rows=rows) -> None:
-                seen, place = np.unique(d, return_inverse=True)
-                rows.append({"shard": s, "kind": kind, "group": group, "first": a.tobytes(), "second": b.tobytes(), "n": n.astype(np.uint32).tobytes(), "doc": place.astype(np.uint16).tobytes(), "seen": seen.tobytes()})
-
-            here = np.flatnonzero((first_id >= 0) & (second_id >= 0))
-            key = (first_id[here].astype(np.uint64) << np.uint64(32)) | second_id[here].astype(np.uint64)
-            shard = (mixed(key) % np.uint64(shards)).astype(np.int32)
-            order = np.lexsort((key, shard))
-            key, d, edge = key[order], doc[here[order]], np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in range(shards):
-                a, b = edge[s], edge[s + 1]
+        for _, words, length, group in grouped(batches, size):
+            grams, first = grams_of(words, length, order)
+            key, n, _, _ = distinct(grams, len(first), order, inverse=False)
+            del grams
+            edge, rows = [0, *np.searchsorted(key, np.array([s * width for s in range(1, shards)], U)).tolist(), len(key)], []
+            for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
                 if a < b:
-                    k, n = np.unique(key[a:b], return_counts=True)
-                    add(s, COMMON, (k >> np.uint64(32)).astype(np.uint32), k.astype(np.uint32), n, d[a:b])
-            for kind, ids, word in ((RARE_SECOND, second_id, second), (RARE_FIRST, first_id, first)):
-                here = np.flatnonzero(ids < 0)
-                shard = (mixed(word[here].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-                order = np.lexsort((second[here], first[here], shard))
-                here, edge = here[order], np.searchsorted(shard[order], np.arange(shards + 1))
-                for s in range(shards):
-                    a, b = edge[s], edge[s + 1]
-                    if a < b:
-                        v, w = first[here[a:b]], second[here[a:b]]
-                        new = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
-                        add(s, kind, v[new], w[new], np.diff(np.append(new, b - a)), doc[here[a:b]])
-            yield _table(PACKED, rows)
+                    rows.append({"shard": s, "group": group} | pack_keys((key[a:b] - U(s * width)) >> shift) | pack_counts(n[a:b]))
+                if len(rows) >= 1000:
+                    yield _table(PACKED, rows)
+                    rows = []
+            if rows:
+                yield _table(PACKED, rows)
 
     return run
 
 
-def _scores(known: np.ndarray, counts: np.ndarray, total: float, min_count: int, backoff: float):
-    """Sums of one shard per group and document; known are the hashes of the common words, counts theirs."""
+def _counted(t: pa.Table) -> pa.Table:
+    """The count table of one shard, joined to the n-grams of each group there."""
+    rows = t.to_pylist()
+    keys = [unpack_keys(r) for r in rows]
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(place, weights=np.concatenate([unpack_counts(r) for r in rows])).astype(np.int64)
+    edge = np.cumsum([0, *map(len, keys)])
+    return pa.Table.from_batches([_table(COUNTS, [{"shard": r["shard"], "group": r["group"]} | pack_counts(n[place[a:b]]) for r, a, b in zip(rows, edge[:-1], edge[1:], strict=True)])])
+
+
+def _groups(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, words, length, group in grouped(batches, size):
+            known = np.array([x is not None for x in ids])
+            row = {"group": group, "ids": np.array([x or 0 for x in ids], np.int64).tobytes(), "known": np.packbits(known).tobytes(), "length": length.tobytes()}
+            yield _table(COUNTS, [row | {"words": zstandard.ZstdCompressor(level=5).compress(b" ".join(words))}])
+
+    return run
 
-    def score(count: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            return np.where(count >= min_count, np.log(count) - np.log(v), np.log(backoff) + np.log(w) - np.log(total))
 
+def _scored(order: int, min_count: int, backoff: float):
     def run(t: pa.Table) -> pa.Table:
-        rows = [r for r in t.to_pylist() if r["first"] is not None]
-        out = [{k: r[k] for k in ("group", "k1", "k2")} for r in t.select(["group", "first", "k1", "k2"]).to_pylist() if r["first"] is None]
-        rare, rare_counts = np.empty(0, np.int64), np.empty(0)
-        for kind in (COMMON, RARE_SECOND, RARE_FIRST):  # in this order: the second words give the counts of the rare ones
-            part = [r for r in rows if r["kind"] == kind]
-            if not part:
-                continue
-            width = np.dtype(np.uint32 if kind == COMMON else np.int64)
-            read = lambda name, dtype: np.concatenate([np.frombuffer(r[name], dtype) for r in part])  # noqa: B023, E731
-            first, second, n = read("first", width), read("second", width), read("n", np.uint32)
-            if kind == COMMON:
-                key, at = np.unique((first.astype(np.uint64) << np.uint64(32)) | second, return_inverse=True)
-                count = np.bincount(at, weights=n, minlength=len(key))
-                value = score(count, counts[(key >> np.uint64(32)).astype(np.int64)], counts[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)])[at]
-                mine = np.ones(len(at), bool)
-            else:
-                one, at = _pairs(first, second)
-                count, v, w = np.bincount(at, weights=n, minlength=len(one)), first[one], second[one]
-                if kind == RARE_SECOND:
-                    rare, place = np.unique(w, return_inverse=True)
-                    rare_counts = np.bincount(place, weights=count, minlength=len(rare))
-                    v_at = _place(v, known)
-                    value = score(count, np.where(v_at >= 0, counts[v_at], 1.0), rare_counts[place])[at]
-                    mine = ((v_at >= 0) | (count < min_count))[at]
-                else:
-                    w_at = _place(w, known)
-                    value = score(count, rare_counts[_place(v, rare)], np.where(w_at >= 0, counts[w_at], 1.0))[at]
-                    mine = ((w_at >= 0) | (count >= min_count))[at]
-            value, begin = np.where(mine, value, 0.0), 0
-            for r in part:
-                k = len(r["first"]) // width.itemsize
-                times, doc, d = np.frombuffer(r["n"], np.uint32), np.frombuffer(r["doc"], np.uint16), len(r["seen"]) // 2
-                sums = np.bincount(doc, weights=np.repeat(value[begin : begin + k], times), minlength=d)
-                tokens = np.bincount(doc[np.repeat(mine[begin : begin + k], times)], minlength=d)
-                begin += k
-                out.append({"group": r["group"], "seen": r["seen"], "s": sums.tobytes(), "n": tokens.astype(np.uint32).tobytes()})
-        return pa.Table.from_batches([_table(SUMS, out)])
+        rows = t.to_pylist()
+        heads, parts = [r for r in rows if r["words"] is not None], sorted((r for r in rows if r["words"] is None), key=lambda r: r["shard"])
+        if len(heads) * len({r["shard"] for r in parts}) != len(parts) or not heads:
+            raise ValueError("n-grams and groups of documents differ: docs must give its rows in the same order when it is read again; write it to a table first")
+        length = np.frombuffer(heads[0]["length"], np.int64)
+        words = zstandard.ZstdDecompressor().decompress(heads[0]["words"]).split()
+        grams, first = grams_of(words, length, order)
+        key, _, places, by = distinct(grams, len(first), order, inverse=True)
+        del grams
+        counts = np.concatenate([unpack_counts(r) for r in parts[:: len(heads)]])  # equal groups get equal counts
+        if len(counts) != len(key):
+            raise ValueError("a group of documents misses counts: write docs to a table first")
+        log = np.empty(len(key))
+        log[by] = np.log(counts)
+        begin, total = log[len(key) - order : -1], log[-1]
+        score = np.log(backoff) * (order - 1) + log[places[0]] - total
+        for n in range(2, order + 1):  # a longer n-gram that is frequent enough overrules
+            context = np.empty_like(score)
+            context[1:] = log[places[n - 2][:-1]]
+            context[first] = begin[n - 2]
+            value = log[places[n - 1]]
+            score = np.where(value > np.log(min_count) - 1e-9, np.log(backoff) * (order - n) + value - context, score)
+        sums = np.zeros(len(length))
+        if len(first):
+            sums[length > 0] = np.add.reduceat(score, first)
+        mean = np.divide(sums, length, out=np.zeros(len(length)), where=length > 0)
+        out = []
+        for h in heads:
+            ids, known = np.frombuffer(h["ids"], np.int64), np.unpackbits(np.frombuffer(h["known"], np.uint8), count=len(length)).astype(bool)
+            columns = [pa.array(ids, mask=~known), pa.array(length), pa.array(sums), pa.array(mean, mask=length == 0)]
+            out.append(pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def _added(t: pa.Table) -> pa.Table:
-    """Sums over the shards for the documents of one group."""
-    rows = t.to_pylist()
-    head = next(r for r in rows if r["k1"] is not None)
-    k1, k2 = np.frombuffer(head["k1"], np.int64), np.frombuffer(head["k2"], np.int64)
-    s, n = np.zeros(len(k1)), np.zeros(len(k1), np.int64)
-    for r in rows:
-        if r["seen"] is not None:
-            seen = np.frombuffer(r["seen"], np.uint16)
-            s[seen] += np.frombuffer(r["s"], np.float64)
-            n[seen] += np.frombuffer(r["n"], np.uint32)
-    return pa.table({"k1": k1, "k2": k2, "s": s, "n": n})
-
-
-def lm_scores(docs: DataFrame, vocabulary: int = 1 << 17, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
-    """doc_id, n_tokens, log_score (sum of natural logs) and mean_log_score of every row of docs(doc_id, text).
-
-    vocabulary is how many words' counts are broadcast; scores don't depend on it.
-    """
-    spark = docs.sparkSession
-    rows, unigrams = keyed(docs), unigram_table(docs)
-    total = unigrams.where(F.col("word") != int(BEGIN)).agg(F.sum("n")).first()[0] or 0
-    texts = unigrams.where(F.col("word") == int(BEGIN)).agg(F.sum("n")).first()[0] or 0
-    top = unigrams.where(F.col("word") != int(BEGIN)).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()  # at most vocabulary rows
-    word, n = np.append(np.array(top.column("word"), np.int64), BEGIN), np.append(np.array(top.column("n"), np.float64), texts)
-    order = np.argsort(word)
-    known, counts = word[order], n[order]
-    shards = max(shuffle_partitions(spark), math.ceil(total / PER_SHARD))
-    packed = rows.select("k1", "k2", "text").mapInArrow(_bigrams(known, shards), PACKED)
-    parts = packed.groupBy("shard").applyInArrow(_scores(known, counts, float(max(total, 1)), min_count, backoff), SUMS).groupBy("group").applyInArrow(_added, "k1 long, k2 long, s double, n long")
-    sums = parts.groupBy("k1", "k2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    base = rows.select("doc_id", "k1", "k2", words.alias("n_tokens"))
-    log_score = F.coalesce(F.col("s") * F.col("n_tokens") / F.col("n"), F.lit(0.0))  # n counts the tokens of all equal rows
-    return base.join(sums, ["k1", "k2"], "left").select("doc_id", "n_tokens", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score"))
+def _shards(rows: DataFrame) -> int:
+    words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    return max(shuffle_partitions(rows.sparkSession), words // PER_SHARD + 1)
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def lm_scores(docs: DataFrame, order: int = 3, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
+    """doc_id, n_tokens, log_score (sum of natural logs) and mean_log_score of every row of docs(doc_id, text)."""
+    rows = _narrow(docs)
+    shards = _shards(rows)
+    size = min(max(LEAST, shards * PER_PART), MOST)
+    counts = rows.mapInArrow(_exploded(order, shards, size), PACKED).groupBy("shard").applyInArrow(_counted, COUNTS)
+    return counts.unionByName(rows.mapInArrow(_groups(size), COUNTS)).groupBy("group").applyInArrow(_scored(order, min_count, backoff), SCORES)
+
+
+def ngram_counts(docs: DataFrame, order: int = 3) -> DataFrame:
+    """The count tables as rows: shard, gram (hash inside its shard) and n, for n-grams of 1 to order words."""
+    rows = _narrow(docs)
+    shards = _shards(rows)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                key = unpack_keys(r).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), r["shard"], np.int32)), pa.array(key), pa.array(unpack_counts(r))], names=["shard", "gram", "n"])
+
+    exploded = rows.mapInArrow(_exploded(order, shards, min(max(LEAST, shards * PER_PART), MOST)), PACKED)
+    return exploded.mapInArrow(plain, "shard int, gram long, n long").groupBy("shard", "gram").agg(F.sum("n").alias("n"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
