@@ -17,12 +17,12 @@ first compared with its name-giver; only classes that are not linked to it
 remain queries, and queries and members are dealt out in pieces of
 ``family_rows``.  Connected components come from alternating star contraction.
 
-Shingles are 64-bit hashes; an index entry is the shard and 32 bits more, so its
-width grows with the number of shards.  Edge cases: null, empty and wordless
-texts have an empty set and link with nothing; fewer words than a shingle are
-one shingle; equal rows are of one component; a null doc_id counts as larger
-than all ids (component_id is null if no other id is reachable); an empty table
-gives no rows; other columns of the input are ignored.
+Shingles and index entries are 64-bit hashes.  Edge cases: null, empty and
+wordless texts have an empty set and link with nothing; fewer words than a
+shingle are one shingle; a text of any length is one set, held by one task; lists
+of equal length are ordered by their hash; equal rows are of one component; a
+null doc_id counts as larger than all ids (component_id is null if no other id is
+reachable); an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
 
 
 def _postings(k: int, shards: int, group_words: int):
-    """Per group of documents and shard the entries of the inverted index, six bytes each; and once the documents of the group (key is null)."""
+    """Per group of documents and shard the entries of the inverted index, ten bytes each; and once the documents of the group (key is null)."""
 
     def packed(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         doc, node, n = np.array(ids, np.int64), np.array([class_of(s) if len(s) else 0 for s in sets], np.int64), np.array([len(s) for s in sets], np.uint32)
@@ -75,7 +75,7 @@ def _postings(k: int, shards: int, group_words: int):
             h, at = np.concatenate([sets[i] for i in first]), np.repeat(first, n[first]).astype(np.uint16)
             shard = ((h >> U(32)) * U(shards)) >> U(32)
             by = np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.int64), kind="stable")
-            key, at, edge = h[by].astype(np.uint32), at[by], np.searchsorted(shard[by], np.arange(shards + 1, dtype=U))
+            key, at, edge = h[by], at[by], np.searchsorted(shard[by], np.arange(shards + 1, dtype=U))
             rows += [{"group": group, "shard": s, "key": key[edge[s] : edge[s + 1]].tobytes(), "at": at[edge[s] : edge[s + 1]].tobytes()} for s in range(shards) if edge[s] < edge[s + 1]]
         return _batch(POSTINGS, rows)
 
@@ -103,11 +103,11 @@ def _count(t: pa.Table) -> pa.Table:
     rows = t.to_pylist()
     out, rows = [r for r in rows if r["key"] is None], [r for r in rows if r["key"] is not None]
     if rows:
-        key = np.concatenate([np.frombuffer(r["key"], np.uint32) for r in rows])
+        key = np.concatenate([np.frombuffer(r["key"], U) for r in rows])
         _, place, length = np.unique(key, return_inverse=True, return_counts=True)
         length = length[place]
         level = np.where(length <= 200, length, 200 + np.log2(length).astype(np.int64)).astype(np.uint8)
-        edge = np.cumsum([0] + [len(r["key"]) // 4 for r in rows])
+        edge = np.cumsum([0] + [len(r["key"]) // 8 for r in rows])
         for r, a, b in zip(rows, edge[:-1], edge[1:], strict=True):
             keep = length[a:b] > 1
             if keep.any():
@@ -126,8 +126,7 @@ def _sets(percent: int):
         heads, rows = [r for r in rows if r["key"] is None], [r for r in rows if r["key"] is not None]
         node, size = np.frombuffer(heads[0]["doc_node"], np.int64), np.frombuffer(heads[0]["doc_n"], np.uint32).astype(np.int64)
         read = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(r[name], kind) for r in rows)])
-        key = (np.repeat(np.array([r["shard"] for r in rows], np.int64), [len(r["key"]) // 4 for r in rows]) << 32) | read("key", np.uint32)
-        at, level = read("at", np.uint16).astype(np.int64), read("level", np.uint8)
+        key, at, level = read("key", np.int64), read("at", np.uint16).astype(np.int64), read("level", np.uint8)
         if len(heads) > 1:  # groups of the very same documents
             _, once = np.unique(np.stack((at, key)), axis=1, return_index=True)
             at, key, level = at[once], key[once], level[once]
@@ -259,7 +258,8 @@ def class_links(sets: DataFrame, percent: int, family_rows: int) -> DataFrame:
     tasks = as_doc.unionByName(as_query).groupBy("family", "q", "d", "node").agg(F.max("linked").alias("linked"), F.max("indexed").alias("indexed"), F.max("query").alias("query"))
     tasks = tasks.join(many.select(F.col("family").alias("f"), F.col("node").alias("id"), "n", "keys"), (F.col("family") == F.col("f")) & (F.col("node") == F.col("id"))).drop("f", "id")
     small = whole.where(f"rows <= {family_rows}").select("family", F.lit(0).alias("q"), F.lit(0).alias("d"), "node", F.lit(False).alias("linked"), F.lit(True).alias("indexed"), F.lit(True).alias("query"), "n", "keys")
-    found = small.unionByName(tasks.select(small.columns)).groupBy("family", "q", "d").applyInArrow(_search(percent), "a long, b long")
+    searched = small.unionByName(tasks.select(small.columns)).repartition(4 * shuffle_partitions(spark), "family", "q", "d")  # work isn't in proportion to bytes
+    found = searched.groupBy("family", "q", "d").applyInArrow(_search(percent), "a long, b long")
     return saved(found.unionByName(hot.where("linked AND family <> node").select(F.col("family").alias("a"), F.col("node").alias("b"))), "links")
 
 
