@@ -38,7 +38,7 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from llm.common import U, as_bytes, mixed, shuffle_partitions, slices, table, word_hashes
 
 #: words of a group of documents: so many for each shard, within bounds of memory
-PER_PART, LEAST, MOST = 20_000, 500_000, 2_000_000
+PER_PART, LEAST, MOST = 20_000, 500_000, 1_500_000
 #: tokens of the corpus for each shard, about
 PER_SHARD = 1_000_000
 KEY_BITS = 48
@@ -107,9 +107,8 @@ def begins(order: int) -> np.ndarray:
     return word_hashes([b"\x02 %d" % n for n in range(1, order)])
 
 
-def grams_of(words: list[bytes], length: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the hash of the n-gram that ends in each token, and the places of first tokens."""
-    h = word_hashes(words)
+def grams_of(h: np.ndarray, length: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the hash of the n-gram that ends in each token (h: hashes of the words), and the places of first tokens."""
     first = (np.cumsum(length) - length)[length > 0]
     out, begin = [h], begins(order)
     for n in range(2, order + 1):
@@ -137,26 +136,27 @@ def distinct(grams: list[np.ndarray], texts: int, order: int, inverse: bool) ->
     return every[by], np.concatenate(counts)[by], places, by
 
 
-def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[bytes], np.ndarray, int]]:
-    """(doc_ids, words, words of each document, group) of groups of documents of about size words."""
-    ids, words, length = [], [], []
+def grouped(batches: Iterator[pa.RecordBatch], size: int, take: Callable) -> Iterator[tuple[list, list, np.ndarray, int]]:
+    """(doc_ids, what take makes of the words of each document, their numbers, group) of groups of documents of about size words."""
+    ids, taken, length, n = [], [], [], 0
+    mark = xxhash.xxh3_64()
 
     def group() -> tuple:
-        n = np.array(length, np.int64)
-        mark = xxhash.xxh3_64()
-        for x in (repr(ids).encode(), n.tobytes(), b" ".join(words[:: max(1, len(words) // 1000)])):
-            mark.update(x)
-        return ids, words, n, int(np.array(mark.intdigest(), U).astype(np.int64))  # the same when a task runs again
+        mark.update(repr(ids).encode())
+        return ids, taken, np.array(length, np.int64), int(np.array(mark.intdigest(), U).astype(np.int64))  # the same when a task runs again
 
     for b in slices(batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
             w = text.split()
-            if ids and len(words) + len(w) > size:
+            if ids and n + len(w) > size:
                 yield group()
-                ids, words, length = [], [], []
+                ids, taken, length, n = [], [], [], 0
+                mark = xxhash.xxh3_64()
             ids.append(doc)
-            words += w
+            taken.append(take(w))
             length.append(len(w))
+            n += len(w)
+            mark.update(text)
     if ids:
         yield group()
 
@@ -166,17 +166,19 @@ def _exploded(order: int, shards: int, size: int):
     shift = U(max(0, (width - 1).bit_length() - KEY_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, length, group in grouped(batches, size):
-            grams, first = grams_of(words, length, order)
+        for _, hashes, length, group in grouped(batches, size, word_hashes):
+            grams, first = grams_of(np.concatenate(hashes), length, order)
+            hashes.clear()
             key, n, _, _ = distinct(grams, len(first), order, inverse=False)
-            del grams
-            edge, rows = [0, *np.searchsorted(key, np.array([s * width for s in range(1, shards)], U)).tolist(), len(key)], []
+            grams.clear()
+            edge, rows, held = [0, *np.searchsorted(key, np.array([s * width for s in range(1, shards)], U)).tolist(), len(key)], [], 0
             for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
                 if a < b:
                     rows.append({"shard": s, "group": group} | pack_keys((key[a:b] - U(s * width)) >> shift) | pack_counts(n[a:b]))
-                if len(rows) >= 1000:
+                    held += b - a
+                if held > 400_000:
                     yield _table(PACKED, rows)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield _table(PACKED, rows)
 
@@ -195,10 +197,10 @@ def _counted(t: pa.Table) -> pa.Table:
 
 def _groups(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words, length, group in grouped(batches, size):
+        for ids, words, length, group in grouped(batches, size, b" ".join):
             known = np.array([x is not None for x in ids])
             row = {"group": group, "ids": np.array([x or 0 for x in ids], np.int64).tobytes(), "known": np.packbits(known).tobytes(), "length": length.tobytes()}
-            yield _table(COUNTS, [row | {"words": zstandard.ZstdCompressor(level=5).compress(b" ".join(words))}])
+            yield _table(COUNTS, [row | {"words": zstandard.ZstdCompressor(level=5).compress(b"\n".join(words))}])
 
     return run
 
@@ -210,10 +212,11 @@ def _scored(order: int, min_count: int, backoff: float):
         if len(heads) * len({r["shard"] for r in parts}) != len(parts) or not heads:
             raise ValueError("n-grams and groups of documents differ: docs must give its rows in the same order when it is read again; write it to a table first")
         length = np.frombuffer(heads[0]["length"], np.int64)
-        words = zstandard.ZstdDecompressor().decompress(heads[0]["words"]).split()
-        grams, first = grams_of(words, length, order)
+        texts = zstandard.ZstdDecompressor().decompress(heads[0]["words"]).split(b"\n")  # no word holds a line break
+        grams, first = grams_of(np.concatenate([word_hashes(x.split()) for x in texts]), length, order)
+        del texts
         key, _, places, by = distinct(grams, len(first), order, inverse=True)
-        del grams
+        grams.clear()
         counts = np.concatenate([unpack_counts(r) for r in parts[:: len(heads)]])  # equal groups get equal counts
         if len(counts) != len(key):
             raise ValueError("a group of documents misses counts: write docs to a table first")
