@@ -132,7 +132,8 @@ def iou_family(p: Box, q: Box, power: float = 1.0, gamma: float = 0.5, eps: floa
     gap_x, gap_y = q.a - p.a, q.b - p.b
     diagonal, distance = cw * cw + ch * ch, gap_x * gap_x + gap_y * gap_y
     hull = cw * ch + eps
-    turn = F.atan(q.c / q.d) - F.atan(p.c / p.d)
+    cw1, ch1 = F.greatest(cw, F.lit(eps)), F.greatest(ch, F.lit(eps))  # boxes without width or height divide by nothing
+    turn = F.atan(q.c / F.greatest(q.d, F.lit(eps))) - F.atan(p.c / F.greatest(p.d, F.lit(eps)))
     v = 4 / math.pi**2 * turn * turn
     weight = v / (v - plain + (1 + eps))
     near = distance / (diagonal + eps)
@@ -141,8 +142,8 @@ def iou_family(p: Box, q: Box, power: float = 1.0, gamma: float = 0.5, eps: floa
     sigma = F.sqrt(sx * sx + sy * sy)
     sin_x, sin_y = F.abs(sx) / sigma, F.abs(sy) / sigma
     angle = F.cos(F.asin(F.when(sin_x > 2**0.5 / 2, sin_y).otherwise(sin_x)) * 2 - math.pi / 2)
-    drift = 2 - F.exp((angle - 2) * F.pow(sx / cw, F.lit(2.0))) - F.exp((angle - 2) * F.pow(sy / ch, F.lit(2.0)))
-    shape = F.pow(1 - F.exp(-F.abs(p.c - q.c) / F.greatest(p.c, q.c)), F.lit(4.0)) + F.pow(1 - F.exp(-F.abs(p.d - q.d) / F.greatest(p.d, q.d)), F.lit(4.0))
+    drift = 2 - F.exp((angle - 2) * F.pow(sx / cw1, F.lit(2.0))) - F.exp((angle - 2) * F.pow(sy / ch1, F.lit(2.0)))
+    shape = F.pow(1 - F.exp(-F.abs(p.c - q.c) / F.greatest(p.c, q.c, F.lit(eps))), F.lit(4.0)) + F.pow(1 - F.exp(-F.abs(p.d - q.d) / F.greatest(p.d, q.d, F.lit(eps))), F.lit(4.0))
     return {
         "iou": plain, "giou": plain - (hull - union) / hull, "diou": plain - near, "ciou": plain - (near + v * weight),
         "eiou": plain - (near + stretch), "siou": plain - 0.5 * (drift + shape), "alpha_iou": soft, "focal": F.pow(inter / (union + eps), F.lit(gamma)),
@@ -165,6 +166,17 @@ def warp(b: Box, m: list[list[float]], width: float, height: float) -> Box:
     return clip(Box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)), width, height)
 
 
+def mosaic9_pad(place: Column, w: Column, h: Column, w0: Column, h0: Column, wp: Column, hp: Column, s: float) -> tuple[Column, Column]:
+    """Left and top of the tile at a place of a mosaic of nine on a canvas of three times s: the first tile in the middle, the others around it.
+
+    w0, h0 are the size of the first tile, wp, hp that of the one before.
+    """
+    x = [s, s, s + wp, s + w0, s + w0, s + w0 - w, s + w0 - wp - w, s - w, s - w]
+    y = [s, s - h, s - h, s, s + hp, s + h0, s + h0, s + h0 - h, s + h0 - hp - h]
+    pick = lambda values: F.get(F.array(*(F.lit(v) if isinstance(v, float) else v for v in values)), place)
+    return pick(x), pick(y)
+
+
 def polygon_bounds(points: Column) -> Box:
     """Corners around array<struct<x, y>>."""
     x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

@@ -62,3 +62,23 @@ def upright_size(width: Column, height: Column, orientation: Column) -> tuple[Co
     """Width and height after the EXIF orientation: quarter turns swap them."""
     turned = orientation.isin(6, 8)
     return F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
+
+
+def is_url(c: Column) -> Column:
+    """Whether a text has a scheme and a host; nothing is fetched."""
+    return F.coalesce(c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), F.lit(False))
+
+
+def age_in_days(modified: Column, now: Column) -> Column:
+    """Whole days between two times."""
+    return F.floor((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(modified.cast("timestamp"))) / 86400).cast("long")
+
+
+def plain_date(modified: Column) -> Column:
+    """Year-month-day without leading zeros."""
+    return F.concat_ws("-", F.year(modified).cast("string"), F.month(modified).cast("string"), F.day(modified).cast("string"))
+
+
+def frame_name(stem_: Column, is_image: Column, frame: Column) -> Column:
+    """Name of an output file: the stem, with the frame number for videos."""
+    return F.when(is_image, stem_).otherwise(F.concat(stem_, F.lit("_"), frame.cast("string")))

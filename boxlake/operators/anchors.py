@@ -17,9 +17,14 @@ def anchor_table(spark) -> DataFrame:
     return spark.createDataFrame([(i, j, STRIDES[i], float(w), float(h)) for i, level in enumerate(ANCHORS) for j, (w, h) in enumerate(level)], "level int, anchor int, stride int, aw double, ah double")
 
 
+def over(a, b):
+    """a / b, and infinity where b is 0."""
+    return F.coalesce(F.try_divide(a, b), F.lit(float("inf")))
+
+
 def ratio(w, h, aw, ah):
-    """The worse of width and height ratio, as 1 or less."""
-    return F.least(F.least(w / aw, aw / w), F.least(h / ah, ah / h))
+    """The worse of width and height ratio, as 1 or less; 0 for a box without width or height."""
+    return F.least(F.least(w / aw, over(aw, w)), F.least(h / ah, over(ah, h)))
 
 
 def best_possible_recall(boxes: DataFrame, limit: float = 4.0) -> DataFrame:
@@ -36,7 +41,7 @@ def assign_targets(boxes: DataFrame, net: int = 640, limit: float = 4.0) -> Data
     t = boxes.crossJoin(F.broadcast(anchor_table(boxes.sparkSession)))  # 9 rows
     grid = F.lit(float(net)) / F.col("stride")
     gx, gy = F.col("x") / F.col("stride"), F.col("y") / F.col("stride")
-    t = t.where(F.greatest(F.col("w") / F.col("aw"), F.col("aw") / F.col("w"), F.col("h") / F.col("ah"), F.col("ah") / F.col("h")) < limit).withColumns({"gx": gx, "gy": gy, "grid": grid})
+    t = t.where(F.greatest(F.col("w") / F.col("aw"), over(F.col("aw"), F.col("w")), F.col("h") / F.col("ah"), over(F.col("ah"), F.col("h"))) < limit).withColumns({"gx": gx, "gy": gy, "grid": grid})
     near = lambda c: (F.pmod(F.col(c), F.lit(1.0)) < 0.5) & (F.col(c) > 1)
     far = lambda c: (F.pmod(F.col("grid") - F.col(c), F.lit(1.0)) < 0.5) & (F.col("grid") - F.col(c) > 1)
     shift = lambda ok, dx, dy: F.when(ok, F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")))

@@ -15,7 +15,7 @@ from boxlake.functions.boxes import box, iou
 from boxlake.operators.scan import maxima_from_here, running_sums, written
 
 N_THR = 10
-CHUNKS = 1024
+CHUNKS = 256
 
 
 def threshold(k: Column) -> Column:
@@ -59,24 +59,27 @@ def curve(labels: DataFrame, detections: DataFrame) -> DataFrame:
     rows = known.join(flags, ["image_id", "class_id", "det_id"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
     rows = rows.withColumns({f"tp{k}": F.array_contains("hits", k).cast("long") for k in range(N_THR)}).withColumn("one", F.lit(1).cast("long")).drop("hits")
     order = [F.desc("conf"), F.asc("image_id"), F.asc("det_id")]
-    chunk = F.floor((F.lit(1.0) - F.col("conf")) * CHUNKS)
+    cuts = known.agg(F.percentile_approx("conf", [i / CHUNKS for i in range(1, CHUNKS)], 10_000)).first()[0] or []  # CHUNKS numbers, however confidences are spread
+    cuts = sorted(set(cuts))
+    chunk = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("conf"))) if cuts else F.lit(0)
     ks = range(N_THR)
     sums = written(running_sums(rows, ["class_id"], chunk, order, {"n": "one"} | {f"tpc{k}": f"tp{k}" for k in ks}).drop(*(f"tp{k}" for k in ks), "one"))
     sums = sums.withColumns({f"p{k}": F.col(f"tpc{k}") / F.col("n").cast("double") for k in ks})
-    tops = maxima_from_here(sums, ["class_id"], order, {f"e{k}": f"p{k}" for k in ks})  # all thresholds in one sort
+    tops = maxima_from_here(sums, ["class_id"], [F.asc("conf"), F.desc("image_id"), F.desc("det_id")], {f"e{k}": f"p{k}" for k in ks})  # all thresholds in one sort
     points = F.explode(F.array(*(F.struct(F.lit(k).alias("thr"), F.col(f"tpc{k}").alias("tpc"), F.col(f"p{k}").alias("precision"), F.col(f"e{k}").alias("envelope")) for k in ks)))
     long = tops.select("class_id", "image_id", "det_id", "conf", "n", "n_labels", points.alias("p")).select("*", "p.*").drop("p")
     return long.withColumn("recall", F.col("tpc") / (F.col("n_labels") + F.lit(1e-16)))
 
 
-def average_precision(labels: DataFrame, detections: DataFrame) -> DataFrame:
+def average_precision(labels: DataFrame, detections: DataFrame, curves: DataFrame | None = None) -> DataFrame:
     """class_id, thr, ap for every class that labels have: 101-point interpolation of the envelope over recall, by trapezoids.
 
     A grid point needs the last row at or below its recall and the first row
     above it, so rows are first reduced to the first and last of each
-    hundredth of recall; what the windows order is 102 rows per curve.
+    hundredth of recall; what the windows order is 102 rows per curve.  curves
+    are those of curve(), if they are known.
     """
-    rows = curve(labels, detections).select("class_id", "thr", "recall", "envelope", "n")
+    rows = (curve(labels, detections) if curves is None else curves).select("class_id", "thr", "recall", "envelope", "n")
     up = F.ceil(F.col("recall") * 100)
     cell = F.when((up - 1) / 100.0 >= F.col("recall"), up - 1).when(up / 100.0 < F.col("recall"), up + 1).otherwise(up)  # recall in ((cell - 1) / 100, cell / 100]
     spot = F.struct("recall", "envelope")
@@ -93,12 +96,12 @@ def average_precision(labels: DataFrame, detections: DataFrame) -> DataFrame:
     return grid.withColumns({"l": left, "r": right}).groupBy("class_id", "thr").agg(F.sum(line * weight).alias("ap"), F.count("first").alias("__any")).select("class_id", "thr", F.when(F.col("__any") > 0, F.col("ap")).otherwise(0.0).alias("ap"))
 
 
-def operating_grid(labels: DataFrame, detections: DataFrame, points: int = 1000, eps: float = 1e-16) -> DataFrame:
+def operating_grid(labels: DataFrame, detections: DataFrame, points: int = 1000, eps: float = 1e-16, curves: DataFrame | None = None) -> DataFrame:
     """class_id, k, recall, precision, f1 on a grid of confidences k / (points - 1) at IoU 0.5; the curve is linear between its rows.
 
     Rows are reduced to the first and last of each cell of confidence before anything is ordered.
     """
-    rows = curve(labels, detections).where("thr = 0").select("class_id", "conf", "n", "recall", "precision")
+    rows = (curve(labels, detections) if curves is None else curves).where("thr = 0").select("class_id", "conf", "n", "recall", "precision")
     step = float(points - 1)
     low = F.floor(F.col("conf") * step)
     cell = F.when(low / step > F.col("conf"), low - 1).when((low + 1) / step <= F.col("conf"), low + 1).otherwise(low)  # conf in [cell, cell + 1) / step
@@ -127,9 +130,9 @@ def smooth(df: DataFrame, order: str, value: str, points: int, share: float = 0.
     return rows.withColumn("smooth", (near + left * F.col("__first") + right * F.col("__last")) / width).drop("__i", "__first", "__last")
 
 
-def operating_point(labels: DataFrame, detections: DataFrame, points: int = 1000, eps: float = 1e-16) -> DataFrame:
+def operating_point(labels: DataFrame, detections: DataFrame, points: int = 1000, eps: float = 1e-16, curves: DataFrame | None = None) -> DataFrame:
     """Per class precision, recall, f1, tp and fp at the confidence with the largest smoothed mean F1."""
-    grid = operating_grid(labels, detections, points, eps)
+    grid = operating_grid(labels, detections, points, eps, curves)
     n_labels = labels.groupBy(F.col("class_id").alias("c")).agg(F.count("*").alias("n_labels"))
     mean = grid.groupBy("k").agg((F.sum("f1") / labels.select("class_id").distinct().count()).alias("f1_mean"))
     best = smooth(mean, "k", "f1_mean", points, 0.1).withColumn("smooth", F.round("smooth", 9)).orderBy(F.desc("smooth"), "k").limit(1).select(F.col("k").alias("best_k"))

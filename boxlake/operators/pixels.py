@@ -152,3 +152,40 @@ def smooth_series(df: DataFrame, key: str, order: str, value: str, schema: str,
         return g.assign(smooth=x)[[key, order, "smooth"]]
 
     return df.groupBy(key).applyInPandas(run, schema)
+
+
+def butterworth(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients b, a of a digital low-pass; cutoff is a share of the Nyquist frequency.  Poles on a circle, bilinear transform."""
+    edge = 4 * np.tan(np.pi * cutoff / 2)
+    poles = edge * np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    a = np.real(np.poly((4 + poles) / (4 - poles)))
+    b = np.poly(-np.ones(order)) * np.real(edge**order / np.prod(4 - poles))
+    return b, a
+
+
+def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x through the filter once, starting as if its first value had always been there."""
+    n = len(a) - 1
+    step = np.eye(n) - np.eye(n, k=1)
+    step[:, 0] += a[1:]
+    state = np.linalg.solve(step, b[1:] - a[1:] * b[0]) * x[0]
+    out = np.empty(len(x))
+    for i, v in enumerate(x):
+        out[i] = y = b[0] * v + state[0]
+        state = np.append(state[1:], 0.0) + b[1:] * v - a[1:] * y
+    return out
+
+
+def lowpass_series(df: DataFrame, key: str, order: str, value: str, schema: str, cutoff: float = 0.06, poles: int = 5) -> DataFrame:
+    """Each series through a Butterworth low-pass forward and backward, so that nothing is shifted; the ends are mirrored in their points."""
+    b, a = butterworth(poles, cutoff)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order)
+        x = g[value].to_numpy(float)
+        pad = min(3 * (poles + 1), len(x) - 1)
+        wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1])) if pad else x
+        twice = filtered(b, a, filtered(b, a, wide)[::-1])[::-1]
+        return g.assign(smooth=twice[pad : pad + len(x)])[[key, order, "smooth"]]
+
+    return df.groupBy(key).applyInPandas(run, schema)

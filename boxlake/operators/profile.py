@@ -72,8 +72,9 @@ def dataset_stats(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def shared_histogram(df: DataFrame, value: str, group: str, bins: int = 40) -> DataFrame:
-    """Shares of each group in equal bins between the minimum and maximum over all groups; the last bin is closed."""
+    """Shares of each group in equal bins between the minimum and maximum over all groups; the last bin is closed.  A single value is the middle of a range of 1."""
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))  # one row
+    ends = ends.select(F.when(F.col("lo") < F.col("hi"), F.col("lo")).otherwise(F.col("lo") - 0.5).alias("lo"), F.when(F.col("lo") < F.col("hi"), F.col("hi")).otherwise(F.col("hi") + 0.5).alias("hi"))
     at = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("long")
     counts = df.crossJoin(F.broadcast(ends)).groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"))
     return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(group)), 6))
@@ -119,6 +120,19 @@ def even_sample(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
     return rows.where((F.col("__n") <= k) | F.array_contains(spots, F.col("__i").cast("long"))).drop("__i", "__n", "__g")
 
 
+def mean_and_std(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per column: name, mean and population deviation."""
+    one = df.agg(*(F.struct(F.lit(c).alias("name"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(f"s{i}") for i, c in enumerate(columns)))
+    return one.select(F.explode(F.array(*one.columns)).alias("s")).select("s.*")
+
+
+def shared_entries(a: DataFrame, b: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a(key, shape, ...) whose key b has with the same shape, without keys that hold one of exclude."""
+    for x in exclude:
+        a = a.where(~F.col("key").contains(x))
+    return a.join(b.select("key", "shape").distinct(), ["key", "shape"], "left_semi")
+
+
 def with_min_items(labels: DataFrame, least: int) -> DataFrame:
     """Labels of the images that have at least so many."""
     enough = labels.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("image_id")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,11 +31,14 @@ def running_sums(df: DataFrame, keys: list[str], chunk: Column, order: list[Colu
 
 
 def maxima_from_here(df: DataFrame, keys: list[str], order: list[Column], maxima: dict[str, str]) -> DataFrame:
-    """df, which has __chunk of running_sums, with the maximum of each value (output: input) over the row and all later rows of its key."""
+    """df, which has __chunk of running_sums, with the maximum of each value (output: input) over the row and all later rows of its key.
+
+    order is the reverse of the order of running_sums: a running maximum then, one step for each row.
+    """
     totals = df.groupBy(*keys, "__chunk").agg(*(F.max(v).alias(f"__m_{o}") for o, v in maxima.items()))
     after = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(1, Window.unboundedFollowing)
     tops = totals.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__chunk").alias("__c"), *(F.max(f"__m_{o}").over(after).alias(f"__top_{o}") for o in maxima))
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col("__chunk") == F.col("__c")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
@@ -43,13 +46,19 @@ def maxima_from_here(df: DataFrame, keys: list[str], order: list[Column], maxima
     return local.join(tops, same).withColumns({o: F.greatest(o, f"__top_{o}") for o in maxima}).drop("__c", *(f"__top_{o}" for o in maxima), *(f"__k_{k}" for k in keys))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage: written to the shared checkpoint folder and read back, so that it is computed once."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="boxlake-")  # only where no folder is set, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="boxlake-")  # one machine, as in tests
         spark.sparkContext.setCheckpointDir(where)
-    path = f"{where}/step-{uuid.uuid4().hex}"
+    return f"{where}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage: written to the shared checkpoint folder and read back, so that it is computed once."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

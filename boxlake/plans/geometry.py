@@ -134,7 +134,7 @@ def resampled_polygons(spark: SparkSession, d: str) -> DataFrame:
     return p.select("image_id", "label_id", "i", r("p.x").alias("x"), r("p.y").alias("y"))
 
 
-SQL["resampled_polygons"] = f"""{with_sql('gt')}, q AS (SELECT image_id, label_id, [cx - w, cx, cx + w, cx, cx - w] AS xs, [cy, cy - h, cy, cy + h, cy] AS ys, k, k * 4 / 8e0 AS s, least(floor(k * 4 / 8e0)::INT, 3) AS l FROM gt, range(9) g(k) WHERE image_id % 50 = 0)
+SQL["resampled_polygons"] = f"""{with_sql('gt')}, q AS (SELECT image_id, label_id, [cx - w, cx, cx + w, cx, cx - w] AS xs, [cy, cy - h, cy, cy + h, cy] AS ys, k, k * 4 / 8e0 AS s, least(floor(k * 4 / 8e0)::INT, 3) AS l FROM gt, range(9) g(k))
 SELECT image_id, label_id, k::INTEGER AS i, round(xs[l + 1] + (xs[l + 2] - xs[l + 1]) * (s - l), 6) AS x, round(ys[l + 1] + (ys[l + 2] - ys[l + 1]) * (s - l), 6) AS y FROM q"""
 
 

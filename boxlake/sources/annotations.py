@@ -6,7 +6,7 @@ split, pushed down and pruned as its format allows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxlake.functions.boxes import Box, clip, to_normalised
@@ -61,7 +61,9 @@ def voc(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 def visdrone(spark: SparkSession, path: str, sizes: DataFrame) -> DataFrame:
     """Rows left,top,width,height,score,category,...: ignored regions (score 0) go, categories count from 0; sizes(stem, width, height)."""
-    rows = spark.read.schema("bx double, by double, bw double, bh double, score int, category int, truncation int, occlusion int").csv(path).withColumn("stem", stem(F.input_file_name()))
+    rows = spark.read.schema("bx double, by double, bw double, bh double, score int, category int, truncation int, occlusion int").csv(path)
+    if "stem" not in rows.columns:  # a folder stem=... says it, too
+        rows = rows.withColumn("stem", stem(F.input_file_name()))
     j = rows.where("score <> 0").join(sizes, "stem")
     return j.select("stem", (F.col("category") - 1).alias("class_id"), ((F.col("bx") + F.col("bw") / 2) / F.col("width")).alias("x"), ((F.col("by") + F.col("bh") / 2) / F.col("height")).alias("y"), (F.col("bw") / F.col("width")).alias("w"), (F.col("bh") / F.col("height")).alias("h"))
 
@@ -73,12 +75,15 @@ def sku(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("image", F.lit(0).alias("class_id"), *b.named("x", "y", "w", "h"))
 
 
-def coco(spark: SparkSession, path: str, do_clip: bool = True) -> DataFrame:
-    """COCO JSON: images, annotations and categories joined; class is the place of the category in its list."""
+def coco(spark: SparkSession, path: str, do_clip: bool = True, multi_line: bool = True) -> DataFrame:
+    """COCO JSON: images, annotations and categories joined; class is the place of the category in its list.
+
+    One document per file, or one per line; documents share image ids and the list of categories.
+    """
     schema = "images array<struct<id: long, file_name: string, width: double, height: double>>, annotations array<struct<id: long, image_id: long, category_id: long, bbox: array<double>, iscrowd: int>>, categories array<struct<id: long, name: string>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     images = doc.select(F.explode("images").alias("i")).select("i.*").withColumnRenamed("id", "img")
-    cats = doc.select(F.posexplode("categories").alias("class_id", "c")).select("class_id", F.col("c.id").alias("cat"), F.col("c.name").alias("class_name"))
+    cats = doc.select(F.posexplode("categories").alias("class_id", "c")).select("class_id", F.col("c.id").alias("cat"), F.col("c.name").alias("class_name")).distinct()
     anns = doc.select(F.explode("annotations").alias("a")).select("a.*").where(F.coalesce("iscrowd", F.lit(0)) == 0)
     j = anns.join(images, F.col("image_id") == F.col("img")).join(F.broadcast(cats), F.col("category_id") == F.col("cat"))  # one row per category
     corners = Box(F.col("bbox")[0], F.col("bbox")[1], F.col("bbox")[0] + F.col("bbox")[2], F.col("bbox")[1] + F.col("bbox")[3])
@@ -86,21 +91,24 @@ def coco(spark: SparkSession, path: str, do_clip: bool = True) -> DataFrame:
     return j.select("file_name", "class_id", "class_name", *b.named("x", "y", "w", "h")).where("w > 0 AND h > 0")
 
 
-def argoverse(spark: SparkSession, path: str, width: float = 1920.0, height: float = 1200.0) -> DataFrame:
-    """Driving JSON: annotations refer to images, images to folders, both by place; grouped by label path."""
+def argoverse(spark: SparkSession, path: str, width: float = 1920.0, height: float = 1200.0, multi_line: bool = True) -> DataFrame:
+    """Driving JSON: annotations refer to images, images to folders, both by place in their document."""
     schema = "seq_dirs array<string>, images array<struct<id: long, name: string, sid: int>>, annotations array<struct<image_id: int, category_id: int, bbox: array<double>>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    dirs = doc.select(F.posexplode("seq_dirs").alias("sid", "dir"))
-    images = doc.select(F.posexplode("images").alias("at", "i")).select("at", "i.name", "i.sid").join(F.broadcast(dirs), "sid")  # one row per drive
-    a = doc.select(F.explode("annotations").alias("a")).select("a.*").join(images, F.col("image_id") == F.col("at"))
+    doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+    def placed(a: Column) -> Column:
+        image = F.get("images", a["image_id"])
+        return F.struct(a["category_id"].alias("class_id"), a["bbox"].alias("bbox"), image["name"].alias("name"), F.get("seq_dirs", image["sid"]).alias("dir"))
+
+    a = doc.select(F.explode(F.transform("annotations", placed)).alias("a")).select("a.*").where("name IS NOT NULL AND dir IS NOT NULL")
     x, y, w, h = (F.col("bbox")[i] for i in range(4))
-    return a.select(F.concat_ws("/", "dir", F.concat(stem(F.col("name")), F.lit(".txt"))).alias("label_path"), F.col("category_id").alias("class_id"), ((x + w / 2) / width).alias("x"), ((y + h / 2) / height).alias("y"), (w / width).alias("w"), (h / height).alias("h"))
+    return a.select(F.concat_ws("/", "dir", F.concat(stem(F.col("name")), F.lit(".txt"))).alias("label_path"), "class_id", ((x + w / 2) / width).alias("x"), ((y + h / 2) / height).alias("y"), (w / width).alias("w"), (h / height).alias("h"))
 
 
-def xview(spark: SparkSession, path: str, lookup: list[int], sizes: DataFrame) -> DataFrame:
+def xview(spark: SparkSession, path: str, lookup: list[int], sizes: DataFrame, multi_line: bool = True) -> DataFrame:
     """Overhead GeoJSON: corners in a text property, types looked up (-1 is rejected), clipped to the image."""
     schema = "features array<struct<properties: struct<bounds_imcoords: string, image_id: string, type_id: int>>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     p = doc.select(F.explode("features").alias("f")).select("f.properties.*").where("length(bounds_imcoords) > 0")
     c = F.transform(F.split("bounds_imcoords", ","), lambda v: v.cast("double"))
     p = p.withColumns({"c": c, "class_id": F.element_at(F.array(*map(F.lit, lookup)), F.col("type_id") + 1)}).where("class_id BETWEEN 0 AND 59").join(sizes, "image_id")

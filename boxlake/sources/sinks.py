@@ -63,6 +63,11 @@ def append_metrics(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
 
+def append_metrics_csv(rows: DataFrame, path: str) -> None:
+    """Append rows of metrics to a CSV log: each file has one header, so a reader with headers sees every row once and no header."""
+    rows.coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
 def nested_summary(counts: DataFrame) -> DataFrame:
     """One JSON text {split: {class: n}} of counts(split, class_id, n); splits x classes values."""
     per = counts.groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("class_id").cast("string"), "n")))).alias("classes"))
