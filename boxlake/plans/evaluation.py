@@ -294,7 +294,7 @@ def iou_family(spark: SparkSession, d: str) -> DataFrame:
     other = det.select("image_id", "class_id", "det_id", *c.named("px", "py", "pw", "ph"), "x1", "y1", "x2", "y2")
     j = gt.join(other, ["image_id", "class_id"])
     p, q = B.box("px", "py", "pw", "ph"), B.box("cx", "cy", "w", "h")
-    f = B.iou_family(p, q) | {"plain": B.iou_or_zero(B.to_corners(p), B.to_corners(q)), "ioa": B.ioa(B.to_corners(p), B.to_corners(q)), "wh": B.wh_iou(p.c, p.d, q.c, q.d)}
+    f = B.iou_family(p, q) | {"plain": B.iou_or_zero(B.box("x1", "y1", "x2", "y2"), B.to_corners(q)), "ioa": B.ioa(B.to_corners(p), B.to_corners(q)), "wh": B.wh_iou(p.c, p.d, q.c, q.d)}
     return j.select("image_id", "label_id", "det_id", *(F.round(v, 6).alias(k) for k, v in f.items()))
 
 
@@ -307,4 +307,4 @@ b AS (SELECT *, cos(asin(sn) * 2 - pi() / 2) AS ang, power(1 - exp(-abs(pw - w)
 SELECT image_id, label_id, det_id, round(io, 6) AS iou, round(io - (cw * ch + 1e-7 - un) / (cw * ch + 1e-7), 6) AS giou, round(io - near, 6) AS diou, round(io - (near + v * v / (v - io + (1 + 1e-7))), 6) AS ciou,
   round(io - (near + (w - pw) * (w - pw) / (cw * cw + 1e-7) + (h - ph) * (h - ph) / (ch * ch + 1e-7)), 6) AS eiou,
   round(io - 5e-1 * (2 - exp((ang - 2) * (sx / cw) * (sx / cw)) - exp((ang - 2) * (sy / ch) * (sy / ch)) + shp), 6) AS siou, round(inter / (un + 1e-7), 6) AS alpha_iou, round(sqrt(inter / (un + 1e-7)), 6) AS focal,
-  round(CASE WHEN pw * ph + w * h - inter > 0 THEN inter / (pw * ph + w * h - inter) ELSE 0 END, 6) AS plain, round(inter / (w * h + 1e-7), 6) AS ioa, round(least(pw, w) * least(ph, h) / (pw * ph + w * h - least(pw, w) * least(ph, h) + 1e-7), 6) AS wh FROM b"""
+  round(CASE WHEN pw * ph + (gx2 - gx1) * (gy2 - gy1) - inter > 0 THEN inter / (pw * ph + (gx2 - gx1) * (gy2 - gy1) - inter) ELSE 0 END, 6) AS plain, round(inter / (w * h + 1e-7), 6) AS ioa, round(least(pw, w) * least(ph, h) / (pw * ph + w * h - least(pw, w) * least(ph, h) + 1e-7), 6) AS wh FROM b"""
