@@ -9,14 +9,17 @@ that the chain falls apart into runs of other tokens that are decoded on their
 own.  A decoded run is a span from end to end, without quotes, brackets and the
 name it is assigned to; where base spans cover parts of it, the rest is kept.
 
-Training is on the driver from a bounded sample: ``sample_rows`` whole texts of
+The likelihood is that of whole runs: begin, transitions and the transition to
+outside behind the last token, the same terms that Viterbi maximises.  Training is on the driver from a bounded sample: ``sample_rows`` whole texts of
 ``sample_chars`` characters at most (about; by the hash of their ids, never more
 than twice as many) labelled by the base patterns, and
-``synthetic_rows`` generated lines with secrets of many formats and look-alikes.
+``synthetic_rows`` generated lines with secrets of many formats and look-alikes;
+runs of more than ``TRAIN_RUN`` tokens teach in pieces, decoding never cuts them.
 
 Edge cases: a null text is empty; an empty table still trains on generated
-lines and gives no rows; equal starts are ordered by kind; repeated rows are
-scanned each; other columns of the input are ignored.
+lines and gives no rows; equal starts are ordered by kind, equal scores go to the
+state nearest to outside; a text of any length is decoded whole, in time in
+proportion; repeated rows are scanned each; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -99,24 +102,28 @@ def assigned(words: list[str], i: int) -> bool:
     return i > 1 and words[i - 1] in ("=", ":", ":=", "=>", "->") and bool(KEYWORD.search(words[i - 2]))
 
 
-def file_features(words: list[str], odd: int) -> list[float]:
-    return [odd > 0.2 * len(words), len(words) < 40]
+def file_features(words: list[str], odd: int, keys: int) -> list[float]:
+    """Features of the file: how many tokens aren't plain, its length, key words, and whether it looks like code or settings."""
+    n, ends = len(words), sum(w[-1] in ";={}:," for w in words)
+    return [odd > 0.2 * n, odd > 0.05 * n, n < 40, n > 2000, keys > 0, keys > 0.02 * n, ends > 0.15 * n]
 
 
-N_FEATURES = len(shape("abcdefgh1")) + 2 * 4 + 4 + 2 + 4
+N_FEATURES = len(shape("abcdefgh1")) + 2 * 4 + 4 + 7 + 4
+#: tokens of a run in training
+TRAIN_RUN = 32
 
 
 def lattice(words: list[str]) -> tuple[list[int], list[list[float]]]:
     """Positions of the tokens that aren't plain or are beside a key word, and their features."""
     at = [i for i, w in enumerate(words) if len(w) >= 8 and not w.isalpha() and not plain(w)]
-    odd = len(at)
+    odd, keys = len(at), []
     if KEYWORD.search(" ".join(words)):
         keys = [i for i, w in enumerate(words) if len(w) >= 4 and KEYWORD.search(w)]
         near = {i for k in keys for i in (k - 1, k + 1) if 0 <= i < len(words)} | {k + 2 for k in keys if k + 2 < len(words) and words[k + 1].strip(EDGE) in ("", "=", ":", "->", "is")}
         at = sorted(set(at) | {i for i in near if ALNUM.search(words[i])})
     if not at:
         return [], []
-    whole, near = file_features(words, odd), lambda i: beside(words[i] if 0 <= i < len(words) else None)
+    whole, near = file_features(words, odd, len(keys)), lambda i: beside(words[i] if 0 <= i < len(words) else None)
     out = []
     for i in at:
         easy, after, own = plain(words[i]), assigned(words, i), bool(KEYWORD.search(words[i]))
@@ -216,7 +223,7 @@ def fit(lines: list[tuple[list[str], list[int]]], steps: int = 150, rate: float
         k = 0
         while k < len(at):
             j = k
-            while j + 1 < len(at) and at[j + 1] == at[j] + 1 and j + 1 - k < 8:
+            while j + 1 < len(at) and at[j + 1] == at[j] + 1 and j + 1 - k < TRAIN_RUN:
                 j += 1
             runs.append((np.array(features[k : j + 1]), [states[i] for i in at[k : j + 1]]))
             k = j + 1
@@ -226,6 +233,7 @@ def fit(lines: list[tuple[list[str], list[int]]], steps: int = 150, rate: float
         x[i, : len(s)], y[i, : len(s)], mask[i, : len(s)] = f, s, True
     one = np.eye(3)[y] * mask[..., None]
     pair = np.einsum("nti,ntj->ij", one[:, :-1], one[:, 1:])
+    pair[:, 0] += one[np.arange(n), mask.sum(1) - 1].sum(0)  # what follows a run is outside
     w, a, b = np.zeros((N_FEATURES, 3)), np.zeros((3, 3)), np.zeros(3)
     forbid = np.zeros((3, 3))
     forbid[0, 2] = -30.0  # inside never follows outside
@@ -239,13 +247,17 @@ def fit(lines: list[tuple[list[str], list[int]]], steps: int = 150, rate: float
         for i in range(1, t):
             step = lse(alpha[:, i - 1, :, None] + tr, 1) + emit[:, i]
             alpha[:, i] = np.where(mask[:, i, None], step, alpha[:, i - 1])
+        beta[:, t - 1] = tr[:, 0]
         for i in range(t - 2, -1, -1):
             step = lse(tr + (emit[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-            beta[:, i] = np.where(mask[:, i + 1, None], step, 0.0)
-        z = lse(alpha[:, -1], 1)
+            beta[:, i] = np.where(mask[:, i + 1, None], step, tr[:, 0])
+        last = alpha[:, -1] + tr[:, 0]
+        z = lse(last, 1)
         prob = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
         both = np.exp(alpha[:, :-1, :, None] + tr + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-        grads = (np.einsum("ntf,nts->fs", x, prob - one) / n + decay * w, (both.sum((0, 1)) - pair) / n + decay * a, (prob[:, 0] - one[:, 0]).mean(0))
+        moves = both.sum((0, 1))
+        moves[:, 0] += np.exp(last - z[:, None]).sum(0)
+        grads = (np.einsum("ntf,nts->fs", x, prob - one) / n + decay * w, (moves - pair) / n + decay * a, (prob[:, 0] - one[:, 0]).mean(0))
         for v, g, p in zip((w, a, b), grads, past, strict=True):
             p += g * g
             v -= rate * g / np.sqrt(p)
@@ -258,10 +270,13 @@ def train(docs: DataFrame, sample_rows: int = 300, sample_chars: int = 20_000, s
     step = max(1, docs.count() // sample_rows)
     sample = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")).where((F.pmod("h", F.lit(step)) == 0) & (F.length("text") <= sample_chars)).orderBy("h", "text").limit(2 * sample_rows)
     for row in sample.collect():  # a bounded training sample
-        spans, words, states = base_spans(row["text"]), [], []
+        spans, words, states, before = base_spans(row["text"]), [], [], None
         for m in TOKEN.finditer(row["text"]):
             words.append(m[0])
-            states.append(int(any(s < m.end() and m.start() < e and not row["text"][s:e].isdigit() for _, s, e in spans) and (not plain(m[0]) or assigned(words, len(words) - 1))))
+            of = next(((s, e) for _, s, e in spans if s < m.end() and m.start() < e and not row["text"][s:e].isdigit()), None)
+            secret = of is not None and (not plain(m[0]) or assigned(words, len(words) - 1))
+            states.append((2 if of == before and states[-1] else 1) if secret else 0)  # inside, if the span goes on
+            before = of if secret else None
         lines.append((words, states))
     return fit(lines)
 

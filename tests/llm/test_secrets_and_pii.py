@@ -1,9 +1,11 @@
 """Base spans against the patterns as the contract writes them; what the methods add."""
 
+import itertools
 import random
-import time
 import re
+import time
 
+import numpy as np
 import pytest
 from llm import pii, secrets
 
@@ -165,3 +167,39 @@ def test_spans_are_disjoint_and_map_back():
         assert not any(s < y and x < e for _, s, e in added for _, x, y in base)
         places = sorted((s, e) for _, s, e in added)
         assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
+
+
+def test_likelihood_is_that_of_viterbi():
+    """After training, forward sums over all paths agree with a plain enumeration that has begin, transitions and end."""
+    lines = [secrets.generated(random.Random(i)) for i in range(60)]
+    model = secrets.fit(lines, steps=40)
+    for words, _ in lines[:20]:
+        at, features = secrets.lattice(words)
+        if not at or len(at) > 5 or at[-1] - at[0] != len(at) - 1:
+            continue
+        emit = np.array(features) @ model.weights
+        paths = itertools.product(range(3), repeat=len(at))
+        value = lambda p: model.begin[p[0]] + sum(emit[i, s] for i, s in enumerate(p)) + sum(model.trans[a, b] for a, b in zip(p, [*p[1:], 0], strict=True))  # noqa: B023, E731
+        assert value(secrets.viterbi(emit, model.trans, model.begin)) == pytest.approx(max(map(value, paths)))
+
+
+def test_precision_and_recall_on_documents(spark):
+    """Secrets of formats that no base pattern covers, put into prose of the documents; clean documents get no added span."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = secrets.train(docs)
+    rng = random.Random(12)
+    b64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    hit = total = clean = false = 0
+    for r in docs.where("length(text) BETWEEN 200 AND 3000").orderBy("doc_id").limit(120).collect():
+        base, added = secrets.secret_spans(r.text, model)
+        if not base:
+            clean += 1
+            false += bool(added)
+        words = r.text.split(" ")
+        value = rng.choice(("ghp_", "sk-", "xoxb-12345678-")) + "".join(rng.choice(b64) for _ in range(34))
+        words.insert(rng.randrange(len(words)), value)
+        text = " ".join(words)
+        place = text.index(value)
+        total += 1
+        hit += any(s <= place + 1 and e >= place + len(value) - 1 for _, s, e in secrets.secret_spans(text, model)[1])
+    assert total > 40 and hit / total > 0.9 and false <= 0.1 * clean
