@@ -26,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="llm-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="llm-shared-")  # one machine, as in tests
         spark.sparkContext.setCheckpointDir(where)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)

@@ -8,7 +8,8 @@ fences (one row per language and source) are joined back and filter the rows.
 
 Edge cases: a null text has no words and fails the base rule; null language or
 source form a group of their own; an empty table gives no rows; repeated rows
-are judged each; columns of the input that clash with the result are ignored.
+are judged each; a text of any length is judged whole; a value equal to a fence is
+inside it; columns of the input that clash with the result are ignored.
 """
 
 from __future__ import annotations

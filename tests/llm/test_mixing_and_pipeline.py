@@ -139,3 +139,19 @@ def test_stages(spark):
             assert all(after[d] == t for d, t in before.items() if pii.pii_spans(t or "") == ([], []))
         rows = out if name == "mixing" else spark.createDataFrame(out.collect(), docs.schema)
     assert rows.count() > 0 and rows.agg(F.max("epoch")).first()[0] <= 4
+
+
+def test_stages_take_odd_rows_and_names(spark):
+    names = ["score", "predicted", "row", "__s", "left", "spans", "items", "cut", "room", "id", "n", "g"]
+    rows = [(i, f"{word} and some more plain words about the weather of day {i} and the harvest, as ever", "en", "a", 1) for i, word in enumerate(["rain", "sun", None, "snow"] * 5) if word]
+    rows += [(100, None, None, None, None), (101, "", "en", None, 0), (None, "rows without a name stand here too, with quite a few words in them", None, "b", 3), (102, "long words " * 30_000, "en", "b", 9), rows[0], (103, " \n\t ", "", "", 0)]
+    docs = spark.createDataFrame([(*r, *[7] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for rows_now in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows_now, SF)
+            if name != "mixing":
+                assert out.columns == docs.columns
+                rows_now = spark.createDataFrame(out.collect(), docs.schema)
+                assert all(r[n] == 7 for r in rows_now.collect() for n in names)
+            else:
+                out.collect()

@@ -79,3 +79,16 @@ def test_clashing_columns_are_kept(spark):
     model = qc.fit(docs, labels)
     assert all(tuple(r)[2:] == (-5.0, "s", "r", 7) for r in qc.accepted(docs, model, -1.0).collect()) and qc.accepted(docs, model, -1.0).columns == docs.columns
     assert {r["__raw"] for r in qc.classify(docs, model).collect()} == {7} and all(0 <= r.score <= 1 for r in qc.classify(docs, model).collect())
+
+
+def test_fences_of_large_groups_are_close_in_rank(spark):
+    """Groups beyond what a sketch holds exactly: the ranks of its quartiles are off by less than one percent."""
+    rng = random.Random(8)
+    values = [rng.random() ** 3 for _ in range(60_000)]
+    stats = spark.createDataFrame([("en", "a", 10, v, 0.0, 0.0, 5.0) for v in values], "lang string, source string, n_words long, symbol_ratio double, dup_line_ratio double, repeat_ratio double, word_length double")
+    row, n = qr.thresholds(stats, sketch_k=200).first(), len(values)
+    values.sort()
+    at = lambda q: values[int(q * n)]
+    highest = at(0.76) + 3 * (at(0.76) - at(0.24)) + 0.25
+    lowest = at(0.74) + 3 * (at(0.74) - at(0.26)) + 0.25
+    assert lowest <= row.hi_symbol_ratio <= highest
