@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +66,36 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the machine: workers wait for the next stage beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """f over groups, giving memory back after large ones."""
+
+    @functools.wraps(f)
+    def run(t: pa.Table) -> pa.Table:
+        large = t.nbytes > 1 << 22
+        out = f(t)
+        if large:
+            del t
+            give_back()
+        return out
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most; when they end, memory is given back."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    give_back()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

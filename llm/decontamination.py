@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from llm.common import as_bytes, merge_spans, saved, table
+from llm.common import as_bytes, give_back, merge_spans, saved, table
 
 #: A-Z to a-z; what is no part of a word to a space
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -215,6 +215,7 @@ def _shards(batches: Iterator[pa.RecordBatch], windows: Windows, shard_words: in
                 n += len(w)
         if texts:
             yield judged(b.slice(start), texts)
+    give_back()
 
 
 def _more(b: pa.RecordBatch, words: list[list[bytes]], spans: list[list], items: list[list]) -> pa.RecordBatch:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import U, as_bytes, mixed, ngrams, saved, shuffle_partitions, slices, table, word_hashes
+from llm.common import U, as_bytes, lean, mixed, ngrams, saved, shuffle_partitions, slices, table, word_hashes
 
 #: stands for a null doc_id; real ids are smaller
 NO_ID = 1 << 62
@@ -259,18 +259,18 @@ def class_links(sets: DataFrame, percent: int, family_rows: int) -> DataFrame:
     tasks = tasks.join(many.select(F.col("family").alias("f"), F.col("node").alias("id"), "n", "keys"), (F.col("family") == F.col("f")) & (F.col("node") == F.col("id"))).drop("f", "id")
     small = whole.where(f"rows <= {family_rows}").select("family", F.lit(0).alias("q"), F.lit(0).alias("d"), "node", F.lit(False).alias("linked"), F.lit(True).alias("indexed"), F.lit(True).alias("query"), "n", "keys")
     searched = small.unionByName(tasks.select(small.columns)).repartition(4 * shuffle_partitions(spark), "family", "q", "d")  # work isn't in proportion to bytes
-    found = searched.groupBy("family", "q", "d").applyInArrow(_search(percent), "a long, b long")
+    found = searched.groupBy("family", "q", "d").applyInArrow(lean(_search(percent)), "a long, b long")
     return saved(found.unionByName(hot.where("linked AND family <> node").select(F.col("family").alias("a"), F.col("node").alias("b"))), "links")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, shard_words: int = 2_000_000, group_words: int = 1_000_000, family_rows: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, shard_words: int = 1_000_000, group_words: int = 600_000, family_rows: int = 512) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text); rows link when 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
     words = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
     shards = max(shuffle_partitions(spark), words // shard_words + 1)
-    index = rows.mapInArrow(_postings(shingle, shards, group_words), POSTINGS).groupBy("shard").applyInArrow(_count, SHARED)
-    index = saved(index.groupBy("group").applyInArrow(_sets(percent), SETS), "index")
+    index = rows.mapInArrow(_postings(shingle, shards, group_words), POSTINGS).groupBy("shard").applyInArrow(lean(_count), SHARED)
+    index = saved(index.groupBy("group").applyInArrow(lean(_sets(percent)), SETS), "index")
     documents = index.where("doc_id IS NOT NULL").select("group", "doc_id", "doc_node", "doc_n").mapInArrow(_documents, "id long, node long, n_shingles long, group long")
     classes = saved(documents.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("group").alias("owner"), F.max("group").alias("last")), "classes")
     copies = classes.where("owner < last").select(F.col("node").alias("of"), "owner")  # of a class that stands in several groups one counts

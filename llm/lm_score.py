@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import U, as_bytes, mixed, shuffle_partitions, slices, table, word_hashes
+from llm.common import U, as_bytes, lean, mixed, shuffle_partitions, slices, table, word_hashes
 
 #: words of a group of documents: so many for each shard, within bounds of memory
 PER_PART, LEAST, MOST = 20_000, 500_000, 1_500_000
@@ -258,8 +258,8 @@ def lm_scores(docs: DataFrame, order: int = 3, min_count: int = 2, backoff: floa
     rows = _narrow(docs)
     shards = _shards(rows)
     size = min(max(LEAST, shards * PER_PART), MOST)
-    counts = rows.mapInArrow(_exploded(order, shards, size), PACKED).groupBy("shard").applyInArrow(_counted, COUNTS)
-    return counts.unionByName(rows.mapInArrow(_groups(size), COUNTS)).groupBy("group").applyInArrow(_scored(order, min_count, backoff), SCORES)
+    counts = rows.mapInArrow(_exploded(order, shards, size), PACKED).groupBy("shard").applyInArrow(lean(_counted), COUNTS)
+    return counts.unionByName(rows.mapInArrow(_groups(size), COUNTS)).groupBy("group").applyInArrow(lean(_scored(order, min_count, backoff)), SCORES)
 
 
 def ngram_counts(docs: DataFrame, order: int = 3) -> DataFrame:
