@@ -65,7 +65,7 @@ def curve(labels: DataFrame, detections: DataFrame) -> DataFrame:
     ks = range(N_THR)
     sums = written(running_sums(rows, ["class_id"], chunk, order, {"n": "one"} | {f"tpc{k}": f"tp{k}" for k in ks}).drop(*(f"tp{k}" for k in ks), "one"))
     sums = sums.withColumns({f"p{k}": F.col(f"tpc{k}") / F.col("n").cast("double") for k in ks})
-    tops = maxima_from_here(sums, ["class_id"], [F.asc("conf"), F.desc("image_id"), F.desc("det_id")], {f"e{k}": f"p{k}" for k in ks})  # all thresholds in one sort
+    tops = maxima_from_here(sums, ["class_id"], "n", {f"e{k}": f"p{k}" for k in ks})  # all thresholds in one sort
     points = F.explode(F.array(*(F.struct(F.lit(k).alias("thr"), F.col(f"tpc{k}").alias("tpc"), F.col(f"p{k}").alias("precision"), F.col(f"e{k}").alias("envelope")) for k in ks)))
     long = tops.select("class_id", "image_id", "det_id", "conf", "n", "n_labels", points.alias("p")).select("*", "p.*").drop("p")
     return long.withColumn("recall", F.col("tpc") / (F.col("n_labels") + F.lit(1e-16)))

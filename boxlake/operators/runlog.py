@@ -68,8 +68,13 @@ def parents(log: DataFrame, n: int = 5) -> DataFrame:
 
 def aspect_batches(images: DataFrame, batch: int, net: int = 640, stride: int = 32, pad: float = 0.5, per_chunk: int = 200) -> DataFrame:
     """Batches of images in the order of height / width, with the shape that wastes least: batch, n, shape_h, shape_w."""
-    rows = images.select("image_id", (F.col("height") / F.col("width")).alias("ar")).withColumns({"k": F.lit(0), "one": F.lit(1)})
-    order = running_sums(rows, ["k"], F.floor(F.col("ar") * per_chunk), [F.asc("ar"), F.asc("image_id")], {"rn": "one"})
+    rows = images.select("image_id", (F.col("height") / F.col("width")).alias("ar"), F.lit(1).alias("one"))
+    # most images share a few ratios: ratios are scanned first, then the ids of each ratio in chunks
+    ratios = rows.groupBy("ar").agg(F.count("*").alias("n")).withColumn("k", F.lit(0))
+    upto = running_sums(ratios, ["k"], F.floor(F.col("ar") * per_chunk), [F.asc("ar")], {"upto": "n"})
+    before = upto.select(F.col("ar").alias("of"), (F.col("upto") - F.col("n")).alias("base"))
+    inside = running_sums(rows, ["ar"], F.floor(F.col("image_id") / 4096), [F.asc("image_id")], {"i": "one"})
+    order = inside.join(before, F.col("ar") == F.col("of")).withColumn("rn", F.col("base") + F.col("i"))
     g = order.groupBy(F.floor((F.col("rn") - 1) / batch).alias("batch")).agg(F.count("*").alias("n"), F.min("ar").alias("lo"), F.max("ar").alias("hi"))
     side = lambda s: (F.ceil(F.lit(float(net)) * s / stride + pad) * stride).cast("long")
     h = F.when(F.col("hi") < 1, F.col("hi")).otherwise(F.lit(1.0))

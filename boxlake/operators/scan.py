@@ -30,20 +30,25 @@ def running_sums(df: DataFrame, keys: list[str], chunk: Column, order: list[Colu
     return out.withColumns({o: F.col(o) + F.col(f"__b_{o}") for o in sums}).drop("__c", *(f"__k_{k}" for k in keys), *(f"__b_{o}" for o in sums))
 
 
-def maxima_from_here(df: DataFrame, keys: list[str], order: list[Column], maxima: dict[str, str]) -> DataFrame:
+def maxima_from_here(df: DataFrame, keys: list[str], order: list[Column] | str, maxima: dict[str, str]) -> DataFrame:
     """df, which has __chunk of running_sums, with the maximum of each value (output: input) over the row and all later rows of its key.
 
-    order is the reverse of the order of running_sums: a running maximum then, one step for each row.
+    order is that of running_sums, or the name of a column that numbers the rows
+    in it.  Rows are scanned from the last to the first: one step for each row.
     """
     totals = df.groupBy(*keys, "__chunk").agg(*(F.max(v).alias(f"__m_{o}") for o, v in maxima.items()))
     after = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(1, Window.unboundedFollowing)
     tops = totals.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__chunk").alias("__c"), *(F.max(f"__m_{o}").over(after).alias(f"__top_{o}") for o in maxima))
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    part = Window.partitionBy(*keys, "__chunk")
+    number = order if isinstance(order, str) else "__number"
+    if number != order:
+        df = df.withColumn(number, F.row_number().over(part.orderBy(*order)))
+    inside = part.orderBy(F.desc(number)).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col("__chunk") == F.col("__c")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     local = df.withColumns({o: F.max(v).over(inside) for o, v in maxima.items()})
-    return local.join(tops, same).withColumns({o: F.greatest(o, f"__top_{o}") for o in maxima}).drop("__c", *(f"__top_{o}" for o in maxima), *(f"__k_{k}" for k in keys))
+    return local.join(tops, same).withColumns({o: F.greatest(o, f"__top_{o}") for o in maxima}).drop("__c", "__number", *(f"__top_{o}" for o in maxima), *(f"__k_{k}" for k in keys))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

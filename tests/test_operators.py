@@ -150,6 +150,18 @@ def test_even_sample(spark):
     assert sorted(r.id for r in profile.even_sample(df, "g", "id", 3).collect()) == [0, 5, 10]
 
 
+def test_even_sample_of_a_large_group(spark):
+    df = spark.range(10_001).select(F.lit(None).cast("long").alias("g"), (F.col("id") * 3).alias("id"))  # several chunks, a null group
+    assert sorted(r.id for r in profile.even_sample(df, "g", "id", 5).collect()) == [0, 7500, 15000, 22500, 30000]
+
+
+def test_aspect_batches_of_one_ratio(spark):
+    rows = [(i, 480.0, 640.0) if i % 10 else (i, 640.0, 480.0) for i in range(9000)]
+    out = runlog.aspect_batches(spark.createDataFrame(rows, "image_id long, height double, width double"), 900).orderBy("batch").collect()
+    assert [(r.batch, r.n) for r in out] == [(b, 900) for b in range(10)]
+    assert [r.shape_h < r.shape_w for r in out] == [True] * 9 + [False]
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "0 0.5"), (2, "1 0.5")], "image_id long, line string")
     sinks.write_labels(rows, str(tmp_path / "o"))
