@@ -64,6 +64,40 @@ def hamming_pairs(items: DataFrame, limit: int, bits: int = 64, errors: int = 1)
     return pairs.where(~earlier).select("a", "b", F.bit_count(differs).cast("int").alias("hamming")).where(F.col("hamming") <= limit)
 
 
+def hash_classes(items: DataFrame) -> DataFrame:
+    """One row for each hash of items(item_id, hash): the smallest item_id with it, and the hash."""
+    return items.groupBy("hash").agg(F.min("item_id").alias("item_id")).select("item_id", "hash")
+
+
+def linking_edges(items: DataFrame, limit: int) -> DataFrame:
+    """Edges a, b that connect the same items as all pairs of hamming_pairs do.
+
+    Different hashes are searched once, whatever the number of items that share
+    one; each further item of a hash is tied to the first one only.
+    """
+    classes = written(hash_classes(items))
+    first = classes.select(F.col("item_id").alias("a"), "hash")
+    ties = items.join(first, "hash").where("a <> item_id").select("a", F.col("item_id").alias("b"))
+    return hamming_pairs(classes, limit).select("a", "b").unionByName(ties)
+
+
+def pair_counts(items: DataFrame, limit: int) -> DataFrame:
+    """pair, such as "train-val", and n: similar pairs by the splits of their ends, of items(item_id, hash, split).
+
+    Pairs are multiplied out from the items of each hash and split, not listed.
+    """
+    classes = written(hash_classes(items))
+    of = items.groupBy("hash", "split").agg(F.count("*").alias("n")).join(classes, "hash")
+    of = written(of.select("item_id", "split", "n"))
+    links = hamming_pairs(classes, limit).select("a", "b").unionByName(classes.select(F.col("item_id").alias("a"), F.col("item_id").alias("b")))
+    x, y = of.toDF("a", "split_a", "n_a"), of.toDF("b", "split_b", "n_b")
+    product = F.col("n_a") * F.col("n_b")
+    inside = F.when(F.col("split_a") == F.col("split_b"), (product - F.col("n_a")) / 2).when(F.col("split_a") < F.col("split_b"), product).otherwise(0)
+    n = F.when(F.col("a") != F.col("b"), product).otherwise(inside).cast("long")
+    pair = F.concat_ws("-", F.least("split_a", "split_b"), F.greatest("split_a", "split_b"))
+    return links.join(x, "a").join(y, "b").groupBy(pair.alias("pair")).agg(F.sum(n).alias("n")).where("n > 0")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node of its component) for the nodes of edges(a, b).
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.functions.boxes import size_bin
-from boxlake.operators.scan import running_sums
+from boxlake.operators.scan import running_sums, written
 
 BINS = ["<5", "5-16", "16-32", "32-64", "64-128", ">=128"]
 
@@ -34,11 +34,30 @@ def size_distribution(labels: DataFrame, width: float, height: float) -> DataFra
 
 
 def summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Minimum, 5, 25, 50, 75, 95 per cent (linear between rows), mean and maximum."""
-    qs = F.percentile(value, F.array(*(F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = df.groupBy(*keys).agg(F.min(value).alias("min"), qs.alias("q"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    r = lambda c: F.round(c, 6)
-    return out.select(*keys, r("min").alias("min"), *(r(F.col("q")[i]).alias(n) for i, n in enumerate(("p05", "p25", "median", "p75", "p95"))), r("mean").alias("mean"), r("max").alias("max"))
+    """Minimum, 5, 25, 50, 75, 95 per cent (linear between rows), mean and maximum; nulls in value don't count.
+
+    The exact places are found among distinct values with their counts, dealt
+    over tasks by range: no task holds all values of a key.
+    """
+    shares = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    whole = df.groupBy(*keys).agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("__all"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    dealt = written(counts.repartitionByRange(*keys, "__v").withColumn("__p", F.spark_partition_id()))
+    places = running_sums(dealt, list(keys), F.col("__p"), [F.asc("__v")], {"__upto": "__n"})
+    total = whole.select(*(F.col(k).alias(f"__w_{k}") for k in keys), "__all")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__w_{k}"))
+    placed = places.join(total, same)
+    spot = lambda q: F.lit(q) * (F.col("__all") - 1)
+    at = lambda i: F.max(F.when((F.col("__upto") - F.col("__n") <= i) & (i < F.col("__upto")), F.col("__v")))
+    between = {n: at(F.floor(spot(q))) * (1 - F.max(spot(q) - F.floor(spot(q)))) + at(F.ceil(spot(q))) * F.max(spot(q) - F.floor(spot(q))) for n, q in shares.items()}
+    found = placed.groupBy(*(F.col(k).alias(f"__f_{k}") for k in keys)).agg(*(c.alias(n) for n, c in between.items()))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__f_{k}"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return whole.join(found, same, "left").select(*keys, *(r(c) for c in ("min", *shares, "mean", "max")))
 
 
 def prefix_suspects(items: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:

@@ -31,7 +31,8 @@ def nms(det: DataFrame, conf: float = 0.25, threshold: float = 0.45, agnostic: b
     keys = ["image_id"] if agnostic else ["image_id", "class_id"]
     fields = F.struct((-F.col("conf")).alias("order"), "det_id", "class_id", "conf", "x1", "y1", "x2", "y2")
     groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(fields)).alias("boxes"))
-    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda a: iou(_of(a), _of(b), 0.0) > threshold), acc).otherwise(F.array_append(acc, b)))
+    done = lambda acc: F.size(acc) >= max_det  # noqa: E731  later boxes of a group are past the limit of its image, too
+    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda acc, b: F.when(done(acc) | F.exists(acc, lambda a: iou(_of(a), _of(b), 0.0) > threshold), acc).otherwise(F.array_append(acc, b)))
     out = groups.select("image_id", F.explode(kept).alias("b")).select("image_id", "b.det_id", "b.class_id", "b.conf")
     return top_candidates(out, ["image_id"], max_det)
 

@@ -265,8 +265,7 @@ SQL["hamming_pairs"] = f"WITH {_HASH} SELECT * FROM p"
 @query
 def split_pair_counts(spark: SparkSession, d: str) -> DataFrame:
     """Similar pairs by the splits of their ends."""
-    name = lambda c: F.when(F.col(c) % 3 == 0, "val").otherwise("train")
-    return dedup.hamming_pairs(_hashes(spark, d), LIMIT).groupBy(F.array_join(F.array_sort(F.array(name("a"), name("b"))), "-").alias("pair")).agg(F.count("*").alias("n"))
+    return dedup.pair_counts(_hashes(spark, d).withColumn("split", F.when(F.col("item_id") % 3 == 0, "val").otherwise("train")), LIMIT)
 
 
 SQL["split_pair_counts"] = f"WITH {_HASH}, s AS (SELECT CASE WHEN a % 3 = 0 THEN 'val' ELSE 'train' END AS x, CASE WHEN b % 3 = 0 THEN 'val' ELSE 'train' END AS y FROM p) SELECT least(x, y) || '-' || greatest(x, y) AS pair, count(*) AS n FROM s GROUP BY 1"
@@ -274,7 +273,7 @@ SQL["split_pair_counts"] = f"WITH {_HASH}, s AS (SELECT CASE WHEN a % 3 = 0 THEN
 
 @query
 def similarity_components(spark: SparkSession, d: str) -> DataFrame:
-    labels = dedup.components(dedup.hamming_pairs(_hashes(spark, d), LIMIT))
+    labels = dedup.components(dedup.linking_edges(_hashes(spark, d), LIMIT))
     members = labels.withColumn("split", F.when(F.col("node") % 3 == 0, "val").otherwise("train"))
     return dedup.clusters(members).select("cluster_no", "size", "node", F.col("label").alias("first"))
 
@@ -299,7 +298,7 @@ SELECT label AS cluster_id, m.id AS item_id, list_contains(reps, m.id) AS kept,
 
 @query
 def cluster_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    labels = dedup.components(dedup.hamming_pairs(_hashes(spark, d), LIMIT)).withColumnRenamed("label", "cluster_id")
+    labels = dedup.components(dedup.linking_edges(_hashes(spark, d), LIMIT)).withColumnRenamed("label", "cluster_id")
     e = table(spark, d, "embeddings").select("vec_id", "label", F.explode(F.array(*map(F.lit, range(3)))).alias("c")).select((F.col("vec_id") + F.col("c") * 1_000_000).alias("node"), F.when(F.col("c") == 2, 9 - F.col("label")).otherwise(F.col("label")).alias("class_id"), "vec_id").select("node", "class_id", F.when(F.col("node") % 3 == 0, "val").otherwise("train").alias("split"))
     return dedup.cluster_summary(labels.join(e, "node"))
 

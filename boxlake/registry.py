@@ -1,6 +1,6 @@
 """All queries of this package and their SQL twins."""
 
-from boxlake.plans import curation, evaluation, formats, geometry
+from boxlake.plans import curation, evaluation, formats, geometry, pixels
 
-QUERIES = evaluation.Q | curation.Q | geometry.Q | formats.Q
-ORACLES = evaluation.SQL | curation.SQL | geometry.SQL | formats.SQL
+QUERIES = evaluation.Q | curation.Q | geometry.Q | formats.Q | pixels.Q
+ORACLES = evaluation.SQL | curation.SQL | geometry.SQL | formats.SQL | pixels.SQL

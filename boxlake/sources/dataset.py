@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,11 @@ class Dataset:
     extra: dict = field(default_factory=dict)
 
     @classmethod
-    def of(cls, spec: dict) -> Dataset:
-        """From a parsed descriptor: train, val and names are required; names may be a list; paths are joined to the root."""
+    def of(cls, spec: dict, exists: Callable[[str], bool] = lambda path: True) -> Dataset:
+        """From a parsed descriptor: train, val and names are required; names may be a list; paths are joined to the root.
+
+        A path that begins with ../ and doesn't exist is taken without it.
+        """
         missing = [k for k in ("train", "val", "names") if k not in spec]
         if missing:
             raise ValueError(f"a dataset descriptor needs {missing}")
@@ -29,17 +33,34 @@ class Dataset:
         root = str(spec.get("path") or "").rstrip("/")
 
         def full(p: str) -> str:
+            if p.startswith("../") and not exists(f"{root}/{p}" if root else p):
+                p = p[3:]
             return p if not root or p.startswith("/") or "://" in p else f"{root}/{p}"
 
         listed = lambda v: [v] if isinstance(v, str) else list(v)
         splits = {k: [full(p) for p in listed(spec[k])] for k in ("train", "val", "test") if spec.get(k)}
         return cls(splits, {int(k): str(v) for k, v in names.items()}, root, {k: v for k, v in spec.items() if k not in ("train", "val", "test", "names", "path")})
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Dataset:
+        """From a YAML file anywhere Spark can read; needs the yaml package."""
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("the yaml package is missing: parse the descriptor elsewhere and use Dataset.of") from e
+        return cls.of(yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]), lambda p: there(spark, p))
+
     def classes(self, spark: SparkSession) -> DataFrame:
         """class_id, class_name: one row per class."""
         return spark.createDataFrame(sorted(self.names.items()), "class_id long, class_name string")
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in the store that path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def content_key(files: DataFrame) -> str:
     """A key of files(path, content) that changes with any byte or name."""
     one = files.select(F.sha2(F.concat_ws("\t", "path", F.sha2("content", 256)), 256).alias("h"))

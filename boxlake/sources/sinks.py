@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from boxlake.functions.boxes import Box, clip, to_centre, to_corners, to_normalised
 
 
+# Category numbers of the 80 classes among the 91 of the paper.
+COCO_CATEGORIES = (
+    1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18, 19, 20, 21,
+    22, 23, 24, 25, 27, 28, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44,
+    46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58, 59, 60, 61, 62, 63, 64, 65,
+    67, 70, 72, 73, 74, 75, 76, 77, 78, 79, 80, 81, 82, 84, 85, 86, 87, 88, 89, 90,
+)
+
+
 def coco80_to_91(class_id: Column) -> Column:
-    """Category numbers of the 80 classes in the 91 of the paper: numbers that the 80 leave out are skipped."""
-    skipped = (12, 26, 29, 30, 45, 66, 68, 69, 71, 83)  # fixed values: numbers without a class
-    return F.get(F.array(*(F.lit(n).cast("long") for n in range(1, 91) if n not in skipped)), class_id.cast("int"))
+    """Category number of a class id; null for an id beyond the 80."""
+    return F.get(F.array(*(F.lit(n).cast("long") for n in COCO_CATEGORIES)), class_id.cast("int"))
 
 
 def yolo_rows(det: DataFrame, width: float, height: float, with_conf: bool = True) -> DataFrame:

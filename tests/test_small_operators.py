@@ -1,8 +1,9 @@
 """Small operators on rows that can be checked by eye."""
 
+import numpy as np
 import pytest
 from boxlake.functions import boxes as B
-from boxlake.operators import anchors, dedup, evaluate, profile, validate
+from boxlake.operators import anchors, dedup, evaluate, profile, suppress, validate
 from boxlake.sources import dataset, sinks
 from pyspark.sql import functions as F
 
@@ -82,3 +83,42 @@ def test_table_forms(spark):
     assert sinks.nested_summary(spark.createDataFrame([("a", 1, 2)], "split string, class_id long, n long")).first()[0] == '{"a":"{\\"1\\":2}"}'
     (c,) = sinks.crop_boxes(det, 100.0, 200.0, 1.2, 3.0).collect()
     assert (c.x1, c.y1, c.x2, c.y2) == (6, 14, 33, 65)
+
+
+def test_a_summary_is_exact(spark):
+    rows = [(k, float(v)) for k, n in (("a", 101), ("b", 4), ("c", 1)) for v in range(n)] + [("a", 7.0)] * 500 + [("b", None), ("d", None), (None, 2.5)]
+    got = {r.k: r for r in profile.summary(spark.createDataFrame(rows, "k string, v double").repartition(5), "v", "k").collect()}
+    assert set(got) == {"a", "b", "c", "d", None}
+    for k, r in got.items():
+        values = [v for key, v in rows if key == k and v is not None]
+        if values:
+            want = [min(values), *np.percentile(values, [5, 25, 50, 75, 95]), np.mean(values), max(values)]
+            assert [r.min, r.p05, r.p25, r.median, r.p75, r.p95, r.mean, r.max] == pytest.approx(want, abs=1e-6)
+        else:
+            assert r.median is None and r["max"] is None
+    assert profile.summary(spark.createDataFrame([(1.0,), (2.0,)], "v double"), "v").first().median == 1.5
+    assert profile.summary(spark.createDataFrame([], "k string, v double"), "v", "k").count() == 0
+
+
+def test_many_equal_hashes(spark):
+    items = [(i, 5) for i in range(4000)] + [(5000 + i, 7) for i in range(3)] + [(6000, -1)]
+    df = spark.createDataFrame(items, "item_id long, hash long").withColumn("split", F.when(F.col("item_id") % 2 == 0, "train").otherwise("val"))
+    labels = dedup.components(dedup.linking_edges(df, 6)).collect()
+    assert {r.node for r in labels} == {i for i, _ in items[:-1]} and {r.label for r in labels} == {0}
+    got = {r.pair: r.n for r in dedup.pair_counts(df, 6).collect()}
+    train, val = 2000 + 2, 2000 + 1
+    assert got == {"train-train": train * (train - 1) // 2, "train-val": train * val, "val-val": val * (val - 1) // 2}
+
+
+def test_suppression_stops_at_the_limit(spark):
+    boxes = [(1, i, i % 2, 0.9 - i / 1000, 20.0 * i, 0.0, 20.0 * i + 10, 10.0) for i in range(40)]
+    det = spark.createDataFrame(boxes, "image_id long, det_id long, class_id long, conf double, x1 double, y1 double, x2 double, y2 double")
+    assert [r.det_id for r in suppress.nms(det, max_det=7).orderBy("det_id").collect()] == list(range(7))
+
+
+def test_descriptor_file(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "images").mkdir()
+    (tmp_path / "d.yaml").write_text(f"path: {tmp_path}\ntrain: ../images\nval: images\nnames:\n  0: x\n  1: y\n")
+    d = dataset.Dataset.read(spark, str(tmp_path / "d.yaml"))
+    assert d.splits == {"train": [f"{tmp_path}/images"], "val": [f"{tmp_path}/images"]} and d.names == {0: "x", 1: "y"}
