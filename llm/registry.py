@@ -1,6 +1,6 @@
 """Queries of this package and, where SQL can express them, their DuckDB twins."""
 
-from llm import decontamination, jaccard_join, lm_score, mixing, pii, quality_classifier, quality_rules, secrets, substring_dedup, warc
+from llm import decontamination, filter_audit, jaccard_join, lm_score, mixing, pii, quality_classifier, quality_rules, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
@@ -20,4 +21,5 @@ ORACLES = {
     "op5_jaccard_join": jaccard_join.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
