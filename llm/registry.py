@@ -1,6 +1,6 @@
 """Queries of this package and, where SQL can express them, their DuckDB twins."""
 
-from llm import decontamination, filter_audit, jaccard_join, lm_score, mixing, pii, quality_classifier, quality_rules, secrets, spelling, substring_dedup, warc
+from llm import decontamination, filter_audit, jaccard_join, lm_score, mixing, pii, quality_classifier, quality_rules, secrets, spelling, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
