@@ -62,6 +62,13 @@ SELECT epoch, avg_value AS loss, CAST((epoch * 7919) % 1000 AS DOUBLE) / 1000 AS
 FROM (SELECT event_id % 200 AS epoch, avg(value) AS avg_value FROM events GROUP BY event_id % 200) e
 """
 
+#: outlines of masks, as shares of a box around its centre: a diamond, an L and a U; fixed values
+SHAPES = [
+    [(0.0, -0.5), (0.5, 0.0), (0.0, 0.5), (-0.5, 0.0)],
+    [(-0.5, -0.5), (0.0, -0.5), (0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (-0.5, 0.5)],
+    [(-0.5, -0.5), (-0.25, -0.5), (-0.25, 0.25), (0.25, 0.25), (0.25, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)],
+]
+
 _PARTS = {"gt": GT, "det": DET, "images": IMAGES, "lines": LINES, "runlog": RUNLOG}
 _NEEDS = {"gt": ("lineitem", ()), "det": (None, ("gt",)), "images": ("orders", ()), "lines": (None, ("gt",)), "runlog": ("events", ())}
 

@@ -34,12 +34,14 @@ def overlaps(labels: DataFrame, detections: DataFrame, least: float, by_class: b
     return pairs.where(F.col("iou") > least if strict else F.col("iou") >= least).select("image_id", "det_id", "class_id", "conf", "label_id", "label_class", "iou")
 
 
-def true_positives(labels: DataFrame, detections: DataFrame) -> DataFrame:
+def true_positives(labels: DataFrame, detections: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """image_id, class_id, det_id, conf, thr of the detections that count as true positives at each threshold.
 
-    A detection takes the label of its class with the largest IoU; a label takes the most confident of its detections.
+    A detection takes the label of its class with the largest IoU; a label takes
+    the most confident of its detections.  pairs are overlaps of at least 0.5,
+    those of the boxes unless others (of masks) are given.
     """
-    pairs = overlaps(labels, detections, 0.5, by_class=True)
+    pairs = overlaps(labels, detections, 0.5, by_class=True) if pairs is None else pairs
     best = Window.partitionBy("image_id", "class_id", "det_id").orderBy(F.desc("iou"), "label_id")
     taken = pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     each = taken.withColumn("thr", F.explode(F.sequence(F.lit(0), F.least(F.lit(N_THR - 1), F.floor(F.col("iou") * 20 - 10).cast("int") + 1)))).where(F.col("iou") >= threshold(F.col("thr")))
@@ -47,53 +49,85 @@ def true_positives(labels: DataFrame, detections: DataFrame) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(first)).where("rank = 1").select("image_id", "class_id", "det_id", "conf", "thr")
 
 
-def curve(labels: DataFrame, detections: DataFrame) -> DataFrame:
-    """Per class and threshold one row for every detection in order of confidence: tpc, n, n_labels, recall, precision, envelope.
-
-    Only classes that labels have; rows with equal confidence are ordered by image and detection.
-    """
-    tp = true_positives(labels, detections).select("image_id", "class_id", "det_id", "thr", F.lit(1).alias("tp"))
+def with_hits(labels: DataFrame, detections: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """class_id, image_id, det_id, conf, n_labels and hits (bit k: true positive at threshold k) of the detections of classes that labels have."""
+    hits = true_positives(labels, detections, pairs).groupBy("image_id", "class_id", "det_id").agg(F.sum(F.expr("shiftleft(1, thr)")).alias("hits"))
     n_labels = labels.groupBy(F.col("class_id").alias("of_class")).agg(F.count("*").alias("n_labels"))  # one row per class
     known = detections.select("image_id", "class_id", "det_id", "conf").join(F.broadcast(n_labels), F.col("class_id") == F.col("of_class")).drop("of_class")
-    flags = tp.groupBy("image_id", "class_id", "det_id").agg(F.collect_list("thr").alias("hits"))
-    rows = known.join(flags, ["image_id", "class_id", "det_id"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
-    rows = rows.withColumns({f"tp{k}": F.array_contains("hits", k).cast("long") for k in range(N_THR)}).withColumn("one", F.lit(1).cast("long")).drop("hits")
-    order = [F.desc("conf"), F.asc("image_id"), F.asc("det_id")]
-    cuts = known.agg(F.percentile_approx("conf", [i / CHUNKS for i in range(1, CHUNKS)], 10_000)).first()[0] or []  # CHUNKS numbers, however confidences are spread
+    return known.join(hits, ["image_id", "class_id", "det_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
+def confidence_chunk(detections: DataFrame) -> Column:
+    """A chunk number that rises as confidence falls; cuts are quantiles of confidence."""
+    cuts = detections.agg(F.percentile_approx("conf", [i / CHUNKS for i in range(1, CHUNKS)], 10_000)).first()[0] or []  # CHUNKS numbers, however confidences are spread
     cuts = sorted(set(cuts))
-    chunk = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("conf"))) if cuts else F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("conf"))) if cuts else F.lit(0)
+
+
+def ranking() -> list[Column]:
+    """Order of detections of a class: confidence, then image and detection."""
+    return [F.desc("conf"), F.asc("image_id"), F.asc("det_id")]
+
+
+def hit(k: int) -> Column:
+    return F.getbit("hits", F.lit(k)).cast("long")
+
+
+def curve(labels: DataFrame, detections: DataFrame, thr: int = 0, pairs: DataFrame | None = None) -> DataFrame:
+    """Per class one row for every detection in order of confidence, at one threshold: tpc, n, n_labels, recall, precision, envelope.
+
+    Only classes that labels have; rows with equal confidence are ordered by image and detection.
+    """
+    rows = with_hits(labels, detections, pairs).withColumns({"tp": hit(thr), "one": F.lit(1).cast("long")}).drop("hits")
+    sums = written(running_sums(rows, ["class_id"], confidence_chunk(detections), ranking(), {"n": "one", "tpc": "tp"}).drop("tp", "one"))
+    sums = sums.withColumn("precision", F.col("tpc") / F.col("n").cast("double"))
+    tops = maxima_from_here(sums, ["class_id"], "n", {"envelope": "precision"})
+    return tops.drop("__chunk").withColumns({"recall": F.col("tpc") / (F.col("n_labels") + F.lit(1e-16)), "thr": F.lit(thr)})
+
+
+def recall_cells(labels: DataFrame, detections: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """class_id, thr, k, best, hits, first_n: true positives with a recall in ((k - 1) / 100, k / 100], their best precision, how many there are up to the last, and the first one's rank.
+
+    Precision between two true positives only falls, so nothing else of a curve
+    counts.  All detections are ranked once; true positives are then counted for
+    all thresholds in the same chunks and leave as at most 101 rows for each curve.
+    """
+    chunk = confidence_chunk(detections)
+    rows = with_hits(labels, detections, pairs).withColumn("one", F.lit(1).cast("long"))
+    ranked = written(running_sums(rows, ["class_id"], chunk, ranking(), {"n": "one"}).select("class_id", "conf", "n", "n_labels", "hits").where("hits > 0"))
     ks = range(N_THR)
-    sums = written(running_sums(rows, ["class_id"], chunk, order, {"n": "one"} | {f"tpc{k}": f"tp{k}" for k in ks}).drop(*(f"tp{k}" for k in ks), "one"))
-    sums = sums.withColumns({f"p{k}": F.col(f"tpc{k}") / F.col("n").cast("double") for k in ks})
-    tops = maxima_from_here(sums, ["class_id"], "n", {f"e{k}": f"p{k}" for k in ks})  # all thresholds in one sort
-    points = F.explode(F.array(*(F.struct(F.lit(k).alias("thr"), F.col(f"tpc{k}").alias("tpc"), F.col(f"p{k}").alias("precision"), F.col(f"e{k}").alias("envelope")) for k in ks)))
-    long = tops.select("class_id", "image_id", "det_id", "conf", "n", "n_labels", points.alias("p")).select("*", "p.*").drop("p")
-    return long.withColumn("recall", F.col("tpc") / (F.col("n_labels") + F.lit(1e-16)))
+    counted = running_sums(ranked.withColumns({f"t{k}": hit(k) for k in ks}), ["class_id"], chunk, [F.asc("n")], {f"j{k}": f"t{k}" for k in ks})
+    each = F.filter(F.array(*(F.struct(F.lit(k).alias("thr"), F.when(F.col(f"t{k}") > 0, F.col(f"j{k}")).alias("j")) for k in ks)), lambda p: p["j"].isNotNull())
+    points = counted.select("class_id", "n", "n_labels", F.inline(each))
+    recall = F.col("j") / (F.col("n_labels") + F.lit(1e-16))
+    up = F.ceil(recall * 100)
+    cell = F.when((up - 1) / 100.0 >= recall, up - 1).when(up / 100.0 < recall, up + 1).otherwise(up)
+    best = F.max(F.col("j") / F.col("n").cast("double")).alias("best")
+    return points.groupBy("class_id", "thr", cell.alias("k")).agg(best, F.max("j").alias("hits"), F.min("n").alias("first_n"))
 
 
-def average_precision(labels: DataFrame, detections: DataFrame, curves: DataFrame | None = None) -> DataFrame:
+def average_precision(labels: DataFrame, detections: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """class_id, thr, ap for every class that labels have: 101-point interpolation of the envelope over recall, by trapezoids.
 
-    A grid point needs the last row at or below its recall and the first row
-    above it, so rows are first reduced to the first and last of each
-    hundredth of recall; what the windows order is 102 rows per curve.  curves
-    are those of curve(), if they are known.
+    At a recall that some later true positive exceeds, the envelope is the best
+    precision of those.  Before the first one (if it also ranks first) a line
+    falls from precision 1 at recall 0; after the last one a line falls to 0 at
+    recall 1, from the precision over all detections.
     """
-    rows = (curve(labels, detections) if curves is None else curves).select("class_id", "thr", "recall", "envelope", "n")
-    up = F.ceil(F.col("recall") * 100)
-    cell = F.when((up - 1) / 100.0 >= F.col("recall"), up - 1).when(up / 100.0 < F.col("recall"), up + 1).otherwise(up)  # recall in ((cell - 1) / 100, cell / 100]
-    spot = F.struct("recall", "envelope")
-    cells = rows.groupBy("class_id", "thr", cell.alias("k")).agg(F.min_by(spot, "n").alias("first"), F.max_by(spot, "n").alias("last"))
-    curves = labels.select("class_id").distinct().crossJoin(labels.sparkSession.range(N_THR).select(F.col("id").cast("int").alias("thr")))  # classes x 10
+    cells = recall_cells(labels, detections, pairs)
+    sizes = labels.groupBy("class_id").agg(F.count("*").alias("n_labels")).join(detections.groupBy("class_id").agg(F.count("*").alias("n_class")), "class_id", "left")
+    curves = sizes.withColumn("thr", F.explode(F.sequence(F.lit(0), F.lit(N_THR - 1))))  # classes x 10
     grid = curves.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long")))).join(cells, ["class_id", "thr", "k"], "left")
-    w = Window.partitionBy("class_id", "thr").orderBy("k")
-    ends = lambda r, p: F.struct(F.lit(r).alias("recall"), F.lit(p).alias("envelope"))
-    left = F.coalesce(F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), ends(0.0, 1.0))
-    right = F.coalesce(F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), ends(1.0, 0.0))
-    x = F.col("k") / 100.0
-    line = F.when(F.col("k") == 100, 0.0).otherwise(F.col("l.envelope") + (F.col("r.envelope") - F.col("l.envelope")) * (x - F.col("l.recall")) / (F.col("r.recall") - F.col("l.recall")))
+    one = Window.partitionBy("class_id", "thr")  # 101 rows
+    later = one.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumns({"above": F.max("best").over(later), "top": F.max("best").over(one), "found": F.coalesce(F.max("hits").over(one), F.lit(0)), "first_rank": F.min("first_n").over(one)})
+    x, labels_ = F.col("k") / 100.0, F.col("n_labels") + F.lit(1e-16)
+    first, last = 1 / labels_, F.col("found") / labels_
+    falling = F.col("found") / F.col("n_class").cast("double") * (1 - F.try_divide(x - last, 1 - last))
+    rising = F.when((F.col("first_rank") == 1) & (x < first), 1 + (F.col("top") - 1) * x / first).otherwise(F.col("above"))
+    value = F.when((F.col("k") == 100) | (F.col("found") == 0), 0.0).when(F.col("above").isNull(), falling).otherwise(rising)
     weight = F.when(F.col("k").isin(0, 100), 0.005).otherwise(0.01)
-    return grid.withColumns({"l": left, "r": right}).groupBy("class_id", "thr").agg(F.sum(line * weight).alias("ap"), F.count("first").alias("__any")).select("class_id", "thr", F.when(F.col("__any") > 0, F.col("ap")).otherwise(0.0).alias("ap"))
+    return grid.groupBy("class_id", "thr").agg(F.sum(value * weight).alias("ap"))
 
 
 def operating_grid(labels: DataFrame, detections: DataFrame, points: int = 1000, eps: float = 1e-16, curves: DataFrame | None = None) -> DataFrame:
@@ -101,7 +135,7 @@ def operating_grid(labels: DataFrame, detections: DataFrame, points: int = 1000,
 
     Rows are reduced to the first and last of each cell of confidence before anything is ordered.
     """
-    rows = (curve(labels, detections) if curves is None else curves).where("thr = 0").select("class_id", "conf", "n", "recall", "precision")
+    rows = (curve(labels, detections) if curves is None else curves).select("class_id", "conf", "n", "recall", "precision")
     step = float(points - 1)
     low = F.floor(F.col("conf") * step)
     cell = F.when(low / step > F.col("conf"), low - 1).when((low + 1) / step <= F.col("conf"), low + 1).otherwise(low)  # conf in [cell, cell + 1) / step

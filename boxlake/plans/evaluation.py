@@ -88,7 +88,7 @@ SQL["ap_per_class"] = f"{with_sql('det')}, {AP} SELECT class_id, thr::INTEGER AS
 @query
 def pr_curve(spark: SparkSession, d: str) -> DataFrame:
     """All points of the curves at IoU 0.5."""
-    c = evaluate.curve(*scene(spark, d)).where("thr = 0")
+    c = evaluate.curve(*scene(spark, d))
     return rounded(c.select("class_id", "n", "tpc", "recall", "precision", "envelope"), "recall", "precision", "envelope")
 
 
@@ -120,27 +120,13 @@ SQL["f1_operating_point"] = f"{with_sql('det')}, {GRID} SELECT class_id, n_label
 @query
 def map_summary(spark: SparkSession, d: str) -> DataFrame:
     lab, det = scene(spark, d)
-    curves = evaluate.curve(lab, det)
-    return rounded(evaluate.map_summary(evaluate.average_precision(lab, det, curves), evaluate.operating_point(lab, det, curves=curves)), "mp", "mr", "map50", "map")
+    return rounded(evaluate.map_summary(evaluate.average_precision(lab, det), evaluate.operating_point(lab, det)), "mp", "mr", "map50", "map")
 
 
 SQL["map_summary"] = f"""{with_sql('det')}, {AP}, {GRID[len(CURVE) + 2:]} SELECT round(avg(precision), 9) AS mp, round(avg(recall), 9) AS mr, sum(n_labels)::BIGINT AS n_labels,
 (SELECT round(avg(ap), 9) FROM ap WHERE thr = 0) AS map50, (SELECT round(avg(ap), 9) FROM ap) AS map FROM op"""
 
 
-@query
-def box_and_mask_ap(spark: SparkSession, d: str) -> DataFrame:
-    """AP at 0.5 for two kinds of boxes (a mask's bounds stand for masks), in one table."""
-    lab, det = labels(spark, d), fixture(spark, d, "det")
-    tight = lambda df: df.withColumns({"x2": F.col("x1") + (F.col("x2") - F.col("x1")) * 0.5})
-    both = evaluate.average_precision(lab, det).withColumn("kind", F.lit("box")).unionByName(evaluate.average_precision(tight(lab), tight(det)).withColumn("kind", F.lit("mask")))
-    return rounded(both.where("thr = 0").select("kind", "class_id", "ap"), "ap")
-
-
-_HALF = AP.replace("cx + w / 2 AS x2", "cx - w / 2 + w * 5e-1 AS x2").replace("JOIN det d", "JOIN hdet d")
-SQL["box_and_mask_ap"] = f"""SELECT 'box' AS kind, * FROM ({with_sql('det')}, {AP} SELECT class_id, round(ap, 9) AS ap FROM ap WHERE thr = 0)
-UNION ALL SELECT 'mask', * FROM ({with_sql('det')}, hdet AS (SELECT * REPLACE (x1 + (x2 - x1) * 5e-1 AS x2) FROM det), {_HALF} SELECT class_id, round(ap, 9) AS ap FROM ap WHERE thr = 0)"""
-
 CM = f"""{LAB}, seen AS (SELECT * FROM det WHERE conf > 25e-2),
 p0 AS (SELECT l.image_id, l.label_id, l.class_id AS tc, d.det_id, d.class_id AS pc, {sql_iou("l", "d")} AS iou FROM lab l JOIN seen d ON l.image_id = d.image_id),
 p1 AS (SELECT * FROM p0 WHERE iou > 45e-2 QUALIFY row_number() OVER (PARTITION BY image_id, det_id ORDER BY iou DESC, label_id) = 1),
@@ -153,7 +139,7 @@ cm AS (SELECT pred_class, true_class, count(*) AS n FROM (
 
 @query
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.confusion(labels(spark, d), fixture(spark, d, "det"), CLASSES)
+    return evaluate.confusion(*scene(spark, d), CLASSES)
 
 
 SQL["confusion_matrix"] = f"{with_sql('det')}, {CM} SELECT pred_class::BIGINT AS pred_class, true_class::BIGINT AS true_class, n FROM cm"
@@ -161,7 +147,7 @@ SQL["confusion_matrix"] = f"{with_sql('det')}, {CM} SELECT pred_class::BIGINT AS
 
 @query
 def confusion_shares(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.normalised(evaluate.confusion(labels(spark, d), fixture(spark, d, "det"), CLASSES)), "share")
+    return rounded(evaluate.normalised(evaluate.confusion(*scene(spark, d), CLASSES)), "share")
 
 
 SQL["confusion_shares"] = f"""{with_sql('det')}, {CM}, s AS (SELECT *, n / (sum(n) OVER (PARTITION BY true_class) + 1e-9) AS share FROM cm)
@@ -170,7 +156,7 @@ SELECT pred_class::BIGINT AS pred_class, true_class::BIGINT AS true_class, CASE
 
 @query
 def confusion_tp_fp(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_class_counts(evaluate.confusion(labels(spark, d), fixture(spark, d, "det"), CLASSES), CLASSES)
+    return evaluate.per_class_counts(evaluate.confusion(*scene(spark, d), CLASSES), CLASSES)
 
 
 SQL["confusion_tp_fp"] = f"""{with_sql('det')}, {CM} SELECT pred_class::BIGINT AS class_id, sum(CASE WHEN pred_class = true_class THEN n ELSE 0 END)::BIGINT AS tp, (sum(n) - sum(CASE WHEN pred_class = true_class THEN n ELSE 0 END))::BIGINT AS fp
