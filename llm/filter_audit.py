@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import table
@@ -121,8 +121,7 @@ def audit(counts: DataFrame) -> DataFrame:
         total("good", lambda m: meets(m, bit) & ~meets(m, before)).alias("good_lost"),
         total("toxic", lambda m: meets(m, bit) & ~meets(m, before)).alias("toxic_lost"),
     )
-    values = rows.groupBy("part", "bit").agg(F.sum("removed").alias("shapley"))
-    return rows.join(values, ["part", "bit"]).drop("bit")
+    return rows.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "bit"))).drop("bit")  # 120 rows each
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
