@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlake.operators.recurrence import running_ema
 from boxlake.operators.scan import running_sums
 
 
@@ -48,10 +49,9 @@ def schedules(spark, epochs: int, warmup: int = 3, lr0: float = 0.01, lrf: float
 
 
 def ema(df: DataFrame, order: str, value: str, decay: float = 0.9999, tau: float = 2000.0) -> DataFrame:
-    """Exponential average with the decay ramped up by 1 - exp(-t / tau): one row, folded in order."""
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    step = lambda a, x: F.struct((a["t"] + 1).alias("t"), (a["e"] * (decay * (1 - F.exp(-(a["t"] + 1) / tau))) + x["v"] * (1 - decay * (1 - F.exp(-(a["t"] + 1) / tau)))).alias("e"))
-    return df.agg(F.aggregate(seq, F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("e")), step, lambda a: a["e"]).alias("ema"), F.count("*").alias("n"))
+    """Exponential average of a whole series, with the decay ramped up by 1 - exp(-t / tau): one row, 0 without values."""
+    rows = running_ema(df.withColumn("__one", F.lit(0)), "__one", order, value, decay, tau)
+    return rows.agg(F.coalesce(F.max_by("ema", "place"), F.lit(0.0)).alias("ema"), F.count("*").alias("n"))
 
 
 def trimmed(df: DataFrame, order: str, first: int, last: int) -> DataFrame:

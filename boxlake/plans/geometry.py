@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boxlake.fixtures import fixture, table, with_sql
 from boxlake.functions import boxes as B
 from boxlake.functions import text as T
-from boxlake.operators import anchors, runlog
+from boxlake.operators import anchors, recurrence, runlog
 from boxlake.plans.evaluation import LAB, labels
 from boxlake.sources import sinks
 from boxlake.streaming import frames
@@ -279,6 +279,48 @@ SQL["ema"] = f"""{with_sql('runlog')}, l AS (SELECT list(loss ORDER BY epoch) AS
 f AS (SELECT n, list_reduce(v, lambda a, x: {{'t': a.t + 1, 'e': a.e * 9999e-4 * (1 - exp(-(a.t + 1) / 20)) + x * (1 - 9999e-4 * (1 - exp(-(a.t + 1) / 20)))}}, {{'t': 0e0, 'e': 0e0}}) AS s FROM l) SELECT round(s.e, 6) AS ema, n FROM f"""
 
 
+@query
+def ema_series(spark: SparkSession, d: str) -> DataFrame:
+    """Exponential average of the values of each type of event, in the order of time, at every event."""
+    e = table(spark, d, "events")
+    return recurrence.running_ema(e, "event_type", "ts", "value", tau=50.0).select("event_type", "ts", r("ema", 6).alias("ema"))
+
+
+_STEP = """i AS MATERIALIZED (SELECT event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS t, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)"""
+SQL["ema_series"] = f"""WITH RECURSIVE {_STEP},
+f AS (SELECT event_type, ts, t, value * (1 - 9999e-4 * (1 - exp(-1 / 50e0))) AS e FROM i WHERE t = 1
+  UNION ALL SELECT i.event_type, i.ts, i.t, f.e * 9999e-4 * (1 - exp(-i.t / 50e0)) + value * (1 - 9999e-4 * (1 - exp(-i.t / 50e0))) FROM f JOIN i ON i.event_type = f.event_type AND i.t = f.t + 1)
+SELECT event_type, ts, round(e, 6) AS ema FROM f"""
+
+
+@query
+def lowpass_series(spark: SparkSession, d: str) -> DataFrame:
+    """Values of each type of event through a Butterworth low-pass in both directions."""
+    e = table(spark, d, "events").select("event_type", "ts", "value")
+    out = recurrence.lowpass_series(e, "event_type", "ts", "value", "event_type string, ts timestamp_ntz, smooth double", cutoff=0.2, poles=3)
+    return out.withColumn("smooth", r("smooth", 6))
+
+
+def _pass(name: str, source: str, order: str) -> str:
+    """y of one direction: delays z1 to z3 step by step, from those that the first value would leave for ever."""
+    f = recurrence.Filter(*recurrence.butterworth(3, 0.2))
+    rest, gain, first = f.rest.tolist(), f.gain.tolist(), f.matrix[:, 0].tolist()
+    z = lambda i, v, z1, nxt: f"{nxt} + {first[i]!r}::DOUBLE * {z1} + {gain[i]!r}::DOUBLE * {v}"
+    step = lambda v, z1, z2, z3: f"{f.b0!r}::DOUBLE * {v} + {z1} AS y, {z(0, v, z1, z2)} AS z1, {z(1, v, z1, z3)} AS z2, {z(2, v, z1, '0e0')} AS z3"
+    starts = [f"({c!r}::DOUBLE * v)" for c in rest]
+    return f"""{name}_i AS MATERIALIZED (SELECT event_type, t, v, row_number() OVER (PARTITION BY event_type ORDER BY t {order}) AS k FROM {source}),
+{name} AS (SELECT event_type, t, k, {step('v', *starts)} FROM {name}_i WHERE k = 1
+  UNION ALL SELECT i.event_type, i.t, i.k, {step('i.v', 's.z1', 's.z2', 's.z3')} FROM {name} s JOIN {name}_i i ON i.event_type = s.event_type AND i.k = s.k + 1)"""
+
+
+SQL["lowpass_series"] = f"""WITH RECURSIVE {_STEP},
+ends AS (SELECT event_type, max(value) FILTER (WHERE t = 1) AS v0, max(value) FILTER (WHERE t = n) AS v1 FROM i GROUP BY event_type),
+wide AS (SELECT event_type, t, value AS v FROM i UNION ALL SELECT event_type, 2 - t, 2 * v0 - value FROM i JOIN ends USING (event_type) WHERE t BETWEEN 2 AND 1 + least(12, n - 1)
+  UNION ALL SELECT event_type, 2 * n - t, 2 * v1 - value FROM i JOIN ends USING (event_type) WHERE t BETWEEN n - least(12, n - 1) AND n - 1),
+{_pass('there', 'wide', 'ASC')}, turned AS (SELECT event_type, t, y AS v FROM there), {_pass('back', 'turned', 'DESC')}
+SELECT event_type, i.ts, round(y, 6) AS smooth FROM back JOIN i USING (event_type, t)"""
+
+
 @query
 def trimmed_series(spark: SparkSession, d: str) -> DataFrame:
     return runlog.trimmed(fixture(spark, d, "runlog").select("epoch", r("loss").alias("loss")), "epoch", 90, 30)
