@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlake.functions.boxes import box, iou_or_zero
+from boxlake.operators.pixels import ssim_column
 from boxlake.operators.scan import written
 
 
@@ -166,6 +168,49 @@ def redundant_pairs(scored: DataFrame, whole: float = 0.95, region: float = 0.95
     return scored.where(same).select("a", "b")
 
 
+def content_classes(items: DataFrame, columns: list[str]) -> DataFrame:
+    """items(item_id, ...) with first_id, the smallest item_id with equal columns: only one of each class has to be compared."""
+    key = F.sha2(F.to_json(F.struct(*(F.hex(c).alias(c) if dict(items.dtypes)[c] == "binary" else F.col(c) for c in columns))), 256)
+    keyed = items.withColumn("__key", key)
+    first = keyed.groupBy("__key").agg(F.min("item_id").alias("first_id"))
+    return keyed.join(first, "__key").drop("__key")
+
+
+def scored_pairs(classes: DataFrame, limit: int, size: int) -> DataFrame:
+    """Candidates a < b of classes(item_id, phash, whole, part, class_id, x1, y1, x2, y2) by their hashes, with whole_ssim, region_ssim, iou and both classes."""
+    pairs = hamming_pairs(classes.select("item_id", F.col("phash").alias("hash")), limit)
+    side = lambda s: classes.select(F.col("item_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("whole", "part", "class_id", "x1", "y1", "x2", "y2")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    like = ssim_column(size)
+    overlap = iou_or_zero(box("x1_a", "y1_a", "x2_a", "y2_a"), box("x1_b", "y1_b", "x2_b", "y2_b"))
+    return both.select("a", "b", "hamming", like("whole_a", "whole_b").alias("whole_ssim"), like("part_a", "part_b").alias("region_ssim"), overlap.alias("iou"), F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"))
+
+
+def confirmed_duplicates(items: DataFrame, limit: int, size: int, alike: float = 0.85, **bounds: float) -> DataFrame:
+    """cluster_id, item_id, kept and represented_by of the items that resemble another one.
+
+    items hold item_id, phash, whole, part, class_id, corners x1, y1, x2, y2 and
+    quality.  Items with equal content are one class and only their first is
+    compared, so copies give no pairs.  Candidates come from the hashes; those
+    with a whole similarity of `alike` are edges, and clusters are the
+    components.  Inside a cluster redundant_pairs, with its bounds, says which
+    show the same thing; the best of them stay.  A copy is represented as the
+    first of its class is.
+    """
+    items = written(content_classes(items, ["whole", "part", "class_id", "x1", "y1", "x2", "y2"]))
+    classes = items.where("item_id = first_id")
+    scored = written(scored_pairs(classes, limit, size))
+    edges = scored.where(F.col("whole_ssim") >= alike)
+    redundant = redundant_pairs(edges, **bounds)
+    labels = components(edges).select(F.col("node").alias("item_id"), F.col("label").alias("cluster_id"))
+    copied = items.where("item_id > first_id").select(F.col("first_id").alias("item_id")).distinct()
+    members = classes.select("item_id", "quality").join(labels, "item_id", "left").join(copied.withColumn("copied", F.lit(True)), "item_id", "left")
+    members = members.where("cluster_id IS NOT NULL OR copied").select(F.coalesce("cluster_id", "item_id").alias("cluster_id"), "item_id", "quality")
+    verdict = representatives(written(members), redundant).withColumnRenamed("item_id", "first_id")
+    out = items.select("item_id", "first_id").join(verdict, "first_id")
+    return out.select("cluster_id", "item_id", (F.col("kept") & (F.col("item_id") == F.col("first_id"))).alias("kept"), "represented_by")
+
+
 def inner_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges both ends of which are members(node)."""
     m = members.select("node")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlake.operators.pixels import run_lengths
+
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,10 +113,7 @@ def painted(masks: DataFrame, words: int) -> DataFrame:
 
 def counts_of(words: np.ndarray, height: int, width: int) -> list[int]:
     """Column-major run lengths, beginning with the zeros."""
-    flat = unpacked(words, height, width).ravel(order="F")
-    edge = np.flatnonzero(np.diff(flat)) + 1
-    ends = np.concatenate([[0] if flat.size and flat[0] else [], edge, [flat.size]]).astype(np.int64)
-    return np.diff(np.concatenate([[0], ends])).tolist()
+    return run_lengths(unpacked(words, height, width))
 
 
 def words_of(counts: list[int], height: int, width: int) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Pixel measures as Arrow-batched Pandas functions: hashes, sharpness, similarity, masks.
+"""Pixel measures as Arrow-batched Pandas functions: hashes, sharpness, similarity, thumbnails.
 
 A row is one decoded image; Spark partitions the work, NumPy does the arithmetic.
 """
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from boxlake.operators.recurrence import butterworth, lowpass_series, smooth_series  # noqa: F401  (their earlier place)
+
 
 def gray(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Luminance of a BGR or gray image."""
@@ -20,16 +22,40 @@ def gray(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return a[..., 0] if channels == 1 else a[..., 2] * 0.299 + a[..., 1] * 0.587 + a[..., 0] * 0.114
 
 
-def shrunk(a: np.ndarray, size: int) -> np.ndarray:
-    """size x size by area means along each axis."""
+def lanczos(n: int, size: int, start: float, span: float) -> np.ndarray:
+    """size x n weights that bring the stretch of span pixels from start on to size pixels: windowed sinc, three lobes, wider when it shrinks."""
+    centre = start + (np.arange(size) + 0.5) * span / size
+    t = (np.arange(n)[None] + 0.5 - centre[:, None]) / max(span / size, 1.0)
+    w = np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0)
+    return w / w.sum(1, keepdims=True)
+
+
+def levels(a: np.ndarray) -> np.ndarray:
+    """Whole grey levels; halves go up, noise in the last places doesn't decide."""
+    return np.clip(np.floor(np.round(a, 6) + 0.5), 0, 255)
+
+
+def resized(a: np.ndarray, height: int, width: int, box: tuple[float, float, float, float] | None = None) -> np.ndarray:
+    """The part (left, top, width, height) of an image, by default all, at another size: rows first, then columns, whole levels after each."""
+    left, top, w, h = box or (0.0, 0.0, a.shape[1], a.shape[0])
+    wide = levels(a @ lanczos(a.shape[1], width, left, w).T)
+    return levels(lanczos(a.shape[0], height, top, h) @ wide)
 
-    def weights(n: int) -> np.ndarray:
-        edge = np.linspace(0, n, size + 1)
-        lo, hi = np.arange(n), np.arange(1, n + 1)
-        cover = np.clip(np.minimum(hi[None], edge[1:, None]) - np.maximum(lo[None], edge[:-1, None]), 0, None)
-        return cover / cover.sum(1, keepdims=True)
 
-    return weights(a.shape[0]) @ a @ weights(a.shape[1]).T
+def fitted(a: np.ndarray, size: int) -> np.ndarray:
+    """The middle square of an image at size x size."""
+    h, w = a.shape
+    side = min(h, w)
+    return resized(a, size, size, ((w - side) / 2, (h - side) / 2, side, side))
+
+
+def region(a: np.ndarray, cx: float, cy: float, w: float, h: float, expand: float = 0.2) -> np.ndarray | None:
+    """The part of an image under a box (shares of the image), a fifth wider on each side, inside the image; None if nothing is left."""
+    height, width = a.shape
+    w, h = w * (1 + 2 * expand), h * (1 + 2 * expand)
+    left, right = max(0, round((cx - w / 2) * width)), min(width, round((cx + w / 2) * width))
+    top, bottom = max(0, round((cy - h / 2) * height)), min(height, round((cy + h / 2) * height))
+    return a[top:bottom, left:right] if right > left and bottom > top else None
 
 
 def perceptual_hash(a: np.ndarray) -> int:
@@ -37,7 +63,7 @@ def perceptual_hash(a: np.ndarray) -> int:
     n = np.arange(32)
     basis = np.cos(np.pi * np.outer(n, 2 * n + 1) / 64) * np.sqrt(2 / 32)
     basis[0] /= np.sqrt(2)
-    low = (basis @ shrunk(a, 32) @ basis.T)[:8, :8].ravel()
+    low = (basis @ resized(a, 32, 32) @ basis.T)[:8, :8].ravel()
     bits = np.packbits(low >= np.median(low[1:])).tobytes()
     return int.from_bytes(bits, "big", signed=True)
 
@@ -49,16 +75,17 @@ def laplacian_variance(a: np.ndarray) -> float:
     return float((a[:-2, 1:-1] + a[2:, 1:-1] + a[1:-1, :-2] + a[1:-1, 2:] - 4 * a[1:-1, 1:-1]).var())
 
 
-def ssim(a: np.ndarray, b: np.ndarray, radius: int = 5) -> float:
-    """Mean structural similarity with a uniform window and mirrored borders."""
+def box_means(a: np.ndarray, radius: int) -> np.ndarray:
+    """Mean of the square around every pixel, borders mirrored: four corners of the summed area."""
     side = 2 * radius + 1
+    total = np.pad(np.pad(a, radius, mode="reflect"), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    return (total[side:, side:] - total[:-side, side:] - total[side:, :-side] + total[:-side, :-side]) / side**2
 
-    def mean(x: np.ndarray) -> np.ndarray:
-        windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, radius, mode="reflect"), (side, side))
-        return windows.mean((-2, -1))
 
-    ma, mb = mean(a), mean(b)
-    va, vb, cov = np.maximum(0, mean(a * a) - ma * ma), np.maximum(0, mean(b * b) - mb * mb), mean(a * b) - ma * mb
+def ssim(a: np.ndarray, b: np.ndarray, radius: int = 5) -> float:
+    """Mean structural similarity with a uniform window and mirrored borders; sides must be longer than radius."""
+    ma, mb, maa, mbb, mab = (box_means(x, radius) for x in (a, b, a * a, b * b, a * b))
+    va, vb, cov = np.maximum(0, maa - ma * ma), np.maximum(0, mbb - mb * mb), mab - ma * mb
     k1, k2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     return float(((2 * ma * mb + k1) * (2 * cov + k2) / ((ma * ma + mb * mb + k1) * (va + vb + k2))).mean())
 
@@ -96,21 +123,35 @@ def image_measures(images: DataFrame) -> DataFrame:
 
 
 def ssim_column(size: int):
-    """A column function over two binary columns that hold size x size gray bytes."""
+    """A column function over two binary columns that hold size x size grey bytes; null if one is null."""
 
     @pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         square = lambda x: np.frombuffer(x, np.uint8).reshape(size, size).astype(np.float64)
-        return pd.Series([ssim(square(x), square(y)) for x, y in zip(a, b, strict=True)])
+        return pd.Series([None if x is None or y is None else ssim(square(x), square(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return score
 
 
-def confirmed_pairs(pairs: DataFrame, thumbs: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs a, b whose thumbnails(item_id, gray bytes) are similar enough."""
-    left, right = thumbs.select(F.col("item_id").alias("a"), F.col("gray").alias("gray_a")), thumbs.select(F.col("item_id").alias("b"), F.col("gray").alias("gray_b"))
-    scored = pairs.join(left, "a").join(right, "b").withColumn("ssim", ssim_column(size)("gray_a", "gray_b"))
-    return scored.where(F.col("ssim") >= least).drop("gray_a", "gray_b")
+def thumbnails(images: DataFrame, size: int = 16, expand: float = 0.2) -> DataFrame:
+    """item_id, phash, whole, part, brightness, overexposed, underexposed, sharpness of images(item_id, height, width, channels, pixels, cx, cy, w, h).
+
+    whole and part are size x size grey bytes, of the image and of the region
+    under its box (null if that is empty); the measures are those of whole.
+    """
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                g = gray(r.pixels, r.height, r.width, r.channels)
+                whole, cut = fitted(g, size), region(g, r.cx, r.cy, r.w, r.h, expand)
+                part = None if cut is None else fitted(cut, size).astype(np.uint8).tobytes()
+                rows.append((r.item_id, perceptual_hash(g), whole.astype(np.uint8).tobytes(), part, whole.mean(), (whole >= 245).mean(), (whole <= 10).mean(), laplacian_variance(whole)))
+            yield pd.DataFrame(rows, columns=["item_id", "phash", "whole", "part", "brightness", "overexposed", "underexposed", "sharpness"])
+
+    columns = "item_id", "height", "width", "channels", "pixels", "cx", "cy", "w", "h"
+    return images.select(*columns).mapInPandas(make, "item_id long, phash long, whole binary, part binary, brightness double, overexposed double, underexposed double, sharpness double")
 
 
 def channel_histogram(images: DataFrame) -> DataFrame:
@@ -137,55 +178,3 @@ def predicted(images: DataFrame, predict, schema: str) -> DataFrame:
             yield predict(b)
 
     return images.mapInPandas(run, schema)
-
-
-def smooth_series(df: DataFrame, key: str, order: str, value: str, schema: str, strength: float = 0.2) -> DataFrame:
-    """Forward and backward first-order low-pass of each series, so that nothing is shifted."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        x = g[value].to_numpy(float)
-        for _ in range(2):
-            for i in range(1, len(x)):
-                x[i] = x[i - 1] + strength * (x[i] - x[i - 1])
-            x = x[::-1].copy()
-        return g.assign(smooth=x)[[key, order, "smooth"]]
-
-    return df.groupBy(key).applyInPandas(run, schema)
-
-
-def butterworth(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients b, a of a digital low-pass; cutoff is a share of the Nyquist frequency.  Poles on a circle, bilinear transform."""
-    edge = 4 * np.tan(np.pi * cutoff / 2)
-    poles = edge * np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
-    a = np.real(np.poly((4 + poles) / (4 - poles)))
-    b = np.poly(-np.ones(order)) * np.real(edge**order / np.prod(4 - poles))
-    return b, a
-
-
-def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """x through the filter once, starting as if its first value had always been there."""
-    n = len(a) - 1
-    step = np.eye(n) - np.eye(n, k=1)
-    step[:, 0] += a[1:]
-    state = np.linalg.solve(step, b[1:] - a[1:] * b[0]) * x[0]
-    out = np.empty(len(x))
-    for i, v in enumerate(x):
-        out[i] = y = b[0] * v + state[0]
-        state = np.append(state[1:], 0.0) + b[1:] * v - a[1:] * y
-    return out
-
-
-def lowpass_series(df: DataFrame, key: str, order: str, value: str, schema: str, cutoff: float = 0.06, poles: int = 5) -> DataFrame:
-    """Each series through a Butterworth low-pass forward and backward, so that nothing is shifted; the ends are mirrored in their points."""
-    b, a = butterworth(poles, cutoff)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        x = g[value].to_numpy(float)
-        pad = min(3 * (poles + 1), len(x) - 1)
-        wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1])) if pad else x
-        twice = filtered(b, a, filtered(b, a, wide)[::-1])[::-1]
-        return g.assign(smooth=twice[pad : pad + len(x)])[[key, order, "smooth"]]
-
-    return df.groupBy(key).applyInPandas(run, schema)

@@ -27,26 +27,6 @@ def _images(spark: SparkSession, d: str, side: int, channels: int) -> DataFrame:
 _BYTES = "px AS (SELECT vec_id, i, least(255, greatest(0, floor(embedding[i + 1]::DOUBLE * 400 + 128))) AS v FROM embeddings, range(64) g(i))"
 
 
-@query
-def image_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Brightness, contrast, exposure, sharpness and the bits of the perceptual hash."""
-    m = pixels.image_measures(_images(spark, d, 8, 1))
-    return m.select("path", *(F.round(c, 6).alias(c) for c in ("brightness", "contrast", "overexposed", "underexposed", "sharpness")), F.lpad(F.bin("phash"), 64, "0").alias("phash"))
-
-
-#: a pixel of the 8 x 8 image covers four of the 32 places of the cosine transform
-SQL["image_measures"] = f"""WITH {_BYTES},
-base AS (SELECT vec_id, list(v ORDER BY i) AS l, avg(v) AS brightness, stddev_pop(v) AS contrast, avg((v >= 245)::INT) AS overexposed, avg((v <= 10)::INT) AS underexposed FROM px GROUP BY vec_id),
-lap AS (SELECT vec_id, var_pop(l[(r - 1) * 8 + c + 1] + l[(r + 1) * 8 + c + 1] + l[r * 8 + c] + l[r * 8 + c + 2] - 4 * l[r * 8 + c + 1]) AS sharpness FROM base, range(1, 7) a(r), range(1, 7) b(c) GROUP BY vec_id),
-cs AS (SELECT u, p, sum(cos(pi() * u * (2 * (4 * p + j) + 1) / 64)) * CASE WHEN u = 0 THEN 1 / sqrt(2) ELSE 1 END AS k FROM range(8) a(u), range(8) b(p), range(4) c(j) GROUP BY u, p),
-rowed AS (SELECT vec_id, u, i % 8 AS q, sum(k * v) AS t FROM px JOIN cs ON p = i // 8 GROUP BY vec_id, u, i % 8),
-low AS (SELECT vec_id, u, cs.u2 AS w, sum(k * t) AS f FROM rowed JOIN (SELECT u AS u2, p AS p2, k FROM cs) cs ON p2 = q GROUP BY vec_id, u, cs.u2),
-mid AS (SELECT vec_id, median(f) AS m FROM low WHERE u + w > 0 GROUP BY vec_id),
-ph AS (SELECT vec_id, string_agg(CASE WHEN f >= m THEN '1' ELSE '0' END, '' ORDER BY u, w) AS phash FROM low JOIN mid USING (vec_id) GROUP BY vec_id)
-SELECT vec_id::VARCHAR AS path, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(overexposed, 6) AS overexposed, round(underexposed, 6) AS underexposed, round(sharpness, 6) AS sharpness, phash
-FROM base JOIN lap USING (vec_id) JOIN ph USING (vec_id)"""
-
-
 @query
 def channel_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Pixels per channel and value, over all images of four channels."""

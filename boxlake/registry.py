@@ -1,6 +1,6 @@
 """All queries of this package and their SQL twins."""
 
-from boxlake.plans import curation, evaluation, formats, geometry, masks, pixels
+from boxlake.plans import curation, duplicates, evaluation, formats, geometry, masks, pixels
 
-QUERIES = evaluation.Q | curation.Q | geometry.Q | formats.Q | pixels.Q | masks.Q
-ORACLES = evaluation.SQL | curation.SQL | geometry.SQL | formats.SQL | pixels.SQL | masks.SQL
+QUERIES = evaluation.Q | curation.Q | geometry.Q | formats.Q | pixels.Q | masks.Q | duplicates.Q
+ORACLES = evaluation.SQL | curation.SQL | geometry.SQL | formats.SQL | pixels.SQL | masks.SQL | duplicates.SQL
