@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlake.operators.recurrence import numbered
+
 
 def bucket(key: Column, buckets: int) -> Column:
     """A bucket from the first 13 hex digits of the MD5 of the key."""
@@ -38,33 +40,57 @@ def weighted_draws(items: DataFrame, draws: int) -> DataFrame:
     return hit.select("draw", "item_id")
 
 
+def placements(runs: list[tuple[int, int, int]], fixed: dict[tuple[str, int], int], target: dict[str, float]) -> list[tuple[int, int, int, int, str]]:
+    """amount, class_id, first, last, split: which of the clusters of each run(amount, class_id, clusters) go where, greedily, biggest first.
+
+    A cluster goes where it brings the counts of its class and of all classes
+    nearest to their shares; the earlier split wins a tie.  As long as a split
+    stays below or above both of its shares, the cost of a further cluster there
+    doesn't change, so so many are placed at once: a few steps for each run.
+    """
+    order = list(target)
+    total: dict[int, int] = {}
+    for (_, c), n in fixed.items():
+        total[c] = total.get(c, 0) + n
+    for amount, c, n in runs:
+        total[c] = total.get(c, 0) + amount * n
+    have, have_all = {k: float(n) for k, n in fixed.items()}, {s: float(sum(n for (t, _), n in fixed.items() if t == s)) for s in order}
+    want_all = {s: sum(total.values()) * target[s] for s in order}
+    out = []
+    for amount, c, n in sorted(runs, key=lambda r: (-r[0], r[1])):
+        first = 0
+        while first < n:
+
+            def gaps(s: str, c: int = c) -> list[tuple[float, float, float]]:
+                return [(1.0, have.get((s, c), 0.0), total[c] * target[s]), (0.35, have_all[s], want_all[s])]
+
+            def cost(s: str, amount: int = amount) -> float:
+                return round(sum(w * (abs(x + amount - y) - abs(x - y)) for w, x, y in gaps(s)), 6)
+
+            best = min(order, key=lambda s: (cost(s), order.index(s)))
+            steps = [n - first] + [int((y - x) // amount) if x + amount <= y else 1 for _, x, y in gaps(best) if x < y]
+            k = max(1, min(steps)) if amount else n - first
+            out.append((amount, c, first, first + k - 1, best))
+            have[best, c] = have.get((best, c), 0.0) + k * amount
+            have_all[best] += k * amount
+            first += k
+    return out
+
+
 def balance_clusters(clusters: DataFrame, fixed: DataFrame, target: dict[str, float]) -> DataFrame:
     """target_split of each cluster(cluster_id, class_id, amount), biggest first, so that classes and totals near the target shares.
 
-    Greedy, hence on the driver over one row per cluster; fixed(split, class_id, n)
-    counts what is placed already.
+    Clusters of one amount are taken by class, then by id; so only how many there
+    are of each amount and class reaches the driver (amounts add up to the items,
+    so there are few unlike ones), and the clusters are numbered where they are
+    and find their split by a join.  fixed(split, class_id, n) counts what is
+    placed already.
     """
-    spark, order = clusters.sparkSession, list(target)
-    rows = sorted(clusters.collect(), key=lambda r: (-r["amount"], r["cluster_id"]))
-    now = {s: {} for s in order}
-    for r in fixed.collect():
-        now[r["split"]][r["class_id"]] = now[r["split"]].get(r["class_id"], 0) + r["n"]
-    total: dict[int, int] = {}
-    for s in order:
-        for c, n in now[s].items():
-            total[c] = total.get(c, 0) + n
-    for r in rows:
-        total[r["class_id"]] = total.get(r["class_id"], 0) + r["amount"]
-    wanted = {s: {c: n * target[s] for c, n in total.items()} for s in order}
-    placed = []
-    for r in rows:
-        c, n = r["class_id"], r["amount"]
-
-        def cost(s: str) -> float:
-            have, all_have, all_want = now[s].get(c, 0), sum(now[s].values()), sum(wanted[s].values())
-            return abs(have + n - wanted[s][c]) - abs(have - wanted[s][c]) + 0.35 * (abs(all_have + n - all_want) - abs(all_have - all_want))
-
-        best = min(order, key=lambda s: (round(cost(s), 9), order.index(s)))
-        now[best][c] = now[best].get(c, 0) + n
-        placed.append((r["cluster_id"], c, n, best))
-    return spark.createDataFrame(placed, "cluster_id long, class_id long, amount long, target_split string")
+    spark = clusters.sparkSession
+    runs = clusters.groupBy("amount", "class_id").agg(F.count("*").alias("n")).collect()
+    known = {(r["split"], r["class_id"]): r["n"] for r in fixed.groupBy("split", "class_id").agg(F.sum("n").alias("n")).collect()}  # splits x classes
+    found = placements([(r["amount"], r["class_id"], r["n"]) for r in runs], known, target)
+    plan = spark.createDataFrame(found, "amount long, class_id long, first long, last long, target_split string").withColumn("run", F.concat_ws(":", "amount", "class_id"))
+    rows = clusters.select(F.concat_ws(":", "amount", "class_id").alias("run"), "cluster_id", F.lit(0.0).alias("v"))
+    placed = numbered(rows, "run", "cluster_id", "v").select(F.col("k").alias("run"), F.col("o").alias("cluster_id"), "t")
+    return placed.join(plan, "run").where("t BETWEEN first AND last").select("cluster_id", "class_id", "amount", "target_split")

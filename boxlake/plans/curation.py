@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from boxlake.fixtures import fixture, table, with_sql
 from boxlake.operators import dedup, profile, split, validate, version
+from boxlake.operators.scan import shared_path, written
+from boxlake.sources import dataset
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -334,28 +336,56 @@ SQL["weighted_sample"] = f"""{with_sql('gt')}, i AS (SELECT image_id, sum(class_
 u AS (SELECT k AS image_id FROM range(500) r(k)), p AS (SELECT image_id AS draw, {_BUCKET} * (SELECT sum(weight) FROM i) AS point FROM u) SELECT draw, c.image_id AS item_id FROM p JOIN c ON point >= upto - weight AND point < upto"""
 
 
+_TARGET = {"train": 0.7, "val": 0.15, "test": 0.15}
+_FIXED = [("train", 0, 30), ("val", 1, 20), ("test", 2, 1)]
+
+
 @query
 def cluster_split_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as clusters, placed greedily so that classes near 70/15/15."""
-    c = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("cluster_id")).agg(F.count("*").alias("amount")).withColumn("class_id", F.col("cluster_id") % 2)
-    fixed = spark.createDataFrame([("train", 0, 3), ("val", 1, 2)], "split string, class_id long, n long")
-    return split.balance_clusters(c, fixed, {"train": 0.7, "val": 0.15, "test": 0.15})
+    """Customers as clusters of orders, placed greedily so that classes near 70/15/15."""
+    c = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("cluster_id")).agg(F.count("*").alias("amount")).withColumn("class_id", F.col("cluster_id") % 3)
+    fixed = spark.createDataFrame(_FIXED, "split string, class_id long, n long")
+    return split.balance_clusters(c, fixed, _TARGET)
+
+
+def _plan_sql() -> str:
+    """One cluster after the other: h<split><class> count what each split holds."""
+    cells = [(s, c) for s in range(3) for c in range(3)]
+    start = ", ".join(f"{sum(n for t, k, n in _FIXED if list(_TARGET).index(t) == s and k == c)}::BIGINT AS h{s}{c}" for s, c in cells)
+    shares = list(_TARGET.values())
+    of_class = lambda s: f"CASE class_id WHEN 0 THEN h{s}0 WHEN 1 THEN h{s}1 ELSE h{s}2 END"
+    gap = lambda have, want: f"(abs({have} + amount - {want}) - abs({have} - {want}))"
+    cost = ", ".join(f"round({gap(f'({of_class(s)})', f'class_total * {w!r}::DOUBLE')} + 35e-2 * {gap(f'(h{s}0 + h{s}1 + h{s}2)', f'all_total * {w!r}::DOUBLE')}, 6) AS cost{s}" for s, w in enumerate(shares))
+    grown = ", ".join(f"h{s}{c} + CASE WHEN pick = {s} AND class_id = {c} THEN amount ELSE 0 END" for s, c in cells)
+    held = ", ".join(f"h{s}{c}" for s, c in cells)
+    return f"""WITH RECURSIVE c AS (SELECT o_custkey::BIGINT AS cluster_id, count(*) AS amount, o_custkey % 3 AS class_id FROM orders GROUP BY o_custkey),
+fx AS (SELECT * FROM (VALUES {", ".join(f"({k}, {n})" for _, k, n in _FIXED)}) v(class_id, n)),
+t AS (SELECT class_id, sum(n)::DOUBLE AS class_total FROM (SELECT class_id, amount AS n FROM c UNION ALL FROM fx) GROUP BY class_id),
+o AS MATERIALIZED (SELECT c.*, class_total, (SELECT sum(class_total) FROM t) AS all_total, row_number() OVER (ORDER BY amount DESC, c.class_id, cluster_id) AS k FROM c JOIN t ON t.class_id = c.class_id),
+st AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS cluster_id, NULL::BIGINT AS class_id, NULL::BIGINT AS amount, -1 AS pick, {start}
+  UNION ALL SELECT k, cluster_id, class_id, amount, pick, {grown} FROM (
+    SELECT *, CASE WHEN cost0 <= cost1 AND cost0 <= cost2 THEN 0 WHEN cost1 <= cost2 THEN 1 ELSE 2 END AS pick FROM (
+      SELECT o.k, o.cluster_id, o.class_id, o.amount, {held}, {cost.replace("class_id", "o.class_id").replace("amount", "o.amount")} FROM st JOIN o ON o.k = st.k + 1) x) y)
+SELECT cluster_id, class_id, amount, CASE pick WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS target_split FROM st WHERE k > 0"""
+
+
+SQL["cluster_split_plan"] = _plan_sql()
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.concat(F.lit("train/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), "doc_id")
 
 
-def _manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the documents as files: some are missing from each, some are longer or turned round in the later one."""
     docs = _files(spark, d)
-    old = version.manifest(docs.where("doc_id % 11 <> 0"))
     changed = docs.where("doc_id % 13 <> 0").withColumn("content", F.when(F.col("doc_id") % 17 == 0, F.concat("content", F.lit(b"!"))).when(F.col("doc_id") % 19 == 0, F.reverse(F.col("content").cast("string")).cast("binary")).otherwise(F.col("content")))
-    return old, version.manifest(changed)
+    return docs.where("doc_id % 11 <> 0"), changed
 
 
 @query
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
-    return version.diff(*_manifests(spark, d))
+    return version.diff(*map(version.manifest, _versions(spark, d)))
 
 
 SQL["manifest_diff"] = """WITH f AS (SELECT doc_id, 'train/' || doc_id || '.txt' AS path, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, path, CASE WHEN doc_id % 17 = 0 THEN t || '!' WHEN doc_id % 19 = 0 THEN list_aggregate(list_reverse(string_split(t, '')), 'string_agg', '') ELSE t END AS t FROM f WHERE doc_id % 13 <> 0),
@@ -363,14 +393,66 @@ o AS (SELECT * FROM f WHERE doc_id % 11 <> 0) SELECT coalesce(o.path, n.path) AS
 FROM o FULL JOIN n ON o.path = n.path WHERE n.path IS NULL OR o.path IS NULL OR o.t <> n.t"""
 
 
+_TREE = """f AS (SELECT 'train/' || doc_id || '.txt' AS path, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS h FROM documents),
+n2 AS (SELECT substr(md5(path), 1, 2) AS prefix, sha256(string_agg(path || chr(9) || size || chr(9) || h, chr(10) ORDER BY path)) AS digest, count(*) AS files, sum(size)::BIGINT AS bytes FROM f GROUP BY 1),
+n1 AS (SELECT left(prefix, 1) AS prefix, sha256(string_agg(prefix || digest, chr(10) ORDER BY prefix)) AS digest, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM n2 GROUP BY 1),
+n0 AS (SELECT '' AS prefix, sha256(string_agg(prefix || digest, chr(10) ORDER BY prefix)) AS digest, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM n1)"""
+
+
 @query
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return version.fingerprint(version.manifest(_files(spark, d)), per_leaf=100)
+    """The root of the tree over all documents as files."""
+    return version.fingerprint(version.manifest(_files(spark, d)), depth=2)
+
+
+SQL["fingerprint"] = f"WITH {_TREE} SELECT digest AS fingerprint, files, bytes FROM n0"
+
+
+@query
+def merkle_tree(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes of that tree."""
+    return version.merkle(version.manifest(_files(spark, d)), 2)
+
+
+SQL["merkle_tree"] = f"WITH {_TREE} SELECT 2 AS level, * FROM n2 UNION ALL SELECT 1, * FROM n1 UNION ALL SELECT 0, * FROM n0"
+
+
+@query
+def frozen_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A version of the documents is frozen; a later one is verified against it through the tree."""
+    path = shared_path(spark, "frozen")
+    old, new = _versions(spark, d)
+    version.freeze(version.manifest(old), path, per_leaf=50)
+    return version.verify_frozen(new, path)
+
+
+SQL["frozen_changes"] = SQL["manifest_diff"]
+
+
+@query
+def label_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of parsed labels is built, refreshed after changes, and refreshed again without any: what each round parses, keeps and drops, and what the cache then holds."""
+    lines = fixture(spark, d, "lines")
+    files = lines.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    files = written(files.select("image_id", F.concat_ws("", F.lit("labels/"), "image_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content")))
+    longer = F.when(F.col("image_id") % 11 == 0, F.concat("content", F.lit(b"\n0 0.5 0.5 0.5 0.5"))).otherwise(F.col("content"))
+    later = files.where("image_id % 7 <> 0").withColumn("content", longer)
+    cache = dataset.LabelCache(spark, shared_path(spark, "labels"))
+    out = []
+    for i, now in enumerate((files.where("image_id % 5 <> 0"), later, later)):
+        counts = cache.refresh(now.select("path", "content"), dataset.label_boxes)
+        held = cache.rows().agg(F.count_if("valid").alias("boxes"), F.count_if(~F.col("valid")).alias("bad_lines")).first()
+        out.append((i, counts["files"], counts["parsed"], counts["kept"], counts["removed"], held["boxes"], held["bad_lines"]))
+    return spark.createDataFrame(out, "round int, files long, parsed long, kept long, removed long, boxes long, bad_lines long")
 
 
-SQL["fingerprint"] = """WITH f AS (SELECT 'train/' || doc_id || '.txt' AS path, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS h FROM documents),
-l AS (SELECT ('0x' || substr(md5(path), 1, 13))::BIGINT % greatest(1, (SELECT count(*) FROM f) // 100) AS leaf, sha256(string_agg(path || chr(9) || size || chr(9) || h, chr(10) ORDER BY path)) AS d, count(*) AS n, sum(size) AS b FROM f GROUP BY 1)
-SELECT sha256(string_agg(d, chr(10) ORDER BY leaf)) AS fingerprint, sum(n)::BIGINT AS files, sum(b)::BIGINT AS bytes FROM l"""
+SQL["label_cache"] = f"""{with_sql('lines')}, tk AS (SELECT image_id, string_split(line, ' ') AS t FROM lines),
+ok AS (SELECT image_id, len(t) = 5 AND regexp_full_match(t[1], '[0-9]+') AND len(list_filter(t[2:], lambda v: coalesce(TRY_CAST(v AS DOUBLE) BETWEEN 0 AND 1, false))) = 4 AS valid FROM tk),
+f AS (SELECT image_id, count(*) FILTER (WHERE valid) AS good, count(*) FILTER (WHERE NOT valid) AS bad, image_id % 5 <> 0 AS in0, image_id % 7 <> 0 AS in1, image_id % 11 = 0 AS longer FROM ok GROUP BY image_id)
+SELECT 0 AS round, count(*) AS files, count(*) AS parsed, 0 AS kept, 0 AS removed, sum(good)::BIGINT AS boxes, sum(bad)::BIGINT AS bad_lines FROM f WHERE in0
+UNION ALL SELECT 1, count(*) FILTER (WHERE in1), count(*) FILTER (WHERE in1 AND (longer OR NOT in0)), count(*) FILTER (WHERE in0 AND in1 AND NOT longer), count(*) FILTER (WHERE in0 AND NOT in1),
+  sum(good + longer::INT) FILTER (WHERE in1)::BIGINT, sum(bad) FILTER (WHERE in1)::BIGINT FROM f
+UNION ALL SELECT 2, count(*), 0, count(*), 0, sum(good + longer::INT)::BIGINT, sum(bad)::BIGINT FROM f WHERE in1"""
 
 
 @query

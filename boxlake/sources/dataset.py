@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxlake.operators import version
+from boxlake.operators.scan import written
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -63,9 +66,7 @@ def there(spark: SparkSession, path: str) -> bool:
 
 def content_key(files: DataFrame) -> str:
     """A key of files(path, content) that changes with any byte or name."""
-    one = files.select(F.sha2(F.concat_ws("\t", "path", F.sha2("content", 256)), 256).alias("h"))
-    parts = one.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.substring("h", 1, 32))), ""), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256)).first()[0]
+    return version.fingerprint(version.manifest(files)).first()["fingerprint"] or "empty"
 
 
 def cached(spark: SparkSession, key: str, folder: str, build) -> DataFrame:
@@ -78,3 +79,58 @@ def cached(spark: SparkSession, key: str, folder: str, build) -> DataFrame:
             raise
     build().write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def label_boxes(files: DataFrame) -> DataFrame:
+    """path, line_no, class_id, cx, cy, w, h, valid of the lines of label files(path, content); lines of spaces only are left out."""
+    line = files.select("path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    t = line.withColumn("t", F.split(F.trim("line"), r"\s+"))
+    number = lambda i: F.get("t", F.lit(i)).try_cast("double")
+    inside = [F.coalesce(number(i).between(0, 1), F.lit(False)) for i in range(1, 5)]
+    valid = (F.size("t") == 5) & F.get("t", F.lit(0)).rlike("^[0-9]+$") & inside[0] & inside[1] & inside[2] & inside[3]
+    return t.select("path", "line_no", F.when(valid, F.get("t", F.lit(0)).try_cast("long")).alias("class_id"), *(F.when(valid, number(i)).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"), 1)), valid.alias("valid"))
+
+
+class LabelCache:
+    """Parsed files, kept below a folder and brought up to date by what changed.
+
+    Files are told apart by path and digest.  A refresh parses new and changed
+    files into a segment of their own and writes an index (path, digest, segment)
+    of what is there now; the version counts once its row of counts is written,
+    so a refresh that breaks off leaves the one before.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def version(self) -> int:
+        """The latest version; -1 before the first."""
+        if not there(self.spark, f"{self.folder}/versions"):
+            return -1
+        return self.spark.read.parquet(f"{self.folder}/versions").agg(F.max("version")).first()[0]
+
+    def index(self) -> DataFrame:
+        v = self.version()
+        if v < 0:
+            return self.spark.createDataFrame([], "path string, digest string, segment int")
+        return self.spark.read.parquet(f"{self.folder}/index/{v}")
+
+    def refresh(self, files: DataFrame, parse) -> dict[str, int]:
+        """Counts of files, parsed, kept and removed; parse turns files(path, content) into rows that carry path."""
+        v = self.version() + 1
+        old = self.index()
+        now = written(files.select("path", F.sha2("content", 256).alias("digest")))
+        fresh = written(now.join(old, ["path", "digest"], "left_anti"))
+        parsed = parse(files.join(fresh.select("path"), "path", "left_semi"))
+        parsed.join(fresh, "path").write.mode("overwrite").parquet(f"{self.folder}/segments/segment={v}")
+        found = now.join(old, ["path", "digest"], "left").select("path", "digest", F.coalesce("segment", F.lit(v)).cast("int").alias("segment"))
+        found.write.mode("overwrite").parquet(f"{self.folder}/index/{v}")
+        counts = {"files": now.count(), "parsed": fresh.count(), "removed": old.join(now, "path", "left_anti").count()}
+        counts["kept"] = counts["files"] - counts["parsed"]
+        self.spark.createDataFrame([(v, *counts.values())], "version int, " + ", ".join(f"{c} long" for c in counts)).write.mode("append").parquet(f"{self.folder}/versions")
+        return counts
+
+    def rows(self) -> DataFrame:
+        """The parsed rows of the files that are there now."""
+        rows = self.spark.read.parquet(f"{self.folder}/segments")
+        return rows.join(self.index(), ["path", "digest", "segment"], "left_semi").drop("digest", "segment")
