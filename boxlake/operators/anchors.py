@@ -97,14 +97,47 @@ def fitness(boxes: DataFrame, anchors: list[tuple[float, float]], limit: float =
     return boxes.agg(F.avg(F.when(best > 1 / limit, best).otherwise(0.0))).first()[0] or 0.0
 
 
-def evolved(boxes: DataFrame, anchors: list[tuple[float, float]], generations: int = 20, brood: int = 16, sigma: float = 0.1, seed: int = 0) -> list[tuple[float, float]]:
-    """Anchors mutated by random factors; a generation's brood is scored in one pass over the boxes, the best one stays."""
+def whitened_rounds(boxes: DataFrame, centers: list[tuple[float, float]], rounds: int = 30) -> list[tuple[float, float]]:
+    """Centres of boxes(w, h) by Euclidean distance after scaling both sides to unit deviation, from given ones, by area.
+
+    A centre without boxes stays; a round is one pass, and k rows come to the driver.
+    """
+    s = boxes.agg(F.stddev_pop("w").alias("w"), F.stddev_pop("h").alias("h")).first()
+    sw, sh = s["w"] or 1.0, s["h"] or 1.0
+    now = [(float(w), float(h)) for w, h in centers]
+    for _ in range(rounds):
+        far = [F.pow((F.col("w") - w) / sw, F.lit(2)) + F.pow((F.col("h") - h) / sh, F.lit(2)) for w, h in now]
+        best = F.array_position(F.array(*far), F.least(*far)) - 1
+        found = {r["c"]: (r["w"], r["h"]) for r in boxes.groupBy(best.alias("c")).agg(F.avg("w").alias("w"), F.avg("h").alias("h")).collect()}
+        new = [found.get(i, c) for i, c in enumerate(now)]
+        if new == now:
+            break
+        now = new
+    return sorted(now, key=lambda c: c[0] * c[1])
+
+
+def mutations(k: int, generations: int, brood: int, share: float = 0.9, sigma: float = 0.1, seed: int = 0) -> list[list[list[tuple[float, float]]]]:
+    """Factors by generation, child and anchor: each side changes with a probability, by a normal step whose size is drawn for the child, within 0.3 and 3; a child always changes."""
     import random
 
-    rng, best = random.Random(seed), list(anchors)
+    rng = random.Random(seed)
+
+    def child() -> list[tuple[float, float]]:
+        while True:
+            size = rng.random()
+            sides = [min(3.0, max(0.3, 1 + (rng.random() < share) * size * rng.gauss(0, 1) * sigma)) for _ in range(2 * k)]
+            if any(v != 1 for v in sides):
+                return list(zip(sides[::2], sides[1::2], strict=True))
+
+    return [[child() for _ in range(brood)] for _ in range(generations)]
+
+
+def evolved(boxes: DataFrame, anchors: list[tuple[float, float]], generations: int = 20, brood: int = 16, sigma: float = 0.1, seed: int = 0) -> list[tuple[float, float]]:
+    """Anchors mutated by factors; a generation's brood is scored in one pass over the boxes, its best one stays if it is better.  Sides don't fall below 2."""
+    best = [(float(w), float(h)) for w, h in anchors]
     score = fitness(boxes, best)
-    for _ in range(generations):
-        tries = [[(max(2.0, w * rng.gauss(1, sigma)), max(2.0, h * rng.gauss(1, sigma))) for w, h in best] for _ in range(brood)]
+    for generation in mutations(len(best), generations, brood, sigma=sigma, seed=seed):
+        tries = [[(max(2.0, w * f), max(2.0, h * g)) for (w, h), (f, g) in zip(best, child, strict=True)] for child in generation]
         value = lambda a: F.greatest(F.lit(0.0), *(ratio(F.col("w"), F.col("h"), F.lit(w), F.lit(h)) for w, h in a))
         scores = boxes.agg(*(F.avg(F.when(value(a) > 0.25, value(a)).otherwise(0.0)).alias(f"s{i}") for i, a in enumerate(tries))).first()
         top = max(range(brood), key=lambda i: scores[i] or 0.0)

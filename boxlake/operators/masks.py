@@ -36,37 +36,55 @@ def unpacked(words: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.unpackbits(rows, axis=1, bitorder="little")[:, :width].astype(bool)
 
 
-def polygon_words(xs: np.ndarray, ys: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Words of the pixels whose centres a polygon holds (even-odd rule).
+def polygons_words(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Words, a row for each polygon, of the pixels whose centres it holds (even-odd rule); xs and ys are the points of all, sizes how many each has.
 
     An edge that crosses the middle of a row turns all pixels to the right of
     the crossing; so the work is edges times the rows they cross, plus the words.
     """
-    n = words_per_row(width)
-    words, right = np.zeros((height, n + 1), np.uint64), np.zeros((height, n + 1), bool)
-    for x1, y1, x2, y2 in zip(xs, ys, np.roll(xs, -1), np.roll(ys, -1), strict=True):
-        if y1 == y2:
-            continue
-        rows = np.arange(max(0, int(np.floor(min(y1, y2))) - 1), min(height, int(np.ceil(max(y1, y2))) + 1))
-        y = rows + 0.5
-        rows, y = rows[(y1 > y) != (y2 > y)], y[(y1 > y) != (y2 > y)]
-        start = np.clip(np.ceil((x2 - x1) * (y - y1) / (y2 - y1) + x1 - 0.5), 0, 64 * n).astype(np.int64)
-        words[rows, start // 64] ^= ALL << (start % 64).astype(np.uint64)  # an edge crosses a row once
-        full = start // 64 + 1 <= n
-        right[rows[full], start[full] // 64 + 1] ^= True
-    words = words[:, :n] ^ np.where(np.logical_xor.accumulate(right, axis=1)[:, :n], ALL, np.uint64(0))
+    n, many = words_per_row(width), len(sizes)
+    owner = np.repeat(np.arange(many), sizes)
+    ends = np.cumsum(sizes)
+    following = np.arange(1, len(xs) + 1)
+    following[ends[sizes > 0] - 1] = (ends - sizes)[sizes > 0]
+    x1, y1, x2, y2 = xs, ys, xs[following], ys[following]
+    low = np.clip(np.floor(np.minimum(y1, y2)) - 1, 0, height).astype(np.int64)
+    high = np.clip(np.ceil(np.maximum(y1, y2)) + 1, 0, height).astype(np.int64)
+    rows_of = np.where(y1 == y2, 0, np.maximum(high - low, 0))
+    edge = np.repeat(np.arange(len(xs)), rows_of)
+    row = np.arange(len(edge)) - np.repeat(np.cumsum(rows_of) - rows_of, rows_of) + low[edge]
+    y = row + 0.5
+    crossing = (y1[edge] > y) != (y2[edge] > y)
+    edge, row, y = edge[crossing], row[crossing], y[crossing]
+    at = (x2[edge] - x1[edge]) * (y - y1[edge]) / (y2[edge] - y1[edge]) + x1[edge]
+    start = np.clip(np.ceil(at - 0.5), 0, 64 * n).astype(np.int64)
+    words, right = np.zeros((many, height, n + 1), np.uint64), np.zeros((many, height, n + 1), np.uint64)
+    place = (owner[edge] * height + row) * (n + 1) + start // 64
+    np.bitwise_xor.at(words.reshape(-1), place, ALL << (start % 64).astype(np.uint64))
+    np.bitwise_xor.at(right.reshape(-1), place[start < 64 * n] + 1, ALL)
+    words = (words ^ np.bitwise_xor.accumulate(right, axis=2))[:, :, :n]
     if width % 64:
-        words[:, -1] &= ALL >> np.uint64(64 - width % 64)
-    return words.view(np.int64).ravel()
+        words[:, :, -1] &= ALL >> np.uint64(64 - width % 64)
+    return np.ascontiguousarray(words).view(np.int64).reshape(many, height * n)
+
+
+def polygon_words(xs: np.ndarray, ys: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Words of one polygon."""
+    return polygons_words(xs, ys, np.array([len(xs)]), height, width)[0]
 
 
-def filled(points: Column, height: int, width: int) -> Column:
+def filled(points: Column, height: int, width: int, words_at_once: int = 1 << 21) -> Column:
     """Mask of an array of (x, y); null or fewer than three points are an empty mask."""
-    empty = np.zeros(height * words_per_row(width), np.int64)
+    step = max(1, words_at_once // (height * (words_per_row(width) + 1)))
 
     @F.pandas_udf("array<long>")
     def fill(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([empty if x is None or len(x) < 3 else polygon_words(np.asarray(x, float), np.asarray(y, float), height, width) for x, y in zip(xs, ys, strict=True)], dtype=object)
+        out: list[np.ndarray] = []
+        flat = lambda s: [np.empty(0) if v is None or len(v) < 3 else np.asarray(v, float) for v in s]
+        for i in range(0, len(xs), step):
+            x, y = flat(xs.iloc[i : i + step]), flat(ys.iloc[i : i + step])
+            out.extend(polygons_words(np.concatenate(x), np.concatenate(y), np.array([len(v) for v in x]), height, width))
+        return pd.Series(out, dtype=object)
 
     return fill(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
 

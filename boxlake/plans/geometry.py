@@ -214,9 +214,74 @@ c AS (SELECT *, trunc(gx - o.x)::INT AS i, trunc(gy - o.y)::INT AS j FROM s WHER
 SELECT image_id, level, anchor, count(*) AS n, sum(least(greatest(i, 0), g - 1))::BIGINT AS gi, sum(least(greatest(j, 0), g - 1))::BIGINT AS gj, round(sum(gx - i), 4) AS tx, round(sum(gy - j), 4) AS ty FROM c GROUP BY ALL"""
 
 
+_START = [(20.0, 20.0), (60.0, 50.0), (120.0, 100.0), (180.0, 150.0)]
+_KS = range(len(_START))
+
+
 @query
 def anchor_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return anchors.kmeans(fixture(spark, d, "gt").select("w", "h"), [(20.0, 20.0), (60.0, 50.0), (120.0, 100.0), (180.0, 150.0)], rounds=20)
+    """Clusters of label sizes by IoU distance, medians as centres."""
+    return anchors.kmeans(fixture(spark, d, "gt").select("w", "h"), _START, rounds=20)
+
+
+def _centre_rounds(rounds: int, score: str, pick: str, middle: str) -> str:
+    """CTEs k0 to k<rounds>: one row with the centres w0, h0, w1 ...; score and pick choose a centre, middle is the aggregate."""
+    out = ["k0 AS (SELECT " + ", ".join(f"{w!r}::DOUBLE AS w{i}, {h!r}::DOUBLE AS h{i}" for i, (w, h) in enumerate(_START)) + ")"]
+    for n in range(rounds):
+        scores = ", ".join(score.format(i=i) for i in _KS)
+        out.append(f"m{n} AS MATERIALIZED (SELECT list_position(s, {pick}(s)) - 1 AS c, {middle}(w) AS w, {middle}(h) AS h FROM (SELECT w, h, [{scores}] AS s FROM gt, k{n}) GROUP BY 1)")
+        out.append(f"k{n + 1} AS MATERIALIZED (SELECT " + ", ".join(f"coalesce((SELECT {v} FROM m{n} WHERE c = {i}), {v}{i}) AS {v}{i}" for i in _KS for v in "wh") + f" FROM k{n})")
+    return ", ".join(out)
+
+
+_WH_IOU = "least(w, w{i}) * least(h, h{i}) / (w * h + w{i} * h{i} - least(w, w{i}) * least(h, h{i}) + 1e-12)"
+_BY_AREA = lambda k: "[" + ", ".join(f"{{'w': w{i}, 'h': h{i}}}" for i in _KS) + f"] FROM {k}"
+SQL["anchor_kmeans"] = f"""{with_sql('gt')}, {_centre_rounds(20, _WH_IOU, 'list_max', 'median')},
+z AS (SELECT (row_number() OVER (ORDER BY c.w * c.h) - 1)::INTEGER AS j, c.w AS w0, c.h AS h0 FROM (SELECT unnest({_BY_AREA('k20').replace(' FROM', ') AS c FROM')})),
+s AS (SELECT w, h, j AS center FROM gt, z QUALIFY row_number() OVER (PARTITION BY image_id, label_id ORDER BY {_WH_IOU.format(i=0)} DESC, j) = 1)
+SELECT center, count(*) AS n, median(w) AS w, median(h) AS h FROM s GROUP BY center"""
+
+
+def _by_area(centres: list[tuple[float, float]], spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, round(w, 6), round(h, 6)) for i, (w, h) in enumerate(centres)], "anchor int, w double, h double")
+
+
+@query
+def anchor_whitened(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of label sizes by distance in units of deviation, means as centres."""
+    return _by_area(anchors.whitened_rounds(fixture(spark, d, "gt").select("w", "h"), _START, rounds=20), spark)
+
+
+SQL["anchor_whitened"] = f"""{with_sql('gt')}, sd AS (SELECT stddev_pop(w) AS sw, stddev_pop(h) AS sh FROM gt),
+{_centre_rounds(20, 'power((w - w{i}) / (SELECT sw FROM sd), 2) + power((h - h{i}) / (SELECT sh FROM sd), 2)', 'list_min', 'avg')}
+SELECT (row_number() OVER (ORDER BY c.w * c.h) - 1)::INTEGER AS anchor, round(c.w, 6) AS w, round(c.h, 6) AS h FROM (SELECT unnest({_BY_AREA('k20').replace(' FROM', ') AS c FROM')})"""
+
+_GENERATIONS, _BROOD = 4, 8
+
+
+@query
+def anchor_evolution(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors that four generations of mutations leave."""
+    return _by_area(anchors.evolved(fixture(spark, d, "gt").select("w", "h"), _START, _GENERATIONS, _BROOD), spark)
+
+
+def _evolution_sql() -> str:
+    """k<n>: anchors and score after n generations; t<n>: its children."""
+    fit = "avg(CASE WHEN q > 25e-2 THEN q ELSE 0e0 END)"
+    best = "greatest(" + ", ".join(f"least(least(w / w{i}, w{i} / w), least(h / h{i}, h{i} / h))" for i in _KS) + ")"
+    sides = [f"{v}{i}" for i in _KS for v in "wh"]
+    out = ["a0 AS (SELECT " + ", ".join(f"{c!r}::DOUBLE AS {v}{i}" for i, wh in enumerate(_START) for v, c in zip("wh", wh, strict=True)) + ")", f"k0 AS MATERIALIZED (SELECT a0.*, (SELECT {fit} FROM (SELECT {best} AS q FROM gt, a0)) AS score FROM a0)"]
+    for n, brood in enumerate(anchors.mutations(len(_START), _GENERATIONS, _BROOD)):
+        rows = ", ".join("(" + ", ".join([str(b), *(f"{f!r}::DOUBLE" for pair in child for f in pair)]) + ")" for b, child in enumerate(brood))
+        names = ", ".join(f"f{s}" for s in sides)
+        out.append(f"t{n} AS MATERIALIZED (SELECT b, " + ", ".join(f"greatest(2e0, {s} * f{s}) AS {s}" for s in sides) + f" FROM k{n}, (VALUES {rows}) v(b, {names}))")
+        out.append(f"s{n} AS (SELECT b, {', '.join(sides)}, {fit} AS score FROM (SELECT t{n}.*, {best} AS q FROM gt, t{n}) GROUP BY ALL)")
+        out.append(f"k{n + 1} AS MATERIALIZED (SELECT {', '.join(sides)}, score FROM (SELECT -1 AS b, * FROM k{n} UNION ALL BY NAME SELECT * FROM s{n}) ORDER BY score DESC, b LIMIT 1)")
+    return ", ".join(out)
+
+
+SQL["anchor_evolution"] = f"""{with_sql('gt')}, {_evolution_sql()}
+SELECT (row_number() OVER (ORDER BY c.w * c.h) - 1)::INTEGER AS anchor, round(c.w, 6) AS w, round(c.h, 6) AS h FROM (SELECT unnest({_BY_AREA(f'k{_GENERATIONS}').replace(' FROM', ') AS c FROM')})"""
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:

@@ -32,15 +32,19 @@ def outline(df: DataFrame, shape) -> DataFrame:
     return df.withColumn("points", out)
 
 
-def masked_scene(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Labels and detections with corners and masks, each made once."""
+def _masked(df: DataFrame, shape) -> DataFrame:
+    return written(outline(df, shape).withColumn("mask", masks.filled(F.col("points"), HEIGHT, WIDTH)).drop("points"))
+
+
+def masked_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels with corners and masks, made once."""
     gt = fixture(spark, d, "gt")
-    lab = gt.select("image_id", "label_id", "class_id", "split", *B.to_corners(B.box("cx", "cy", "w", "h")).named("x1", "y1", "x2", "y2"))
-    det = fixture(spark, d, "det")
-    mask = masks.filled(F.col("points"), HEIGHT, WIDTH)
-    lab = outline(lab, F.col("label_id") % 3).withColumn("mask", mask).drop("points")
-    det = outline(det, F.floor(F.col("det_id") / 3) % 3).withColumn("mask", mask).drop("points")
-    return written(lab), written(det)
+    return _masked(gt.select("image_id", "label_id", "class_id", "split", *B.to_corners(B.box("cx", "cy", "w", "h")).named("x1", "y1", "x2", "y2")), F.col("label_id") % 3)
+
+
+def masked_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Detections with masks, made once."""
+    return _masked(fixture(spark, d, "det"), F.floor(F.col("det_id") / 3) % 3)
 
 
 _SHAPE = "shape(s, n, i, fx, fy) AS (VALUES " + ", ".join(f"({s}, {len(p)}, {i}, {fx!r}::DOUBLE, {fy!r}::DOUBLE)" for s, p in enumerate(SHAPES) for i, (fx, fy) in enumerate(p)) + ")"
@@ -66,7 +70,7 @@ MASK_AP = f"{SPANS}, {AREAS}, {_PAIRS}, {AP[AP.index('best AS'):]}"
 @query
 def box_and_mask_ap(spark: SparkSession, d: str) -> DataFrame:
     """AP of boxes and of masks at all thresholds, in one table; the masks are matched as the boxes are."""
-    lab, det = masked_scene(spark, d)
+    lab, det = masked_labels(spark, d), masked_detections(spark, d)
     pairs = written(masks.mask_overlaps(lab, det))
     both = {"box": None, "mask": pairs}
     first, second = (evaluate.average_precision(lab, det, p).select(F.lit(k).alias("kind"), "class_id", "thr", F.round("ap", 9).alias("ap")) for k, p in both.items())
@@ -80,7 +84,7 @@ UNION ALL SELECT 'mask', * FROM ({with_sql('det')}, {MASK_AP} SELECT class_id, t
 @query
 def mask_tp_assignment(spark: SparkSession, d: str) -> DataFrame:
     """True positives of the masks per class and threshold."""
-    lab, det = masked_scene(spark, d)
+    lab, det = masked_labels(spark, d), masked_detections(spark, d)
     tp = evaluate.true_positives(lab, det, masks.mask_overlaps(lab, det))
     return tp.groupBy("class_id", "thr").agg(F.count("*").alias("n"), F.sum("det_id").alias("det_sum"), F.sum("image_id").alias("image_sum"))
 
@@ -91,7 +95,7 @@ SQL["mask_tp_assignment"] = f"{with_sql('det')}, {SPANS}, {AREAS}, {_PAIRS}, {TP
 @query
 def mask_areas(spark: SparkSession, d: str) -> DataFrame:
     """Pixels and words of every label's mask, as filled."""
-    lab, _ = masked_scene(spark, d)
+    lab = masked_labels(spark, d)
     rows = F.transform("mask", lambda w: F.bit_count(w).cast("long"))
     return lab.select("image_id", "label_id", masks.area("mask").alias("area"), F.array_max(rows).alias("widest"), F.size(F.filter(rows, lambda n: n > 0)).cast("long").alias("rows"))
 
@@ -103,7 +107,7 @@ SELECT lab.image_id, label_id, coalesce(area, 0)::BIGINT AS area, coalesce(wides
 @query
 def overlap_masks(spark: SparkSession, d: str) -> DataFrame:
     """Masks of an image painted by falling area: rank, area, and what later ones leave visible."""
-    lab, _ = masked_scene(spark, d)
+    lab = masked_labels(spark, d)
     return masks.painted(lab, HEIGHT * masks.words_per_row(WIDTH)).select("image_id", "label_id", "rank", "area", masks.area("visible").alias("visible"))
 
 
@@ -118,7 +122,7 @@ SELECT rk.image_id, label_id, rk.rank::INTEGER AS rank, area, coalesce(vis.n, 0)
 @query
 def run_length_records(spark: SparkSession, d: str) -> DataFrame:
     """Detections with run-length masks, written as JSON lines and read back: the string, and the area of the mask that it gives."""
-    _, det = masked_scene(spark, d)
+    det = masked_detections(spark, d)
     path = shared_path(spark, "records")
     masks.write_records(det, path, HEIGHT, WIDTH)
     back = masks.read_records(spark, path, HEIGHT, WIDTH)
