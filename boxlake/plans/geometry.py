@@ -167,14 +167,14 @@ SQL["quad_labels"] = f"{with_sql('gt')} SELECT image_id // 4 AS quad, image_id,
 
 @query
 def occlusion_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Labels that no false alarm covers by 30 per cent or more."""
+    """Labels that no detection of another class covers by 30 per cent or more."""
     lab = labels(spark, d)
-    det = fixture(spark, d, "det").where("det_id % 3 = 2").select(F.col("image_id").alias("i2"), *(F.col(c).alias(f"d{c}") for c in ("x1", "y1", "x2", "y2")))
+    det = fixture(spark, d, "det").select(F.col("image_id").alias("i2"), F.col("class_id").alias("c2"), *(F.col(c).alias(f"d{c}") for c in ("x1", "y1", "x2", "y2")))
     covered = B.ioa(B.box("dx1", "dy1", "dx2", "dy2"), B.box("x1", "y1", "x2", "y2")) >= 0.3
-    return lab.join(det, (F.col("image_id") == F.col("i2")) & covered, "left_anti").select("image_id", "label_id")
+    return lab.join(det, (F.col("image_id") == F.col("i2")) & (F.col("class_id") != F.col("c2")) & covered, "left_anti").select("image_id", "label_id")
 
 
-SQL["occlusion_filter"] = f"""{with_sql('det')}, {LAB} SELECT image_id, label_id FROM lab l WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.image_id = l.image_id AND d.det_id % 3 = 2
+SQL["occlusion_filter"] = f"""{with_sql('det')}, {LAB} SELECT image_id, label_id FROM lab l WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.image_id = l.image_id AND d.class_id <> l.class_id
 AND greatest(least(l.x2, d.x2) - greatest(l.x1, d.x1), 0) * greatest(least(l.y2, d.y2) - greatest(l.y1, d.y1), 0) / ((l.x2 - l.x1) * (l.y2 - l.y1) + 1e-7) >= 3e-1)"""
 
 
@@ -328,11 +328,14 @@ SQL["running_mean"] = "SELECT event_id, round(sum(round_even(value * 100, 0)::BI
 
 @query
 def schedules(spark: SparkSession, d: str) -> DataFrame:
-    s = runlog.schedules(spark, 50)
-    return s.select("epoch", *(r(c, 9).alias(c) for c in ("linear", "cosine", "lr")))
+    """Learning rates of the epochs of the run log, beside their losses."""
+    log = fixture(spark, d, "runlog").select("epoch", r("loss", 6).alias("loss"))
+    s = runlog.schedules(spark, log.count()).join(log, "epoch")
+    return s.select("epoch", "loss", *(r(c, 9).alias(c) for c in ("linear", "cosine", "lr")))
 
 
-SQL["schedules"] = "WITH s AS (SELECT e AS epoch, (1 - e / 50e0) * 99e-2 + 1e-2 AS linear, (1 - cos(e * pi() / 50)) / 2 * (1e-2 - 1) + 1 AS cosine FROM range(50) r(e)) SELECT epoch, round(linear, 9) AS linear, round(cosine, 9) AS cosine, round(CASE WHEN epoch < 3 THEN epoch / 3e0 * 1e-2 * linear ELSE 1e-2 * linear END, 9) AS lr FROM s"
+SQL["schedules"] = f"""{with_sql('runlog')}, n AS (SELECT count(*)::DOUBLE AS n FROM runlog), s AS (SELECT epoch, loss, (1 - epoch / n) * 99e-2 + 1e-2 AS linear, (1 - cos(epoch * pi() / n)) / 2 * (1e-2 - 1) + 1 AS cosine FROM runlog, n WHERE epoch < n)
+SELECT epoch, round(loss, 6) AS loss, round(linear, 9) AS linear, round(cosine, 9) AS cosine, round(CASE WHEN epoch < 3 THEN epoch / 3e0 * 1e-2 * linear ELSE 1e-2 * linear END, 9) AS lr FROM s"""
 
 
 @query

@@ -129,6 +129,12 @@ def csv_without_bom(spark: SparkSession, path: str, **options) -> DataFrame:
     return df.toDF(*(c.replace("\ufeff", "").strip() for c in df.columns))
 
 
+def matrix(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Numbers between spaces or tabs, a row for each line that isn't blank; null where a line has no number."""
+    line = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("t")).where("t[0] <> ''")
+    return line.select(*(F.get("t", F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)))
+
+
 def upright_images(spark: SparkSession, root: str) -> DataFrame:
     """path, width, height, channels, pixels of images that the JVM decodes (blue, green, red order)."""
     img = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)

@@ -82,6 +82,35 @@ def nested_summary(counts: DataFrame) -> DataFrame:
     return per.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", F.to_json("classes")))))).alias("summary"))
 
 
+def split_summary(counts: DataFrame) -> DataFrame:
+    """As nested_summary, with objects inside the object instead of texts."""
+    per = counts.groupBy("split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("class_id").cast("string"), "n")))).alias("classes"))
+    in_order = F.array_sort(F.collect_list(F.struct("split", "classes")), lambda a, b: F.when(a["split"] < b["split"], -1).when(a["split"] > b["split"], 1).otherwise(0))
+    return per.agg(F.to_json(F.map_from_entries(in_order)).alias("summary"))
+
+
 def renamed_csv(df: DataFrame, names: dict[str, str], path: str) -> None:
     """CSV with localised column names."""
     df.withColumnsRenamed(names).write.option("header", True).mode("errorifexists").csv(path)
+
+
+def append_generation(rows: DataFrame, folder: str, fitness: str, number: str) -> None:
+    """Rows go to the log below folder; the fittest of all (of equals the first) is written beside it as lines of a mapping, after their number."""
+    rows.write.mode("append").parquet(f"{folder}/log")
+    log = rows.sparkSession.read.parquet(f"{folder}/log")
+    best = log.agg(F.min_by(F.struct(*log.columns), F.struct((-F.col(fitness)).alias("f"), number)).alias("b"), F.count("*").alias("n"))
+    lines = F.array(F.concat(F.lit("# generations: "), F.col("n").cast("string")), *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"b.{c}").cast("string"), F.lit("null"))) for c in log.columns))
+    best.select(F.explode(lines).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/best")  # a few lines
+
+
+def stats_json(images: DataFrame, labels: DataFrame, classes: int) -> DataFrame:
+    """split and a JSON text of its instances (total, per class) and images (total, without labels, per class)."""
+    per_image = labels.groupBy("image_id", "class_id").agg(F.count("*").alias("n"))
+    found = images.select("image_id", "split").join(per_image, "image_id", "left")
+    ids = range(classes)
+    by_image = found.groupBy("split", "image_id").agg(*(F.coalesce(F.sum(F.when(F.col("class_id") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in ids), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    total = by_image.groupBy("split").agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in ids), *(F.count_if(F.col(f"n{c}") > 0).alias(f"m{c}") for c in ids), F.count("*").alias("images"), F.count_if(F.col("n") == 0).alias("bare"))
+    each = lambda k: F.array(*(F.col(f"{k}{c}") for c in ids))
+    instances = F.struct(F.aggregate(each("n"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), each("n").alias("per_class"))
+    pictures = F.struct(F.col("images").alias("total"), F.col("bare").alias("unlabelled"), each("m").alias("per_class"))
+    return total.select("split", F.to_json(F.struct(instances.alias("instance_stats"), pictures.alias("image_stats"))).alias("stats"))
