@@ -75,8 +75,9 @@ def _postings(k: int, shards: int, group_words: int):
             h, at = np.concatenate([sets[i] for i in first]), np.repeat(first, n[first]).astype(np.uint16)
             shard = ((h >> U(32)) * U(shards)) >> U(32)
             by = np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.int64), kind="stable")
-            key, at, edge = h[by], at[by], np.searchsorted(shard[by], np.arange(shards + 1, dtype=U))
-            rows += [{"group": group, "shard": s, "key": key[edge[s] : edge[s + 1]].tobytes(), "at": at[edge[s] : edge[s + 1]].tobytes()} for s in range(shards) if edge[s] < edge[s + 1]]
+            key, at = h[by], at[by]
+            held, first = np.unique(shard[by], return_index=True)  # only shards that the group has entries for
+            rows += [{"group": group, "shard": s, "key": key[a:b].tobytes(), "at": at[a:b].tobytes()} for s, a, b in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(key)], strict=True)]
         return _batch(POSTINGS, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

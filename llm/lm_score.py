@@ -161,6 +161,12 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int, take: Callable) -> Ite
         yield group()
 
 
+def runs_of(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of the runs of a sorted array: the work grows with what a group holds, not with the number of shards."""
+    start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
+    return list(zip(shard[start].tolist(), start.tolist(), [*start[1:].tolist(), len(shard)], strict=True)) if len(start) else []
+
+
 def _exploded(order: int, shards: int, size: int):
     width = -(-(1 << 64) // shards)  # hashes of one shard
     shift = U(max(0, (width - 1).bit_length() - KEY_BITS))
@@ -171,11 +177,10 @@ def _exploded(order: int, shards: int, size: int):
             hashes.clear()
             key, n, _, _ = distinct(grams, len(first), order, inverse=False)
             grams.clear()
-            edge, rows, held = [0, *np.searchsorted(key, np.array([s * width for s in range(1, shards)], U)).tolist(), len(key)], [], 0
-            for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                if a < b:
-                    rows.append({"shard": s, "group": group} | pack_keys((key[a:b] - U(s * width)) >> shift) | pack_counts(n[a:b]))
-                    held += b - a
+            rows, held = [], 0
+            for s, a, b in runs_of(key // U(width) if shards > 1 else np.zeros(len(key), U)):
+                rows.append({"shard": s, "group": group} | pack_keys((key[a:b] - U(s * width)) >> shift) | pack_counts(n[a:b]))
+                held += b - a
                 if held > 400_000:
                     yield _table(PACKED, rows)
                     rows, held = [], 0
