@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boxlake.functions.boxes import box, iou_or_zero
 from boxlake.operators.pixels import ssim_column
-from boxlake.operators.scan import written
+from boxlake.operators.scan import running_sums, written
 
 
 def exact_groups(items: DataFrame) -> DataFrame:
@@ -19,12 +19,9 @@ def exact_groups(items: DataFrame) -> DataFrame:
 
 
 def numbered(groups: DataFrame) -> DataFrame:
-    """group_no in the order of first_id: a range sort gives places, counted over ranges of a thousand ids."""
-    part = F.floor(F.col("first_id") / 1000)
-    sizes = groups.groupBy(part.alias("p")).agg(F.count("*").alias("c"))
-    before = sizes.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = groups.withColumn("p", part).withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("first_id")))
-    return inside.join(before, "p").withColumn("group_no", F.col("base") + F.col("i")).drop("p", "i", "base")
+    """group_no in the order of first_id, counted over ranges of a thousand ids."""
+    rows = groups.withColumns({"__all": F.lit(0), "__one": F.lit(1).cast("long")})
+    return running_sums(rows, ["__all"], F.floor(F.col("first_id") / 1000), [F.asc("first_id")], {"group_no": "__one"}, many_chunks=True).drop("__all", "__one", "__chunk")
 
 
 def hamming_limit(similarity: float, bits: int = 64) -> int:

@@ -122,6 +122,25 @@ def image_measures(images: DataFrame) -> DataFrame:
     return images.select("path", "height", "width", "channels", "pixels").mapInPandas(measure, "path string, brightness double, contrast double, overexposed double, underexposed double, sharpness double, phash long")
 
 
+def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """item_id, box_id, height, width, pixels: the part of images(item_id, height, width, channels, pixels) under boxes(item_id, box_id, x1, y1, x2, y2), whole pixels from x1, y1 up to but without x2, y2.
+
+    Corners outside the image are drawn in; a box without pixels gives no row.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                a = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, r.channels)[max(0, r.y1) : max(0, r.y2), max(0, r.x1) : max(0, r.x2)]
+                if a.size:
+                    rows.append((r.item_id, r.box_id, a.shape[0], a.shape[1], a.tobytes()))
+            yield pd.DataFrame(rows, columns=["item_id", "box_id", "height", "width", "pixels"])
+
+    both = images.select("item_id", "height", "width", "channels", "pixels").join(boxes.select("item_id", "box_id", *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))), "item_id")
+    return both.mapInPandas(cut, "item_id long, box_id long, height int, width int, pixels binary")
+
+
 def ssim_column(size: int):
     """A column function over two binary columns that hold size x size grey bytes; null if one is null."""
 

@@ -135,7 +135,7 @@ def topk_accuracy(rows: DataFrame) -> DataFrame:
 def even_sample(df: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """k rows of each group at even distances in the order of an integer column (all of a smaller group); a group is ordered in chunks of 4096 ids."""
     n = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))  # one row per group
-    places = running_sums(df.withColumn("__one", F.lit(1)), [group], F.floor(F.col(order) / 4096), [F.asc(order)], {"__i": "__one"})
+    places = running_sums(df.withColumn("__one", F.lit(1)), [group], F.floor(F.col(order) / 4096), [F.asc(order)], {"__i": "__one"}, many_chunks=True)
     rows = places.withColumn("__i", F.col("__i") - 1).join(n, F.col(group).eqNullSafe(F.col("__g")))
     spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (F.col("__n") - 1) / float(k - 1)).cast("long"))
     return rows.where((F.col("__n") <= k) | F.array_contains(spots, F.col("__i"))).select(df.columns)

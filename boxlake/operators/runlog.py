@@ -25,7 +25,7 @@ def best_row(log: DataFrame, order: str = "epoch") -> DataFrame:
 
 
 def early_stopping(log: DataFrame, patience: int) -> DataFrame:
-    """Per epoch the best fitness so far, the last epoch that reached it (ties count) and whether training stops."""
+    """Per epoch the best fitness so far, the last epoch that reached it (ties count) and whether training stops.  A log has a row for each epoch: one task orders it."""
     w = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
     best = log.select("epoch", "fitness", F.max("fitness").over(w).alias("best"))
     at = best.withColumn("best_epoch", F.max(F.when(F.col("fitness") >= F.col("best"), F.col("epoch"))).over(w))
@@ -35,7 +35,7 @@ def early_stopping(log: DataFrame, patience: int) -> DataFrame:
 def running_mean(df: DataFrame, order: str, value: str, per_chunk: int = 4096) -> DataFrame:
     """Mean of value over all rows up to each one, in the order of an integer column."""
     rows = df.select(order, value, F.lit(0).alias("k"), F.lit(1).alias("one"))
-    sums = running_sums(rows, ["k"], F.floor(F.col(order) / per_chunk), [F.asc(order)], {"s": value, "n": "one"})
+    sums = running_sums(rows, ["k"], F.floor(F.col(order) / per_chunk), [F.asc(order)], {"s": value, "n": "one"}, many_chunks=True)
     return sums.select(order, (F.col("s") / F.col("n")).alias("mean"))
 
 
@@ -55,7 +55,7 @@ def ema(df: DataFrame, order: str, value: str, decay: float = 0.9999, tau: float
 
 
 def trimmed(df: DataFrame, order: str, first: int, last: int) -> DataFrame:
-    """Without the first and last rows; order is counted from the smallest."""
+    """Without the first and last rows; order is counted from the smallest.  For logs: one task orders all rows."""
     w = Window.orderBy(order)
     return df.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy()), "t": F.col(order) - F.min(order).over(Window.partitionBy())}).where(f"i > {first} AND i <= n - {last}").drop("i", "n")
 
@@ -73,7 +73,7 @@ def aspect_batches(images: DataFrame, batch: int, net: int = 640, stride: int =
     ratios = rows.groupBy("ar").agg(F.count("*").alias("n")).withColumn("k", F.lit(0))
     upto = running_sums(ratios, ["k"], F.floor(F.col("ar") * per_chunk), [F.asc("ar")], {"upto": "n"})
     before = upto.select(F.col("ar").alias("of"), (F.col("upto") - F.col("n")).alias("base"))
-    inside = running_sums(rows, ["ar"], F.floor(F.col("image_id") / 4096), [F.asc("image_id")], {"i": "one"})
+    inside = running_sums(rows, ["ar"], F.floor(F.col("image_id") / 4096), [F.asc("image_id")], {"i": "one"}, many_chunks=True)
     order = inside.join(before, F.col("ar") == F.col("of")).withColumn("rn", F.col("base") + F.col("i"))
     g = order.groupBy(F.floor((F.col("rn") - 1) / batch).alias("batch")).agg(F.count("*").alias("n"), F.min("ar").alias("lo"), F.max("ar").alias("hi"))
     side = lambda s: (F.ceil(F.lit(float(net)) * s / stride + pad) * stride).cast("long")

@@ -15,12 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """df with one running sum for each output: input of sums; chunk rises with order."""
+def running_sums(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], sums: dict[str, str], many_chunks: bool = False) -> DataFrame:
+    """df with one running sum for each output: input of sums; chunk, a whole number, rises with order.
+
+    With many_chunks (their number grows with the rows) the totals of chunks are
+    scanned in the same way: by a thousand chunks, then over those.
+    """
     df = df.withColumn("__chunk", chunk)
     totals = df.groupBy(*keys, "__chunk").agg(*(F.sum(c).alias(f"__t_{o}") for o, c in sums.items()))
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__chunk").alias("__c"), *(F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__b_{o}") for o in sums))
+    if many_chunks:
+        scanned = running_sums(totals.withColumnRenamed("__chunk", "__x"), keys, F.floor(F.col("__x") / 1024), [F.asc("__x")], {f"__b_{o}": f"__t_{o}" for o in sums}).drop("__chunk")
+        bases = scanned.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__x").alias("__c"), *((F.col(f"__b_{o}") - F.col(f"__t_{o}")).alias(f"__b_{o}") for o in sums))
+    else:
+        before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        bases = totals.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__chunk").alias("__c"), *(F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__b_{o}") for o in sums))
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col("__chunk") == F.col("__c")
     for k in keys:

@@ -29,7 +29,7 @@ def weighted_draws(items: DataFrame, draws: int) -> DataFrame:
     """draw, item_id: draws with replacement by items(item_id, weight); draw i takes the item at a hashed point of the cumulative weights."""
     from boxlake.operators.scan import running_sums
 
-    cum = running_sums(items.withColumn("one", F.lit(0)), ["one"], F.floor(F.col("item_id") / 4096), [F.asc("item_id")], {"upto": "weight"})
+    cum = running_sums(items.withColumn("one", F.lit(0)), ["one"], F.floor(F.col("item_id") / 4096), [F.asc("item_id")], {"upto": "weight"}, many_chunks=True)
     total = items.agg(F.sum("weight").alias("total"))
     points = items.sparkSession.range(draws).select(F.col("id").alias("draw"), (bucket(F.col("id"), 1_000_000) / F.lit(1e6)).alias("u")).crossJoin(F.broadcast(total)).withColumn("point", F.col("u") * F.col("total"))
     # a range join on buckets of weight: an item covers the buckets between its ends

@@ -99,6 +99,19 @@ def thumbnail_measures(spark: SparkSession, d: str) -> DataFrame:
 _HEX = "array_to_string(list_transform({}, lambda p: printf('%02x', p::INT)), '')"
 SQL["thumbnail_measures"] = f"WITH {ITEMS} SELECT item_id, bits AS phash, {_HEX.format('whole')} AS whole, {_HEX.format('part')} AS part, round(bright, 6) AS brightness, round(sharp, 6) AS sharpness, round(quality, 6) AS quality FROM items"
 
+@query
+def crop_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of a crop around the box of every image: a fifth wider and three pixels, whole corners, inside the image."""
+    im = images(spark, d)
+    far = lambda c, size, side, sign: F.floor(F.col(c) * F.col(side) + sign * (F.col(size) * F.col(side) * 1.2 + 3) / 2)
+    boxes = im.select("item_id", F.lit(0).cast("long").alias("box_id"), far("cx", "w", "width", -1).alias("x1"), far("cy", "h", "height", -1).alias("y1"), far("cx", "w", "width", 1).alias("x2"), far("cy", "h", "height", 1).alias("y2"))
+    return pixels.crops(im, boxes).select("item_id", "height", "width", F.lower(F.hex("pixels")).alias("pixels"))
+
+
+_FAR = "floor({c} * {s} {o} ({w} * {s} * 12e-1 + 3) / 2)"
+SQL["crop_pixels"] = f"""WITH {ITEMS}, b AS (SELECT item_id, {", ".join(f"{_FAR.format(c=c, s=s, o=o, w=w)} AS {n}" for c, s, w, o, n in (("cx", "width", "w", "-", "x1"), ("cy", "height", "h", "-", "y1"), ("cx", "width", "w", "+", "x2"), ("cy", "height", "h", "+", "y2")))} FROM it)
+SELECT item_id, count(DISTINCT y)::INTEGER AS height, count(DISTINCT x)::INTEGER AS width, string_agg(printf('%02x', p::INT), '' ORDER BY y, x) AS pixels FROM px JOIN b USING (item_id) WHERE x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY item_id"""
+
 _MIRROR = f"CASE WHEN {{0}} < 0 THEN -({{0}}) WHEN {{0}} >= {SIZE} THEN {2 * SIZE - 2} - ({{0}}) ELSE {{0}} END"
 
 

@@ -187,3 +187,29 @@ def evolve_log(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["evolve_log"] = f"""{with_sql('runlog')}, l AS (SELECT epoch, round(map50 * 1e-1 + map * 9e-1, 9) AS fitness, round(loss, 6) AS loss, count(*) OVER () AS n FROM runlog), b AS (SELECT * FROM l ORDER BY fitness DESC, epoch LIMIT 1)
 SELECT unnest(['# generations: ' || n, 'epoch: ' || epoch, 'fitness: ' || fitness, 'loss: ' || loss]) AS line FROM b"""
+
+
+@query
+def image_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents are written as files of several kinds in folders by language; the image files among them are listed with their sizes."""
+    kind = F.element_at(F.array(*map(F.lit, ("jpg", "PNG", "txt", "webp", "csv"))), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL")
+    files = docs.select(F.concat_ws("", F.coalesce("lang", F.lit("none")), F.lit("/"), "doc_id", F.lit("."), kind).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    root = shared_path(spark, "images")
+    sinks.write_files(files, root)
+    found = annotations.image_paths(spark, root)
+    return found.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), "size")
+
+
+SQL["image_scan"] = """SELECT coalesce(lang, 'none') || '/' || doc_id || '.' || CASE doc_id % 5 WHEN 0 THEN 'jpg' WHEN 1 THEN 'PNG' ELSE 'webp' END AS path, strlen(coalesce(text, '')) AS size FROM documents WHERE doc_id % 5 IN (0, 1, 3)"""
+
+
+@query
+def strict_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of labels written as lines and read strictly: the first bad line would stop it."""
+    gt = fixture(spark, d, "gt")
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", F.col("cx") / 1000 + 0.1, F.col("cy") / 1000 + 0.1, F.col("w") / 1000, F.col("h") / 1000)
+    return validate.require_valid(gt.select("image_id", F.col("label_id").alias("line_no"), line.alias("line")), CLASSES)
+
+
+SQL["strict_labels"] = f"""{with_sql('gt')} SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY label_id)::INTEGER AS line_number, class_id, round(cx / 1000 + 1e-1, 6) AS x, round(cy / 1000 + 1e-1, 6) AS y, round(w / 1000, 6) AS w, round(h / 1000, 6) AS h FROM gt"""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +66,24 @@ def write_labels(rows: DataFrame, path: str) -> None:
     rows.select("image_id", "line").repartition("image_id").write.partitionBy("image_id").mode("errorifexists").text(path)
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Files of files(path, content), path being below root, and how many; a file appears when it is whole."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                folder, _, name = f"{base}/{path}".rpartition("/")
+                store.create_dir(folder)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                store.move(part, f"{folder}/{name}")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return files.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_split_lists(paths: DataFrame, path: str) -> None:
     """Lines of paths(split, path) as text under one folder per split."""
     paths.select("split", F.col("path").alias("value")).write.partitionBy("split").mode("errorifexists").text(path)
