@@ -194,14 +194,14 @@ def image_scan(spark: SparkSession, d: str) -> DataFrame:
     """Documents are written as files of several kinds in folders by language; the image files among them are listed with their sizes."""
     kind = F.element_at(F.array(*map(F.lit, ("jpg", "PNG", "txt", "webp", "csv"))), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
     docs = table(spark, d, "documents").where("doc_id IS NOT NULL")
-    files = docs.select(F.concat_ws("", F.coalesce("lang", F.lit("none")), F.lit("/"), "doc_id", F.lit("."), kind).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    files = docs.select(F.concat_ws("", F.coalesce("lang", F.lit("none")), F.lit("/"), "doc_id", F.lit("."), kind).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("content"))
     root = shared_path(spark, "images")
     sinks.write_files(files, root)
     found = annotations.image_paths(spark, root)
     return found.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), "size")
 
 
-SQL["image_scan"] = """SELECT coalesce(lang, 'none') || '/' || doc_id || '.' || CASE doc_id % 5 WHEN 0 THEN 'jpg' WHEN 1 THEN 'PNG' ELSE 'webp' END AS path, strlen(coalesce(text, '')) AS size FROM documents WHERE doc_id % 5 IN (0, 1, 3)"""
+SQL["image_scan"] = """SELECT coalesce(lang, 'none') || '/' || doc_id || '.' || CASE doc_id % 5 WHEN 0 THEN 'jpg' WHEN 1 THEN 'PNG' ELSE 'webp' END AS path, strlen(coalesce(text, '')) + 1 AS size FROM documents WHERE doc_id % 5 IN (0, 1, 3)"""
 
 
 @query

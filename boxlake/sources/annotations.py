@@ -17,7 +17,7 @@ IMAGE_FORMATS = ["bmp", "dng", "jpeg", "jpg", "mpo", "png", "tif", "tiff", "webp
 
 
 def image_paths(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, modified of the image files below root, without their contents."""
+    """path, size, modified of the image files below root, without their contents; Spark's scan passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return files.where(extension(F.col("path")).isin(IMAGE_FORMATS))
 
