@@ -40,7 +40,9 @@ def hamming_pairs(items: DataFrame, limit: int, bits: int = 64, errors: int = 1)
     Of limit // (errors + 1) + 1 bands one at least differs in errors bits at
     most.  One side of the join lists the values of its bands with up to errors
     bits turned, the other its bands as they are: wider bands, fewer candidates.
-    A pair comes from the first band that finds it.
+    A pair comes from the first band that finds it.  Neither side is broadcast:
+    Spark takes the size of a table for that of its exploded bands, which is
+    dozens of times as much for the driver.
     """
     bands = limit // (errors + 1) + 1
     edges = [round(i * bits / bands) for i in range(bands + 1)]
@@ -55,7 +57,7 @@ def hamming_pairs(items: DataFrame, limit: int, bits: int = 64, errors: int = 1)
 
     near = F.array(*map(around, range(bands)))
     turned = items.select(F.col("item_id").alias("a"), F.col("hash").alias("hash_a"), F.explode(near).alias("n")).select("a", "hash_a", F.col("n.band").alias("band"), F.explode("n.bits").alias("bits"))
-    pairs = turned.join(plain, ["band", "bits"]).where("a < b")
+    pairs = turned.join(plain.hint("merge"), ["band", "bits"]).where("a < b")
     differs = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
     earlier = F.lit(False)
     for i, m in enumerate(masks):
@@ -76,7 +78,7 @@ def linking_edges(items: DataFrame, limit: int) -> DataFrame:
     """
     classes = written(hash_classes(items))
     first = classes.select(F.col("item_id").alias("a"), "hash")
-    ties = items.join(first, "hash").where("a <> item_id").select("a", F.col("item_id").alias("b"))
+    ties = items.join(first.hint("merge"), "hash").where("a <> item_id").select("a", F.col("item_id").alias("b"))
     return hamming_pairs(classes, limit).select("a", "b").unionByName(ties)
 
 
@@ -86,7 +88,7 @@ def pair_counts(items: DataFrame, limit: int) -> DataFrame:
     Pairs are multiplied out from the items of each hash and split, not listed.
     """
     classes = written(hash_classes(items))
-    of = items.groupBy("hash", "split").agg(F.count("*").alias("n")).join(classes, "hash")
+    of = items.groupBy("hash", "split").agg(F.count("*").alias("n")).join(classes.hint("merge"), "hash")
     of = written(of.select("item_id", "split", "n"))
     links = hamming_pairs(classes, limit).select("a", "b").unionByName(classes.select(F.col("item_id").alias("a"), F.col("item_id").alias("b")))
     x, y = of.toDF("a", "split_a", "n_a"), of.toDF("b", "split_b", "n_b")
@@ -94,7 +96,7 @@ def pair_counts(items: DataFrame, limit: int) -> DataFrame:
     inside = F.when(F.col("split_a") == F.col("split_b"), (product - F.col("n_a")) / 2).when(F.col("split_a") < F.col("split_b"), product).otherwise(0)
     n = F.when(F.col("a") != F.col("b"), product).otherwise(inside).cast("long")
     pair = F.concat_ws("-", F.least("split_a", "split_b"), F.greatest("split_a", "split_b"))
-    return links.join(x, "a").join(y, "b").groupBy(pair.alias("pair")).agg(F.sum(n).alias("n")).where("n > 0")
+    return links.join(x.hint("merge"), "a").join(y.hint("merge"), "b").groupBy(pair.alias("pair")).agg(F.sum(n).alias("n")).where("n > 0")
 
 
 def components(edges: DataFrame) -> DataFrame:

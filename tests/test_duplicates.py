@@ -89,3 +89,15 @@ def test_copies_give_no_pairs(spark):
     assert out.count() == 5000 and [r.item_id for r in out.where("kept").collect()] == [0]
     classes = dedup.content_classes(t, ["whole", "part", "class_id"]).where("item_id = first_id")
     assert dedup.scored_pairs(classes, 9, 16).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_are_not_broadcast(spark):
+    """Exploded bands are dozens of times the size that Spark takes them for: they stay off the driver."""
+    items = spark.range(500).select(F.col("id").alias("item_id"), F.xxhash64("id").alias("hash"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("split"))
+    made = dedup.written(items)
+    for df in (dedup.hamming_pairs(made, 9), dedup.linking_edges(made, 9), dedup.pair_counts(made, 9)):
+        assert "BroadcastExchange" not in _plan(df)
