@@ -104,14 +104,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels spread along edges and then jump to the label of their label, so a
     chain of n nodes needs about log n rounds; each round is written down.
+    Rounds send nothing through the driver: their broadcasts would pile up there.
     """
     e = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     label = written(e.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
     while True:
-        over = e.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        spread = label.join(over, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        over = e.join(label.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        spread = label.join(over.hint("merge"), F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = label.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        new = written(spread.join(jump, F.col("label") == F.col("n2")).select("node", F.least("label", "l2").alias("label"), "old"))
+        new = written(spread.join(jump.hint("merge"), F.col("label") == F.col("n2")).select("node", F.least("label", "l2").alias("label"), "old"))
         if new.where("label <> old").isEmpty():
             return new.select("node", "label")
         label = new.select("node", "label")
@@ -125,7 +126,7 @@ def clusters(members: DataFrame, cross_split: bool = True) -> DataFrame:
     by_size = sizes.groupBy("size").agg(F.count("*").alias("c"))  # one row per size
     before = by_size.select(F.col("size").alias("s"), F.coalesce(F.sum("c").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     place = sizes.withColumn("i", F.row_number().over(Window.partitionBy("size").orderBy("label"))).join(before, F.col("size") == F.col("s"))
-    return members.join(place.select("label", "size", (F.col("base") + F.col("i")).alias("cluster_no")), "label").select("cluster_no", "size", "node", "label", "split")
+    return members.join(place.select("label", "size", (F.col("base") + F.col("i")).alias("cluster_no")).hint("merge"), "label").select("cluster_no", "size", "node", "label", "split")
 
 
 def quality(sharpness: Column, brightness: Column, over: Column, under: Column) -> Column:

@@ -101,3 +101,11 @@ def test_bands_are_not_broadcast(spark):
     made = dedup.written(items)
     for df in (dedup.hamming_pairs(made, 9), dedup.linking_edges(made, 9), dedup.pair_counts(made, 9)):
         assert "BroadcastExchange" not in _plan(df)
+
+
+def test_clusters_do_not_broadcast_members(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    labels = dedup.written(dedup.components(edges))
+    assert sorted(map(tuple, labels.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    of_members = dedup.clusters(dedup.written(labels.withColumn("split", F.when(F.col("node") % 2 == 0, "val").otherwise("train"))))
+    assert "SortMergeJoin [label" in _plan(of_members)
