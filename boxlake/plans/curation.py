@@ -302,7 +302,7 @@ SELECT label AS cluster_id, m.id AS item_id, list_contains(reps, m.id) AS kept,
 def cluster_conflicts(spark: SparkSession, d: str) -> DataFrame:
     labels = dedup.components(dedup.linking_edges(_hashes(spark, d), LIMIT)).withColumnRenamed("label", "cluster_id")
     e = table(spark, d, "embeddings").select("vec_id", "label", F.explode(F.array(*map(F.lit, range(3)))).alias("c")).select((F.col("vec_id") + F.col("c") * 1_000_000).alias("node"), F.when(F.col("c") == 2, 9 - F.col("label")).otherwise(F.col("label")).alias("class_id"), "vec_id").select("node", "class_id", F.when(F.col("node") % 3 == 0, "val").otherwise("train").alias("split"))
-    return dedup.cluster_summary(labels.join(e, "node"))
+    return dedup.cluster_summary(labels.join(e.hint("merge"), "node"))
 
 
 SQL["cluster_conflicts"] = f"""{_COMP} SELECT c.label AS cluster_id, count(*) AS size, count(DISTINCT CASE WHEN node >= 2000000 THEN 9 - e2.label ELSE e2.label END) AS n_classes, count(DISTINCT CASE WHEN node >= 2000000 THEN 9 - e2.label ELSE e2.label END) > 1 AS conflict, string_agg(DISTINCT CASE WHEN node % 3 = 0 THEN 'val' ELSE 'train' END, ',' ORDER BY CASE WHEN node % 3 = 0 THEN 'val' ELSE 'train' END) AS splits
