@@ -1,21 +1,20 @@
 """Masks as bit-packed words: filling, overlap, painting order, run-length records.
 
 A mask of height x width pixels is an array of longs, ceil(width / 64) for each
-row; pixel x of a row is bit x % 64 of word x / 64.  Areas, intersections and
-unions are bit operations on whole words inside Spark expressions; polygons and
-run lengths are turned into words by NumPy in Arrow batches.  No pixel ever
-becomes a row.
+row; pixel x of a row is bit x % 64 of word x / 64.  Areas and intersections are
+bit operations on whole words, polygons and run lengths are turned into words,
+all by NumPy for the masks of an Arrow batch at once.  No pixel ever becomes a
+row.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlake.operators.pixels import run_lengths
-
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -73,44 +72,117 @@ def polygon_words(xs: np.ndarray, ys: np.ndarray, height: int, width: int) -> np
     return polygons_words(xs, ys, np.array([len(xs)]), height, width)[0]
 
 
+def flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """Elements of all lists, and how many each has; null counts as empty."""
+    return lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def rows_as_lists(rows: np.ndarray) -> pa.ListArray:
+    many, size = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * size), pa.array(rows.reshape(-1)))
+
+
+def around_nulls(rows: pa.Array, f) -> pa.Array:
+    """f of the rows that aren't null; null stays null."""
+    out = f(rows.drop_null())
+    if not rows.null_count:
+        return out
+    there = rows.is_valid().to_numpy(zero_copy_only=False)
+    return out.take(pa.array(np.cumsum(there) - 1, mask=~there))
+
+
+def in_steps(f, rows: pa.Array, step: int) -> pa.Array:
+    """f over some rows at once, so that no more of them are unpacked."""
+    parts = [f(rows.slice(i, step)) for i in range(0, len(rows), step)]
+    return pa.concat_arrays(parts) if parts else f(rows)
+
+
+def fill_all(polygons: pa.Array, height: int, width: int) -> np.ndarray:
+    """Words, a row for each list of (x, y)."""
+    corners, sizes = flat(polygons)
+    x, y = (pc.struct_field(corners, c).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+    held = np.repeat(sizes >= 3, sizes)
+    return polygons_words(x[held], y[held], np.where(sizes >= 3, sizes, 0), height, width)
+
+
 def filled(points: Column, height: int, width: int, words_at_once: int = 1 << 21) -> Column:
     """Mask of an array of (x, y); null or fewer than three points are an empty mask."""
     step = max(1, words_at_once // (height * (words_per_row(width) + 1)))
 
-    @F.pandas_udf("array<long>")
-    def fill(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        flat = lambda s: [np.empty(0) if v is None or len(v) < 3 else np.asarray(v, float) for v in s]
-        for i in range(0, len(xs), step):
-            x, y = flat(xs.iloc[i : i + step]), flat(ys.iloc[i : i + step])
-            out.extend(polygons_words(np.concatenate(x), np.concatenate(y), np.array([len(v) for v in x]), height, width))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<long>")
+    def fill(polygons: pa.Array) -> pa.Array:
+        return in_steps(lambda p: rows_as_lists(fill_all(p, height, width)), polygons, step)
 
-    return fill(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+    return fill(points)
 
 
-def bits(mask: Column) -> Column:
-    """Pixels that are set."""
-    return F.aggregate(mask, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w).cast("long"))
+def filled_overlap(points: Column, l_points: Column, height: int, width: int, words_at_once: int = 1 << 20) -> Column:
+    """area, l_area and both of the masks of two polygons, which don't leave the task."""
+    step = max(1, words_at_once // (height * (words_per_row(width) + 1)))
+
+    def some(polygons: pa.Array) -> pa.Array:
+        a, b = (fill_all(pc.struct_field(polygons, c), height, width) for c in "ab")
+        count = lambda words: pa.array(np.bitwise_count(words.view(np.uint64)).sum(1, dtype=np.int64))
+        return pa.StructArray.from_arrays([count(a), count(b), count(a & b)], ["area", "l_area", "both"])
+
+    @F.arrow_udf("area long, l_area long, both long")
+    def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+        return in_steps(some, pa.StructArray.from_arrays([a, b], ["a", "b"]), step)
+
+    return overlap(points, l_points)
+
+
+def set_bits(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Set bits of each run of so many words."""
+    upto = np.concatenate(([0], np.cumsum(np.bitwise_count(words.view(np.uint64)), dtype=np.int64)))
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
 
 
 def area(mask: str | Column) -> Column:
-    return bits(F.col(mask) if isinstance(mask, str) else mask)
+    """Pixels that are set."""
+
+    def count(masks: pa.Array) -> pa.Array:
+        words, sizes = flat(masks)
+        return pa.array(set_bits(words.to_numpy(), sizes))
+
+    @F.arrow_udf("long")
+    def pixels(masks: pa.Array) -> pa.Array:
+        return around_nulls(masks, count)
+
+    return pixels(F.col(mask) if isinstance(mask, str) else mask)
 
 
 def intersection(a: Column, b: Column) -> Column:
-    """Pixels that both masks set."""
-    return bits(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    """Pixels that both masks, of one size, set."""
+
+    @F.arrow_udf("long")
+    def both(x: pa.Array, y: pa.Array) -> pa.Array:
+        (p, sizes), (q, others) = flat(x), flat(y)
+        if (sizes != others).any():
+            raise ValueError("masks of unlike sizes")
+        return pa.array(set_bits(p.to_numpy() & q.to_numpy(), sizes))
+
+    return both(a, b)
+
+
+def compared(pairs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs whose masks reach an IoU, in the shape of evaluate.overlaps; pairs carry area, l_area and both, the pixels of either mask and of their intersection."""
+    sized = pairs.where("both > 0").withColumn("iou", F.col("both") / (F.col("area") + F.col("l_area") - F.col("both") + 1e-7))
+    return sized.where(F.col("iou") >= least).select("image_id", "det_id", "class_id", "conf", "label_id", "label_class", "iou")
+
+
+def met(labels: DataFrame, detections: DataFrame, columns: list[str], by_class: bool = True) -> DataFrame:
+    """All pairs of one image (and class); the columns of labels have l_ before their names."""
+    lab = labels.select(F.col("image_id").alias("l_image"), "label_id", F.col("class_id").alias("label_class"), *(F.col(c).alias(f"l_{c}") for c in columns))
+    on = [F.col("image_id") == F.col("l_image")] + ([F.col("class_id") == F.col("label_class")] if by_class else [])
+    return detections.select("image_id", "det_id", "class_id", "conf", *columns).join(lab, on)
 
 
 def mask_overlaps(labels: DataFrame, detections: DataFrame, least: float = 0.5, by_class: bool = True) -> DataFrame:
     """Pairs of one image (and class) whose masks reach an IoU, in the shape of evaluate.overlaps; both tables carry mask."""
-    lab = labels.select(F.col("image_id").alias("l_image"), "label_id", F.col("class_id").alias("label_class"), F.col("mask").alias("l_mask"), area("mask").alias("l_area"))
-    det = detections.select("image_id", "det_id", "class_id", "conf", "mask", area("mask").alias("area"))
-    on = [F.col("image_id") == F.col("l_image")] + ([F.col("class_id") == F.col("label_class")] if by_class else [])
-    both = det.join(lab, on).withColumn("both", intersection(F.col("mask"), F.col("l_mask"))).where("both > 0")
-    pairs = both.withColumn("iou", F.col("both") / (F.col("area") + F.col("l_area") - F.col("both") + 1e-7))
-    return pairs.where(F.col("iou") >= least).select("image_id", "det_id", "class_id", "conf", "label_id", "label_class", "iou")
+    pairs = met(labels, detections, ["mask"], by_class)
+    return compared(pairs.withColumns({"both": intersection(F.col("mask"), F.col("l_mask")), "area": area("mask"), "l_area": area("l_mask")}), least)
 
 
 def painted(masks: DataFrame, words: int) -> DataFrame:
@@ -129,62 +201,126 @@ def painted(masks: DataFrame, words: int) -> DataFrame:
     return rows.select("image_id", "label_id", "rank", "area", F.zip_with("mask", "later", lambda m, o: m.bitwiseAND(F.bitwise_not(o))).alias("visible"))
 
 
+def counts_of_all(words: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column-major run lengths of masks, a row of words each, beginning with the zeros; and how many each mask has."""
+    many, total = len(words), height * width
+    bits = np.unpackbits(np.ascontiguousarray(words, "<i8").reshape(many, height, words_per_row(width)).view(np.uint8), axis=2, bitorder="little")[:, :, :width]
+    line = np.ascontiguousarray(bits.transpose(0, 2, 1)).reshape(many, total)
+    turns = line.copy()
+    turns[:, 1:] ^= line[:, :-1]
+    at = np.flatnonzero(turns.view(bool))
+    sizes = np.bincount(at // total, minlength=many) + 1
+    last = np.cumsum(sizes) - 1
+    start, end = np.zeros(sizes.sum(), np.int64), np.full(sizes.sum(), total)
+    inner = np.ones(len(start), bool)
+    inner[last] = False
+    end[inner] = at % total
+    start[1:][inner[:-1]] = end[inner]
+    return end - start, sizes
+
+
+def words_of_all(counts: np.ndarray, sizes: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Words, a row for each mask, of the run lengths of all."""
+    ends = np.cumsum(sizes)
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    if (upto[ends] - upto[ends - sizes] != height * width).any():
+        raise ValueError(f"run lengths don't add up to {height} x {width}")
+    odd = (np.arange(len(counts)) - np.repeat(ends - sizes, sizes)) % 2 == 1
+    wide = np.zeros((len(sizes), height, 64 * words_per_row(width)), bool)
+    wide[:, :, :width] = np.repeat(odd, counts).reshape(len(sizes), width, height).transpose(0, 2, 1)
+    return np.packbits(wide, axis=2, bitorder="little").view("<i8").reshape(len(sizes), height * words_per_row(width))
+
+
+def compressed_all(counts: np.ndarray, sizes: np.ndarray) -> pa.StringArray:
+    """The COCO strings: from the third on differences to the count before the last, five bits a character, 32 for more, from '0' on."""
+    ends = np.cumsum(sizes)
+    place = np.arange(len(counts)) - np.repeat(ends - sizes, sizes)
+    x = counts.copy()
+    x[2:] -= np.where(place[2:] > 2, counts[:-2], 0)
+    letters, used, more = [], [], np.ones(len(x), bool)
+    while more.any():
+        low = x & 31
+        x = x >> 5
+        used.append(more)
+        onward = x != np.where(low & 16, -1, 0)
+        letters.append((low + 32 * onward + 48).astype(np.uint8))
+        more = more & onward
+    many = np.stack(used, 1) if used else np.zeros((0, 1), bool)
+    upto = np.concatenate(([0], np.cumsum(many.sum(1))))
+    text = np.stack(letters, 1)[many] if used else np.zeros(0, np.uint8)
+    offsets = np.concatenate(([0], upto[ends])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(text))
+
+
+def decompressed_all(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all strings, and how many each has."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    letter = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8).astype(np.int64) - 48
+    end = (letter & 32) == 0
+    stop = np.cumsum(size)
+    if not end[stop[size > 0] - 1].all():
+        raise ValueError("a run-length string breaks off")
+    found = np.concatenate(([0], np.cumsum(end)))
+    sizes = found[stop] - found[stop - size]
+    last = np.flatnonzero(end)
+    first = np.concatenate(([0], last[:-1] + 1))[: len(last)]
+    shift = 5 * (np.arange(len(letter)) - np.repeat(first, last + 1 - first))
+    x = np.add.reduceat((letter & 31) << shift, first) if len(first) else np.zeros(0, np.int64)
+    x -= np.where(letter[last] & 16, 1 << (shift[last] + 5), 0)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    chain = 3 * owner + np.where(place == 0, 0, 1 + place % 2)  # the first, then every second from the third and from the second on
+    order = np.argsort(chain, kind="stable")
+    total = np.concatenate(([0], np.cumsum(x[order])))
+    begins = np.flatnonzero(np.diff(chain[order], prepend=-1))
+    base = np.repeat(total[begins], np.diff(np.append(begins, len(x))))
+    counts = np.empty_like(x)
+    counts[order] = total[1:] - base
+    return counts, sizes
+
+
 def counts_of(words: np.ndarray, height: int, width: int) -> list[int]:
-    """Column-major run lengths, beginning with the zeros."""
-    return run_lengths(unpacked(words, height, width))
+    """Column-major run lengths of one mask, beginning with the zeros."""
+    return counts_of_all(words[None], height, width)[0].tolist()
 
 
 def words_of(counts: list[int], height: int, width: int) -> np.ndarray:
-    flat = np.repeat(np.arange(len(counts)) % 2 == 1, counts)
-    return packed(flat.reshape((height, width), order="F"))
+    return words_of_all(np.array(counts), np.array([len(counts)]), height, width)[0]
 
 
 def compressed(counts: list[int]) -> str:
-    """The COCO string: from the third on differences to the count before the last, five bits a character, 32 for more, from '0' on."""
-    out = []
-    for i, c in enumerate(counts):
-        x = c - counts[i - 2] if i > 2 else c
-        while True:
-            low = x & 31
-            x >>= 5
-            more = x != (-1 if low & 16 else 0)
-            out.append(chr(low + 32 * more + 48))
-            if not more:
-                break
-    return "".join(out)
+    return compressed_all(np.array(counts, np.int64), np.array([len(counts)]))[0].as_py()
 
 
 def decompressed(text: str) -> list[int]:
-    counts: list[int] = []
-    x = shift = 0
-    for ch in text:
-        low = ord(ch) - 48
-        x |= (low & 31) << shift
-        shift += 5
-        if not low & 32:
-            if low & 16:
-                x -= 1 << shift
-            counts.append(x + counts[-2] if len(counts) > 2 else x)
-            x = shift = 0
-    return counts
-
-
-def encoded(mask: Column, height: int, width: int) -> Column:
+    return decompressed_all(pa.array([text]))[0].tolist()
+
+
+def encoded(mask: Column, height: int, width: int, pixels_at_once: int = 1 << 24) -> Column:
     """The compressed run-length string of a mask; null stays null."""
+    step = max(1, pixels_at_once // (height * width))
 
-    @F.pandas_udf("string")
-    def encode(masks: pd.Series) -> pd.Series:
-        return masks.map(lambda m: None if m is None else compressed(counts_of(m, height, width)))
+    def some(masks: pa.Array) -> pa.Array:
+        words, _ = flat(masks)
+        return compressed_all(*counts_of_all(words.to_numpy().reshape(len(masks), height * words_per_row(width)), height, width))
+
+    @F.arrow_udf("string")
+    def encode(masks: pa.Array) -> pa.Array:
+        return around_nulls(masks, lambda m: in_steps(some, m, step))
 
     return encode(mask)
 
 
-def decoded(counts: Column, height: int, width: int) -> Column:
+def decoded(counts: Column, height: int, width: int, pixels_at_once: int = 1 << 24) -> Column:
     """The mask of a compressed run-length string; null stays null."""
+    step = max(1, pixels_at_once // (height * width))
+
+    def some(texts: pa.Array) -> pa.Array:
+        return rows_as_lists(words_of_all(*decompressed_all(texts), height, width))
 
-    @F.pandas_udf("array<long>")
-    def decode(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else words_of(decompressed(t), height, width) for t in texts], dtype=object)
+    @F.arrow_udf("array<long>")
+    def decode(texts: pa.Array) -> pa.Array:
+        return around_nulls(texts, lambda t: in_steps(some, t, step))
 
     return decode(counts)
 

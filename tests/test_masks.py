@@ -75,3 +75,45 @@ def test_records(spark, tmp_path):
     assert back[7].bbox == [1.235, 2.0, 8.753, 6.0] and masks.decompressed(back[8].counts) == [840]
     with pytest.raises(Exception, match="12 x 71"):
         masks.read_records(spark, f"{tmp_path}/r", 12, 71).collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_batches_match_single_masks(seed):
+    """All masks of a batch at once give what they give one by one, the empty and the full one too."""
+    from boxlake.operators.pixels import run_lengths
+
+    r = np.random.default_rng(seed)
+    height, width = [(7, 3), (48, 64), (30, 129), (1, 1)][seed]
+    many = [r.random((height, width)) < share for share in (0.0, 1.0, 0.3, 0.02, 0.97, 0.0, 0.5)]
+    words = np.stack([masks.packed(m) for m in many])
+    counts, sizes = masks.counts_of_all(words, height, width)
+    assert [c.tolist() for c in np.split(counts, np.cumsum(sizes)[:-1])] == [run_lengths(m) for m in many]
+    texts = masks.compressed_all(counts, sizes)
+    back, again = masks.decompressed_all(texts)
+    assert back.tolist() == counts.tolist() and again.tolist() == sizes.tolist()
+    assert (masks.words_of_all(back, again, height, width) == words).all()
+    assert texts.to_pylist() == [masks.compressed(run_lengths(m)) for m in many]
+
+
+def test_null_and_broken_strings(spark):
+    df = spark.createDataFrame([(1, None), (2, masks.compressed([840]))], "k int, t string")
+    got = {r.k: r.n for r in df.select("k", masks.area(masks.decoded(F.col("t"), 12, 70)).alias("n")).collect()}
+    assert got == {1: None, 2: 0}
+    with pytest.raises(ValueError, match="add up"):
+        masks.words_of([839], 12, 70)
+    with pytest.raises(ValueError, match="breaks off"):
+        masks.decompressed("P")
+
+
+def test_masks_are_filled_after_the_join(spark):
+    """Boxes are dealt out for the join of masks, not the masks."""
+    from boxlake.plans import masks as plans
+
+    box = "image_id long, {} long, class_id long, {} x1 double, y1 double, x2 double, y2 double"
+    lab = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 200.0, 200.0), (2, 1, 0, 0.0, 0.0, 50.0, 50.0)], box.format("label_id", ""))
+    det = spark.createDataFrame([(1, 3, 0, 0.5, 0.0, 0.0, 200.0, 200.0), (2, 3, 0, 0.5, 300.0, 0.0, 350.0, 50.0)], box.format("det_id", "conf double,"))
+    pairs = plans.mask_pairs(lab, det)
+    lines = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(lines) if "Join" in x)
+    assert any("ArrowEvalPython" in x for x in lines[:join]) and not any("ArrowEvalPython" in x for x in lines[join:])
+    assert [(r.image_id, r.label_id, r.det_id) for r in pairs.collect()] == [(1, 1, 3)]
