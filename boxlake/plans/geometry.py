@@ -130,7 +130,8 @@ SELECT image_id, label_id, round((min(x) + max(x)) / 2, 6) AS x, round((min(y) +
 
 @query
 def resampled_polygons(spark: SparkSession, d: str) -> DataFrame:
-    p = _polygons(spark, d).select("image_id", "label_id", F.posexplode(B.resample(F.col("points"), 9)).alias("i", "p"))
+    p = _polygons(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"))
+    p = p.select("image_id", "label_id", "i", B.resampled_point(F.col("points"), F.col("i"), 9).alias("p"))
     return p.select("image_id", "label_id", "i", r("p.x").alias("x"), r("p.y").alias("y"))
 
 

@@ -122,3 +122,18 @@ def test_descriptor_file(spark, tmp_path):
     (tmp_path / "d.yaml").write_text(f"path: {tmp_path}\ntrain: ../images\nval: images\nnames:\n  0: x\n  1: y\n")
     d = dataset.Dataset.read(spark, str(tmp_path / "d.yaml"))
     assert d.splits == {"train": [f"{tmp_path}/images"], "val": [f"{tmp_path}/images"]} and d.names == {0: "x", 1: "y"}
+
+
+def test_resampled_polygons_are_compiled(spark):
+    """The query takes one point a row in compiled code; it gives what resample gives."""
+    from boxlake.functions import boxes
+    from boxlake.plans import geometry
+
+    plan = geometry.resampled_polygons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan
+    rows = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)]), (2, [(1.0, 1.0)]), (3, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.5, 0.5)])]
+    df = spark.createDataFrame(rows, "k int, points array<struct<x: double, y: double>>")
+    whole = {r.k: [tuple(p) for p in r.p] for r in df.select("k", boxes.resample(F.col("points"), 7).alias("p")).collect()}
+    each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).select("k", "i", boxes.resampled_point(F.col("points"), F.col("i"), 7).alias("p")).collect()
+    assert {(r.k, r.i): tuple(r.p) for r in each} == {(k, i): p for k, ps in whole.items() for i, p in enumerate(ps)}
+    assert whole[1][0] == whole[1][-1] == (0.0, 0.0) and whole[1][2] == (4.0, 0.0) and whole[2] == [(1.0, 1.0)] * 7
