@@ -213,12 +213,15 @@ def per_class_counts(matrix: DataFrame, classes: int) -> DataFrame:
 
 
 def mask_iou(left: DataFrame, right: DataFrame) -> DataFrame:
-    """IoU of all masks of an image that share a pixel; tables hold (image_id, mask_id, pixel)."""
-    size = lambda df, name: df.groupBy("image_id", "mask_id").agg(F.count("*").alias(name))
-    a, b = size(left, "n_left").withColumnRenamed("mask_id", "left_id"), size(right, "n_right").withColumnRenamed("mask_id", "right_id")
-    both = left.withColumnRenamed("mask_id", "left_id").join(right.withColumnRenamed("mask_id", "right_id"), ["image_id", "pixel"]).groupBy("image_id", "left_id", "right_id").agg(F.count("*").alias("inter"))
-    joined = both.join(a, ["image_id", "left_id"]).join(b, ["image_id", "right_id"])
-    return joined.select("image_id", "left_id", "right_id", (F.col("inter") / (F.col("n_left") + F.col("n_right") - F.col("inter") + 1e-7)).alias("iou"))
+    """IoU of all masks of an image that share a pixel; tables hold (image_id, mask_id, pixel), a pixel once for each mask.
+
+    The pixels of a mask are gathered into one row, so the masks of an image
+    meet in one join and neither pixels nor pairs of them are shuffled as rows.
+    """
+    whole = lambda df, side: df.groupBy("image_id", "mask_id").agg(F.collect_list("pixel").alias(f"{side}_pixels")).withColumnRenamed("mask_id", f"{side}_id")
+    pairs = whole(left, "left").join(whole(right, "right"), "image_id").where(F.arrays_overlap("left_pixels", "right_pixels"))
+    inter = F.size(F.array_intersect("left_pixels", "right_pixels"))
+    return pairs.select("image_id", "left_id", "right_id", (inter / (F.size("left_pixels") + F.size("right_pixels") - inter + 1e-7)).alias("iou"))
 
 
 def class_maps(ap: DataFrame, classes: int) -> DataFrame:

@@ -258,12 +258,12 @@ SQL["second_stage_filter"] = f"{with_sql('det')} SELECT class_id, count(*) AS n
 
 @query
 def mask_iou(spark: SparkSession, d: str) -> DataFrame:
-    """IoU of coarse masks: the 40-pixel tiles that a box touches."""
+    """IoU of coarse masks: the 40-pixel tiles that a box touches; boxes are dealt out by image before they become tiles."""
     lab, det = labels(spark, d), fixture(spark, d, "det")
 
     def tiles(df: DataFrame, key: str) -> DataFrame:
         span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 40), F.floor(F.col(b) / 40)))
-        return df.select("image_id", F.col(key).alias("mask_id"), span("x1", "x2").alias("tx"), "y1", "y2").select("image_id", "mask_id", "tx", span("y1", "y2").alias("ty")).select("image_id", "mask_id", (F.col("tx") * 1000 + F.col("ty")).alias("pixel"))
+        return df.repartition("image_id").select("image_id", F.col(key).alias("mask_id"), span("x1", "x2").alias("tx"), "y1", "y2").select("image_id", "mask_id", "tx", span("y1", "y2").alias("ty")).select("image_id", "mask_id", (F.col("tx") * 1000 + F.col("ty")).alias("pixel"))
 
     return rounded(evaluate.mask_iou(tiles(lab, "label_id"), tiles(det, "det_id")), "iou")
 

@@ -117,3 +117,16 @@ def test_masks_are_filled_after_the_join(spark):
     join = next(i for i, x in enumerate(lines) if "Join" in x)
     assert any("ArrowEvalPython" in x for x in lines[:join]) and not any("ArrowEvalPython" in x for x in lines[join:])
     assert [(r.image_id, r.label_id, r.det_id) for r in pairs.collect()] == [(1, 1, 3)]
+
+
+def test_tiles_are_not_shuffled(spark):
+    """Boxes are dealt out by image; their tiles, masks and pairs stay where they are."""
+    from boxlake.plans import evaluation
+
+    lines = evaluation.mask_iou(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    tiles = max(i for i, x in enumerate(lines) if "Generate explode" in x)
+    assert not any("Exchange hashpartitioning" in x and "mask_id" in x for x in lines[: tiles + 1])
+    left = spark.createDataFrame([(1, 1, 5), (1, 1, 6), (1, 2, 9), (2, 1, 5)], "image_id long, mask_id long, pixel long")
+    right = spark.createDataFrame([(1, 7, 6), (1, 7, 8), (1, 8, 5), (3, 1, 5)], "image_id long, mask_id long, pixel long")
+    got = {(r.image_id, r.left_id, r.right_id): round(r.iou, 6) for r in evaluate.mask_iou(left, right).collect()}
+    assert got == {(1, 1, 7): 0.333333, (1, 1, 8): 0.5}
