@@ -60,8 +60,18 @@ def with_hits(labels: DataFrame, detections: DataFrame, pairs: DataFrame | None
 def confidence_chunk(detections: DataFrame) -> Column:
     """A chunk number that rises as confidence falls; cuts are quantiles of confidence."""
     cuts = detections.agg(F.percentile_approx("conf", [i / CHUNKS for i in range(1, CHUNKS)], 10_000)).first()[0] or []  # CHUNKS numbers, however confidences are spread
-    cuts = sorted(set(cuts))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("conf"))) if cuts else F.lit(0)
+    return larger_cuts(sorted(set(cuts), reverse=True), F.col("conf"))
+
+
+def larger_cuts(cuts: list[float], value: Column) -> Column:
+    """How many of the falling cuts are larger than a value: whole blocks of sixteen first, then those of one block."""
+    if not cuts:
+        return F.lit(0)
+    blocks = [cuts[i : i + 16] for i in range(0, len(cuts), 16)]
+    count = lambda some: F.size(F.filter(some, lambda c: c > value))
+    full = count(F.array(*(F.lit(b[-1]) for b in blocks)))
+    nested = F.array(*(F.array(*map(F.lit, b)) for b in blocks))
+    return F.aggregate(F.array(full), F.lit(0), lambda _, n: n * 16 + F.when(n < len(blocks), count(F.get(nested, n))).otherwise(len(cuts) - 16 * len(blocks)))
 
 
 def ranking() -> list[Column]:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from boxlake.operators import evaluate, suppress
+from pyspark.sql import functions as F
 
 LAB = "image_id long, label_id long, class_id long, x1 double, y1 double, x2 double, y2 double"
 DET = "image_id long, det_id long, class_id long, conf double, x1 double, y1 double, x2 double, y2 double"
@@ -104,3 +105,13 @@ def test_second_step_of_matching_differs(spark):
     assert [r.det_id for r in evaluate.true_positives(lab, det).where("thr = 0").collect()] == [0]
     cells = {(r.pred_class, r.true_class): r.n for r in evaluate.confusion(lab, det, 1).collect()}
     assert cells == {(0, 0): 1, (0, 1): 1}
+
+
+def test_larger_cuts(spark):
+    """Blocks of cuts count as all cuts do, with few comparisons."""
+    values = [0.0, 0.5, 1.0, 2.0, 7.5, 8.0, 8.1, 254.0, 255.0, 300.0, -3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (0, 1, 15, 16, 17, 32, 255):
+        cuts = [float(x) for x in range(n, 0, -1)]
+        got = {r.v: r.k for r in df.select("v", evaluate.larger_cuts(cuts, F.col("v")).alias("k")).collect()}
+        assert got == {v: sum(c > v for c in cuts) for v in values}
