@@ -1,6 +1,7 @@
 """Thumbnails, hashes and confirmed duplicates against plain versions."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -109,3 +110,33 @@ def test_clusters_do_not_broadcast_members(spark):
     assert sorted(map(tuple, labels.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
     of_members = dedup.clusters(dedup.written(labels.withColumn("split", F.when(F.col("node") % 2 == 0, "val").otherwise("train"))))
     assert "SortMergeJoin [label" in _plan(of_members)
+
+
+def test_stacks_give_what_single_images_give():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 256, (300, 16, 16)).astype(np.uint8)
+    b = np.clip(a + rng.integers(-30, 30, a.shape), 0, 255).astype(np.uint8)
+    b[0], a[1], b[1] = a[0], 0, 255
+    one_by_one = lambda: [pixels.ssim(p.astype(float), q.astype(float)) for p, q in zip(a, b, strict=True)]
+    began = time.perf_counter()
+    want = one_by_one()
+    middle = time.perf_counter()
+    got = pixels.ssims(a, b)
+    assert time.perf_counter() - middle < (middle - began) / 3
+    assert got == pytest.approx(want, abs=1e-12)
+    stack = rng.integers(0, 256, (20, 12, 18)).astype(float)
+    assert pixels.perceptual_hashes(stack).tolist() == [pixels.perceptual_hash(x) for x in stack]
+    assert pixels.laplacian_variances(stack) == pytest.approx([pixels.laplacian_variance(x) for x in stack])
+
+
+def test_thumbnails_of_unlike_sizes_keep_their_order(spark):
+    rng = np.random.default_rng(6)
+    sizes = [(12, 16), (9, 7), (12, 16), (2, 2), (9, 7)]
+    raw = [rng.integers(0, 256, s).astype(np.uint8) for s in sizes]
+    rows = [(i, h, w, 1, 2.0 if i == 2 else 0.5, 0.5, 0.5, 0.5, bytearray(a.tobytes())) for i, ((h, w), a) in enumerate(zip(sizes, raw, strict=True))]
+    images = spark.createDataFrame(rows, "item_id long, height int, width int, channels int, cx double, cy double, w double, h double, pixels binary").coalesce(1)
+    got = {r.item_id: r for r in pixels.thumbnails(images, 16).collect()}
+    for i, a in enumerate(raw):
+        assert bytes(got[i].whole) == pixels.fitted(a.astype(float), 16).astype(np.uint8).tobytes() and got[i].phash == pixels.perceptual_hash(a.astype(float))
+        assert (got[i].part is None) == (i == 2)
+        assert i == 2 or bytes(got[i].part) == pixels.fitted(pixels.region(a.astype(float), 0.5, 0.5, 0.5, 0.5), 16).astype(np.uint8).tobytes()
