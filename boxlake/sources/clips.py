@@ -21,8 +21,8 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,16 +76,33 @@ def dealt(clips: list[Clip], low: int | None, high: int | None, most: int) -> li
     return [Clips(group, low, high) for group in out]
 
 
-def frames_of(part: Clips, path: str, stride: int) -> Iterator[pa.RecordBatch]:
-    """One record batch for each frame of a task."""
+def frames_of(part: Clips, path: str, stride: int, bytes_at_once: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The frames of a task; those of several clips go into one batch, as Spark takes each batch by itself."""
     store, _ = fs.FileSystem.from_uri(path)
+    held: list[pa.RecordBatch] = []
+    size = 0
     for c in part.clips:
         with store.open_input_file(c.path) as file, pa.ipc.open_file(file) as clip:
             for n in range(-(-c.first // stride) * stride, c.first + c.frames, stride):
-                batch = clip.get_batch(n - c.first)
-                at = batch.column("ts").cast(pa.int64())[0].as_py()
-                if (part.low is None or at > part.low) and (part.high is None or at <= part.high):
-                    yield batch
+                held.append(clip.get_batch(n - c.first))
+                size += held[-1].nbytes
+                if size >= bytes_at_once:
+                    yield from asked(held, part)
+                    held, size = [], 0
+    yield from asked(held, part)
+
+
+def asked(frames: list[pa.RecordBatch], part: Clips) -> list[pa.RecordBatch]:
+    """Frames in the time of a task, as one batch."""
+    if not frames:
+        return []
+    rows = pa.Table.from_batches(frames)
+    at = rows.column("ts").cast(pa.int64())
+    for limit, holds in ((part.low, pc.greater), (part.high, pc.less_equal)):
+        if limit is not None:
+            keep = holds(at, limit)
+            rows, at = rows.filter(keep), at.filter(keep)
+    return rows.combine_chunks().to_batches()
 
 
 class ClipReader(DataSourceReader):
@@ -143,27 +160,51 @@ def register(spark: SparkSession) -> None:
 def write_clips(frames: DataFrame, path: str, frames_per_clip: int = 512) -> int:
     """Clips of frames(stream, frame, ts, height, width, channels, pixels), and how many frames they hold.
 
-    Frames of a stream are numbered from 1 without gaps.  A task holds the frames
-    of one clip; a clip gets its name when it is whole, so a repeated task only
-    replaces it.
+    Frames of a stream are numbered from 1 without gaps.  A task takes its clips
+    one after the other and holds the frames of one; a clip gets its name when it
+    is whole, so a repeated task only replaces it.
     """
 
-    def write(g: pd.DataFrame) -> pd.DataFrame:
-        store, root = fs.FileSystem.from_uri(path)
-        rows = pa.Table.from_pandas(g.sort_values("frame")[ARROW.names], ARROW, preserve_index=False).combine_chunks()
+    def put(store: fs.FileSystem, root: str, rows: pa.RecordBatch) -> None:
         at = rows.column("ts").cast(pa.int64()).to_numpy()
         number = rows.column("frame").to_numpy()
+        stream = str(rows.column("stream")[0].as_py())
         if (np.diff(number) != 1).any():
-            raise ValueError(f"frames of stream {g['stream'].iloc[0]} aren't numbered without gaps")
-        folder = f"{root}/{quote(str(g['stream'].iloc[0]), safe='')}"
+            raise ValueError(f"frames of stream {stream} aren't numbered without gaps")
+        folder = f"{root}/{quote(stream, safe='')}"
         store.create_dir(folder)
         part = f"{folder}/.{uuid.uuid4().hex}"
         with store.open_output_stream(part) as file, pa.ipc.new_file(file, ARROW) as clip:
-            for i in range(len(g)):
-                clip.write_batch(rows.slice(i, 1).to_batches()[0])
-        store.move(part, f"{folder}/{number[0]}-{len(g)}-{at.min()}-{at.max()}.clip")
-        return pd.DataFrame({"n": [len(g)]})
+            for i in range(len(rows)):
+                clip.write_batch(rows.slice(i, 1))
+        store.move(part, f"{folder}/{number[0]}-{len(rows)}-{at.min()}-{at.max()}.clip")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        held: list[pa.RecordBatch] = []
+        now, n = None, 0
+
+        def flush() -> None:
+            if held:
+                put(store, root, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held.clear()
+
+        for b in batches:
+            if not len(b):
+                continue
+            stream, clip = b.column("stream"), b.column("__clip").to_numpy()
+            kind = stream.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero((np.diff(kind, prepend=kind[0]) != 0) | (np.diff(clip, prepend=clip[0]) != 0))
+            rows = pa.RecordBatch.from_arrays([b.column(c).cast(ARROW.field(c).type) for c in ARROW.names], schema=ARROW)
+            for i, k in zip([0, *begins], [*begins, len(b)], strict=True):
+                if (key := (stream[i].as_py(), clip[i])) != now:
+                    flush()
+                    now = key
+                held.append(rows.slice(i, k - i))
+            n += len(b)
+        flush()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
 
     clip = F.floor((F.col("frame") - 1) / frames_per_clip).alias("__clip")
-    out = frames.groupBy("stream", clip).applyInPandas(write, "n long").agg(F.sum("n")).first()[0]
-    return out or 0
+    sorted_ = frames.select(*ARROW.names, clip).repartition("stream", "__clip").sortWithinPartitions("stream", "frame")
+    return sorted_.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0

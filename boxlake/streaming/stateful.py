@@ -97,20 +97,22 @@ class Sessions(StatefulProcessor):
 
 LATEST = "stream string, seen long, frame long, brightness double"
 FOLDS = "stream string, n long, mean double, ema double, best double, best_at long, stopped_at long"
+#: what Latest and Folds read: pixels don't have to come along
+USED = ("stream", "frame", "ts", "brightness")
 SESSIONS = "stream string, first_us long, last_us long, frames long"
 
 
 def latest(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("stream").transformWithState(Latest(), LATEST, "Update", "None")
+    return frames.select(*USED).groupBy("stream").transformWithState(Latest(), LATEST, "Update", "None")
 
 
 def folds(frames: DataFrame, **settings: float) -> DataFrame:
-    return frames.groupBy("stream").transformWithState(Folds(**settings), FOLDS, "Update", "None")
+    return frames.select(*USED).groupBy("stream").transformWithState(Folds(**settings), FOLDS, "Update", "None")
 
 
 def sessions(frames: DataFrame, pause_ms: int, lateness: str = "0 seconds") -> DataFrame:
     """frames carry time, a timestamp for the watermark, and us, the same in microseconds."""
-    marked = frames.withWatermark("time", lateness)
+    marked = frames.select("stream", "frame", "ts", "us", "time").withWatermark("time", lateness)
     return marked.groupBy("stream").transformWithState(Sessions(pause_ms), SESSIONS, "Append", "EventTime")
 
 

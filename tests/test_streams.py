@@ -125,3 +125,24 @@ def test_sessions_end_by_a_later_frame_or_a_timer(spark, tmp_path, rocks):
     run(spark, path, tmp_path, runs, "append", micros(15), None)
     got = {(r.stream, (r.first_us - micros(0)) // 60_000_000, (r.last_us - micros(0)) // 60_000_000, r.frames) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 0, 2, 3), ("a", 30, 31, 2), ("b", 0, 9, 3)}
+
+
+def test_frames_come_in_few_batches(spark, recorded):
+    part = clips.Clips(clips.listed(recorded), micros(9), micros(55))
+    batches = list(clips.frames_of(part, recorded, 1))
+    assert len(batches) == 1 and len(batches[0]) == 46 + 6
+    small = list(clips.frames_of(part, recorded, 1, 1))
+    assert sum(map(len, small)) == 46 + 6 and pa.Table.from_batches(small).sort_by([("stream", "ascending"), ("frame", "ascending")]).equals(pa.Table.from_batches(batches).combine_chunks().sort_by([("stream", "ascending"), ("frame", "ascending")]))
+
+
+def test_clips_are_whole_whatever_the_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 5)
+    try:
+        many = {f"s{i}": range(3 + i) for i in range(12)}
+        assert clips.write_clips(frames(spark, many).repartition(3), str(tmp_path / "c"), 4) == sum(3 + i for i in range(12))
+    finally:
+        spark.conf.set(name, before)
+    got = {(c.stream, c.first, c.frames) for c in clips.listed(str(tmp_path / "c"))}
+    assert got == {(s, k + 1, min(4, len(t) - k)) for s, t in many.items() for k in range(0, len(t), 4)}
