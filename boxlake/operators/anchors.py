@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.functions.boxes import wh_iou
+from boxlake.operators.scan import written
 
 #: fixed values: anchors (width, height) in pixels by level with stride 8, 16, 32
 ANCHORS = [[(10, 13), (16, 30), (33, 23)], [(30, 61), (62, 45), (59, 119)], [(116, 90), (156, 198), (373, 326)]]
@@ -59,16 +60,28 @@ def order_agrees(anchors: list[list[tuple[int, int]]], strides: list[int]) -> bo
     return (mean[-1] - mean[0]) * (strides[-1] - strides[0]) >= 0
 
 
+def sizes(boxes: DataFrame) -> DataFrame:
+    """Each size of boxes(w, h) once, with n, how many have it: rounds read this table, not what the boxes come from."""
+    return written(boxes.groupBy("w", "h").agg(F.count("*").alias("n")))
+
+
+def weighted(value, n="n"):
+    """Mean of a value that each row has n times; null counts for nothing."""
+    return F.sum(value * F.col(n)) / F.sum(F.when(value.isNotNull(), F.col(n)))
+
+
 def kmeans(boxes: DataFrame, centers: list[tuple[float, float]], rounds: int = 100) -> DataFrame:
     """Clusters boxes(w, h) by IoU distance with medians as centres; starts from centers, ends when they stay.
 
-    Only k centres come to the driver; a round is one pass with exact medians.
+    Only k centres come to the driver; a round is one pass over the sizes, with exact medians.
     """
+    boxes = sizes(boxes)
+    middle = lambda c: F.percentile(c, F.lit(0.5), F.col("n")).alias(c)
     now = [(float(w), float(h)) for w, h in centers]
     for _ in range(rounds):
         score = [wh_iou(F.col("w"), F.col("h"), F.lit(w), F.lit(h), 1e-12) for w, h in now]
         best = F.array_position(F.array(*score), F.greatest(*score)) - 1
-        found = {r["c"]: (r["w"], r["h"]) for r in boxes.groupBy(best.alias("c")).agg(F.median("w").alias("w"), F.median("h").alias("h")).collect()}  # k rows
+        found = {r["c"]: (r["w"], r["h"]) for r in boxes.groupBy(best.alias("c")).agg(middle("w"), middle("h")).collect()}  # k rows
         new = [found.get(i, c) for i, c in enumerate(now)]
         same = all(abs(a - b) <= 1e-8 + 1e-5 * abs(b) for p, q in zip(new, now, strict=True) for a, b in zip(p, q, strict=True))
         now = new
@@ -77,7 +90,7 @@ def kmeans(boxes: DataFrame, centers: list[tuple[float, float]], rounds: int = 1
     now.sort(key=lambda c: c[0] * c[1])
     score = [wh_iou(F.col("w"), F.col("h"), F.lit(w), F.lit(h), 1e-12) for w, h in now]
     best = F.array_position(F.array(*score), F.greatest(*score)) - 1
-    return boxes.groupBy(best.cast("int").alias("center")).agg(F.count("*").alias("n"), F.median("w").alias("w"), F.median("h").alias("h"))
+    return boxes.groupBy(best.cast("int").alias("center")).agg(F.sum("n").alias("n"), middle("w"), middle("h"))
 
 
 def whitened_kmeans(boxes: DataFrame, k: int, seed: int = 0, rounds: int = 30) -> list[tuple[float, float]]:
@@ -91,24 +104,27 @@ def whitened_kmeans(boxes: DataFrame, k: int, seed: int = 0, rounds: int = 30) -
     return sorted(((float(c[0] * s["w"]), float(c[1] * s["h"])) for c in model.clusterCenters()), key=lambda c: c[0] * c[1])
 
 
-def fitness(boxes: DataFrame, anchors: list[tuple[float, float]], limit: float = 4.0) -> float:
-    """Mean over boxes of the best ratio, where it is within limit."""
+def fitness(boxes: DataFrame, anchors: list[tuple[float, float]], limit: float = 4.0, n: str | None = None) -> float:
+    """Mean over boxes of the best ratio, where it is within limit; n names a column that says how often a row counts."""
     best = F.greatest(*(ratio(F.col("w"), F.col("h"), F.lit(float(w)), F.lit(float(h))) for w, h in anchors)) if len(anchors) > 1 else ratio(F.col("w"), F.col("h"), F.lit(float(anchors[0][0])), F.lit(float(anchors[0][1])))
-    return boxes.agg(F.avg(F.when(best > 1 / limit, best).otherwise(0.0))).first()[0] or 0.0
+    value = F.when(best > 1 / limit, best).otherwise(0.0)
+    return boxes.agg(weighted(value, n) if n else F.avg(value)).first()[0] or 0.0
 
 
 def whitened_rounds(boxes: DataFrame, centers: list[tuple[float, float]], rounds: int = 30) -> list[tuple[float, float]]:
     """Centres of boxes(w, h) by Euclidean distance after scaling both sides to unit deviation, from given ones, by area.
 
-    A centre without boxes stays; a round is one pass, and k rows come to the driver.
+    A centre without boxes stays; a round is one pass over the sizes, and k rows come to the driver.
     """
-    s = boxes.agg(F.stddev_pop("w").alias("w"), F.stddev_pop("h").alias("h")).first()
+    boxes = sizes(boxes)
+    mean = boxes.agg(weighted(F.col("w")).alias("w"), weighted(F.col("h")).alias("h")).first()
+    s = boxes.agg(*(F.sqrt(weighted(F.pow(F.col(c) - F.lit(mean[c]), F.lit(2)))).alias(c) for c in "wh")).first()
     sw, sh = s["w"] or 1.0, s["h"] or 1.0
     now = [(float(w), float(h)) for w, h in centers]
     for _ in range(rounds):
         far = [F.pow((F.col("w") - w) / sw, F.lit(2)) + F.pow((F.col("h") - h) / sh, F.lit(2)) for w, h in now]
         best = F.array_position(F.array(*far), F.least(*far)) - 1
-        found = {r["c"]: (r["w"], r["h"]) for r in boxes.groupBy(best.alias("c")).agg(F.avg("w").alias("w"), F.avg("h").alias("h")).collect()}
+        found = {r["c"]: (r["w"], r["h"]) for r in boxes.groupBy(best.alias("c")).agg(weighted(F.col("w")).alias("w"), weighted(F.col("h")).alias("h")).collect()}
         new = [found.get(i, c) for i, c in enumerate(now)]
         if new == now:
             break
@@ -133,13 +149,14 @@ def mutations(k: int, generations: int, brood: int, share: float = 0.9, sigma: f
 
 
 def evolved(boxes: DataFrame, anchors: list[tuple[float, float]], generations: int = 20, brood: int = 16, sigma: float = 0.1, seed: int = 0) -> list[tuple[float, float]]:
-    """Anchors mutated by factors; a generation's brood is scored in one pass over the boxes, its best one stays if it is better.  Sides don't fall below 2."""
+    """Anchors mutated by factors; a generation's brood is scored in one pass over the sizes of boxes, its best one stays if it is better.  Sides don't fall below 2."""
+    boxes = sizes(boxes)
     best = [(float(w), float(h)) for w, h in anchors]
-    score = fitness(boxes, best)
+    score = fitness(boxes, best, n="n")
     for generation in mutations(len(best), generations, brood, sigma=sigma, seed=seed):
         tries = [[(max(2.0, w * f), max(2.0, h * g)) for (w, h), (f, g) in zip(best, child, strict=True)] for child in generation]
         value = lambda a: F.greatest(F.lit(0.0), *(ratio(F.col("w"), F.col("h"), F.lit(w), F.lit(h)) for w, h in a))
-        scores = boxes.agg(*(F.avg(F.when(value(a) > 0.25, value(a)).otherwise(0.0)).alias(f"s{i}") for i, a in enumerate(tries))).first()
+        scores = boxes.agg(*(weighted(F.when(value(a) > 0.25, value(a)).otherwise(0.0)).alias(f"s{i}") for i, a in enumerate(tries))).first()
         top = max(range(brood), key=lambda i: scores[i] or 0.0)
         if (scores[top] or 0.0) > score:
             best, score = tries[top], scores[top]

@@ -137,3 +137,31 @@ def test_resampled_polygons_are_compiled(spark):
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).select("k", "i", boxes.resampled_point(F.col("points"), F.col("i"), 7).alias("p")).collect()
     assert {(r.k, r.i): tuple(r.p) for r in each} == {(k, i): p for k, ps in whole.items() for i, p in enumerate(ps)}
     assert whole[1][0] == whole[1][-1] == (0.0, 0.0) and whole[1][2] == (4.0, 0.0) and whole[2] == [(1.0, 1.0)] * 7
+
+
+def test_anchor_rounds_read_their_boxes_once(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    wh = [(float(w), float(h)) for w, h in rng.integers(5, 60, (400, 2))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(wh, "w double, h double").mapInPandas(passed, "w double, h double")
+    start = [(10.0, 10.0), (30.0, 20.0), (50.0, 50.0)]
+    got = anchors.whitened_rounds(df, start, 8)
+    a, now = pd.DataFrame(wh, columns=["w", "h"]), np.array(start)
+    x, sd = a.to_numpy(), a.to_numpy().std(0)
+    for _ in range(8):
+        near = (((x[:, None] - now[None]) / sd) ** 2).sum(2).argmin(1)
+        now = np.array([x[near == k].mean(0) for k in range(3)])
+    assert np.array(got) == pytest.approx(now[np.argsort(now.prod(1))])
+    assert seen.value == 400
+    medians = {r.center: r for r in anchors.kmeans(df, start, 1).collect()}
+    assert seen.value == 800 and sum(r.n for r in medians.values()) == 400
+    anchors.evolved(df, start, 2, 3)
+    assert seen.value == 1200
