@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlake.operators import version
-from boxlake.operators.scan import written
 
 
 @dataclass(frozen=True)
@@ -94,43 +93,63 @@ def label_boxes(files: DataFrame) -> DataFrame:
 class LabelCache:
     """Parsed files, kept below a folder and brought up to date by what changed.
 
-    Files are told apart by path and digest.  A refresh parses new and changed
-    files into a segment of their own and writes an index (path, digest, segment)
-    of what is there now; the version counts once its row of counts is written,
-    so a refresh that breaks off leaves the one before.
+    Files are told apart by path and digest.  A refresh writes an index (path,
+    digest, segment, and whether the path was known before) of what is there now
+    and parses new and changed files into a segment of their own; the version
+    counts once its row of counts is written, so a refresh that breaks off leaves
+    the one before.  A segment holds a path once at most, so rows need no digest.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def versions(self) -> list:
+        """version, files, parsed, removed, kept of each refresh, in order."""
+        if not there(self.spark, f"{self.folder}/versions"):
+            return []
+        return sorted(self.spark.read.parquet(f"{self.folder}/versions").collect(), key=lambda r: r["version"])
+
     def version(self) -> int:
         """The latest version; -1 before the first."""
-        if not there(self.spark, f"{self.folder}/versions"):
-            return -1
-        return self.spark.read.parquet(f"{self.folder}/versions").agg(F.max("version")).first()[0]
+        return max((r["version"] for r in self.versions()), default=-1)
 
     def index(self) -> DataFrame:
         v = self.version()
         if v < 0:
-            return self.spark.createDataFrame([], "path string, digest string, segment int")
+            return self.spark.createDataFrame([], "path string, digest binary, segment int, known boolean")
         return self.spark.read.parquet(f"{self.folder}/index/{v}")
 
     def refresh(self, files: DataFrame, parse) -> dict[str, int]:
         """Counts of files, parsed, kept and removed; parse turns files(path, content) into rows that carry path."""
-        v = self.version() + 1
-        old = self.index()
-        now = written(files.select("path", F.sha2("content", 256).alias("digest")))
-        fresh = written(now.join(old, ["path", "digest"], "left_anti"))
-        parsed = parse(files.join(fresh.select("path"), "path", "left_semi"))
-        parsed.join(fresh, "path").write.mode("overwrite").parquet(f"{self.folder}/segments/segment={v}")
-        found = now.join(old, ["path", "digest"], "left").select("path", "digest", F.coalesce("segment", F.lit(v)).cast("int").alias("segment"))
+        before = self.versions()
+        v = before[-1]["version"] + 1 if before else 0
+        now = files.select("path", F.unhex(F.sha2("content", 256)).alias("digest"))
+        if before:
+            old = self.index().select("path", F.col("digest").alias("__old"), F.col("segment").alias("__segment"))
+            both = now.join(old, "path", "left")
+            segment = F.when(F.col("digest") == F.col("__old"), F.col("__segment")).otherwise(v)
+            found = both.select("path", "digest", segment.cast("int").alias("segment"), F.col("__segment").isNotNull().alias("known"))
+        else:
+            found = now.withColumns({"segment": F.lit(v), "known": F.lit(False)})
         found.write.mode("overwrite").parquet(f"{self.folder}/index/{v}")
-        counts = {"files": now.count(), "parsed": fresh.count(), "removed": old.join(now, "path", "left_anti").count()}
-        counts["kept"] = counts["files"] - counts["parsed"]
+        index = self.spark.read.parquet(f"{self.folder}/index/{v}")
+        n = index.agg(F.count("*").alias("files"), F.count_if(F.col("segment") == v).alias("parsed"), F.count_if("known").alias("known")).first()
+        counts = {"files": n["files"], "parsed": n["parsed"], "removed": (before[-1]["files"] if before else 0) - n["known"], "kept": n["files"] - n["parsed"]}
+        if n["parsed"] < n["files"]:
+            fresh = index.where(F.col("segment") == v).select("path")
+            files = files.join(fresh, "path", "left_semi") if n["parsed"] else files.limit(0)
+        parse(files).write.mode("overwrite").parquet(f"{self.folder}/segments/segment={v}")
         self.spark.createDataFrame([(v, *counts.values())], "version int, " + ", ".join(f"{c} long" for c in counts)).write.mode("append").parquet(f"{self.folder}/versions")
         return counts
 
     def rows(self) -> DataFrame:
-        """The parsed rows of the files that are there now."""
-        rows = self.spark.read.parquet(f"{self.folder}/segments")
-        return rows.join(self.index(), ["path", "digest", "segment"], "left_semi").drop("digest", "segment")
+        """The parsed rows of the files that are there now; a segment of which no file has gone is taken as it is."""
+        rows, index = self.spark.read.parquet(f"{self.folder}/segments"), self.index()
+        left = {r["segment"]: r["n"] for r in index.groupBy("segment").agg(F.count("*").alias("n")).collect()}  # a row for each segment
+        whole = [r["version"] for r in self.versions() if left.get(r["version"], 0) == r["parsed"]]
+        part = sorted(set(left) - set(whole))
+        out = rows.where(F.col("segment").isin(whole))
+        if part:
+            here = index.where(F.col("segment").isin(part)).select("path", "segment")
+            out = out.unionByName(rows.where(F.col("segment").isin(part)).join(here, ["path", "segment"], "left_semi").select(rows.columns))
+        return out.drop("segment")

@@ -140,3 +140,15 @@ def test_placement_in_steps_is_the_greedy_one(seed):
 def test_many_equal_clusters_take_few_steps():
     steps = split.placements([(1, 0, 10_000_000), (1, 1, 10_000_000)], {}, {"train": 0.7, "val": 0.15, "test": 0.15})
     assert len(steps) < 40 and sum(last - first + 1 for *_, first, last, _ in steps) == 20_000_000
+
+
+def test_refresh_shuffles_and_writes_no_more_than_it_needs(spark, tmp_path):
+    cache = dataset.LabelCache(spark, str(tmp_path / "c"))
+    some = {f"f{i}": b"0 .5 .5 .1 .1" for i in range(9)} | {"none": None}
+    assert cache.refresh(files(spark, some), dataset.label_boxes) == {"files": 10, "parsed": 10, "removed": 0, "kept": 0}
+    assert "Exchange" not in cache.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "digest" not in spark.read.parquet(str(tmp_path / "c/segments")).columns
+    fewer = {k: v for k, v in some.items() if k != "f3"} | {"f4": b"1 .5 .5 .1 .1"}
+    assert cache.refresh(files(spark, fewer), dataset.label_boxes) == {"files": 9, "parsed": 2, "removed": 1, "kept": 7}
+    assert sorted((r.path, r.class_id) for r in cache.rows().collect()) == [(f"f{i}", int(i == 4)) for i in range(9) if i != 3]
+    assert cache.refresh(files(spark, fewer), dataset.label_boxes) == {"files": 9, "parsed": 1, "removed": 0, "kept": 8}
