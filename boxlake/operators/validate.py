@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlake.operators.scan import written
+
 
 def parsed(lines: DataFrame) -> DataFrame:
     """lines(image_id, line_no, line) with tokens and, where they are numbers, class_value and x, y, w, h."""
@@ -14,9 +16,8 @@ def parsed(lines: DataFrame) -> DataFrame:
     return out.withColumns({"n_tokens": F.size("tokens"), "class_value": value(0), "x": value(1), "y": value(2), "w": value(3), "h": value(4)})
 
 
-def label_issues(lines: DataFrame, classes: int) -> DataFrame:
-    """image_id, line_no, issue; a line may have several."""
-    rows = parsed(lines)
+def line_tests(classes: int) -> tuple[Column, Column]:
+    """Of a parsed line: the issues that it has by itself, and whether it is a box of a whole class."""
     five = F.col("n_tokens") == 5
     number = five & F.col("class_value").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
     whole = number & (F.col("class_value") == F.floor("class_value"))
@@ -27,7 +28,13 @@ def label_issues(lines: DataFrame, classes: int) -> DataFrame:
         "invalid_column_count": ~five, "non_numeric_label": five & ~number, "non_integer_class": number & ~whole,
         "coordinate_out_of_range": whole & ~inside, "box_crosses_boundary": whole & inside & crosses, "class_out_of_range": whole & ((F.col("class_value") < 0) | (F.col("class_value") >= classes)),
     }
-    found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in tests.items())), lambda i: i.isNotNull())
+    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests.items()))), whole
+
+
+def label_issues(lines: DataFrame, classes: int) -> DataFrame:
+    """image_id, line_no, issue; a line may have several."""
+    rows = parsed(lines)
+    found, whole = line_tests(classes)
     issues = rows.select("image_id", "line_no", F.explode(found).alias("issue"))
     again = rows.where(whole).withColumn("nth", F.row_number().over(Window.partitionBy("image_id", "class_value", "x", "y", "w", "h").orderBy("line_no"))).where("nth > 1")
     return issues.unionByName(again.select("image_id", "line_no", F.lit("duplicate_box").alias("issue")))
@@ -63,9 +70,20 @@ def assert_empty(problems: DataFrame, what: str) -> None:
 
 
 def require_valid(lines: DataFrame, classes: int) -> DataFrame:
-    """Boxes of lines; raises if any line has an issue."""
-    assert_empty(label_issues(lines, classes), "label issues")
-    return kept_boxes(lines)
+    """Boxes of lines; raises if any line has an issue.
+
+    Lines are parsed once: issues and boxes are found in one pass over the lines
+    of each image and written down, then the issues are looked at.
+    """
+    found, whole = line_tests(classes)
+    values = "class_value", "x", "y", "w", "h"
+    rows = parsed(lines).select("image_id", "line_no", *values, found.alias("found"), whole.alias("whole"))
+    rows = rows.withColumn("line_number", F.row_number().over(Window.partitionBy("image_id").orderBy("line_no")))
+    nth = F.row_number().over(Window.partitionBy("image_id", *values, "whole").orderBy("line_no"))
+    again = F.when(F.col("whole") & (nth > 1), F.array(F.lit("duplicate_box"))).otherwise(F.array().cast("array<string>"))
+    rows = written(rows.select("image_id", "line_no", "line_number", F.col("class_value").cast("long").alias("class_id"), *values[1:], F.concat("found", again).alias("issues")))
+    assert_empty(rows.where(F.size("issues") > 0).select("image_id", "line_no", F.explode("issues").alias("issue")), "label issues")
+    return rows.select("image_id", "line_number", "class_id", *values[1:])
 
 
 def assert_references(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:

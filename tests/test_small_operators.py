@@ -165,3 +165,21 @@ def test_anchor_rounds_read_their_boxes_once(spark):
     assert seen.value == 800 and sum(r.n for r in medians.values()) == 400
     anchors.evolved(df, start, 2, 3)
     assert seen.value == 1200
+
+
+def test_strict_lines_are_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    kind = "image_id long, line_no long, line string"
+    good = [(1, 2, "0 0.5 0.5 0.2 0.2"), (1, 1, "1 0.5 0.5 0.2 0.2"), (2, 1, "0 0.5 0.5 0.2 0.2"), (1, 5, "0 0.4 0.5 0.2 0.2")]
+    out = validate.require_valid(spark.createDataFrame(good, kind).mapInPandas(passed, kind), 3)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 1, 0.5, 0.5, 0.2, 0.2), (1, 2, 0, 0.5, 0.5, 0.2, 0.2), (1, 3, 0, 0.4, 0.5, 0.2, 0.2), (2, 1, 0, 0.5, 0.5, 0.2, 0.2)]
+    assert seen.value == len(good)
+    for line, issue in (("0 0.5 0.5 0.2 0.2", "duplicate_box"), ("0 0.5 0.5", "invalid_column_count"), ("7 0.5 0.5 0.2 0.2", "class_out_of_range"), ("x 0.5 0.5 0.2 0.2", "non_numeric_label"), ("0 0.95 0.5 0.2 0.2", "box_crosses_boundary")):
+        with pytest.raises(ValueError, match=issue):
+            validate.require_valid(spark.createDataFrame([*good, (1, 9, line)], kind), 3)
