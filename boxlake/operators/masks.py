@@ -9,6 +9,8 @@ row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -116,6 +118,36 @@ def filled(points: Column, height: int, width: int, words_at_once: int = 1 << 21
     return fill(points)
 
 
+def filled_counts(points: Column, height: int, width: int, words_at_once: int = 1 << 21) -> Column:
+    """area, widest (pixels of the fullest row) and rows (that have pixels) of the mask of a polygon, which doesn't leave the task."""
+    step = max(1, words_at_once // (height * (words_per_row(width) + 1)))
+
+    def some(polygons: pa.Array) -> pa.Array:
+        by_row = np.bitwise_count(fill_all(polygons, height, width).view(np.uint64)).reshape(len(polygons), height, -1).sum(2, dtype=np.int64)
+        return pa.StructArray.from_arrays([pa.array(x) for x in (by_row.sum(1), by_row.max(1), np.count_nonzero(by_row, 1))], ["area", "widest", "rows"])
+
+    @F.arrow_udf("area long, widest long, rows long")
+    def count(polygons: pa.Array) -> pa.Array:
+        return in_steps(some, polygons, step)
+
+    return count(points)
+
+
+def filled_with_area(points: Column, height: int, width: int, words_at_once: int = 1 << 21) -> Column:
+    """mask and area of a polygon, found together."""
+    step = max(1, words_at_once // (height * (words_per_row(width) + 1)))
+
+    def some(polygons: pa.Array) -> pa.Array:
+        words = fill_all(polygons, height, width)
+        return pa.StructArray.from_arrays([rows_as_lists(words), pa.array(np.bitwise_count(words.view(np.uint64)).sum(1, dtype=np.int64))], ["mask", "area"])
+
+    @F.arrow_udf("mask array<long>, area long")
+    def fill(polygons: pa.Array) -> pa.Array:
+        return in_steps(some, polygons, step)
+
+    return fill(points)
+
+
 def filled_overlap(points: Column, l_points: Column, height: int, width: int, words_at_once: int = 1 << 20) -> Column:
     """area, l_area and both of the masks of two polygons, which don't leave the task."""
     step = max(1, words_at_once // (height * (words_per_row(width) + 1)))
@@ -185,20 +217,54 @@ def mask_overlaps(labels: DataFrame, detections: DataFrame, least: float = 0.5,
     return compared(pairs.withColumns({"both": intersection(F.col("mask"), F.col("l_mask")), "area": area("mask"), "l_area": area("l_mask")}), least)
 
 
-def painted(masks: DataFrame, words: int) -> DataFrame:
-    """masks(image_id, label_id, mask) painted from the largest to the smallest: rank, area and what stays visible.
+def hidden_by_later(masks: np.ndarray, image: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For each mask the bits of all masks of its image that stand before it; rows are by image, and before holds what the first image has so far."""
+    begins = np.flatnonzero(np.diff(image, prepend=image[0] - 1))
+    place = np.arange(len(image)) - np.repeat(begins, np.diff(np.append(begins, len(image))))
+    order = np.argsort(place, kind="stable")
+    ends = np.cumsum(np.bincount(place))
+    out = np.zeros_like(masks)
+    out[0] = before
+    for i, k in zip(ends[:-1], ends[1:], strict=True):  # the second of each image, the third of each ...
+        at = order[i:k]
+        out[at] = out[at - 1] | masks[at - 1]
+    return out
+
+
+def painted(masks: DataFrame, words: int, count: bool = False) -> DataFrame:
+    """masks(image_id, label_id, mask) painted from the largest to the smallest: rank, area and what stays visible, as words or with count as a number of pixels.
 
-    Of equal areas the smaller label_id is painted first.  Later masks are
-    gathered by a running bit_or for each of the words, so a window task holds
-    one row and the bits so far, however many labels an image has.
+    Of equal areas the smaller label_id is painted first.  area is taken from
+    masks if they have it.  Rows of an image come sorted from the last painted
+    on, and the bits so far go along from batch to batch: a task holds a batch
+    and the bits so far, however many labels an image has.
     """
-    order = [F.desc("area"), F.asc("label_id")]
-    back = Window.partitionBy("image_id").orderBy(F.asc("area"), F.desc("label_id")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = masks.select("image_id", "label_id", "mask", area("mask").alias("area"))
-    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(*order))
-    later = F.array(*(F.coalesce(F.bit_or(F.get("mask", F.lit(i))).over(back), F.lit(0).cast("long")) for i in range(words)))
-    rows = rows.select("image_id", "label_id", "area", "mask", rank.alias("rank"), later.alias("later"))
-    return rows.select("image_id", "label_id", "rank", "area", F.zip_with("mask", "later", lambda m, o: m.bitwiseAND(F.bitwise_not(o))).alias("visible"))
+    kinds = dict(masks.dtypes)
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, so_far = None, np.zeros(words, np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            mask, image = b.column("mask"), b.column("image_id")
+            there = mask.is_valid().to_numpy(zero_copy_only=False)
+            rows = np.zeros((len(b), words), np.int64)
+            rows[there] = flat(mask)[0].to_numpy().reshape(-1, words)
+            first = image[0].as_py()
+            number = image.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            before = hidden_by_later(rows, number, so_far if (first,) == last else np.zeros(words, np.int64))
+            last, so_far = (image[len(b) - 1].as_py(),), before[-1] | rows[-1]
+            left = rows & ~before
+            seen = pa.array(np.bitwise_count(left.view(np.uint64)).sum(1, dtype=np.int64), mask=~there) if count else rows_as_lists(left)
+            if not count and not there.all():
+                seen = pc.if_else(pa.array(there), seen, pa.scalar(None, seen.type))
+            names = ["image_id", "label_id", "rank", "area"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), seen], names=[*names, "visible"])
+
+    rows = masks.select("image_id", "label_id", "mask", F.col("area") if "area" in kinds else area("mask").alias("area"))
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), F.asc("label_id")))
+    rows = rows.withColumn("rank", rank).sortWithinPartitions("image_id", F.desc("rank"))
+    return rows.mapInArrow(paint, f"image_id {kinds['image_id']}, label_id {kinds['label_id']}, rank int, area long, visible {'long' if count else 'array<long>'}")
 
 
 def counts_of_all(words: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:

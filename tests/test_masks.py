@@ -130,3 +130,38 @@ def test_tiles_are_not_shuffled(spark):
     right = spark.createDataFrame([(1, 7, 6), (1, 7, 8), (1, 8, 5), (3, 1, 5)], "image_id long, mask_id long, pixel long")
     got = {(r.image_id, r.left_id, r.right_id): round(r.iou, 6) for r in evaluate.mask_iou(left, right).collect()}
     assert got == {(1, 1, 7): 0.333333, (1, 1, 8): 0.5}
+
+
+def test_painting_goes_on_from_batch_to_batch(spark):
+    rng = np.random.default_rng(9)
+    sizes = {1: 23, 2: 1, 3: 2, 4: 9, None: 3}
+    words = {(i, k): None if (i, k) == (4, 5) else rng.integers(-(1 << 62), 1 << 62, 2).tolist() for i, n in sizes.items() for k in range(n)}
+    df = spark.createDataFrame([(i, k, w) for (i, k), w in words.items()], "image_id long, label_id long, mask array<long>")
+    ones = lambda w: sum((x % 2**64).bit_count() for x in w)
+    want = {}
+    for i, n in sizes.items():
+        order = sorted(range(n), key=lambda k: (words[i, k] is None, -ones(words[i, k] or []), k))
+        for r, k in enumerate(order, 1):
+            later = [0, 0]
+            for o in order[r:]:
+                later = [x | y for x, y in zip(later, words[i, o] or [0, 0], strict=True)]
+            w = words[i, k]
+            want[i, k] = (r, None, None) if w is None else (r, ones(w), ones([x & ~y for x, y in zip(w, later, strict=True)]))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for many in (4, 1000):
+            spark.conf.set(name, many)
+            assert {(r.image_id, r.label_id): (r["rank"], r.area, r.visible) for r in masks.painted(df, 2, count=True).collect()} == want
+            assert {(r.image_id, r.label_id): r.visible and ones(r.visible) for r in masks.painted(df, 2).collect()} == {k: v[2] for k, v in want.items()}
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_counts_of_polygons_without_their_masks(spark):
+    rows = [(1, 1, 0, square(0, 0, 80, 10)), (1, 2, 0, square(10, 2, 20, 8)), (2, 1, 0, None), (2, 2, 0, [(1.0, 1.0)]), (3, 1, 0, square(60, 3, 70, 5))]
+    df = spark.createDataFrame([(i, k, c, 0.0, 0.0, 1.0, 1.0, p) for i, k, c, p in rows], MASKS)
+    got = {(r.image_id, r.label_id): tuple(r.m) for r in df.withColumn("m", masks.filled_counts(F.col("points"), 12, 90)).collect()}
+    assert got == {(1, 1): (800, 80, 10), (1, 2): (60, 10, 6), (2, 1): (0, 0, 0), (2, 2): (0, 0, 0), (3, 1): (20, 10, 2)}
+    both = df.withColumns({"m": masks.filled_with_area(F.col("points"), 12, 90), "mask": masks.filled(F.col("points"), 12, 90)}).collect()
+    assert all(r.m.mask == r["mask"] and r.m.area == got[r.image_id, r.label_id][0] for r in both)
