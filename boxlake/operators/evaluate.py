@@ -39,9 +39,10 @@ def true_positives(labels: DataFrame, detections: DataFrame, pairs: DataFrame |
 
     A detection takes the label of its class with the largest IoU; a label takes
     the most confident of its detections.  pairs are overlaps of at least 0.5,
-    those of the boxes unless others (of masks) are given.
+    those of the boxes unless others (of masks) are given; these are dealt out by
+    image and class once, as functions in Python lose how the join dealt them.
     """
-    pairs = overlaps(labels, detections, 0.5, by_class=True) if pairs is None else pairs
+    pairs = overlaps(labels, detections, 0.5, by_class=True) if pairs is None else pairs.repartition("image_id", "class_id")
     best = Window.partitionBy("image_id", "class_id", "det_id").orderBy(F.desc("iou"), "label_id")
     taken = pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     each = taken.withColumn("thr", F.explode(F.sequence(F.lit(0), F.least(F.lit(N_THR - 1), F.floor(F.col("iou") * 20 - 10).cast("int") + 1)))).where(F.col("iou") >= threshold(F.col("thr")))

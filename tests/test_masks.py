@@ -165,3 +165,12 @@ def test_counts_of_polygons_without_their_masks(spark):
     assert got == {(1, 1): (800, 80, 10), (1, 2): (60, 10, 6), (2, 1): (0, 0, 0), (2, 2): (0, 0, 0), (3, 1): (20, 10, 2)}
     both = df.withColumns({"m": masks.filled_with_area(F.col("points"), 12, 90), "mask": masks.filled(F.col("points"), 12, 90)}).collect()
     assert all(r.m.mask == r["mask"] and r.m.area == got[r.image_id, r.label_id][0] for r in both)
+
+
+def test_matching_of_masks_shuffles_pairs_once(spark):
+    lab = spark.createDataFrame([(1, 1, 0), (1, 2, 0)], "image_id long, label_id long, class_id long")
+    det = spark.createDataFrame([(1, 1, 0, 0.9), (1, 2, 0, 0.8)], "image_id long, det_id long, class_id long, conf double")
+    pairs = spark.createDataFrame([(1, 1, 0, 0.9, 1, 0, 0.8), (1, 2, 0, 0.8, 1, 0, 0.7), (1, 2, 0, 0.8, 2, 0, 0.6)], "image_id long, det_id long, class_id long, conf double, label_id long, label_class long, iou double")
+    out = evaluate.true_positives(lab, det, pairs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.det_id, r.thr) for r in out.collect()) == [(1, t) for t in range(7)]
