@@ -24,8 +24,8 @@ def recorded(spark: SparkSession, d: str) -> str:
     """A folder of clips: each user is a stream, each event a grey frame of 4 x 3 pixels."""
     e = table(spark, d, "events").where("ts IS NOT NULL")
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    pixel = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.lpad(F.hex(F.pmod(F.col("event_id") * 7 + i * 13, F.lit(256))), 2, "0"))
-    frames = e.select(F.col("user_id").cast("string").alias("stream"), number.cast("long").alias("frame"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(3).alias("height"), F.lit(4).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(pixel, "")).alias("pixels"))
+    pixel = [F.lpad(F.hex(F.pmod(F.col("event_id") * 7 + i * 13, F.lit(256))), 2, "0") for i in range(12)]
+    frames = e.select(F.col("user_id").cast("string").alias("stream"), number.cast("long").alias("frame"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(3).alias("height"), F.lit(4).alias("width"), F.lit(1).alias("channels"), F.unhex(F.concat(*pixel)).alias("pixels"))
     path = shared_path(spark, "clips")
     clips.write_clips(frames, path, 64)
     clips.register(spark)
@@ -33,8 +33,9 @@ def recorded(spark: SparkSession, d: str) -> str:
 
 
 def brightness() -> Column:
-    value = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.conv(F.substring(F.hex("pixels"), 2 * i + 1, F.lit(2)), 16, 10).cast("double"))
-    return F.aggregate(value, F.lit(0.0), lambda a, v: a + v) / 12
+    """Mean of twelve pixels: four bytes at a time as one whole number, of which the bytes are summed."""
+    four = [F.conv(F.substring(F.hex("pixels"), 8 * i + 1, 8), 16, 10).cast("long") for i in range(3)]
+    return sum((F.shiftright(v, 8 * j).bitwiseAND(255) for v in four for j in range(4)), F.lit(0).cast("long")).cast("double") / 12
 
 
 _FRAMES = """fr AS (SELECT user_id::VARCHAR AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, ts, event_id,
@@ -54,8 +55,8 @@ SQL["clip_frames"] = f"WITH {_FRAMES} SELECT stream, frame, ts, round(brightness
 def streamed(spark: SparkSession, d: str, fold, mode: str) -> DataFrame:
     """What fold gives over the stream of clips: run to the middle of the time, stopped, started again from its checkpoint, run to the end."""
     path, out, check = recorded(spark, d), shared_path(spark, "stream"), shared_path(spark, "stream-state")
-    known = clips.listed(path)
-    middle = (min(c.start for c in known) + max(c.end for c in known)) // 2 if known else 0
+    known = clips.reels(path)
+    middle = (min(r.start for r in known) + max(r.end for r in known)) // 2 if known else 0
     for until in (middle, None):
         reader = spark.readStream.format("clips")
         frames = (reader if until is None else reader.option("until", until)).load(path)

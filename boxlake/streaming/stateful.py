@@ -2,14 +2,19 @@
 
 Rows of a stream arrive in order between micro-batches; inside one they are put
 in order of time and frame.  A processor's state is one row for each stream.
+
+Frames don't go to the processors as rows: the task that reads them packs those
+of a stream that it has at hand into one row, with lists in order.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +23,15 @@ def in_order(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: (r["ts"], r["frame"]))
 
 
+def by_stream(batches: Iterator[pa.RecordBatch], order: list[str], one: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch in order of stream and what else is named, handed to one with the row numbers at which a stream begins and, last, the number of rows."""
+    for b in batches:
+        if len(b):
+            rows = pa.Table.from_batches([b]).sort_by([(c, "ascending") for c in ("stream", *order)]).combine_chunks()
+            kind = rows.column("stream").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            yield one(rows, np.array([0, *(np.flatnonzero(np.diff(kind)) + 1), len(kind)]))
+
+
 class Latest(StatefulProcessor):
     """The newest frame of a stream and how many came: a frame overwrites the one before, wherever the reader is."""
 
@@ -25,11 +39,12 @@ class Latest(StatefulProcessor):
         self.state = handle.getValueState("latest", "seen long, frame long, ts timestamp_ntz, brightness double")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802
-        new = in_order(rows)
-        seen = (self.state.get()[0] if self.state.exists() else 0) + len(new)
-        last = new[-1]
-        self.state.update((seen, last["frame"], last["ts"], last["brightness"]))
-        yield Row(stream=key[0], seen=seen, frame=last["frame"], brightness=last["brightness"])
+        new = [(r["ts"], r["frame"], r["brightness"], r["n"]) for r in rows]
+        before = self.state.get()
+        seen = (before[0] if before else 0) + sum(n for *_, n in new)
+        ts, frame, brightness, _ = max(new, key=lambda r: r[:2])
+        self.state.update((seen, frame, ts, brightness))
+        yield Row(stream=key[0], seen=seen, frame=frame, brightness=brightness)
 
     def close(self) -> None:
         pass
@@ -103,7 +118,14 @@ SESSIONS = "stream string, first_us long, last_us long, frames long"
 
 
 def latest(frames: DataFrame) -> DataFrame:
-    return frames.select(*USED).groupBy("stream").transformWithState(Latest(), LATEST, "Update", "None")
+    """Tasks send the newest frame of a stream in each batch and how many there were."""
+
+    def one(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        last = rows.take(pa.array(at[1:] - 1)).combine_chunks()
+        return last.append_column("n", pa.array(np.diff(at))).to_batches()[0]
+
+    sent = frames.select(*USED).mapInArrow(lambda batches: by_stream(batches, ["ts", "frame"], one), "stream string, frame long, ts timestamp_ntz, brightness double, n long")
+    return sent.groupBy("stream").transformWithState(Latest(), LATEST, "Update", "None")
 
 
 def folds(frames: DataFrame, **settings: float) -> DataFrame:
