@@ -119,8 +119,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Runs of frames without a pause of a day that have ended by the last frame of all."""
 
     def runs(frames: DataFrame) -> DataFrame:
-        us = F.expr("unix_micros(CAST(ts AS TIMESTAMP))")
-        return stateful.sessions(frames.withColumns({"us": us, "time": F.col("ts").cast("timestamp")}), PAUSE_MS)
+        return stateful.sessions(frames.withColumn("us", F.expr("unix_micros(CAST(ts AS TIMESTAMP))")), PAUSE_MS)
 
     return streamed(spark, d, runs, "append").select("stream", "first_us", "last_us", "frames")
 

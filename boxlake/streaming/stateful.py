@@ -16,6 +16,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -32,6 +33,18 @@ def by_stream(batches: Iterator[pa.RecordBatch], order: list[str], one: Callable
             yield one(rows, np.array([0, *(np.flatnonzero(np.diff(kind)) + 1), len(kind)]))
 
 
+def packs(frames: DataFrame, order: list[str], lists: dict[str, str]) -> DataFrame:
+    """A row with the columns of lists (name: type, times as microseconds) as lists, for the frames of a stream in each batch of a task."""
+
+    def one(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(at, pa.int32())
+        columns = [pa.ListArray.from_arrays(offsets, rows.column(c).combine_chunks().cast(pa.int64() if t == "long" else pa.float64())) for c, t in lists.items()]
+        return pa.RecordBatch.from_arrays([rows.column("stream").combine_chunks().take(pa.array(at[:-1])), *columns], names=["stream", *lists])
+
+    schema = ", ".join(["stream string", *(f"{c} array<{t}>" for c, t in lists.items())])
+    return frames.select("stream", *dict.fromkeys([*order, *lists])).mapInArrow(lambda batches: by_stream(batches, order, one), schema)
+
+
 class Latest(StatefulProcessor):
     """The newest frame of a stream and how many came: a frame overwrites the one before, wherever the reader is."""
 
@@ -88,9 +101,8 @@ class Sessions(StatefulProcessor):
         self.state = handle.getValueState("run", "first_us long, last_us long, frames long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802
-        first, last, n = self.state.get() if self.state.exists() else (None, None, 0)
-        for r in in_order(rows):
-            at = r["us"]
+        first, last, n = self.state.get() or (None, None, 0)
+        for at in sorted(us for r in rows for us in r["us"]):
             if n and at - last > self.pause_ms * 1000:
                 yield Row(stream=key[0], first_us=first, last_us=last, frames=n)
                 n = 0
@@ -133,8 +145,9 @@ def folds(frames: DataFrame, **settings: float) -> DataFrame:
 
 
 def sessions(frames: DataFrame, pause_ms: int, lateness: str = "0 seconds") -> DataFrame:
-    """frames carry time, a timestamp for the watermark, and us, the same in microseconds."""
-    marked = frames.select("stream", "frame", "ts", "us", "time").withWatermark("time", lateness)
+    """frames carry us, their time in microseconds; the watermark follows the newest frame of a pack, so a pack is late only as a whole."""
+    packed = packs(frames, ["us"], {"us": "long"})
+    marked = packed.withColumn("time", F.timestamp_micros(F.element_at("us", -1))).withWatermark("time", lateness)
     return marked.groupBy("stream").transformWithState(Sessions(pause_ms), SESSIONS, "Append", "EventTime")
 
 

@@ -1,10 +1,11 @@
-"""Clips in reels: what the driver sees of them, and clips that are written again."""
+"""Clips in reels: what the driver sees of them, and clips that are written again; frames of a stream in one row."""
 
 import datetime as dt
 import os
 import pickle
 
 from boxlake.sources import clips
+from boxlake.streaming import stateful
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -42,3 +43,43 @@ def test_times_before_1970(spark, tmp_path):
     path = str(tmp_path / "clips")
     clips.write_clips(frames(spark, {"a": 5}, dt.datetime(1969, 5, 1)), path, 2)
     assert sorted(r.ts for r in spark.read.format("clips").load(path).collect()) == [dt.datetime(1969, 5, 1, 0, i) for i in range(1, 6)]
+
+
+def test_frames_of_a_stream_go_to_its_state_in_one_row(spark):
+    rows = [(s, dt.datetime(1970, 1, 1, microsecond=us), f, f / 2) for us, f in ((3, 4), (1, 2), (1, 1), (2, 3)) for s in ("b", None, "a")]
+    df = spark.createDataFrame(rows, "stream string, ts timestamp_ntz, frame long, brightness double").coalesce(1)
+    packed = stateful.packs(df, ["ts", "frame"], {"ts": "long", "frame": "long", "brightness": "double"}).collect()
+    assert {r.stream: (r.ts, r.frame, r.brightness) for r in packed} == {s: ([1, 1, 2, 3], [1, 2, 3, 4], [0.5, 1.0, 1.5, 2.0]) for s in ("a", "b", None)} and len(packed) == 3
+
+
+class Kept:
+    """State and timers of one stream."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.remove(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.append(t)
+
+
+def test_sessions_go_on_over_packs(spark):
+    p = stateful.Sessions(1)
+    p.state = p.handle = Kept()
+    out = list(p.handleInputRows(("s",), iter([{"us": [5000, 5500]}, {"us": [1000, 1900, 2800]}]), None))
+    assert [tuple(r) for r in out] == [("s", 1000, 2800, 3)] and (p.state.value, p.state.timers) == ((5000, 5500, 2), [7])
+    assert list(p.handleInputRows(("s",), iter([{"us": [6001]}]), None)) == [] and (p.state.value, p.state.timers) == ((5000, 6001, 3), [8])
