@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def in_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: (r["ts"], r["frame"]))
-
-
 def by_stream(batches: Iterator[pa.RecordBatch], order: list[str], one: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch in order of stream and what else is named, handed to one with the row numbers at which a stream begins and, last, the number of rows."""
     for b in batches:
@@ -73,9 +69,8 @@ class Folds(StatefulProcessor):
         self.state = handle.getValueState("folds", "n long, total double, ema double, best double, best_at long, stopped_at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802
-        n, total, ema, best, best_at, stopped_at = self.state.get() if self.state.exists() else (0, 0.0, 0.0, -math.inf, 0, None)
-        for r in in_order(rows):
-            v = r["brightness"]
+        n, total, ema, best, best_at, stopped_at = self.state.get() or (0, 0.0, 0.0, -math.inf, 0, None)
+        for _, _, v in sorted((x for r in rows for x in zip(r["ts"], r["frame"], r["brightness"], strict=True)), key=lambda x: x[:2]):
             n, total = n + 1, total + v
             d = self.decay * (1 - math.exp(-n / self.tau))
             ema = ema * d + v * (1 - d)
@@ -141,7 +136,8 @@ def latest(frames: DataFrame) -> DataFrame:
 
 
 def folds(frames: DataFrame, **settings: float) -> DataFrame:
-    return frames.select(*USED).groupBy("stream").transformWithState(Folds(**settings), FOLDS, "Update", "None")
+    packed = packs(frames, ["ts", "frame"], {"ts": "long", "frame": "long", "brightness": "double"})
+    return packed.groupBy("stream").transformWithState(Folds(**settings), FOLDS, "Update", "None")
 
 
 def sessions(frames: DataFrame, pause_ms: int, lateness: str = "0 seconds") -> DataFrame:

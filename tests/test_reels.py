@@ -83,3 +83,13 @@ def test_sessions_go_on_over_packs(spark):
     out = list(p.handleInputRows(("s",), iter([{"us": [5000, 5500]}, {"us": [1000, 1900, 2800]}]), None))
     assert [tuple(r) for r in out] == [("s", 1000, 2800, 3)] and (p.state.value, p.state.timers) == ((5000, 5500, 2), [7])
     assert list(p.handleInputRows(("s",), iter([{"us": [6001]}]), None)) == [] and (p.state.value, p.state.timers) == ((5000, 6001, 3), [8])
+
+
+def test_folds_go_on_over_packs(spark):
+    p = stateful.Folds(patience=2)
+    p.state = Kept()
+    packs = [{"ts": [3, 4], "frame": [3, 4], "brightness": [7.0, 1.0]}, {"ts": [1, 1], "frame": [1, 2], "brightness": [2.0, 7.0]}]
+    (r,) = p.handleInputRows(("s",), iter(packs), None)
+    assert (r.n, r.mean, r.best, r.best_at, r.stopped_at) == (4, 4.25, 7.0, 3, None)
+    (r,) = p.handleInputRows(("s",), iter([{"ts": [5], "frame": [5], "brightness": [6.0]}]), None)
+    assert (r.n, r.best_at, r.stopped_at) == (5, 3, 5)
