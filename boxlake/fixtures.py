@@ -87,10 +87,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """gt, det, images, lines or runlog as a DataFrame."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, **made: DataFrame) -> DataFrame:
+    """gt, det, images, lines or runlog as a DataFrame, from parts that are made already or from the tables."""
     source, parts = _NEEDS[name]
-    frames = {p: fixture(spark, sf_dir, p) for p in parts} | ({source: table(spark, sf_dir, source)} if source else {})
+    frames = {p: made[p] if p in made else fixture(spark, sf_dir, p) for p in parts} | ({source: table(spark, sf_dir, source)} if source else {})
     text = _PARTS[name]
     for n in frames:
         text = text.replace(f"FROM {n} ", f"FROM {{{n}}} ").replace(f"FROM {n})", f"FROM {{{n}}})").replace(f"FROM {n}\n", f"FROM {{{n}}}\n")

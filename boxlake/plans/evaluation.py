@@ -20,15 +20,16 @@ def query(f):
     return f
 
 
-def labels(spark: SparkSession, d: str) -> DataFrame:
+def labels(spark: SparkSession, d: str, gt: DataFrame | None = None) -> DataFrame:
     """Boxes with corners."""
-    gt = fixture(spark, d, "gt")
+    gt = fixture(spark, d, "gt") if gt is None else gt
     return gt.select("image_id", "label_id", "class_id", "split", *B.to_corners(B.box("cx", "cy", "w", "h")).named("x1", "y1", "x2", "y2"))
 
 
 def scene(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Labels and detections, each made once."""
-    return written(labels(spark, d)), written(fixture(spark, d, "det"))
+    """Labels and detections, both from boxes that are made and written once."""
+    gt = written(fixture(spark, d, "gt"))
+    return labels(spark, d, gt), fixture(spark, d, "det", gt=gt)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
@@ -120,7 +121,8 @@ SQL["f1_operating_point"] = f"{with_sql('det')}, {GRID} SELECT class_id, n_label
 @query
 def map_summary(spark: SparkSession, d: str) -> DataFrame:
     lab, det = scene(spark, d)
-    return rounded(evaluate.map_summary(evaluate.average_precision(lab, det), evaluate.operating_point(lab, det)), "mp", "mr", "map50", "map")
+    cells = evaluate.curve_cells(lab, det)
+    return rounded(evaluate.map_summary(evaluate.average_precision(lab, det, cells=cells), evaluate.operating_point(lab, det, cells=cells)), "mp", "mr", "map50", "map")
 
 
 SQL["map_summary"] = f"""{with_sql('det')}, {AP}, {GRID[len(CURVE) + 2:]} SELECT round(avg(precision), 9) AS mp, round(avg(recall), 9) AS mr, sum(n_labels)::BIGINT AS n_labels,

@@ -76,7 +76,8 @@ SQL["class_maps"] = f"{with_sql('det')}, {AP}, m AS (SELECT class_id, avg(ap) AS
 def class_report(spark: SparkSession, d: str) -> DataFrame:
     """The evaluation of each class with its name."""
     lab, det = scene(spark, d)
-    return rounded(evaluate.class_report(evaluate.average_precision(lab, det), evaluate.operating_point(lab, det), _names(spark)), "precision", "recall", "f1", "ap50", "ap")
+    cells = evaluate.curve_cells(lab, det)
+    return rounded(evaluate.class_report(evaluate.average_precision(lab, det, cells=cells), evaluate.operating_point(lab, det, cells=cells), _names(spark)), "precision", "recall", "f1", "ap50", "ap")
 
 
 SQL["class_report"] = f"""{with_sql('det')}, {_NAMES}, {AP}, {GRID[len(CURVE) + 2:]}, a AS (SELECT class_id, max(ap) FILTER (WHERE thr = 0) AS ap50, avg(ap) AS ap FROM ap GROUP BY class_id)

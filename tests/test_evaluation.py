@@ -115,3 +115,32 @@ def test_larger_cuts(spark):
         cuts = [float(x) for x in range(n, 0, -1)]
         got = {r.v: r.k for r in df.select("v", evaluate.larger_cuts(cuts, F.col("v")).alias("k")).collect()}
         assert got == {v: sum(c > v for c in cuts) for v in values}
+
+
+def test_one_table_of_cells_gives_grid_and_ap(spark):
+    lab, det = scene(7)
+    a, b = spark.createDataFrame(lab, LAB), spark.createDataFrame(det, DET)
+    cells = evaluate.curve_cells(a, b)
+    assert cells.where("thr < 0").count() <= len(det) and cells.where("thr >= 0").count() <= 3 * 10 * 101
+    plain = {(r.class_id, r.k): (r.recall, r.precision) for r in evaluate.operating_grid(a, b, curves=evaluate.curve(a, b)).collect()}
+    got = {(r.class_id, r.k): (r.recall, r.precision) for r in evaluate.operating_grid(a, b, cells=cells).collect()}
+    assert got.keys() == plain.keys() and all(got[x] == pytest.approx(plain[x], abs=1e-12) for x in got)
+    assert {tuple(r) for r in evaluate.average_precision(a, b, cells=cells).collect()} == {tuple(r) for r in evaluate.average_precision(a, b).collect()}
+
+
+def test_hits_keep_every_detection_and_deal_them_out_once(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    lab, det = scene(8)
+    det += [(0, None, lab[0][2], 0.5, 0.0, 0.0, 9.0, 9.0)] * 2 + [(None, 5, lab[0][2], 0.5, 0.0, 0.0, 9.0, 9.0)]
+    spark.conf.set(name, -1)
+    try:
+        rows = evaluate.with_hits(spark.createDataFrame(lab, LAB), spark.createDataFrame(det, DET))
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(image_id") == 1
+        got = rows.collect()
+    finally:
+        spark.conf.set(name, before)
+    known = {x[2] for x in lab}
+    assert sorted((str(r.image_id), str(r.det_id), r.class_id) for r in got) == sorted((str(d[0]), str(d[1]), d[2]) for d in det if d[2] in known)
+    for k in (0, 4, 9):
+        assert {(r.image_id, r.det_id) for r in got if r.hits >> k & 1} == matched(lab, [d for d in det if None not in d], (10 + k) / 20)
